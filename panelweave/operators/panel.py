@@ -111,11 +111,21 @@ def align(left: DataFrame, *others: DataFrame, on: str | Sequence[str] = "entity
 def to_wide(
     long: DataFrame, indicator: object, years: Iterable[int], entity: str = "entity"
 ) -> DataFrame:
-    """One indicator of the long form as a wide table, one column per year."""
-    cells = [
-        F.max(F.when(F.col("year") == year, F.col("value"))).alias(str(year)) for year in years
-    ]
-    return long.where(F.col("indicator") == F.lit(indicator)).groupBy(entity).agg(*cells)
+    """One indicator of the long form as a wide table, one column per year.
+
+    One shuffle after map-side combining; two rows for one cell fail the query.
+    """
+    years = list(years)
+    cells = []
+    for year in years:
+        hit = F.col("year") == year
+        cells.append(F.max(F.when(hit, F.col("value"))).alias(f"_v_{year}"))
+        cells.append(F.count(F.when(hit, F.lit(1))).alias(f"_n_{year}"))
+    grouped = long.where(F.col("indicator") == F.lit(indicator)).groupBy(entity).agg(*cells)
+    what = F.col(entity).cast("string")
+    return grouped.select(
+        entity, *[_single(F.col(f"_v_{y}"), F.col(f"_n_{y}"), what, str(y)) for y in years]
+    )
 
 
 def year_slice(df: DataFrame, year: int, value: str = "value") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.functions.storage import scratch_dir
 from panelweave.operators.ranking import ordinal_index
@@ -103,25 +104,32 @@ def _iterations(plan: Pipeline, point: Point) -> int:
 
 def _score_job(
     plan: Pipeline, train: DataFrame, test: DataFrame, job: list[Point], metric: str
-) -> list[float]:
+) -> tuple[list[float], PipelineModel]:
     """Fit once and score every point of the job on ``test``."""
     estimator = plan.getStages()[-1]
     label = estimator.getLabelCol()
     if len(job) == 1:
-        predicted = _fit(plan, train, job[0]).transform(test)
+        model = _fit(plan, train, job[0])
         evaluator = RegressionEvaluator(
             labelCol=label, predictionCol=estimator.getPredictionCol(), metricName=metric
         )
-        return [evaluator.evaluate(predicted)]
+        return [evaluator.evaluate(model.transform(test))], model
     longest = max(job, key=lambda point: _iterations(plan, point))
     model = _fit(plan, train, longest)
     features = PipelineModel(model.stages[:-1]).transform(test)
     squared = model.stages[-1].evaluateEachIteration(features, "squared")
     errors = [squared[_iterations(plan, point) - 1] for point in job]
     if metric == "rmse":
-        return [math.sqrt(e) for e in errors]
+        return [math.sqrt(e) for e in errors], model
     spread = test.agg(F.var_pop(label)).head()[0]
-    return [1 - e / spread if spread else float("nan") for e in errors]
+    return [1 - e / spread if spread else float("nan") for e in errors], model
+
+
+def _rank(score: float, metric: str) -> float:
+    """Smaller is better; an undefined score is worst."""
+    if math.isnan(score):
+        return math.inf
+    return score if metric == "rmse" else -score
 
 
 def _scores(
@@ -131,35 +139,65 @@ def _scores(
     points: Sequence[Point],
     metric: str,
     parallelism: int,
-) -> list[float]:
-    """One score per point. Fits run side by side, each a distributed job."""
+) -> tuple[list[float], int, PipelineModel | None]:
+    """One score per point, the best point's index, and its model if a fit ended there.
+
+    Fits run side by side, each a distributed job; only the best model so far
+    is kept.
+    """
     if metric not in ("rmse", "r2"):
         raise ValueError("metric must be rmse or r2")
     scratch_dir(train.sparkSession)  # boosting cuts its lineage there
     inputs = [*plan.getStages()[0].getInputCols(), plan.getStages()[-1].getLabelCol()]
     train, test = train.select(*inputs), test.select(*inputs)
+    index = {id(point): i for i, point in enumerate(points)}
     jobs = _jobs(plan, points)
+    scores = [math.nan] * len(points)
+    best, best_model = (math.inf, len(points)), None
     train.persist(StorageLevel.MEMORY_AND_DISK)
     test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         run = inheritable_thread_target(train.sparkSession)(
-            lambda job: _score_job(plan, train, test, job, metric)
+            lambda job: (job, *_score_job(plan, train, test, job, metric))
         )
         with ThreadPool(min(parallelism, len(jobs))) as pool:
-            scored = pool.map(run, jobs, chunksize=1)
+            for job, found, model in pool.imap_unordered(run, jobs):
+                longest = max(_iterations(plan, p) for p in job) if len(job) > 1 else None
+                for point, score in zip(job, found):
+                    at = index[id(point)]
+                    scores[at] = score
+                    if (_rank(score, metric), at) < best:
+                        best = (_rank(score, metric), at)
+                        whole = longest is None or _iterations(plan, point) == longest
+                        best_model = model if whole else None
     finally:
         train.unpersist()
         test.unpersist()
-    by_point = {id(p): s for job, scores in zip(jobs, scored) for p, s in zip(job, scores)}
-    return [by_point[id(point)] for point in points]
-
-
-def _best(points: Sequence[Point], scores: Sequence[float], metric: str) -> Point:
-    sign = 1 if metric == "rmse" else -1
-    ranked = [(sign * s, i) for i, s in enumerate(scores) if not math.isnan(s)]
-    if not ranked:
+    if math.isinf(best[0]):
         raise ValueError(f"{metric} is undefined at every grid point")
-    return points[min(ranked)[1]]
+    return scores, best[1], best_model
+
+
+def _result_table(
+    spark: SparkSession, points: Sequence[Point], scores: Mapping[str, Sequence[float]]
+) -> DataFrame:
+    """Parameters and scores, one row per grid point."""
+    fields = []
+    for name in points[0]:
+        kinds = {type(point[name]) for point in points}
+        if kinds <= {int, float}:
+            kind = T.DoubleType() if float in kinds else T.LongType()
+        else:
+            kind = T.BooleanType() if kinds == {bool} else T.StringType()
+        fields.append(T.StructField(name, kind))
+    convert = {T.DoubleType: float, T.LongType: int, T.BooleanType: bool, T.StringType: str}
+    rows = [
+        [convert[type(f.dataType)](point[f.name]) for f in fields]
+        + [column[i] for column in scores.values()]
+        for i, point in enumerate(points)
+    ]
+    fields += [T.StructField(name, T.DoubleType()) for name in scores]
+    return spark.createDataFrame(rows, T.StructType(fields))
 
 
 def sweep(
@@ -170,17 +208,15 @@ def sweep(
     metric: str = "rmse",
     parallelism: int = 4,
 ) -> Search:
-    """Fit each point on ``train``, score it on ``test``; fit the best one for use.
+    """Fit each point on ``train``, score it on ``test``; keep the best one for use.
 
     Pass a validation slice as ``test`` to keep the final holdout out of the
     choice. The table has the parameters and the metric, one row per point.
     """
     points = [dict(p) for p in points]
-    scores = _scores(plan, train, test, points, metric, parallelism)
-    best = _best(points, scores, metric)
-    rows = [(*point.values(), score) for point, score in zip(points, scores)]
-    table = train.sparkSession.createDataFrame(rows, [*points[0], metric])
-    return Search(table, best, _fit(plan, train, best))
+    scores, best, model = _scores(plan, train, test, points, metric, parallelism)
+    table = _result_table(train.sparkSession, points, {metric: scores})
+    return Search(table, points[best], model or _fit(plan, train, points[best]))
 
 
 def kfold_blocks(df: DataFrame, key: str, folds: int = 3, name: str = "fold") -> DataFrame:
@@ -215,21 +251,16 @@ def cross_validate(
     The table has the parameters, the score per fold and ``mean_<metric>``.
     """
     points = [dict(p) for p in points]
-    per_fold = [
-        _scores(
-            plan, df.where(F.col(fold) != f), df.where(F.col(fold) == f), points, metric, parallelism
-        )
-        for f in range(folds)
-    ]
-    means = [sum(scores) / folds for scores in zip(*per_fold)]
-    best = _best(points, means, metric)
-    rows = [
-        (*point.values(), *scores, mean)
-        for point, scores, mean in zip(points, zip(*per_fold), means)
-    ]
-    names = [*points[0], *[f"{metric}_fold{f}" for f in range(folds)], f"mean_{metric}"]
-    table = df.sparkSession.createDataFrame(rows, names)
-    return Search(table, best, _fit(plan, df, best))
+    columns = {}
+    for f in range(folds):
+        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
+        columns[f"{metric}_fold{f}"], _, _ = _scores(plan, train, test, points, metric, parallelism)
+    means = [sum(scores) / folds for scores in zip(*columns.values())]
+    best = min(range(len(points)), key=lambda i: (_rank(means[i], metric), i))
+    if math.isnan(means[best]):
+        raise ValueError(f"{metric} is undefined at every grid point")
+    table = _result_table(df.sparkSession, points, {**columns, f"mean_{metric}": means})
+    return Search(table, points[best], _fit(plan, df, points[best]))
 
 
 def forest_search(

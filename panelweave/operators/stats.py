@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.expressions import bin_bounds, bin_edge, bin_index, correlation
-from panelweave.functions.storage import broadcast_within
+from panelweave.functions.storage import broadcast_within, materialize
 
 
 def _per_column(
@@ -124,12 +124,13 @@ def with_bounds(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     """Add ``_bounds``, the columns' ranges over the table or over the row's group.
 
     For the whole table they are a scalar subquery: a constant by the time the
-    rows are read, no join. For groups they are joined on, broadcast if few.
+    rows are read, no join. For groups they are computed once, stored, and joined
+    on: broadcast if they are few, by shuffle otherwise.
     """
     if not by:
         return df.withColumn("_bounds", df.agg(_bounds(columns)).scalar())
     groups = df.groupBy(*by).agg(_bounds(columns)).withColumnsRenamed({c: f"_by_{c}" for c in by})
-    groups = broadcast_within(groups)
+    groups = broadcast_within(materialize(groups, "bounds"))
     return df.join(groups, _null_safe(df, groups, by), "inner").drop(*[f"_by_{c}" for c in by])
 
 

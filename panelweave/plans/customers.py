@@ -11,6 +11,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelweave.functions.storage import materialize
 from panelweave.operators import panel
@@ -24,8 +25,15 @@ NUMBERS = (LABEL, *PREDICTORS)
 YEARLY = ("revenue", "n_orders", "quantity")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables. Its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def yearly_facts(
@@ -81,21 +89,35 @@ def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.as_lookup(nation, F.col("n_name"), kind)
 
 
-def long_form(spark: SparkSession, sf_dir: str, years: Iterable[int] = YEARS) -> DataFrame:
-    """``(entity, indicator, year, value)`` of all four indicators, present values only."""
+def long_form(
+    spark: SparkSession,
+    sf_dir: str,
+    years: Iterable[int] = YEARS,
+    names: Sequence[str] = NUMBERS,
+) -> DataFrame:
+    """``(entity, indicator, year, value)`` of the named indicators, present values only.
+
+    Only tables that those indicators need are read.
+    """
     years = list(years)
-    yearly = (
-        yearly_facts(spark, sf_dir, years)
-        .unpivot(["entity", "year"], list(YEARLY), "indicator", "value")
-        .select("entity", "indicator", "year", "value")
-    )
-    balance = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("entity"),
-        F.lit("acctbal").alias("indicator"),
-        F.explode(F.array(*[F.lit(y) for y in years])).alias("year"),
-        F.col("c_acctbal").alias("value"),
-    )
-    return indicators.union_long([yearly, balance]).where(F.col("value").isNotNull())
+    parts = []
+    yearly = [name for name in names if name in YEARLY]
+    if yearly:
+        parts.append(
+            yearly_facts(spark, sf_dir, years)
+            .unpivot(["entity", "year"], yearly, "indicator", "value")
+            .select("entity", "indicator", "year", "value")
+        )
+    if "acctbal" in names:
+        parts.append(
+            table(spark, sf_dir, "customer").select(
+                F.col("c_custkey").alias("entity"),
+                F.lit("acctbal").alias("indicator"),
+                F.explode(F.array(*[F.lit(y) for y in years])).alias("year"),
+                F.col("c_acctbal").alias("value"),
+            )
+        )
+    return indicators.union_long(parts).where(F.col("value").isNotNull())
 
 
 def customer_panel(spark: SparkSession, sf_dir: str, year: int = TRAIN_YEAR) -> DataFrame:
@@ -130,15 +152,6 @@ def model_rows(
     return panel.holdout_split(stored, train_year, test_year)
 
 
-def line_fit(train: DataFrame, x: str = "n_orders", y: str = LABEL) -> DataFrame:
-    """Least-squares line of ``y`` on ``x``: one row ``(slope, intercept, r2)``."""
-    return train.agg(
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r2"),
-    )
-
-
 def line_predictions(
     train: DataFrame, rows: DataFrame, x: str = "n_orders", keep: Sequence[str] = ("entity", LABEL)
 ) -> DataFrame:

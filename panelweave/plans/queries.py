@@ -39,7 +39,7 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indicator_files(spark: SparkSession, sf_dir: str) -> str:
     """The yearly revenues as indicator files: a preamble, a header, a column per year."""
     folder = scratch_path(spark, "indicator-files")
-    revenue = panel.to_wide(c.long_form(spark, sf_dir), "revenue", c.YEARS)
+    revenue = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", c.YEARS)
     names = c.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_name")
     )
@@ -199,7 +199,7 @@ SELECT f.entity, g.revenue AS value FROM (SELECT DISTINCT entity FROM facts) f
 LEFT JOIN facts g ON g.entity = f.entity AND g.year = 1996""",
 )
 def year_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = panel.to_wide(c.long_form(spark, sf_dir), "revenue", c.YEARS)
+    wide = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", c.YEARS)
     return panel.year_slice(wide, 1996)
 
 
@@ -209,7 +209,8 @@ def year_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def panel_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"revenue": "revenue", "orders": "n_orders", "quantity": "quantity"}
-    return panel.pivot_panel(c.long_form(spark, sf_dir, [1996]), names, 1996)
+    long = c.long_form(spark, sf_dir, [1996], c.YEARLY)
+    return panel.pivot_panel(long, names, 1996)
 
 
 @query(
@@ -220,8 +221,9 @@ FROM entities e LEFT JOIN facts f ON f.entity = e.entity AND f.year = 1997""",
 )
 def panel_pivot_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = c.entities(spark, sf_dir).select("entity", "country")
-    long = c.long_form(spark, sf_dir, [1997])
-    return panel.pivot_panel(long, ["revenue", "quantity"], 1997, base=base)
+    names = ["revenue", "quantity"]
+    long = c.long_form(spark, sf_dir, [1997], names)
+    return panel.pivot_panel(long, names, 1997, base=base)
 
 
 @query("filter_type", f"WITH {PANEL} SELECT * FROM panel WHERE entity_type = 'Group'")
@@ -324,8 +326,10 @@ SELECT e.entity, f.revenue, f.n_orders, f.quantity, e.acctbal
 FROM entities e LEFT JOIN facts f ON f.entity = e.entity AND f.year = 1997""",
 )
 def panel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = c.long_form(spark, sf_dir)
-    wide = {name: panel.to_wide(long, name, c.YEARS) for name in c.NUMBERS}
+    wide = {
+        name: panel.to_wide(c.long_form(spark, sf_dir, names=[name]), name, c.YEARS)
+        for name in c.NUMBERS
+    }
     base = c.entities(spark, sf_dir).select("entity")
     return panel.join_panel(base, wide, 1997)
 
