@@ -63,17 +63,26 @@ def parallel_coords(
     One row per entity and axis, raw values or ranks. Colour is the label's
     value (its rank, with ``ranking``) and its range is numeric.
     """
-    table = rank_table(df, key, columns) if ranking else df.select(key, *columns)
+    if ranking:
+        # Ranks run from 0 to the number of rows less one, in every column.
+        last = df.agg((F.count(F.lit(1)) - 1).alias("last")).scalar()
+        table = rank_table(df, key, columns).withColumn("_last", last)
+        low = dict.fromkeys(columns, F.lit(0).cast("bigint"))
+        high = dict.fromkeys(columns, F.col("_last"))
+    else:
+        table = with_bounds(df.select(key, *columns), columns)
+        low = {c: F.col(f"_bounds.`{c}_low`") for c in columns}
+        high = {c: F.col(f"_bounds.`{c}_high`") for c in columns}
     rows = [
         F.struct(
             F.lit(c).alias("axis"),
             F.col(c).alias("value"),
-            F.col(f"_bounds.`{c}_low`").alias("axis_min"),
-            F.col(f"_bounds.`{c}_high`").alias("axis_max"),
+            low[c].alias("axis_min"),
+            high[c].alias("axis_max"),
             F.col(label).alias("color"),
-            F.col(f"_bounds.`{label}_low`").alias("color_min"),
-            F.col(f"_bounds.`{label}_high`").alias("color_max"),
+            low[label].alias("color_min"),
+            high[label].alias("color_max"),
         )
         for c in columns
     ]
-    return with_bounds(table, columns).select(key, F.inline(F.array(*rows)))
+    return table.select(key, F.inline(F.array(*rows)))

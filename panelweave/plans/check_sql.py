@@ -73,3 +73,105 @@ def unpivot_columns(table: str, columns: tuple[str, ...], keep: str = "entity")
         f"SELECT {keep}, '{c}' AS indicator, CAST({c} AS DOUBLE) AS value FROM {table}"
         for c in columns
     )
+
+
+PREDICTORS = ("n_orders", "quantity", "acctbal")
+
+# Midpoints between neighbouring values of each predictor: where a tree may split.
+MIDPOINTS = f"""
+midpoints AS (
+  SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS threshold
+  FROM (SELECT DISTINCT indicator AS f, value AS v
+        FROM ({unpivot_columns('train', PREDICTORS)})))
+"""
+
+
+def split_value(stump: str) -> str:
+    """The row's value of the predictor that a stump splits on."""
+    cases = " ".join(f"WHEN '{p}' THEN {p}" for p in PREDICTORS)
+    return f"CASE {stump}.f {cases} END"
+
+
+def stump(name: str, rows: str, target: str) -> str:
+    """CTEs giving the split that leaves the least squared error: predictor, threshold, means."""
+    return f"""
+{name}_values AS (
+  SELECT f, v, count(*) AS n, sum(t) AS s FROM (
+    {" UNION ALL ".join(f"SELECT '{p}' AS f, {p} AS v, {target} AS t FROM {rows}" for p in PREDICTORS)})
+  GROUP BY f, v),
+{name}_sums AS (
+  SELECT f, v, sum(n) OVER before AS nl, sum(s) OVER before AS sl,
+         sum(n) OVER (PARTITION BY f) AS nt, sum(s) OVER (PARTITION BY f) AS st
+  FROM {name}_values WINDOW before AS (PARTITION BY f ORDER BY v)),
+{name} AS (
+  SELECT f, threshold, sl / nl AS low, (st - sl) / (nt - nl) AS high
+  FROM {name}_sums JOIN midpoints USING (f, v) WHERE nl < nt
+  ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1)"""
+
+
+def stump_prediction(name: str) -> str:
+    return f"CASE WHEN {split_value(name)} <= {name}.threshold THEN {name}.low ELSE {name}.high END"
+
+
+# A tree of depth two on all predictors.
+TREE2 = f"""{MODEL_ROWS}, {MIDPOINTS},
+{stump('root', 'train', 'revenue')},
+sides AS (SELECT train.*, {split_value('root')} <= root.threshold AS is_low FROM train, root),
+low_rows AS (SELECT * FROM sides WHERE is_low),
+high_rows AS (SELECT * FROM sides WHERE NOT is_low),
+{stump('low_side', 'low_rows', 'revenue')},
+{stump('high_side', 'high_rows', 'revenue')},
+tree_scored AS (
+  SELECT entity, revenue, CASE WHEN {split_value('root')} <= root.threshold
+    THEN {stump_prediction('low_side')} ELSE {stump_prediction('high_side')} END AS prediction
+  FROM test, root, low_side, high_side)
+"""
+
+
+def boosted_stumps(rounds: int, step: float = 0.1) -> str:
+    """Boosting with stumps: each fits twice the error left by those before it."""
+    parts = [MODEL_ROWS, MIDPOINTS, "train0 AS (SELECT *, 0.0::DOUBLE AS fitted FROM train)",
+             "test0 AS (SELECT *, 0.0::DOUBLE AS fitted FROM test)"]
+    for i in range(rounds):
+        target, weight = ("revenue", 1.0) if i == 0 else ("2 * (revenue - fitted)", step)
+        parts.append(stump(f"stump{i}", f"train{i}", target))
+        for side in ("train", "test"):
+            parts.append(
+                f"{side}{i + 1} AS (SELECT {side}{i}.* EXCLUDE (fitted), "
+                f"fitted + {weight} * {stump_prediction(f'stump{i}')} AS fitted FROM {side}{i}, stump{i})"
+            )
+    return ",\n".join(parts)
+
+
+def solve3(name: str, source: str, d: str, rhs: tuple[str, str, str]) -> str:
+    """CTE adding x1..x3 that solve the symmetric system of r12, r13, r23 with diagonal ``d``."""
+    p, q, r = (f"({e})" for e in rhs)
+    d, a, b, c = f"({d})", "r12", "r13", "r23"
+    det = f"({d}*({d}*{d}-{c}*{c}) - {a}*({a}*{d}-{b}*{c}) + {b}*({a}*{c}-{b}*{d}))"
+    return f"""
+{name} AS (SELECT *,
+  ({p}*({d}*{d}-{c}*{c}) - {a}*({q}*{d}-{c}*{r}) + {b}*({q}*{c}-{d}*{r})) / {det} AS {name}1,
+  ({d}*({q}*{d}-{c}*{r}) - {p}*({a}*{d}-{c}*{b}) + {b}*({a}*{r}-{q}*{b})) / {det} AS {name}2,
+  ({d}*({d}*{r}-{q}*{c}) - {a}*({a}*{r}-{q}*{b}) + {p}*({a}*{c}-{d}*{b})) / {det} AS {name}3
+  FROM {source})"""
+
+
+# Elastic net (0.3, mix 0.8) on the three predictors, all of them staying in:
+# in standard units the coefficients solve a linear system once their signs,
+# those of least squares, are known.
+NET = f"""{MODEL_ROWS},
+moments AS (
+  SELECT corr(n_orders, quantity) AS r12, corr(n_orders, acctbal) AS r13, corr(quantity, acctbal) AS r23,
+         corr(n_orders, revenue) AS r1, corr(quantity, revenue) AS r2, corr(acctbal, revenue) AS r3,
+         stddev_samp(revenue) AS sy, stddev_samp(n_orders) AS s1, stddev_samp(quantity) AS s2,
+         stddev_samp(acctbal) AS s3, avg(revenue) AS my, avg(n_orders) AS m1, avg(quantity) AS m2,
+         avg(acctbal) AS m3 FROM train),
+{solve3('ols', 'moments', '1', ('r1', 'r2', 'r3'))},
+{solve3('net', 'ols', '1 + 0.2 * 0.3 / sy', tuple(f'r{i} - 0.8 * 0.3 / sy * sign(ols{i})' for i in (1, 2, 3)))},
+net_line AS (
+  SELECT net1 * sy / s1 AS b1, net2 * sy / s2 AS b2, net3 * sy / s3 AS b3,
+         my - net1 * sy / s1 * m1 - net2 * sy / s2 * m2 - net3 * sy / s3 * m3 AS b0 FROM net),
+net_scored AS (
+  SELECT rows.*, b0 + b1 * n_orders + b2 * quantity + b3 * acctbal AS prediction
+  FROM model_rows AS rows, net_line)
+"""

@@ -16,7 +16,7 @@ from panelweave.functions.storage import scratch_dir
 from panelweave.operators import metrics, models, search
 from panelweave.plans import customers as c
 from panelweave.plans import study
-from panelweave.plans.check_sql import LEAVES, LINE, MODEL_ROWS
+from panelweave.plans.check_sql import LEAVES, LINE, MODEL_ROWS, NET, TREE2, boosted_stumps
 from panelweave.plans.queries import REGRESSION, rounded
 from panelweave.plans.registry import query
 
@@ -91,10 +91,55 @@ def linreg_ols_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored(test, model), 3, "prediction")
 
 
-@query("linreg_report")
+@query(
+    "linreg_report",
+    f"""WITH {NET},
+fit AS (
+  SELECT sqrt(avg(pow(prediction - revenue, 2))) AS rmse,
+         1 - sum(pow(prediction - revenue, 2)) / (var_pop(revenue) * count(*)) AS r2
+  FROM net_scored WHERE year = 1996)
+SELECT 'coefficient' AS measure, 'n_orders' AS name, round(b1, -1) AS value FROM net_line
+UNION ALL SELECT 'coefficient', 'quantity', round(b2, 1) FROM net_line
+UNION ALL SELECT 'coefficient', 'acctbal', round(b3, 3) FROM net_line
+UNION ALL SELECT 'intercept', NULL, round(b0, -1) FROM net_line
+UNION ALL SELECT 'train_rmse', NULL, round(rmse, 2) FROM fit
+UNION ALL SELECT 'train_r2', NULL, round(r2, 6) FROM fit""",
+)
 def linreg_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = c.model_rows(spark, sf_dir)
-    return models.linear_report(spark, models.linear_regression(c.PREDICTORS, c.LABEL).fit(train))
+    model = models.linear_regression(c.PREDICTORS, c.LABEL).fit(train)
+    report = models.linear_report(spark, model)
+    # The solver stops a little short of the optimum; digits beyond it are dropped.
+    digits = {"n_orders": -1, "quantity": 1, "acctbal": 3, "intercept": -1, "train_rmse": 2, "train_r2": 6}
+    what = F.coalesce("name", "measure")
+    value = F.coalesce(*[F.when(what == n, F.round("value", d)) for n, d in digits.items()])
+    return report.where(what.isin(list(digits))).select("measure", "name", value.alias("value"))
+
+
+@query("linreg_history")
+def linreg_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = c.model_rows(spark, sf_dir)
+    model = models.linear_regression(c.PREDICTORS, c.LABEL).fit(train)
+    report = models.linear_report(spark, model)
+    return report.where(F.col("measure").isin("iterations", "objective"))
+
+
+@query(
+    "linreg_scores",
+    f"""WITH {NET}
+SELECT CASE year WHEN 1996 THEN 'train' ELSE 'test' END AS part, count(*) AS n,
+  round(sqrt(avg(pow(prediction - revenue, 2))), 0) AS rmse,
+  round(1 - sum(pow(prediction - revenue, 2)) / (var_pop(revenue) * count(*)), 4) AS r2
+FROM net_scored WHERE year IN (1996, 1997) GROUP BY 1""",
+)
+def linreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    model = models.linear_regression(c.PREDICTORS, c.LABEL).fit(train)
+    both = scored(train, model).withColumn("part", F.lit("train")).unionByName(
+        scored(test, model).withColumn("part", F.lit("test"))
+    )
+    scores = metrics.regression_metrics(both, c.LABEL, by=["part"])
+    return rounded(rounded(scores, 0, "rmse"), 4, "r2")
 
 
 @query("linreg_holdout", f"WITH {LINE} SELECT {REGRESSION} FROM scored")
@@ -114,6 +159,32 @@ def dtree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(test, models.decision_tree(c.PREDICTORS, c.LABEL).fit(train))
 
 
+# Enough bins for every value of a small table to be a split candidate.
+EXACT_BINS = 4096
+
+
+@query(
+    "dtree_splits",
+    f"WITH {TREE2} SELECT entity, revenue, round(prediction, 3) AS prediction FROM tree_scored",
+)
+def dtree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    plan = models.decision_tree(c.PREDICTORS, c.LABEL, maxDepth=2, maxBins=EXACT_BINS)
+    return rounded(scored(test, plan.fit(train)), 3, "prediction")
+
+
+@query(
+    "gbt_stumps",
+    f"WITH {boosted_stumps(3)} SELECT entity, revenue, round(fitted, 3) AS prediction FROM test3",
+)
+def gbt_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    plan = models.boosted_trees(
+        c.PREDICTORS, c.LABEL, maxDepth=1, maxIter=3, stepSize=0.1, maxBins=EXACT_BINS
+    )
+    return rounded(scored(test, plan.fit(train)), 3, "prediction")
+
+
 LEAF_ROWS = f"WITH {LEAVES} SELECT entity, revenue, round(prediction, 3) AS prediction FROM leaf_scored"
 
 
@@ -199,14 +270,28 @@ def gbt_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.sweep(plan, train, test, search.grid_points(SMALL_BOOSTED_GRID)).table
 
 
-@query("param_report")
+@query(
+    "param_report",
+    f"""WITH {MODEL_ROWS}
+SELECT model, param, value, true AS documented, (SELECT count(*) FROM train) AS n_train FROM (VALUES
+  ('DT', 'maxDepth', '20'), ('DT', 'maxBins', '36'), ('DT', 'minInstancesPerNode', '1'),
+  ('GBT', 'maxDepth', '5'), ('GBT', 'maxBins', '32'), ('GBT', 'minInstancesPerNode', '1'),
+  ('GBT', 'maxIter', '2'), ('GBT', 'stepSize', '0.1'), ('GBT', 'subsamplingRate', '1.0')
+) t(model, param, value)""",
+)
 def param_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = c.model_rows(spark, sf_dir)
     fitted = {
         "DT": models.decision_tree(c.PREDICTORS, c.LABEL, **DEEP).fit(train),
         "GBT": models.boosted_trees(c.PREDICTORS, c.LABEL, maxIter=2).fit(train),
     }
-    return models.parameter_report(spark, fitted)
+    return models.parameter_report(spark, fitted).select(
+        "model",
+        "param",
+        "value",
+        (F.length("doc") > 0).alias("documented"),
+        train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
+    )
 
 
 FOREST_GRID = {"maxDepth": [2, 5], "numTrees": [5]}
