@@ -101,6 +101,11 @@ def predict(df: DataFrame, *models: PipelineModel) -> DataFrame:
     return df
 
 
+def repeatable(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """The rows in a fixed layout, so that seeded row samples draw the same rows again."""
+    return df.repartition(partitions, key).sortWithinPartitions(key)
+
+
 def linear_report(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """``(measure, name, value)``: coefficients, intercept, training fit, iterations."""
     features = model.stages[0].getInputCols()

@@ -154,8 +154,9 @@ def _scores(
     jobs = _jobs(plan, points)
     scores = [math.nan] * len(points)
     best, best_model = (math.inf, len(points)), None
-    train.persist(StorageLevel.MEMORY_AND_DISK)
-    test.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [df for df in (train, test) if df.storageLevel == StorageLevel.NONE]
+    for df in held:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         run = inheritable_thread_target(train.sparkSession)(
             lambda job: (job, *_score_job(plan, train, test, job, metric))
@@ -171,8 +172,8 @@ def _scores(
                         whole = longest is None or _iterations(plan, point) == longest
                         best_model = model if whole else None
     finally:
-        train.unpersist()
-        test.unpersist()
+        for df in held:
+            df.unpersist()
     if math.isinf(best[0]):
         raise ValueError(f"{metric} is undefined at every grid point")
     return scores, best[1], best_model

@@ -211,6 +211,7 @@ def gbt_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rforest_predict")
 def rforest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = c.model_rows(spark, sf_dir)
+    train = models.repeatable(train, "entity", 8)
     return scored(test, models.random_forest(c.PREDICTORS, c.LABEL).fit(train))
 
 

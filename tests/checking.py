@@ -24,7 +24,7 @@ def connect(sf_dir: str):
 
 def cell(value):
     if isinstance(value, float):
-        return "NaN" if value != value else repr(value + 0.0)  # no negative zero
+        return "NaN" if value != value else repr(value)
     return "NULL" if value is None else str(value)
 
 

@@ -236,3 +236,21 @@ def test_forest_search_modes(rows):
     assert search.forest_search(plan, rows, "k", grid, search="Grid").table.count() == 3
     drawn = search.forest_search(plan, rows, "k", grid, search="Random", n_iter=2)
     assert drawn.table.count() == 2 and set(drawn.best) == {"maxDepth"}
+
+
+def test_seeded_forest_repeats_on_a_fixed_layout(rows):
+    plan = models.random_forest(PREDICTORS, "y", numTrees=3, maxDepth=4)
+    scores = []
+    for parts in (2, 5):
+        train = models.repeatable(rows.repartition(parts), "k", 3)
+        scores.append([r["prediction"] for r in plan.fit(train).transform(rows).orderBy("k").collect()])
+    assert scores[0] == pytest.approx(scores[1])
+
+
+def test_sweep_leaves_a_persisted_input_persisted(rows):
+    train, test = split(rows)
+    columns = [*PREDICTORS, "y"]
+    mine = train.select(*columns).persist()
+    search.sweep(models.linear_regression(PREDICTORS, "y"), mine, test, [{"regParam": 0.0}])
+    assert mine.storageLevel.useMemory
+    mine.unpersist()
