@@ -55,19 +55,22 @@ def read_indicators(
     spark: SparkSession,
     paths: str | Sequence[str],
     years: Iterable[int] = range(FIRST_YEAR, LAST_YEAR + 1),
+    multi_line: bool = False,
 ) -> DataFrame:
     """One scan over any number of indicator files; the code column tells them apart.
 
     The schema is explicit, so nothing is inferred. Preamble lines and headers
     are recognised by their content, not by line number, which keeps the files
     splittable and lets many files share one scan. Cells that are empty or not
-    numbers are NULL.
+    numbers are NULL. Set ``multi_line`` for files with line breaks inside
+    quotes; each is then read by one task.
     """
     years = list(years)
     rows = (
         spark.read.schema(indicator_schema(years))
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("multiLine", multi_line)
         .csv(paths)
     )
     return without_nan(rows.where(_keep_row(years)))

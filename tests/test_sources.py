@@ -181,3 +181,23 @@ def test_schema_is_explicit():
     schema = indicators.indicator_schema([2013])
     assert schema.fieldNames() == [*indicators.DESCRIPTORS, "2013"]
     assert isinstance(schema["2013"].dataType, T.DoubleType)
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    rows = '"Two\nLines","TWO","I","X","1","2","3",\n"One","ONE","I","X","4","5","6",\n'
+    path = write(tmp_path / "m.csv", PREAMBLE + HEADER + rows)
+    found = by_code(indicators.read_indicators(spark, path, range(2012, 2015), multi_line=True))
+    assert found["TWO"]["Country Name"] == "Two\nLines" and found["ONE"]["2014"] == 6.0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session)
