@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -238,6 +238,11 @@ def kfold_blocks(df: DataFrame, key: str, folds: int = 3, name: str = "fold") ->
     return placed.withColumn(name, fold.cast("int")).drop("_position")
 
 
+def kfold_hash(df: DataFrame, key: str, folds: int = 3, name: str = "fold") -> DataFrame:
+    """Assign rows to folds by a hash of their key: repeatable, and without a shuffle."""
+    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+
+
 def cross_validate(
     plan: Pipeline,
     df: DataFrame,
@@ -274,10 +279,15 @@ def forest_search(
     folds: int = 3,
     seed: int = 42,
     parallelism: int = 4,
+    assign: Callable[[DataFrame, str, int], DataFrame] = kfold_blocks,
 ) -> Search | PipelineModel:
-    """A plain fit without a grid; else a random or grid search by cross-validated R2."""
+    """A plain fit without a grid; else a random or grid search by cross-validated R2.
+
+    ``assign`` puts rows in folds: blocks in key order, or ``kfold_hash``, which
+    needs no sort and suits large tables.
+    """
     if not grid:
         return plan.fit(df)
     points = sample_points(grid, n_iter, seed) if search == "Random" else grid_points(grid)
-    placed = kfold_blocks(df, key, folds)
+    placed = assign(df, key, folds)
     return cross_validate(plan, placed, points, folds=folds, parallelism=parallelism)

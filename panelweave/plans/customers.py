@@ -137,19 +137,26 @@ def model_rows(
     sf_dir: str,
     train_year: int = TRAIN_YEAR,
     test_year: int = TEST_YEAR,
+    stored: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Complete rows of the train and the test year, stored by year.
+    """Complete rows of the train and the test year.
 
-    One pass over the order tables makes both; the fits then read the stored rows.
+    ``stored`` writes both in one pass over the order tables, for fits that read
+    them many times. Otherwise each year is a lazy plan over its own orders.
     """
     years = [train_year, test_year]
     balances = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("acctbal")
     )
-    rows = yearly_facts(spark, sf_dir, years).join(balances, "entity")
-    complete = panel.complete_rows(rows.select("entity", "year", *NUMBERS))
-    stored = materialize(complete, "model-rows", partition_by=("year",))
-    return panel.holdout_split(stored, train_year, test_year)
+
+    def complete(wanted: list[int]) -> DataFrame:
+        rows = yearly_facts(spark, sf_dir, wanted).join(balances, "entity")
+        return panel.complete_rows(rows.select("entity", "year", *NUMBERS))
+
+    if stored:
+        both = materialize(complete(years), "model-rows", partition_by=("year",))
+        return panel.holdout_split(both, train_year, test_year)
+    return complete([train_year]).drop("year"), complete([test_year]).drop("year")
 
 
 def line_predictions(

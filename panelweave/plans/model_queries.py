@@ -236,7 +236,7 @@ SELECT d AS "maxDepth", b AS "maxBins", i AS "minInstancesPerNode",
 FROM (VALUES (10), (20), (30)) t1(d), (VALUES (32), (34), (36)) t2(b), (VALUES (1), (2), (3)) t3(i)""",
 )
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
+    train, test = c.model_rows(spark, sf_dir, stored=False)
     size = F.count(F.lit(1))
     return search.grid_table(spark, search.TREE_GRID_FULL).withColumns(
         {"n_train": train.agg(size).scalar(), "n_test": test.agg(size).scalar()}

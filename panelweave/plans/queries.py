@@ -136,7 +136,7 @@ def from_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LINE} SELECT entity, revenue, round(prediction, 4) AS prediction FROM scored""",
 )
 def write_read_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
+    train, test = c.model_rows(spark, sf_dir, stored=False)
     path = scratch_path(spark, "predictions")
     tables.write_table(c.line_predictions(train, test), path)
     return rounded(spark.read.parquet(path), 4, "prediction")
@@ -264,7 +264,7 @@ def drop_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LINE} SELECT entity, revenue, round(prediction - revenue, 4) AS "LR_Res" FROM scored""",
 )
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = c.line_predictions(*c.model_rows(spark, sf_dir))
+    scored = c.line_predictions(*c.model_rows(spark, sf_dir, stored=False))
     scored = metrics.add_residuals(scored, c.LABEL, {"LR": "prediction"})
     return rounded(scored.drop("prediction"), 4, "LR_Res")
 
@@ -275,7 +275,7 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
   round((prediction - revenue) / nullif(revenue, 0), 6) AS "LR_MAPE" FROM scored""",
 )
 def relative_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = c.line_predictions(*c.model_rows(spark, sf_dir))
+    scored = c.line_predictions(*c.model_rows(spark, sf_dir, stored=False))
     scored = metrics.add_relative_errors(scored, c.LABEL, {"LR": "prediction"})
     return rounded(scored.drop("prediction"), 6, "LR_MAPE")
 
@@ -288,7 +288,7 @@ SELECT 'predictors' AS part, concat_ws('|', CAST(n_orders AS BIGINT), CAST(quant
 UNION ALL SELECT 'target', CAST(CAST(round(revenue * 100) AS BIGINT) AS VARCHAR) FROM train""",
 )
 def predictor_target_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = c.model_rows(spark, sf_dir)
+    train, _ = c.model_rows(spark, sf_dir, stored=False)
     predictors, target = panel.split_predictors(train, c.LABEL, keys=["entity"])
 
     def whole(name: str, scale: int = 1) -> Column:
@@ -412,7 +412,7 @@ ACCURACY = """avg(abs(prediction - revenue)) AS mae,
 SELECT round(mae, 4) AS mae, round(mape, 4) AS mape, round(100 - mape, 4) AS accuracy, zero_labels FROM m""",
 )
 def accuracy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = c.line_predictions(*c.model_rows(spark, sf_dir))
+    scored = c.line_predictions(*c.model_rows(spark, sf_dir, stored=False))
     return rounded(metrics.accuracy_metrics(scored, c.LABEL), 4, "mae", "mape", "accuracy")
 
 
@@ -422,7 +422,7 @@ REGRESSION = """count(*) AS n, round(sqrt(avg(pow(prediction - revenue, 2))), 4)
 
 @query("regression_metrics", f"WITH {LINE} SELECT {REGRESSION} FROM scored")
 def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = c.line_predictions(*c.model_rows(spark, sf_dir))
+    scored = c.line_predictions(*c.model_rows(spark, sf_dir, stored=False))
     return rounded(rounded(metrics.regression_metrics(scored, c.LABEL), 4, "rmse"), 6, "r2")
 
 
@@ -432,7 +432,7 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM scored JOIN entities USING (entity) GROUP BY entity_type""",
 )
 def regression_metrics_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = c.line_predictions(*c.model_rows(spark, sf_dir))
+    scored = c.line_predictions(*c.model_rows(spark, sf_dir, stored=False))
     tagged = panel.tag_entity_type(
         panel.align(scored, c.entities(spark, sf_dir)), c.entity_types(spark, sf_dir), "country"
     )
@@ -602,7 +602,7 @@ SELECT entity, revenue, n_orders AS f0, quantity AS f1, acctbal AS f2 FROM train
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    train, _ = c.model_rows(spark, sf_dir)
+    train, _ = c.model_rows(spark, sf_dir, stored=False)
     table = models.feature_vector(train, c.PREDICTORS, c.LABEL, "entity")
     values = vector_to_array("features")
     return table.select("entity", c.LABEL, *[values[i].alias(f"f{i}") for i in range(3)])
@@ -710,7 +710,7 @@ SELECT 'train' AS part, entity, revenue, n_orders, quantity, acctbal FROM train
 UNION ALL SELECT 'test', entity, revenue, n_orders, quantity, acctbal FROM test""",
 )
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
+    train, test = c.model_rows(spark, sf_dir, stored=False)
     return train.withColumn("part", F.lit("train")).unionByName(
         test.withColumn("part", F.lit("test"))
     )

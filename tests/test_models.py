@@ -206,6 +206,14 @@ def test_folds_are_contiguous_blocks(spark, n, folds):
     assert found == wanted
 
 
+def test_hash_folds_are_even_and_repeatable(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    found = {r["k"]: r["fold"] for r in search.kfold_hash(df, "k", 3).collect()}
+    assert found == {r["k"]: r["fold"] for r in search.kfold_hash(df.repartition(5), "k", 3).collect()}
+    sizes = [list(found.values()).count(f) for f in range(3)]
+    assert sum(sizes) == 3000 and min(sizes) > 900
+
+
 def test_too_few_rows_for_the_folds(spark):
     with pytest.raises(ValueError, match="cannot make"):
         search.kfold_blocks(spark.range(2).withColumnRenamed("id", "k"), "k", 3)
@@ -234,7 +242,7 @@ def test_forest_search_modes(rows):
     assert plain.stages[-1].getNumTrees == 2
     grid = {"maxDepth": [1, 2, 3]}
     assert search.forest_search(plan, rows, "k", grid, search="Grid").table.count() == 3
-    drawn = search.forest_search(plan, rows, "k", grid, search="Random", n_iter=2)
+    drawn = search.forest_search(plan, rows, "k", grid, search="Random", n_iter=2, assign=search.kfold_hash)
     assert drawn.table.count() == 2 and set(drawn.best) == {"maxDepth"}
 
 
