@@ -82,13 +82,13 @@ m AS (
 b AS (
   SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1,
          (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2 FROM m)
-SELECT entity, revenue, round(my + b1 * (n_orders - m1) + b2 * (acctbal - m2), 3) AS prediction
+SELECT entity, revenue, round(my + b1 * (n_orders - m1) + b2 * (acctbal - m2), 2) AS prediction
 FROM test, b""",
 )
 def linreg_ols_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = c.model_rows(spark, sf_dir)
     model = models.linear_regression(["n_orders", "acctbal"], c.LABEL, regParam=0.0).fit(train)
-    return rounded(scored(test, model), 3, "prediction")
+    return rounded(scored(test, model), 2, "prediction")
 
 
 @query(
@@ -351,26 +351,54 @@ def model_residuals_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.residual_table(test, fitted, c.LABEL).drop(models.FEATURES)
 
 
-@query(
-    "model_compare",
-    f"""WITH {LEAVES},
+ALL_LEAVES = f"""{LEAVES},
 line AS (
   SELECT regr_slope(revenue, n_orders) AS slope, regr_intercept(revenue, n_orders) AS intercept FROM train),
 scores AS (
   SELECT 'LR' AS model, entity, revenue, intercept + slope * n_orders AS prediction FROM test, line
   UNION ALL SELECT 'DT', entity, revenue, prediction FROM leaf_scored
   UNION ALL SELECT 'GBT', entity, revenue, prediction FROM leaf_scored)
-SELECT model, {REGRESSION.replace("4", "3")} FROM scores GROUP BY model""",
-)
-def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    scratch_dir(spark)
-    fitted = {
+"""
+
+
+def three_models(train: DataFrame) -> dict[str, PipelineModel]:
+    """The three models where SQL can follow: least squares, and trees with a leaf per value."""
+    scratch_dir(train.sparkSession)
+    plans = {
         "LR": models.linear_regression(ONE, c.LABEL, "LR_prediction", regParam=0.0),
         "DT": models.decision_tree(ONE, c.LABEL, "DT_prediction", **DEEP),
         "GBT": models.boosted_trees(ONE, c.LABEL, "GBT_prediction", maxIter=3, **DEEP),
     }
-    fitted = {name: plan.fit(train) for name, plan in fitted.items()}
+    return {name: plan.fit(train) for name, plan in plans.items()}
+
+
+@query(
+    "model_residuals_leaves",
+    f"""WITH {ALL_LEAVES}
+SELECT entity, revenue, {", ".join(
+        f"""round(max(prediction - revenue) FILTER (model = '{m}'), 2) AS "{m}_Res",
+  round(max((prediction - revenue) / revenue) FILTER (model = '{m}'), 5) AS "{m}_MAPE\""""
+        for m in ("LR", "DT", "GBT")
+    )}
+FROM scores GROUP BY entity, revenue""",
+)
+def model_residuals_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    fitted = three_models(train)
+    rows = study.residual_table(test, fitted, c.LABEL)
+    rows = rounded(rows, 2, *[f"{m}_Res" for m in fitted])
+    rows = rounded(rows, 5, *[f"{m}_MAPE" for m in fitted])
+    errors = [f"{m}_{kind}" for m in fitted for kind in ("Res", "MAPE")]
+    return rows.select("entity", c.LABEL, *errors)
+
+
+@query(
+    "model_compare",
+    f"WITH {ALL_LEAVES} SELECT model, {REGRESSION.replace('4', '3')} FROM scores GROUP BY model",
+)
+def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    fitted = three_models(train)
     rows = models.predict(test, *fitted.values())
     scores = metrics.model_metrics(rows, c.LABEL, {n: f"{n}_prediction" for n in fitted})
     return rounded(rounded(scores, 3, "rmse"), 6, "r2")
