@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    """A column name as it must be written to be taken literally."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """A column by its exact name, which may hold dots (indicator codes do) or spaces."""
+    return F.col(quoted(name))
+
+
 def nan_to_null(value: Column) -> Column:
     """NaN becomes NULL, so that missing values sort, count and drop in one way."""
     return F.when(~F.isnan(value), value)
@@ -15,7 +25,7 @@ def nan_to_null(value: Column) -> Column:
 def without_nan(df: DataFrame) -> DataFrame:
     """Apply :func:`nan_to_null` to every floating-point column."""
     floats = {
-        f.name: nan_to_null(F.col(f"`{f.name}`"))
+        f.name: nan_to_null(named(f.name))
         for f in df.schema.fields
         if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }

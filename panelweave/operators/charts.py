@@ -7,19 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.expressions import named
 from panelweave.operators.ranking import rank_table
-from panelweave.operators.stats import with_bins, with_bounds
+from panelweave.operators.stats import low_high, with_bins, with_bounds
 
 
 def chart_series(df: DataFrame, x: str, series: Mapping[str, str]) -> DataFrame:
     """``(x, series, y)``: several columns over one x, ``series`` = ``{label: column}``."""
-    named = df.select(F.col(x), *[F.col(c).alias(label) for label, c in series.items()])
-    return named.unpivot([x], list(series), "series", "y")
+    points = df.select(named(x), *[named(c).alias(label) for label, c in series.items()])
+    return points.unpivot([named(x)], [named(label) for label in series], "series", "y")
 
 
 def xy_pairs(df: DataFrame, x: str, y: str, *keep: str) -> DataFrame:
     """``(x, y)`` points, with any columns to keep."""
-    return df.select(*keep, F.col(x).alias("x"), F.col(y).alias("y"))
+    return df.select(*keep, named(x).alias("x"), named(y).alias("y"))
 
 
 def date_label(df: DataFrame, timestamp: str, name: str = "label", pattern: str = "yyyy-MM") -> DataFrame:
@@ -40,8 +41,8 @@ def pair_bins(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFram
             F.struct(
                 F.lit(a).alias("a"),
                 F.lit(b).alias("b"),
-                F.col(f"_bin_{a}").alias("xbin"),
-                F.col(f"_bin_{b}").alias("ybin"),
+                named(f"_bin_{a}").alias("xbin"),
+                named(f"_bin_{b}").alias("ybin"),
             )
             for a, b in pairs
         ]
@@ -70,19 +71,19 @@ def parallel_coords(
         low = dict.fromkeys(columns, F.lit(0).cast("bigint"))
         high = dict.fromkeys(columns, F.col("_last"))
     else:
-        table = with_bounds(df.select(key, *columns), columns)
-        low = {c: F.col(f"_bounds.`{c}_low`") for c in columns}
-        high = {c: F.col(f"_bounds.`{c}_high`") for c in columns}
+        table = with_bounds(df.select(named(key), *[named(c) for c in columns]), columns)
+        low = {c: low_high(c)[0] for c in columns}
+        high = {c: low_high(c)[1] for c in columns}
     rows = [
         F.struct(
             F.lit(c).alias("axis"),
-            F.col(c).alias("value"),
+            named(c).alias("value"),
             low[c].alias("axis_min"),
             high[c].alias("axis_max"),
-            F.col(label).alias("color"),
+            named(label).alias("color"),
             low[label].alias("color_min"),
             high[label].alias("color_max"),
         )
         for c in columns
     ]
-    return table.select(key, F.inline(F.array(*rows)))
+    return table.select(named(key), F.inline(F.array(*rows)))

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.expressions import named, quoted
 from panelweave.sources.lookups import unique_lookup
 
 
@@ -26,7 +27,7 @@ def tag_entity_type(
     types = unique_lookup(lookup, "entity", "entity_type").select(
         F.col("entity").alias("_lookup_entity"), F.col("entity_type").alias(type_column)
     )
-    return df.join(types, df[key] == types["_lookup_entity"], "left").drop("_lookup_entity")
+    return df.join(types, df[quoted(key)] == types["_lookup_entity"], "left").drop("_lookup_entity")
 
 
 def _single(value: Column, count: Column, what: Column, name: str) -> Column:
@@ -61,19 +62,21 @@ def pivot_panel(
 
     rows = long.where(F.col("year").isin(wanted) & F.col("indicator").isin(list(codes.values())))
     cells = []
-    for name, code in codes.items():
+    for i, code in enumerate(codes.values()):
         hit = F.col("indicator") == F.lit(code)
-        cells.append(F.max(F.when(hit, F.col("value"))).alias(f"_v_{name}"))
-        cells.append(F.count(F.when(hit, F.lit(1))).alias(f"_n_{name}"))
-    first = next(iter(codes))
-    from_first = F.col("indicator") == F.lit(codes[first])
-    carried = [F.max(F.when(from_first, F.col(c))).alias(c) for c in carry]
-    grouped = rows.groupBy(*keys).agg(*cells, *carried)
-
-    what = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
-    present = grouped if base is not None else grouped.where(F.col(f"_n_{first}") > 0)
+        cells.append(F.max(F.when(hit, F.col("value"))).alias(f"_v{i}"))
+        cells.append(F.count(F.when(hit, F.lit(1))).alias(f"_n{i}"))
+    from_first = F.col("indicator") == F.lit(next(iter(codes.values())))
+    carried = [F.max(F.when(from_first, named(c))).alias(c) for c in carry]
+    key_columns = [named(k) for k in keys]
+    grouped = rows.groupBy(*key_columns).agg(*cells, *carried)
+
+    what = F.concat_ws(" ", *[k.cast("string") for k in key_columns])
+    present = grouped if base is not None else grouped.where(F.col("_n0") > 0)
     panel = present.select(
-        *keys, *carry, *[_single(F.col(f"_v_{n}"), F.col(f"_n_{n}"), what, n) for n in codes]
+        *key_columns,
+        *[named(c) for c in carry],
+        *[_single(F.col(f"_v{i}"), F.col(f"_n{i}"), what, n) for i, n in enumerate(codes)],
     )
     if base is None:
         return panel
@@ -91,11 +94,11 @@ def join_panel(
     """
     panel = base
     for name, table in tables.items():
-        rows = table.groupBy(F.col(entity)).agg(
-            F.max(F.col(f"`{year}`")).alias("_v"), F.count(F.lit(1)).alias("_n")
+        rows = table.groupBy(named(entity)).agg(
+            F.max(named(str(year))).alias("_v"), F.count(F.lit(1)).alias("_n")
         )
         column = rows.select(
-            entity, _single(F.col("_v"), F.col("_n"), F.col(entity).cast("string"), name)
+            named(entity), _single(F.col("_v"), F.col("_n"), named(entity).cast("string"), name)
         )
         panel = panel.join(column, entity, "left")
     return panel
@@ -121,10 +124,10 @@ def to_wide(
         hit = F.col("year") == year
         cells.append(F.max(F.when(hit, F.col("value"))).alias(f"_v_{year}"))
         cells.append(F.count(F.when(hit, F.lit(1))).alias(f"_n_{year}"))
-    grouped = long.where(F.col("indicator") == F.lit(indicator)).groupBy(entity).agg(*cells)
-    what = F.col(entity).cast("string")
+    grouped = long.where(F.col("indicator") == F.lit(indicator)).groupBy(named(entity)).agg(*cells)
+    what = named(entity).cast("string")
     return grouped.select(
-        entity, *[_single(F.col(f"_v_{y}"), F.col(f"_n_{y}"), what, str(y)) for y in years]
+        named(entity), *[_single(F.col(f"_v_{y}"), F.col(f"_n_{y}"), what, str(y)) for y in years]
     )
 
 
@@ -133,12 +136,12 @@ def year_slice(df: DataFrame, year: int, value: str = "value") -> DataFrame:
     if "year" in df.columns:
         return df.where(F.col("year") == year).drop("year")
     keep = [c for c in df.columns if not c.isdigit()]
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{year}`").alias(value))
+    return df.select(*[named(c) for c in keep], named(str(year)).alias(value))
 
 
 def filter_type(df: DataFrame, entity_type: str = "Country", column: str = "entity_type") -> DataFrame:
     """Rows of one entity type."""
-    return df.where(F.col(column) == entity_type)
+    return df.where(named(column) == entity_type)
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -168,7 +171,7 @@ def split_predictors(
     df: DataFrame, label: str, keys: Sequence[str] = ("entity", "entity_type")
 ) -> tuple[DataFrame, DataFrame]:
     """Predictors (all but label and keys) and the label alone."""
-    return df.drop(*keys, label), df.select(label)
+    return df.drop(*keys, label), df.select(named(label))
 
 
 def holdout_split(df: DataFrame, train_year: int, test_year: int) -> tuple[DataFrame, DataFrame]:

@@ -11,12 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.expressions import named, quoted
 from panelweave.functions.storage import BROADCAST_ROWS, broadcast_within, materialize
 
 
 def descending(value: str, key: str) -> list[Column]:
     """The order of every ranking: largest first, missing last, then by key."""
-    return [F.col(value).desc_nulls_last(), F.col(key).asc()]
+    return [named(value).desc_nulls_last(), named(key).asc()]
 
 
 def sorted_values(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -38,17 +39,17 @@ def bottom_k(
     last and so come before the smallest values. ``k = 0`` gives no rows.
     """
     if include_missing:
-        reverse = F.col(value).asc_nulls_first()
+        reverse = named(value).asc_nulls_first()
     else:
-        df = df.where(F.col(value).isNotNull())
-        reverse = F.col(value).asc()
-    last = df.orderBy(reverse, F.col(key).desc()).limit(k)
+        df = df.where(named(value).isNotNull())
+        reverse = named(value).asc()
+    last = df.orderBy(reverse, named(key).desc()).limit(k)
     return last.orderBy(*descending(value, key))
 
 
 def exclude_top_k(df: DataFrame, value: str, key: str, k: int = 5) -> DataFrame:
     """The table without the entities that hold the ``k`` largest values."""
-    top = top_k(df, value, key, k).select(key)
+    top = top_k(df, value, key, k).select(named(key))
     if k <= BROADCAST_ROWS:
         top = F.broadcast(top)  # k rows at most
     return df.join(top, key, "left_anti")
@@ -67,35 +68,35 @@ def number_rows(
     """
     row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = materialize(
-        df.repartitionByRange(*[F.col(c) for c in by], *order)
-        .sortWithinPartitions(*[F.col(c) for c in by], *order)
+        df.repartitionByRange(*[named(c) for c in by], *order)
+        .sortWithinPartitions(*[named(c) for c in by], *order)
         .withColumns({"_part": F.spark_partition_id(), "_row": row_in_partition}),
         "numbered",
     )
     before = (
-        Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*[named(c) for c in by]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = numbered.groupBy(*by, "_part").agg(
+    blocks = numbered.groupBy(*[named(c) for c in by], "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
     )
     shifts = blocks.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
+        *[named(c).alias(f"_by_{c}") for c in by],
         F.col("_part").alias("_block"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     shifts = broadcast_within(shifts)
     same = numbered["_part"] == shifts["_block"]
     for c in by:
-        same = same & numbered[c].eqNullSafe(shifts[f"_by_{c}"])
+        same = same & numbered[quoted(c)].eqNullSafe(shifts[quoted(f"_by_{c}")])
     return numbered.join(shifts, same, "inner").select(
-        *[numbered[c] for c in df.columns],
+        *[numbered[quoted(c)] for c in df.columns],
         (F.col("_row") + F.col("_shift")).cast("bigint").alias(name),
     )
 
 
 def ordinal_index(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """0-based row number by key, the x axis of a chart over entities."""
-    return number_rows(df, [F.col(key).asc()], name=name)
+    return number_rows(df, [named(key).asc()], name=name)
 
 
 def rank_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -104,7 +105,7 @@ def rank_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     Largest first, no shared ranks, missing last. All columns are ranked in one
     shuffle of the long form.
     """
-    long = df.select(key, *columns).unpivot([key], list(columns), "indicator", "value")
+    long = df.unpivot([named(key)], [named(c) for c in columns], "indicator", "value")
     return number_rows(long, descending("value", key), by=["indicator"], name="rank")
 
 
@@ -112,4 +113,4 @@ def rank_table(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row per entity, each column replaced by its rank."""
     ranks = rank_columns(df, key, columns)
     cells = [F.max(F.when(F.col("indicator") == c, F.col("rank"))).alias(c) for c in columns]
-    return ranks.groupBy(key).agg(*cells)
+    return ranks.groupBy(named(key)).agg(*cells)

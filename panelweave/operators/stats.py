@@ -11,7 +11,14 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.expressions import bin_bounds, bin_edge, bin_index, correlation
+from panelweave.functions.expressions import (
+    bin_bounds,
+    bin_edge,
+    bin_index,
+    correlation,
+    named,
+    quoted,
+)
 from panelweave.functions.storage import broadcast_within, materialize
 
 
@@ -31,7 +38,8 @@ def _per_column(
         F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}_{n}").alias(n) for n in measures])
         for i, c in enumerate(columns)
     ]
-    return df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*rows)))
+    keys = [named(c) for c in by]
+    return df.groupBy(*keys).agg(*aggregates).select(*keys, F.inline(F.array(*rows)))
 
 
 def column_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -40,9 +48,9 @@ def column_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         df,
         columns,
         {
-            "min": lambda c: F.min(c),
-            "max": lambda c: F.max(c),
-            "range": lambda c: F.max(c) - F.min(c),
+            "min": lambda c: F.min(named(c)),
+            "max": lambda c: F.max(named(c)),
+            "range": lambda c: F.max(named(c)) - F.min(named(c)),
         },
         by,
     )
@@ -54,11 +62,11 @@ def arg_extremes(
     """``(column, arg_min, arg_max)``: the entity at each extreme, smallest key on ties."""
 
     def at_low(c: str) -> Column:
-        return F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c), F.col(entity))))[entity]
+        return F.min(F.when(named(c).isNotNull(), F.struct(named(c), named(entity).alias("entity"))))["entity"]
 
     def at_high(c: str) -> Column:
-        negated = (-F.col(c)).alias("negated")
-        return F.min(F.when(F.col(c).isNotNull(), F.struct(negated, F.col(entity))))[entity]
+        negated = (-named(c)).alias("negated")
+        return F.min(F.when(named(c).isNotNull(), F.struct(negated, named(entity).alias("entity"))))["entity"]
 
     return _per_column(df, columns, {"arg_min": at_low, "arg_max": at_high}, by)
 
@@ -69,11 +77,11 @@ def describe_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
         df,
         columns,
         {
-            "count": lambda c: F.count(c),
-            "mean": lambda c: F.avg(c),
-            "stddev": lambda c: F.stddev_samp(c),
-            "min": lambda c: F.min(c),
-            "max": lambda c: F.max(c),
+            "count": lambda c: F.count(named(c)),
+            "mean": lambda c: F.avg(named(c)),
+            "stddev": lambda c: F.stddev_samp(named(c)),
+            "min": lambda c: F.min(named(c)),
+            "max": lambda c: F.max(named(c)),
         },
         by,
     )
@@ -86,12 +94,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     """
     names = list(columns)
     aggregates = [
-        correlation(F.col(names[i]), F.col(names[j])).alias(f"_r_{i}_{j}")
+        correlation(named(names[i]), named(names[j])).alias(f"_r_{i}_{j}")
         for i in range(len(names))
         for j in range(i + 1, len(names))
     ]
     aggregates += [
-        F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"_r_{i}_{i}") for i, c in enumerate(names)
+        F.when(F.stddev_pop(named(c)) > 0, F.lit(1.0)).alias(f"_r_{i}_{i}") for i, c in enumerate(names)
     ]
     rows = [
         F.struct(
@@ -102,21 +110,22 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]
         for i in range(len(names))
         for j in range(len(names))
     ]
-    return df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*rows)))
+    keys = [named(c) for c in by]
+    return df.groupBy(*keys).agg(*aggregates).select(*keys, F.inline(F.array(*rows)))
 
 
 def _bounds(columns: Sequence[str]) -> Column:
     """One struct holding the smallest and largest value of each column."""
     return F.struct(
-        *[F.min(c).alias(f"{c}_low") for c in columns],
-        *[F.max(c).alias(f"{c}_high") for c in columns],
+        *[F.min(named(c)).alias(f"{c}_low") for c in columns],
+        *[F.max(named(c)).alias(f"{c}_high") for c in columns],
     ).alias("_bounds")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     condition = F.lit(True)
     for c in by:
-        condition = condition & left[c].eqNullSafe(right[f"_by_{c}"])
+        condition = condition & left[quoted(c)].eqNullSafe(right[quoted(f"_by_{c}")])
     return condition
 
 
@@ -129,21 +138,23 @@ def with_bounds(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     """
     if not by:
         return df.withColumn("_bounds", df.agg(_bounds(columns)).scalar())
-    groups = df.groupBy(*by).agg(_bounds(columns)).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    groups = df.groupBy(*[named(c) for c in by]).agg(_bounds(columns)).withColumnsRenamed({c: f"_by_{c}" for c in by})
     groups = broadcast_within(materialize(groups, "bounds"))
     return df.join(groups, _null_safe(df, groups, by), "inner").drop(*[f"_by_{c}" for c in by])
 
 
-def _low_high(column: str) -> tuple[Column, Column]:
-    return F.col(f"_bounds.`{column}_low`"), F.col(f"_bounds.`{column}_high`")
+def low_high(column: str) -> tuple[Column, Column]:
+    """Ends of a column's range, after :func:`with_bounds`."""
+    bounds = F.col("_bounds")
+    return bounds.getField(f"{column}_low"), bounds.getField(f"{column}_high")
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Replace each column by ``(x - min) / (max - min)``; a constant column gives NULL."""
     scaled = {}
     for c in columns:
-        low, high = _low_high(c)
-        scaled[c] = F.try_divide(F.col(c) - low, high - low)
+        low, high = low_high(c)
+        scaled[c] = F.try_divide(named(c) - low, high - low)
     return with_bounds(df, columns, by).withColumns(scaled).drop("_bounds")
 
 
@@ -152,7 +163,7 @@ def with_bins(
 ) -> DataFrame:
     """Add ``_bin_<column>``, the equal-width bin of each value (NULL if missing)."""
     indexes = {
-        f"_bin_{c}": bin_index(F.col(c), *bin_bounds(*_low_high(c)), bins) for c in columns
+        f"_bin_{c}": bin_index(named(c), *bin_bounds(*low_high(c)), bins) for c in columns
     }
     return with_bounds(df, columns, by).withColumns(indexes)
 
@@ -168,19 +179,20 @@ def histogram(
     """
     entries = []
     for c in columns:
-        low, high = bin_bounds(*_low_high(c))
+        low, high = bin_bounds(*low_high(c))
         entries.append(
             F.struct(
                 F.lit(c).alias("column"),
                 low.alias("_low"),
                 high.alias("_high"),
-                F.col(f"_bin_{c}").alias("_bin"),
+                named(f"_bin_{c}").alias("_bin"),
             )
         )
-    column = [*by, "column", "_low", "_high"]
+    keys = [named(c) for c in by]
+    column = [*keys, "column", "_low", "_high"]
     counts = (
         with_bins(df, columns, bins, by)
-        .select(*by, F.inline(F.array(*entries)))
+        .select(*keys, F.inline(F.array(*entries)))
         .where(F.col("_bin").isNotNull())
         .groupBy(*column, "_bin")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -192,7 +204,7 @@ def histogram(
     )
     low, high, bin = F.col("_low"), F.col("_high"), F.col("bin")
     return filled.select(
-        *by,
+        *keys,
         "column",
         "bin",
         bin_edge(low, high, bin, bins).alias("low"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from panelweave.functions.expressions import without_nan
+from panelweave.functions.expressions import named, without_nan
 
 
 def from_local(spark: SparkSession, frame, schema=None) -> DataFrame:
@@ -14,7 +14,7 @@ def from_local(spark: SparkSession, frame, schema=None) -> DataFrame:
 
 def select_columns(df: DataFrame, **columns: Column | str) -> DataFrame:
     """A new table from chosen columns: ``name=column``."""
-    chosen = [df[c].alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]
+    chosen = [named(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]
     return df.select(*chosen)
 
 

@@ -133,3 +133,10 @@ def test_align_keeps_the_left_rows(spark):
     left = spark.createDataFrame([("a", 1), ("b", 2)], "entity string, x int")
     right = spark.createDataFrame([("b", 3), ("c", 4)], "entity string, y int")
     assert sorted(panel.align(left, right).collect()) == [("a", 1, None), ("b", 2, 3)]
+
+
+def test_pivot_by_dotted_codes(spark):
+    long = spark.createDataFrame([("a", "SP.POP", 2013, 1.0), ("a", "EN.CO2", 2013, 2.0)], LONG)
+    panel_rows = panel.pivot_panel(long, ["SP.POP", "EN.CO2"], 2013)
+    assert panel_rows.columns == ["entity", "SP.POP", "EN.CO2"] and panel_rows.collect() == [("a", 1.0, 2.0)]
+    assert panel.pivot_panel(long, ["SP.POP"], [2013]).collect() == [("a", 2013, 1.0)]

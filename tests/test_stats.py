@@ -275,3 +275,49 @@ def test_metrics_by_group_and_model(spark):
     assert grouped["a"]["rmse"] == 1.0 and grouped["b"]["rmse"] == 4.0
     ranked = metrics.model_metrics(df, "y", {"G": "good", "B": "bad"}).collect()
     assert [r["model"] for r in ranked] == ["G", "B"] and ranked[0]["rmse"] == 0.0
+
+
+# --- names with dots, empty tables ---
+
+DOTTED = ["SP.POP TOTL", "x`y"]
+
+
+def test_column_names_may_hold_dots_and_quotes(spark):
+    df = spark.createDataFrame([("a", 1.0, 4.0, "g"), ("b", 3.0, None, "g"), ("c", 2.0, 6.0, "h")], ["k.1", *DOTTED, "g.1"])
+    first, second = DOTTED
+    ranges = {r["column"]: r["range"] for r in stats.column_ranges(df, DOTTED).collect()}
+    assert ranges == {first: 2.0, second: 2.0}
+    assert {r["g.1"] for r in stats.column_ranges(df, DOTTED, by=["g.1"]).collect()} == {"g", "h"}
+    extremes = {r["column"]: r["arg_max"] for r in stats.arg_extremes(df, "k.1", DOTTED).collect()}
+    assert extremes == {first: "b", second: "c"}
+    assert stats.describe_columns(df, DOTTED).count() == 2
+    assert stats.correlation_matrix(df, DOTTED).where("r is not null").count() == 4
+    assert stats.histogram(df, DOTTED, 2, by=["g.1"]).count() == 8
+    assert stats.minmax_scale(df, DOTTED).columns == df.columns
+    assert charts.pair_bins(df, DOTTED).agg(F.sum("n")).collect()[0][0] == 2
+    ranks = {(r["k.1"], r["indicator"]): r["rank"] for r in ranking.rank_columns(df, "k.1", DOTTED).collect()}
+    assert ranks["b", first] == 0 and ranks["b", second] == 2
+    placed = ranking.number_rows(df, ranking.descending(first, "k.1"), by=["g.1"])
+    assert {r["k.1"]: r["position"] for r in placed.collect()} == {"a": 1, "b": 0, "c": 0}
+    assert [r["k.1"] for r in ranking.top_k(df, first, "k.1", 1).collect()] == ["b"]
+    assert charts.parallel_coords(df, "k.1", DOTTED, first, ranking=True).count() == 6
+    assert charts.chart_series(df, "k.1", {"A.1": first}).columns == ["k.1", "series", "y"]
+    assert metrics.regression_metrics(df, first, second, by=["g.1"]).count() == 2
+
+
+def test_operators_accept_an_empty_table(spark):
+    df = spark.createDataFrame([], "k string, g string, x double, y double")
+    both = ["x", "y"]
+    assert ranking.ordinal_index(df, "k").collect() == []
+    assert ranking.rank_columns(df, "k", both).collect() == []
+    assert ranking.top_k(df, "x", "k").collect() == []
+    assert ranking.bottom_k(df, "x", "k").collect() == []
+    assert ranking.exclude_top_k(df, "x", "k").collect() == []
+    for by in ([], ["g"]):
+        assert stats.histogram(df, both, by=by).collect() == []
+        assert stats.minmax_scale(df, both, by=by).collect() == []
+    assert charts.pair_bins(df, both).collect() == []
+    for by_rank in (False, True):
+        assert charts.parallel_coords(df, "k", both, "x", by_rank).collect() == []
+    assert {r["r"] for r in stats.correlation_matrix(df, both).collect()} == {None}
+    assert metrics.regression_metrics(df, "x", "y").collect() == [(0, None, None)]
