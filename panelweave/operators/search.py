@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -78,6 +79,24 @@ def grid_table(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
     return table
 
 
+def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The table with just these columns, in this order."""
+    return df if df.columns == list(columns) else df.select(*columns)
+
+
+@contextmanager
+def kept(*tables: DataFrame) -> Iterator[None]:
+    """Hold tables in memory or on disk meanwhile, but for those already held."""
+    held = [df for df in tables if df.storageLevel == StorageLevel.NONE]
+    for df in held:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def _fit(plan: Pipeline, train: DataFrame, point: Point) -> PipelineModel:
     estimator = plan.getStages()[-1]
     return plan.fit(train, {estimator.getParam(name): value for name, value in point.items()})
@@ -149,15 +168,12 @@ def _scores(
         raise ValueError("metric must be rmse or r2")
     scratch_dir(train.sparkSession)  # boosting cuts its lineage there
     inputs = [*plan.getStages()[0].getInputCols(), plan.getStages()[-1].getLabelCol()]
-    train, test = train.select(*inputs), test.select(*inputs)
+    train, test = only(train, inputs), only(test, inputs)
     index = {id(point): i for i, point in enumerate(points)}
     jobs = _jobs(plan, points)
     scores = [math.nan] * len(points)
     best, best_model = (math.inf, len(points)), None
-    held = [df for df in (train, test) if df.storageLevel == StorageLevel.NONE]
-    for df in held:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(train, test):
         run = inheritable_thread_target(train.sparkSession)(
             lambda job: (job, *_score_job(plan, train, test, job, metric))
         )
@@ -171,9 +187,6 @@ def _scores(
                         best = (_rank(score, metric), at)
                         whole = longest is None or _iterations(plan, point) == longest
                         best_model = model if whole else None
-    finally:
-        for df in held:
-            df.unpersist()
     if math.isinf(best[0]):
         raise ValueError(f"{metric} is undefined at every grid point")
     return scores, best[1], best_model

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.functions.storage import materialize, scratch_dir
@@ -76,26 +78,27 @@ def fit_models(
     """Linear regression, swept tree and swept boosted trees, with the sweep tables.
 
     Grid points are scored on ``test`` unless a separate ``validation`` slice is
-    given. Stored ``train`` and ``test`` tables are read many times: pass tables,
-    not long plans.
+    given. The tables are read many times: pass stored ones, not long plans. The
+    three fits run side by side.
     """
     scratch_dir(train.sparkSession)
-    held_out = test if validation is None else validation
-    linear = models.linear_regression(predictors, label, "LR_prediction").fit(train)
-    tree = search.sweep(
-        models.decision_tree(predictors, label, "DT_prediction"),
-        train,
-        held_out,
-        search.grid_points(tree_grid),
-        parallelism=parallelism,
-    )
-    boosted = search.sweep(
-        models.boosted_trees(predictors, label, "GBT_prediction"),
-        train,
-        held_out,
-        search.grid_points(boosted_grid),
-        parallelism=parallelism,
-    )
+    inputs = [*predictors, label]
+    train = search.only(train, inputs)
+    held_out = search.only(test if validation is None else validation, inputs)
+
+    def sweep(plan: Pipeline, grid: Mapping[str, Sequence]) -> search.Search:
+        return search.sweep(
+            plan, train, held_out, search.grid_points(grid), parallelism=parallelism
+        )
+
+    fits = [
+        lambda: models.linear_regression(predictors, label, "LR_prediction").fit(train),
+        lambda: sweep(models.decision_tree(predictors, label, "DT_prediction"), tree_grid),
+        lambda: sweep(models.boosted_trees(predictors, label, "GBT_prediction"), boosted_grid),
+    ]
+    run = inheritable_thread_target(train.sparkSession)(lambda fit: fit())
+    with search.kept(train, held_out), ThreadPool(len(fits)) as pool:
+        linear, tree, boosted = pool.map(run, fits, chunksize=1)
     return {"LR": linear, "DT": tree.model, "GBT": boosted.model}, tree.table, boosted.table
 
 
