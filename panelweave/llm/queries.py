@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import line_spread, rule_cascade, url_filter
+from panelweave.functions.storage import scratch_path
+from panelweave.llm import (
+    adaptive_scan,
+    bbit_minhash,
+    ftrl_quality,
+    line_spread,
+    piece_sampling,
+    recurrent_lm,
+    rule_cascade,
+    soft_mixing,
+    token_store,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,3 +130,72 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query("op1_token_store")
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "token-store")
+    token_store.write_store(
+        docs,
+        path,
+        public_tokenizers.path("word_bpe_49k.json"),
+        end_id=2,
+        lower=True,
+        special=("<|",),
+    )
+    return token_store.read_store(spark, path)
+
+
+@query("op5_piece_sampling")
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_sampling.encode_sampled(
+        docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False
+    )
+
+
+@query("op2_recurrent_lm")
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_soft_mixing")
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = soft_mixing.mix_rates(docs, table(spark, sf_dir, "labels"))
+    names = list(soft_mixing.DOMAINS)
+    return rated.select(
+        "doc_id",
+        F.col("_mix_words").alias("n_words"),
+        *[F.col("_mix_posterior")[d].alias(f"p_{name}") for d, name in enumerate(names)],
+        F.col("_mix_rate").alias("rate"),
+        F.col("_mix_copies").alias("copies"),
+    )
+
+
+@query("op6_ftrl_quality")
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = ftrl_quality.remainder(F.col("doc_id")) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    weights = ftrl_quality.fit_quality(docs, labels)
+    scored = ftrl_quality.score_quality(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op8_bbit_minhash")
+def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bbit_minhash.near_duplicates(docs, size=2, percent=80).select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+@query("op10_adaptive_scan")
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return adaptive_scan.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
