@@ -53,7 +53,7 @@ def rule_of(
         fitting = fitting.when(
             fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
         )
-    return fitting
+    return fitting.cast("struct<rule:string,verdict:string>")
 
 
 def share(text: Column, characters: str) -> Column:
