@@ -35,7 +35,7 @@ from panelweave.llm.workers import ship
 
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 4096
-PROBED = 0.6
+PROBED = 0.75
 BLOCK = 16
 # The test: a partial distance over d of D columns is given up beyond
 # bound * (1 + EPSILON / sqrt(d)) ** 2 after scaling by D / d.

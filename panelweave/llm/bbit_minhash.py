@@ -12,9 +12,12 @@ linked if ``100 * intersection >= percent * union``.
 3. Every member of a bucket is compared with two of its nodes, lowest and highest,
    not with all: a group of thousands costs two comparisons each. Links are
    confirmed on the full sets, and components taken.
-4. What may still be missing lies between different components of one bucket. All
-   such pairs with a side outside the bucket's largest component are compared, so no
-   link between components is lost, while pairs within a component are never formed.
+4. What may still be missing lies between different components of one bucket of
+   four nodes or more. There every node outside the bucket's largest component is
+   held against the others by its packed bits, in tiles of bounded size that return
+   only the components it may belong to; it is then compared with all texts of those
+   components, again in tiles, until one links. So no link between components is
+   lost, no pairs within a component are looked at, and no list of pairs is made.
 
 NULL texts are empty texts. Rows with equal sets agree; repeated ids are rows like
 others, a NULL id is never a component's name unless all its ids are NULL. Extra
@@ -39,8 +42,10 @@ ROWS, BANDS = 5, 40
 BITS = 2
 LANES = 64 // BITS
 LONGS = -(-ROWS * BANDS // LANES)
-# Estimates this far below the threshold are ruled out: over five standard errors.
-SLACK = 0.2
+# Estimates this far below the threshold are ruled out: 4.4 standard errors there.
+SLACK = 0.15
+# Rows of either side that meet in one task when components are compared.
+TILE_NODES, TILE_OUTSIDE, TILE_TEXTS = 2048, 512, 256
 _random = np.random.default_rng(20240607)
 _XOR = _random.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)
 _MULTIPLY = _random.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -169,6 +174,116 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _tiled(members: DataFrame, asking: DataFrame, key: str, rows: int, asked: int) -> tuple:
+    """Both sides dealt over ``(key, cut, part)``: every member meets every asking row of
+    its key in exactly one tile, of at most about ``rows`` by ``asked`` rows."""
+    cuts = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("cuts"))
+    parts = asking.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("parts"))
+    plan = cuts.join(parts, key)
+    left = members.join(plan, key).withColumns(
+        {
+            "cut": F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"),
+            "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
+        }
+    )
+    right = asking.join(plan, key).withColumns(
+        {
+            "part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"),
+            "cut": F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)),
+        }
+    )
+    keys = [key, "cut", "part"]
+    # Fresh columns: both sides may come from one table.
+    right = right.select(*[F.col(name).alias(name) for name in right.columns])
+    return left.drop("cuts", "parts").groupBy(keys), right.drop("cuts", "parts").groupBy(keys)
+
+
+_LANE_ONES = np.uint64(sum(1 << (BITS * lane) for lane in range(LANES)))
+
+
+def _stack(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.view(np.uint64).reshape(-1, LONGS)
+
+
+def _neighbours(apart: DataFrame, percent: int) -> DataFrame:
+    """``(node, component)``: components that a node outside the largest may belong to."""
+    most = (1 - (percent / 100 - SLACK)) * (1 - 2.0**-BITS) * ROWS * BANDS
+
+    def tile(members: pa.Table, outside: pa.Table) -> pa.Table:
+        found = {"node": [], "component": []}
+        if members.num_rows and outside.num_rows:
+            bits, n = _stack(members["bits"]), members["n"].to_numpy()
+            groups = members["component"].to_numpy()
+            for node, own, size, mine in zip(
+                outside["node"].to_pylist(),
+                outside["component"].to_pylist(),
+                outside["n"].to_pylist(),
+                _stack(outside["bits"]),
+            ):
+                near = (groups != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+                near = np.flatnonzero(near)
+                apart_bits = bits[near] ^ mine
+                marked = apart_bits
+                for bit in range(1, BITS):
+                    marked = marked | (apart_bits >> np.uint64(bit))
+                differing = np.bitwise_count(marked & _LANE_ONES).sum(1)
+                reached = np.unique(groups[near[differing <= most]])
+                found["node"].append(np.full(len(reached), node))
+                found["component"].append(reached)
+        return pa.table(
+            {
+                name: pa.array(np.concatenate(values) if values else [], pa.int64())
+                for name, values in found.items()
+            }
+        )
+
+    columns = ["bucket", "node", "component", "n", "bits"]
+    left, right = _tiled(
+        apart.select(*columns),
+        apart.where("component <> largest").select(*columns),
+        "bucket",
+        TILE_NODES,
+        TILE_OUTSIDE,
+    )
+    return left.cogroup(right).applyInArrow(tile, "node long, component long").distinct()
+
+
+def _cross_links(
+    near: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """A link ``(a, b)`` from each node to a component next to it, where there is one."""
+    members = labels.join(near.select("component").distinct(), "component", "left_semi")
+    wanted = members.select("node").union(near.select("node")).distinct()
+    texts = materialize(_texts(rows, nodes, wanted), "crossing-texts")
+
+    def tile(members: pa.Table, asking: pa.Table) -> pa.Table:
+        a, b = [], []
+        if members.num_rows and asking.num_rows:
+            keys, ends = shingle_sets(members["text"].combine_chunks(), size)
+            sizes = np.diff(ends)
+            mine, mine_ends = shingle_sets(asking["text"].combine_chunks(), size)
+            names, firsts = members["node"].to_numpy(), asking["node"].to_pylist()
+            for i, node in enumerate(firsts):
+                own = mine[mine_ends[i] : mine_ends[i + 1]]
+                place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                both = np.add.reduceat(own[place] == keys, ends[:-1], dtype=np.int64)
+                linked = np.flatnonzero(100 * both >= percent * (len(own) + sizes - both))
+                if len(linked):
+                    a.append(node)
+                    b.append(int(names[linked[0]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    left, right = _tiled(
+        members.join(texts, "node").select("component", "node", "text"),
+        near.join(texts, "node").select("component", "node", "text"),
+        "component",
+        TILE_TEXTS,
+        TILE_TEXTS,
+    )
+    return left.cogroup(right).applyInArrow(tile, "a long, b long")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(node, text)`` of the wanted nodes, one text each."""
     keys = nodes.join(wanted, "node", "left_semi").select(
@@ -216,7 +331,11 @@ def near_duplicates(
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
     buckets = (
         members.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .agg(
+            F.min("node").alias("low"),
+            F.max("node").alias("high"),
+            F.count(F.lit(1)).alias("size"),
+        )
         .where("low <> high")
     )
     # Buckets of one node hold no pair; the rest is what later steps read.
@@ -233,12 +352,16 @@ def near_duplicates(
     linked = materialize(_confirm(plausible, texts, size, percent), "links")
     first = components(linked)
 
-    placed = crowded.join(first, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+    labels = nodes.select("node").join(first, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")
     )
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    labels = materialize(labels, "first-components")
+    # Buckets of up to three nodes are settled: their pairs all hold the lowest or highest.
+    placed = crowded.where("size > 3").select("bucket", "node").join(labels, "node")
     split = (
-        sizes.groupBy("bucket")
+        placed.groupBy("bucket", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("bucket")
         .agg(
             F.max(F.struct("n", "component"))["component"].alias("largest"),
             F.count(F.lit(1)).alias("parts"),
@@ -246,24 +369,12 @@ def near_duplicates(
         .where("parts > 1")
         .drop("parts")
     )
-    apart = materialize(placed.join(split, "bucket"), "split-buckets")
-    outside = apart.where("component <> largest").select(
-        "bucket", F.col("node").alias("a"), F.col("component").alias("_ca")
-    )
-    everyone = apart.select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("_cb"), "largest"
-    )
-    crossing = (
-        outside.join(everyone, "bucket")
-        .where("_ca <> _cb AND (_cb = largest OR a < b)")
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-        .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    apart = materialize(
+        placed.join(split, "bucket").join(nodes.select("node", "n", "bits"), "node"),
+        "split-buckets",
     )
-    rest = materialize(_plausible(crossing, nodes, percent), "crossing-pairs")
-    missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = _confirm(rest, materialize(_texts(rows, nodes, missing), "crossing-texts"), size, percent)
+    near = materialize(_neighbours(apart, percent), "near-components")
+    more = _cross_links(near, labels, rows, nodes, size, percent)
     joined = components(materialize(linked.unionByName(more), "all-links"))
 
     named = nodes.select("node", "doc_id").join(joined, "node", "left").select(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.hashed_features import dot, features, fit_leaders, logistic, sample_labels
-from panelweave.llm.workers import bounded, ship
+from panelweave.llm.workers import bounded, extended, ship
 
 MAX_TRAIN_ROWS = 20_000
 KEEP = 0.7
@@ -48,11 +48,10 @@ def score_quality(
     ship(docs.sparkSession)
     kept = [name for name in docs.columns if name not in ("score", "predicted")]
     rows = docs.select(*[F.col(f"`{name}`") for name in kept])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text, 2 << 20):
-            places, ends = features(batch.column(text))
+        for batch in bounded(batches, "text", 2 << 20):
+            places, ends = features(batch.column("text"))
             scores = logistic(dot(weights, places, ends))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -63,4 +62,4 @@ def score_quality(
                 [*batch.schema.names, "score", "predicted"],
             )
 
-    return rows.mapInArrow(score, ", ".join([*fields, "score double", "predicted int"]))
+    return extended(rows, score, text, "score double, predicted int")

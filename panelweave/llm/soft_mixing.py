@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.storage import materialize
 from panelweave.llm.hashed_features import dot, features, fit_leaders, logistic, sample_labels
 from panelweave.llm.wordkeys import word_keys
-from panelweave.llm.workers import bounded, ship
+from panelweave.llm.workers import bounded, extended, ship
 
 MAX_TRAIN_ROWS = 20_000
 # Domains of the labelled table, and the share of words that each should have.
@@ -67,12 +67,11 @@ def fit_domains(
 def add_posteriors(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """Rows with ``_mix_words`` and ``_mix_posterior``, an array that sums to 1."""
     ship(docs.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     known = np.abs(weights).sum(1) > 0
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text, 2 << 20):
-            column = batch.column(text)
+        for batch in bounded(batches, "text", 2 << 20):
+            column = batch.column("text")
             places, ends = features(column)
             odds = np.stack([logistic(dot(one, places, ends)) for one in weights], 1) * known
             total = odds.sum(1, keepdims=True)
@@ -89,9 +88,7 @@ def add_posteriors(docs: DataFrame, weights: np.ndarray, text: str = "text") ->
                 [*batch.schema.names, "_mix_words", "_mix_posterior"],
             )
 
-    return docs.mapInArrow(
-        judge, ", ".join([*fields, "_mix_words long", "_mix_posterior array<double>"])
-    )
+    return extended(docs, judge, text, "_mix_words long, _mix_posterior array<double>")
 
 
 def anchored_targets(

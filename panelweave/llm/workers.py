@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -56,3 +57,21 @@ def bounded(
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; NULL is the empty text."""
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
+
+
+def extended(df: DataFrame, function, text: str, added: str) -> DataFrame:
+    """``df`` with the columns ``added`` by an Arrow function; all names are taken literally.
+
+    The function sees the columns as ``c0``, ``c1``, ..., the text as ``text``, and
+    yields the batch with the added columns behind its own.
+    """
+    inner = [f"c{i}" if name != text else "text" for i, name in enumerate(df.columns)]
+    fields = [
+        f"{name} {field.dataType.simpleString()}"
+        for name, field in zip(inner, df.schema.fields)
+    ]
+    out = df.toDF(*inner).mapInArrow(function, ", ".join([*fields, added]))
+    return out.select(
+        *[F.col(name).alias(own) for name, own in zip(inner, df.columns)],
+        *[name for name in out.columns if name not in inner],
+    )

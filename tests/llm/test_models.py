@@ -1,0 +1,339 @@
+"""Token store, sampled pieces, language model, classifiers, mixing and neighbours."""
+
+import math
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from llm_fixtures import ODD, crc, docs, none, words
+from pyspark.sql import functions as F
+
+from panelweave.functions.storage import scratch_path
+from panelweave.llm import (
+    adaptive_scan,
+    ftrl_quality,
+    hashed_features,
+    piece_sampling,
+    queries,
+    recurrent_lm,
+    soft_mixing,
+    token_store,
+)
+from panelweave.llm.elias_fano import EliasFano
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("n, top", [(0, 1), (1, 5), (10, 10), (3000, 3000), (700, 10**7)])
+def test_elias_fano(n, top):
+    values = np.sort(np.random.default_rng(n).integers(0, top, n))
+    coded = EliasFano.encode(values)
+    assert coded.all().tolist() == values.tolist()
+    assert [coded.select(i) for i in range(n)] == values.tolist()
+    if n > 500:
+        size = 8 * (len(coded.low) + len(coded.high) + len(coded.samples))
+        assert size < n * (2.6 + math.log2(max(top / n, 1)) + 0.5) + 64
+
+
+def test_token_store_gives_the_librarys_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    table = docs(spark, [*ODD, "A <|endoftext|> b <|ENDOFTEXT|>", "It's Ẽ É é ΣΑΣ ﬁ"])
+    path = scratch_path(spark, "test-store")
+    token_store.write_store(
+        table, path, public_tokenizers.path("word_bpe_49k.json"), 2, lower=True, special=("<|",),
+        block_tokens=5000,
+    )
+    found = token_store.read_store(spark, path, with_ids=True).orderBy("start").collect()
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    assert len(found) == len(rows)
+    assert [r["doc_id"] for r in found] == sorted(
+        [i for i, _ in rows], key=lambda i: (i is not None, i)
+    )
+    wanted = sorted(
+        (str(i), library.encode(text or "", add_special_tokens=False).ids + [2]) for i, text in rows
+    )
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in found) == wanted
+    start = 0
+    for row in found:
+        assert row["start"] == start and row["n_tokens"] == len(row["ids"])
+        assert row["ids_crc32"] == zlib.crc32(np.array(row["ids"], "<u4").tobytes())
+        start += row["n_tokens"]
+    assert spark.read.parquet(f"{path}/blocks").count() >= 3
+
+
+def test_token_store_of_nothing(spark):
+    path = scratch_path(spark, "test-store")
+    token_store.write_store(none(spark), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert token_store.read_store(spark, path).count() == 0
+
+
+def test_pieces_come_back_and_repeat(spark):
+    table = docs(spark)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    first = piece_sampling.encode_sampled(table, model)
+    rows = first.collect()
+    assert len(rows) == table.count() and all(r["round_trip"] for r in rows)
+    again = piece_sampling.encode_sampled(table.repartition(5), model).select("doc_id", "ids_crc32")
+    assert sorted(map(str, again.collect())) == sorted(
+        map(str, first.select("doc_id", "ids_crc32").collect())
+    )
+    other = piece_sampling.encode_sampled(table, model, seed=18).where("doc_id = 7").first()
+    assert other["ids"] != next(r["ids"] for r in rows if r["doc_id"] == 7)
+    assert piece_sampling.encode_sampled(none(spark), model).count() == 0
+
+
+def test_segmentations_follow_their_weights():
+    """Frequencies of all ways to cut a word against their exact probabilities."""
+    table = piece_sampling.pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.0002)
+    names = {tuple([i]): text for i, text in enumerate(table.spelled)}
+    text = " there"
+    ways = {}
+
+    def cut(at, ids, weight):
+        if at == len(text):
+            ways[tuple(ids)] = weight
+        for piece, spelled in enumerate(table.spelled):
+            if spelled and piece > 258 and text.encode().startswith(spelled, at):
+                cut(at + len(spelled), [*ids, piece], weight + table.log_weight[piece])
+
+    cut(0, [], 0.0)
+    total = sum(math.exp(w) for w in ways.values())
+    n = 40_000
+    ids, ends = piece_sampling.sample(table, ["there"] * n, np.arange(n, dtype=np.uint64), 3)
+    drawn = {}
+    for a, b in zip(ends[:-1], ends[1:]):
+        drawn[tuple(ids[a:b].tolist())] = drawn.get(tuple(ids[a:b].tolist()), 0) + 1
+    assert names and set(drawn) <= set(ways)
+    for way, weight in ways.items():
+        p = math.exp(weight) / total
+        assert abs(drawn.get(way, 0) / n - p) < 5 * math.sqrt(p / n) + 1e-3
+
+
+def lm_by_hand(rows):
+    counts, total = {}, 0
+    for doc_id, text in rows:
+        if crc(doc_id) % 10:
+            for token in [*words(text), None]:
+                counts[token] = counts.get(token, 0) + 1
+                total += 1
+    base = {}
+    for number, (doc_id, text) in enumerate(rows):
+        tokens = [*words(text), None]
+        score = sum(
+            math.log10((counts.get(t, 0) + 0.1) / (total + 0.1 * (len(counts) + 1))) for t in tokens
+        )
+        base[number] = (doc_id, crc(doc_id) % 10 == 0, len(tokens), sum(t in counts for t in tokens), score)
+    return base, total
+
+
+def test_language_model(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "TRAIN_SHARE", 0.9)
+    monkeypatch.setattr(recurrent_lm, "HEAD_WORDS", 3000)
+    table = docs(spark).select("doc_id", "text").union(
+        spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id") + 100, "text")
+    )
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    base, total = lm_by_hand(rows)
+    found = recurrent_lm.score_texts(table).collect()
+    key = lambda r: (str(r[0]), r[1], r[2], r[3], round(r[4], 6))
+    got = sorted(
+        key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"])) for r in found
+    )
+    for one, other in zip(got, sorted(map(key, base.values()))):
+        assert one[:4] == other[:4] and one[4] == pytest.approx(other[4], rel=1e-9)
+    assert {r["train_tokens"] for r in found} == {total}
+    assert all(r["score"] < 0 for r in found)
+    ordinary = [r for r in found if r["doc_id"] is not None and r["doc_id"] >= 100]
+    assert sum(r["score"] for r in ordinary) > sum(r["base_score"] for r in ordinary)
+    assert recurrent_lm.score_texts(none(spark)).count() == 0
+
+
+def test_gradients_and_normalisation():
+    random = np.random.default_rng(5)
+    counts = np.sort(random.integers(1, 500, 1500))[::-1].astype(np.int64)
+    counts[3] += 10**4
+    keys = random.integers(0, 2**63, 1500).astype(np.uint64)
+    keys[3] = recurrent_lm.END
+    order = np.argsort(-counts, kind="stable")
+    vocabulary = recurrent_lm.Vocabulary(keys[order], counts[order], int(counts.sum()), 1500)
+    model = recurrent_lm.Model(vocabulary)
+    model.weights = model.weights.astype(np.float64)
+    model.part = model.parts(model.weights)
+    numbers = random.integers(0, vocabulary.members + 1, (16, 4)).astype(np.int32)
+    numbers[3, 1], numbers[9:, 2] = vocabulary.end, -1
+
+    def loss():
+        flat = np.zeros_like(model.weights)
+        return model.window(np.zeros((4, recurrent_lm.HIDDEN)), numbers, model.parts(flat))[1].sum()
+
+    slope = np.zeros_like(model.weights)
+    model.window(np.zeros((4, recurrent_lm.HIDDEN)), numbers, model.parts(slope))
+    for place in np.flatnonzero(np.abs(slope) > 1e-3)[::997]:
+        held, step = model.weights[place], 1e-5
+        model.weights[place] = held + step
+        up = loss()
+        model.weights[place] = held - step
+        assert -(up - loss()) / (2 * step) == pytest.approx(slope[place], rel=0.05, abs=1e-4)
+        model.weights[place] = held
+    state = random.normal(size=(1, recurrent_lm.HIDDEN))
+    n = vocabulary.members + 1
+    log = model.log_probability(np.repeat(state, n, 0), np.arange(n, dtype=np.int32))
+    assert np.exp(log).sum() == pytest.approx(1.0)
+
+
+def test_state_runs_through_whole_texts():
+    random = np.random.default_rng(6)
+    keys = np.append(random.integers(0, 2**63, 199).astype(np.uint64), recurrent_lm.END)
+    vocabulary = recurrent_lm.Vocabulary(keys, np.full(200, 7), 1400, 200)
+    model = recurrent_lm.Model(vocabulary)
+    sizes = [1, 700, 3, 64, 65, 130, 2]
+    texts = [np.append(random.integers(0, 199, n - 1), 199).astype(np.int32) for n in sizes]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    together = model.score(np.concatenate(texts), starts, lanes=3)
+    for text, score in zip(texts, together):
+        state, total = np.zeros((1, recurrent_lm.HIDDEN), np.float32), 0.0
+        for word in text:
+            total += model.log_probability(state, np.array([word]))[0]
+            state = model.step(state, np.array([word]))[0]
+        assert score == pytest.approx(total, rel=1e-4)
+
+
+def test_quality_on_held_out_labels(spark):
+    found = queries.QUERIES["op6_ftrl_quality"](spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = found.where("held_out").join(labels, "doc_id").collect()
+    right = sum((r["score"] >= 0.5) == bool(r["quality"]) for r in held)
+    assert right / len(held) > 0.85
+    assert found.count() == 1000
+
+
+def test_quality_of_awkward_rows(spark):
+    labels = spark.createDataFrame(
+        [(5, 0), (6, 1), (6, 1), (7, 0), (7, 1), (None, 1), (8, None)], "doc_id long, quality int"
+    )
+    table = docs(spark).withColumn("score", F.lit("mine"))
+    weights = ftrl_quality.fit_quality(table, labels)
+    scored = ftrl_quality.score_quality(table, weights).collect()
+    assert len(scored) == table.count() and all(0 <= r["score"] <= 1 for r in scored)
+    unlabelled = ftrl_quality.fit_quality(table, labels.where("false"))
+    assert {r["score"] for r in ftrl_quality.score_quality(table, unlabelled).collect()} == {0.5}
+    assert ftrl_quality.score_quality(none(spark), weights).count() == 0
+
+
+def test_score_is_the_sparse_dot_product():
+    import pyarrow as pa
+
+    texts = pa.array(["a b a", None, "", "X!! Y!!", "a b a"])
+    places, ends = hashed_features.features(texts)
+    weights = np.random.default_rng(0).normal(size=(1 << hashed_features.BITS) + 1)
+    scores = hashed_features.dot(weights, places, ends)
+    for i in range(5):
+        own = places[ends[i] : ends[i + 1]]
+        assert len(own) == len(set(own.tolist())) > 0
+        assert scores[i] == pytest.approx(weights[own].sum() + weights[-1])
+    assert scores[1] == scores[2] and scores[0] == scores[4]
+
+
+def test_rates_match_targets(spark):
+    random = np.random.default_rng(8)
+    posterior = random.dirichlet((4, 1, 0.5), 400)
+    sizes = random.integers(0, 900, 400)
+    table = spark.createDataFrame(
+        [(int(n), p.tolist()) for n, p in zip(sizes, posterior)],
+        "_mix_words long, _mix_posterior array<double>",
+    )
+    totals = sizes @ posterior
+    wanted = totals * np.array([1.0, 0.7, 0.5])
+    steps, reached, targets = soft_mixing.fit_rates(table, lambda found: wanted)
+    assert np.abs(reached - wanted).max() < 1e-6 * totals.sum()
+    rates = np.array(
+        [r[0] for r in table.select(soft_mixing.rate_expression(F.col("_mix_posterior"), steps)).collect()]
+    )
+    assert rates.min() >= 0 and np.allclose((rates * sizes) @ posterior, wanted)
+    # By hand: the same projected steps on arrays.
+    by_hand, inverse = np.ones(400), np.linalg.pinv((posterior * sizes[:, None]).T @ posterior)
+    for _ in range(len(steps)):
+        by_hand = np.maximum(0, by_hand - posterior @ (inverse @ ((by_hand * sizes) @ posterior - wanted)))
+    assert np.allclose(by_hand, rates)
+    assert targets is not None
+
+
+def test_mixing_awkward_rows(spark):
+    labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
+    table = docs(spark)
+    rated = soft_mixing.mix_rates(table, labels)
+    rows = rated.collect()
+    assert len(rows) == table.count() and all(r["_mix_rate"] >= 0 for r in rows)
+    mixed = soft_mixing.mix(table, labels)
+    assert mixed.columns == table.columns
+    assert mixed.count() == sum(r["_mix_copies"] for r in rows)
+    plain = soft_mixing.mix_rates(table, labels.where("false"))
+    assert {r["_mix_rate"] for r in plain.collect()} == {1.0}
+    assert soft_mixing.mix(none(spark), labels).count() == 0
+
+
+def neighbours_by_hand(rows, is_query, k):
+    matrix = {}
+    for vec_id, vector in rows:
+        good = vec_id is not None and vector is not None and all(
+            x is not None and math.isfinite(x) for x in vector
+        )
+        if good and any(vector):
+            matrix[vec_id] = np.array(vector, np.float32).astype(np.float64)
+    out = {}
+    for one in matrix:
+        if is_query(one):
+            scored = sorted(
+                (-float(sum(a * b for a, b in zip(matrix[one], matrix[x]))), x)
+                for x in matrix
+                if x != one
+            )
+            out[one] = [(x, -s) for s, x in scored[:k]]
+    return out
+
+
+def test_neighbours_of_the_registered_table(spark):
+    rows = [
+        (r[0], r[1])
+        for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+        .select("vec_id", "embedding")
+        .collect()
+    ]
+    wanted = neighbours_by_hand(rows, lambda i: i % 20 == 0, 20)
+    found = {}
+    for r in queries.QUERIES["op10_adaptive_scan"](spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == set(wanted)
+    hits = 0
+    for one, best in wanted.items():
+        got = sorted(found[one])
+        assert [r for r, *_ in got] == list(range(1, 21))
+        assert all(a[2] >= b[2] for a, b in zip(got, got[1:]))
+        hits += len({x for x, _ in best} & {x for _, x, _ in got})
+        exact = dict(best)
+        assert all(x not in exact or exact[x] == s for _, x, s in got)
+    assert hits >= 0.9 * 20 * len(wanted)
+
+
+def test_awkward_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, 2.0, 2.0]) for i in range(1, 40)]
+    rows += [(40, None), (41, [0.0, 0.0, 0.0]), (42, [1.0, None, 2.0]), (43, [nan, 1.0, 1.0])]
+    rows += [(44, [inf, 1.0, 1.0]), (45, [1.0, 2.0]), (None, [9.0, 9.0, 9.0]), (46, [-3.0, 0.0, 1.0])]
+    rows += [(1, [1.0, 2.0, 2.0]), (47, [2.0, 4.0, 4.0])]
+    table = spark.createDataFrame(
+        [(*row, "x", 1) for row in rows], "vec_id long, embedding array<float>, query string, list int"
+    )
+    found = adaptive_scan.nearest_neighbours(table, F.col("vec_id") % 20 <= 6, k=5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    usable = [(i, v) for i, v in dict(rows).items() if i not in (45,)]
+    wanted = neighbours_by_hand(usable, lambda i: i % 20 <= 6, 5)
+    assert {i: [(x, s) for _, x, s in sorted(v)] for i, v in got.items()} == wanted
+    few = adaptive_scan.nearest_neighbours(table.where("vec_id in (46, 47, 41)"), F.col("vec_id") > 0)
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in few.collect()) == [(46, 47, 1), (47, 46, 1)]
+    assert adaptive_scan.nearest_neighbours(table.where("false"), F.col("vec_id") > 0).count() == 0
