@@ -1,17 +1,14 @@
-"""Cutting lineage through the shared scratch folder, and size-checked broadcasts."""
+"""Cutting lineage through the shared scratch folder."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a derived side may have before it is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -23,7 +20,7 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="panelweave-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -49,13 +46,13 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything this application has stored in the scratch folder.
 
-    Beyond that the side is returned as it is and the join shuffles. The count
-    stops early, but it does run ``df``: use this on sides that are cheap to
-    compute.
+    For the end of a job, when no table read from there is needed any more.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(
+        f"{scratch_dir(spark).rstrip('/')}/panelweave-{context.applicationId}"
+    )
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.expressions import named
-from panelweave.operators.ranking import rank_table
+from panelweave.operators.ranking import rank_cells, rank_columns
 from panelweave.operators.stats import low_high, with_bins, with_bounds
 
 
@@ -66,8 +66,9 @@ def parallel_coords(
     """
     if ranking:
         # Ranks run from 0 to the number of rows less one, in every column.
-        last = df.agg((F.count(F.lit(1)) - 1).alias("last")).scalar()
-        table = rank_table(df, key, columns).withColumn("_last", last)
+        ranks = rank_columns(df, key, columns)
+        last = ranks.agg(F.max("rank").alias("last")).scalar()
+        table = rank_cells(ranks, key, columns).withColumn("_last", last)
         low = dict.fromkeys(columns, F.lit(0).cast("bigint"))
         high = dict.fromkeys(columns, F.col("_last"))
     else:

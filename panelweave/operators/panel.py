@@ -117,6 +117,7 @@ def to_wide(
     """One indicator of the long form as a wide table, one column per year.
 
     One shuffle after map-side combining; two rows for one cell fail the query.
+    Entities without a value in these years have no row.
     """
     years = list(years)
     cells = []
@@ -124,7 +125,8 @@ def to_wide(
         hit = F.col("year") == year
         cells.append(F.max(F.when(hit, F.col("value"))).alias(f"_v_{year}"))
         cells.append(F.count(F.when(hit, F.lit(1))).alias(f"_n_{year}"))
-    grouped = long.where(F.col("indicator") == F.lit(indicator)).groupBy(named(entity)).agg(*cells)
+    rows = long.where((F.col("indicator") == F.lit(indicator)) & F.col("year").isin(years))
+    grouped = rows.groupBy(named(entity)).agg(*cells)
     what = named(entity).cast("string")
     return grouped.select(
         named(entity), *[_single(F.col(f"_v_{y}"), F.col(f"_n_{y}"), what, str(y)) for y in years]

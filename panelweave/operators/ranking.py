@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.expressions import named, quoted
-from panelweave.functions.storage import BROADCAST_ROWS, broadcast_within, materialize
+from panelweave.functions.storage import materialize
 
 
 def descending(value: str, key: str) -> list[Column]:
@@ -49,10 +49,7 @@ def bottom_k(
 
 def exclude_top_k(df: DataFrame, value: str, key: str, k: int = 5) -> DataFrame:
     """The table without the entities that hold the ``k`` largest values."""
-    top = top_k(df, value, key, k).select(named(key))
-    if k <= BROADCAST_ROWS:
-        top = F.broadcast(top)  # k rows at most
-    return df.join(top, key, "left_anti")
+    return df.join(top_k(df, value, key, k).select(named(key)), key, "left_anti")
 
 
 def number_rows(
@@ -84,7 +81,6 @@ def number_rows(
         F.col("_part").alias("_block"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    shifts = broadcast_within(shifts)
     same = numbered["_part"] == shifts["_block"]
     for c in by:
         same = same & numbered[quoted(c)].eqNullSafe(shifts[quoted(f"_by_{c}")])
@@ -111,6 +107,10 @@ def rank_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 def rank_table(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row per entity, each column replaced by its rank."""
-    ranks = rank_columns(df, key, columns)
+    return rank_cells(rank_columns(df, key, columns), key, columns)
+
+
+def rank_cells(ranks: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Ranks in long form -> one row per entity."""
     cells = [F.max(F.when(F.col("indicator") == c, F.col("rank"))).alias(c) for c in columns]
     return ranks.groupBy(named(key)).agg(*cells)

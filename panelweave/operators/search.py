@@ -193,9 +193,9 @@ def _scores(
 
 
 def _result_table(
-    spark: SparkSession, points: Sequence[Point], scores: Mapping[str, Sequence[float]]
+    spark: SparkSession, points: Sequence[Point], scores: Mapping[str, Sequence[float]], best: int
 ) -> DataFrame:
-    """Parameters and scores, one row per grid point."""
+    """Parameters and scores, one row per grid point; ``best`` marks the chosen one."""
     fields = []
     for name in points[0]:
         kinds = {type(point[name]) for point in points}
@@ -208,9 +208,11 @@ def _result_table(
     rows = [
         [convert[type(f.dataType)](point[f.name]) for f in fields]
         + [column[i] for column in scores.values()]
+        + [i == best]
         for i, point in enumerate(points)
     ]
     fields += [T.StructField(name, T.DoubleType()) for name in scores]
+    fields.append(T.StructField("best", T.BooleanType()))
     return spark.createDataFrame(rows, T.StructType(fields))
 
 
@@ -225,11 +227,11 @@ def sweep(
     """Fit each point on ``train``, score it on ``test``; keep the best one for use.
 
     Pass a validation slice as ``test`` to keep the final holdout out of the
-    choice. The table has the parameters and the metric, one row per point.
+    choice. The table has the parameters, the metric and ``best``, one row per point.
     """
     points = [dict(p) for p in points]
     scores, best, model = _scores(plan, train, test, points, metric, parallelism)
-    table = _result_table(train.sparkSession, points, {metric: scores})
+    table = _result_table(train.sparkSession, points, {metric: scores}, best)
     return Search(table, points[best], model or _fit(plan, train, points[best]))
 
 
@@ -278,7 +280,7 @@ def cross_validate(
     best = min(range(len(points)), key=lambda i: (_rank(means[i], metric), i))
     if math.isnan(means[best]):
         raise ValueError(f"{metric} is undefined at every grid point")
-    table = _result_table(df.sparkSession, points, {**columns, f"mean_{metric}": means})
+    table = _result_table(df.sparkSession, points, {**columns, f"mean_{metric}": means}, best)
     return Search(table, points[best], _fit(plan, df, points[best]))
 
 

@@ -19,7 +19,7 @@ from panelweave.functions.expressions import (
     named,
     quoted,
 )
-from panelweave.functions.storage import broadcast_within, materialize
+from panelweave.functions.storage import materialize
 
 
 def _per_column(
@@ -134,12 +134,12 @@ def with_bounds(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
 
     For the whole table they are a scalar subquery: a constant by the time the
     rows are read, no join. For groups they are computed once, stored, and joined
-    on: broadcast if they are few, by shuffle otherwise.
+    on; the stored size tells Spark whether to broadcast them.
     """
     if not by:
         return df.withColumn("_bounds", df.agg(_bounds(columns)).scalar())
     groups = df.groupBy(*[named(c) for c in by]).agg(_bounds(columns)).withColumnsRenamed({c: f"_by_{c}" for c in by})
-    groups = broadcast_within(materialize(groups, "bounds"))
+    groups = materialize(groups, "bounds")
     return df.join(groups, _null_safe(df, groups, by), "inner").drop(*[f"_by_{c}" for c in by])
 
 

@@ -12,7 +12,9 @@ facts AS (
          sum(order_quantity) AS quantity
   FROM orders LEFT JOIN per_order ON o_orderkey = l_orderkey
   GROUP BY 1, 2),
-years AS (SELECT CAST(unnest(range(1995, 2002)) AS INTEGER) AS year),
+years AS (
+  SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders
+  WHERE o_orderdate IS NOT NULL),
 long AS (
   SELECT entity, 'revenue' AS indicator, year, revenue AS value FROM facts
   UNION ALL SELECT entity, 'n_orders', year, n_orders FROM facts

@@ -17,7 +17,6 @@ from panelweave.functions.storage import materialize
 from panelweave.operators import panel
 from panelweave.sources import indicators, lookups
 
-YEARS = tuple(range(1995, 2002))
 TRAIN_YEAR, TEST_YEAR = 1996, 1997
 LABEL = "revenue"
 PREDICTORS = ("n_orders", "quantity", "acctbal")
@@ -37,24 +36,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def yearly_facts(
-    spark: SparkSession, sf_dir: str, years: Iterable[int] = YEARS
+    spark: SparkSession, sf_dir: str, years: Iterable[int] | None = None
 ) -> DataFrame:
     """``(entity, year, revenue, n_orders, quantity)`` from one scan of orders and lineitem.
 
-    The years are a date range, which reaches the scan. Line items shrink to one
+    All orders count unless years are given, those without a date under year NULL.
+    Given years are a date range, which reaches the scan. Line items shrink to one
     row per order before the join, and orders combine map-side before the
     shuffle by customer, so neither a huge order nor a huge customer lands in
     one task row by row. Amounts are rounded to cents, which takes the effect of
     summation order out of them.
     """
-    years = sorted(years)
-    orders = table(spark, sf_dir, "orders").where(
-        (F.col("o_orderdate") >= F.lit(date(years[0], 1, 1)))
-        & (F.col("o_orderdate") < F.lit(date(years[-1] + 1, 1, 1)))
-    )
-    year = F.year("o_orderdate") if len(years) > 1 else F.lit(years[0])
-    if years != list(range(years[0], years[-1] + 1)):
-        orders = orders.where(year.isin(years))
+    orders = table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate")
+    if years is not None:
+        years = sorted(years)
+        orders = orders.where(
+            (F.col("o_orderdate") >= F.lit(date(years[0], 1, 1)))
+            & (F.col("o_orderdate") < F.lit(date(years[-1] + 1, 1, 1)))
+        )
+        if len(years) == 1:
+            year = F.lit(years[0])
+        elif years != list(range(years[0], years[-1] + 1)):
+            orders = orders.where(year.isin(years))
     per_order = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
@@ -73,6 +77,13 @@ def yearly_facts(
     )
 
 
+def order_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The years in which there are orders, ascending: a few numbers, whatever the table."""
+    year = F.year("o_orderdate").alias("year")
+    found = table(spark, sf_dir, "orders").select(year).distinct().where("year IS NOT NULL")
+    return sorted(row["year"] for row in found.collect())
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer with its nation's name and its account balance."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
@@ -92,14 +103,15 @@ def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_form(
     spark: SparkSession,
     sf_dir: str,
-    years: Iterable[int] = YEARS,
+    years: Iterable[int] | None = None,
     names: Sequence[str] = NUMBERS,
 ) -> DataFrame:
     """``(entity, indicator, year, value)`` of the named indicators, present values only.
 
+    Without ``years`` all orders count; the balance then has the years of the orders.
     Only tables that those indicators need are read.
     """
-    years = list(years)
+    years = None if years is None else list(years)
     parts = []
     yearly = [name for name in names if name in YEARLY]
     if yearly:
@@ -109,11 +121,12 @@ def long_form(
             .select("entity", "indicator", "year", "value")
         )
     if "acctbal" in names:
+        years = order_years(spark, sf_dir) if years is None else years
         parts.append(
             table(spark, sf_dir, "customer").select(
                 F.col("c_custkey").alias("entity"),
                 F.lit("acctbal").alias("indicator"),
-                F.explode(F.array(*[F.lit(y) for y in years])).alias("year"),
+                F.explode(F.array(*[F.lit(y) for y in years]).cast("array<int>")).alias("year"),
                 F.col("c_acctbal").alias("value"),
             )
         )

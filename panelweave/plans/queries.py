@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.storage import scratch_path
+from panelweave.functions.storage import materialize, scratch_path
 from panelweave.operators import charts, metrics, models, panel, ranking, stats
 from panelweave.plans import customers as c
 from panelweave.plans.check_sql import FACTS, LINE, MODEL_ROWS, PANEL, unpivot_columns
@@ -39,7 +39,8 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indicator_files(spark: SparkSession, sf_dir: str) -> str:
     """The yearly revenues as indicator files: a preamble, a header, a column per year."""
     folder = scratch_path(spark, "indicator-files")
-    revenue = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", c.YEARS)
+    years = c.order_years(spark, sf_dir)
+    revenue = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", years)
     names = c.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_name")
     )
@@ -48,7 +49,7 @@ def indicator_files(spark: SparkSession, sf_dir: str) -> str:
         F.col("entity").cast("string").alias("Country Code"),
         F.lit("Revenue, all orders").alias("Indicator Name"),
         F.lit("revenue").alias("Indicator Code"),
-        *[F.col(f"`{y}`") for y in c.YEARS],
+        *[F.col(f"`{y}`") for y in years],
     )
     rows.write.option("header", True).csv(folder)
     preamble = ['"Data Source","Order tables",', "", '"Last Updated Date","2018-08-28",', ""]
@@ -62,10 +63,11 @@ def indicator_files(spark: SparkSession, sf_dir: str) -> str:
     "scan_indicator",
     f"""WITH {FACTS}
 SELECT CAST(entity AS VARCHAR) AS entity, c_name AS entity_name, indicator, year, value
-FROM long JOIN customer ON c_custkey = entity WHERE indicator = 'revenue'""",
+FROM long JOIN customer ON c_custkey = entity WHERE indicator = 'revenue' AND year IS NOT NULL""",
 )
 def scan_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = indicators.read_indicators(spark, indicator_files(spark, sf_dir), c.YEARS)
+    years = c.order_years(spark, sf_dir)
+    wide = indicators.read_indicators(spark, indicator_files(spark, sf_dir), years)
     return indicators.to_long(wide)
 
 
@@ -199,7 +201,8 @@ SELECT f.entity, g.revenue AS value FROM (SELECT DISTINCT entity FROM facts) f
 LEFT JOIN facts g ON g.entity = f.entity AND g.year = 1996""",
 )
 def year_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", c.YEARS)
+    years = c.order_years(spark, sf_dir)
+    wide = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", years)
     return panel.year_slice(wide, 1996)
 
 
@@ -326,10 +329,8 @@ SELECT e.entity, f.revenue, f.n_orders, f.quantity, e.acctbal
 FROM entities e LEFT JOIN facts f ON f.entity = e.entity AND f.year = 1997""",
 )
 def panel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = {
-        name: panel.to_wide(c.long_form(spark, sf_dir, names=[name]), name, c.YEARS)
-        for name in c.NUMBERS
-    }
+    long = materialize(c.long_form(spark, sf_dir, [1997]), "long-1997")
+    wide = {name: panel.to_wide(long, name, [1997]) for name in c.NUMBERS}
     base = c.entities(spark, sf_dir).select("entity")
     return panel.join_panel(base, wide, 1997)
 

@@ -38,17 +38,47 @@ def indicator_schema(years: Iterable[int]) -> T.StructType:
 def _keep_row(years: Sequence[int]) -> Column:
     """True for data rows, false for preamble and header rows.
 
-    A header row whose outer year columns are not where the schema has them
-    fails the query: the file would otherwise be read with shifted years.
+    A header row whose descriptors or outer year columns are not where the schema
+    has them fails the query: the file would otherwise be read with columns that
+    changed places. So does a row with values but without an indicator code.
     """
     code = F.col(f"`{DESCRIPTORS[3]}`")
-    aligned = F.lit(True)
+    headed, aligned = _header_row(), F.lit(True)
+    for name in DESCRIPTORS:
+        aligned = aligned & F.coalesce(F.col(f"`{name}`") == name, F.lit(False))
     for year in (years[0], years[-1]):
         aligned = aligned & F.coalesce(F.col(f"`{year}`") == float(year), F.lit(False))
     header = F.when(aligned, F.lit(False)).otherwise(
         F.raise_error(F.lit(f"indicator file header does not match years {years[0]}-{years[-1]}"))
     )
-    return F.when(code == DESCRIPTORS[3], header).otherwise(code.isNotNull())
+    valued = F.lit(False)
+    for year in years:
+        valued = valued | F.col(f"`{year}`").isNotNull()
+    nameless = F.when(
+        valued, F.raise_error(F.lit("indicator file row without an indicator code")).cast("boolean")
+    ).otherwise(F.lit(False))
+    return F.when(headed, header).when(code.isNull(), nameless).otherwise(F.lit(True))
+
+
+def _header_row() -> Column:
+    """Some descriptor column holds the code's or the indicator's heading."""
+    headed = F.lit(False)
+    for name in DESCRIPTORS:
+        headed = headed | F.coalesce(F.col(f"`{name}`").isin(*DESCRIPTORS[2:]), F.lit(False))
+    return headed
+
+
+def _check_headers(rows: DataFrame) -> None:
+    """Every file with data rows must have a header; reads the descriptors only."""
+    has_header, has_data = _header_row(), F.col(f"`{DESCRIPTORS[3]}`").isNotNull()
+    lacking = (
+        rows.groupBy(F.input_file_name().alias("file"))
+        .agg(F.max(has_header).alias("headed"), F.max(has_data & ~has_header).alias("filled"))
+        .where("filled AND NOT headed")
+        .head()
+    )
+    if lacking is not None:
+        raise ValueError(f"{lacking['file']} has no header row")
 
 
 def read_indicators(
@@ -73,6 +103,7 @@ def read_indicators(
         .option("multiLine", multi_line)
         .csv(paths)
     )
+    _check_headers(rows)
     return without_nan(rows.where(_keep_row(years)))
 
 
@@ -86,7 +117,10 @@ def read_csv_skipping(
     line number. Without ``schema`` the header names the columns, years as double
     and the rest as text; with one, the header must hold its names in that order.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path)
+    if len(text.inputFiles()) != 1:
+        raise ValueError(f"{path} is not one file")
+    lines = text.select("value", F.monotonically_increasing_id().alias("line"))
     head = lines.where(F.col("line") == skip_lines).head()
     if head is None:
         raise ValueError(f"{path} has no header after {skip_lines} lines")

@@ -70,3 +70,52 @@ def test_one_year_joins_customers_without_another_shuffle(spark):
         assert plan.count("Exchange hashpartitioning") == 2  # one per side
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.fixture(scope="module")
+def moved(spark, tmp_path_factory):
+    """The tables with some orders outside the usual years and one without a date."""
+    folder = str(tmp_path_factory.mktemp("moved"))
+    for name in ("customer", "nation", "lineitem"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    early = F.when(key % 10 == 0, date - F.expr("INTERVAL 9 YEARS"))
+    late = early.when(key % 10 == 1, date + F.expr("INTERVAL 5 YEARS")).otherwise(date)
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    orders.withColumn("o_orderdate", F.when(key != first, late)).coalesce(1).write.parquet(
+        f"{folder}/orders.parquet"
+    )
+    return folder
+
+
+@pytest.mark.parametrize(
+    "name", ["multi_indicator_long", "scan_indicator", "year_slice", "indicator_catalog", "long_store"]
+)
+def test_no_year_is_left_out(spark, moved, name):
+    import duckdb
+    from checking import compare
+
+    import __spark_entry__ as contract
+
+    connection = duckdb.connect()
+    connection.execute("SET TimeZone = 'UTC'")
+    for table in ("customer", "nation", "lineitem", "orders"):
+        connection.execute(
+            f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{moved}/{table}.parquet/*.parquet')"
+        )
+    check = contract.oracle_sql()[name]
+    assert compare(spark, connection, contract.queries()[name], check, moved) == []
+
+
+def test_panel_join_reads_one_year_once(spark):
+    from panelweave.plans import queries
+
+    stored = []
+    keep, queries.materialize = queries.materialize, lambda df, label: stored.append(df) or keep(df, label)
+    try:
+        queries.panel_join(spark, SF)
+    finally:
+        queries.materialize = keep
+    plan = executed(stored[0])
+    assert plan.count("PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1997-01-01") == 1

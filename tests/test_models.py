@@ -178,7 +178,12 @@ def test_sweep_takes_mixed_numbers_and_unpersists(spark, rows):
     plan = models.boosted_trees(PREDICTORS, "y", maxIter=2, maxDepth=2)
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     found = search.sweep(plan, train, test, [{"stepSize": 1}, {"stepSize": 0.5}])
-    assert dict(found.table.dtypes) == {"stepSize": "double", "rmse": "double"}
+    assert dict(found.table.dtypes) == {
+        "stepSize": "double",
+        "rmse": "double",
+        "best": "boolean",
+    }
+    assert [r["best"] for r in found.table.collect()].count(True) == 1
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.functions.storage import broadcast_within, materialize, scratch_dir
+from panelweave.functions.storage import clear_scratch, materialize, scratch_dir
 from panelweave.sources import indicators, lookups, tables
 
 PREAMBLE = '"Data Source","World tables",\n\n"Last Updated Date","2018-08-28",\n\n'
@@ -122,7 +122,8 @@ def test_lookup_file_is_parsed_not_evaluated(spark, tmp_path):
     rows = {r["entity"]: r["entity_type"] for r in lookups.read_entity_types(spark, path).collect()}
     assert rows == {"Aland": "Country", "World": "Group"}
     evil = write(tmp_path / "evil.txt", '__import__("os").getcwd()')
-    assert lookups.read_entity_types(spark, evil).count() == 0
+    with pytest.raises(Exception, match="MALFORMED|JSON"):
+        lookups.read_entity_types(spark, evil).collect()
 
 
 def test_duplicate_lookup_key_raises(spark):
@@ -170,11 +171,45 @@ def test_materialize_keeps_rows_and_schema(spark):
     )
 
 
-def test_broadcast_only_within_the_bound(spark):
-    small, large = spark.range(10), spark.range(11)
-    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hint(broadcast_within(small, 10))
-    assert not hint(broadcast_within(large, 10))
+def test_cleared_scratch_is_gone_and_usable_again(spark):
+    import os
+
+    path = materialize(spark.range(3).toDF("id"), "gone").inputFiles()[0].removeprefix("file://")
+    clear_scratch(spark)
+    assert not os.path.exists(path)
+    assert materialize(spark.range(3).toDF("id"), "back").count() == 3
+
+
+SWAPPED = HEADER.replace("Indicator Name", "?").replace("Indicator Code", "Indicator Name")
+SWAPPED = SWAPPED.replace("?", "Indicator Code")
+
+
+@pytest.mark.parametrize(
+    "text, problem",
+    [
+        (PREAMBLE + SWAPPED + '"One","ONE","X","I","1","2","3",\n', "does not match"),
+        (PREAMBLE + HEADER + '"One","ONE","I","","1","2","3",\n', "without an indicator code"),
+        (PREAMBLE + '"One","ONE","I","X","1","2","3",\n', "no header"),
+    ],
+)
+def test_misread_files_fail(spark, tmp_path, text, problem):
+    path = write(tmp_path / "bad.csv", text)
+    with pytest.raises(Exception, match=problem):
+        indicators.read_indicators(spark, path, range(2012, 2015)).collect()
+
+
+def test_exact_skipping_takes_one_file(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        write(tmp_path / name, PREAMBLE + HEADER)
+    with pytest.raises(ValueError, match="not one file"):
+        indicators.read_csv_skipping(spark, str(tmp_path), 4)
+
+
+@pytest.mark.parametrize("text", ['{"A": "Country", "B": "Gro', "", "[1]"])
+def test_damaged_lookup_fails(spark, tmp_path, text):
+    path = write(tmp_path / "types.txt", text)
+    with pytest.raises(Exception):  # noqa: B017
+        assert lookups.read_entity_types(spark, path).collect()
 
 
 def test_schema_is_explicit():
@@ -190,9 +225,10 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert found["TWO"]["Country Name"] == "Two\nLines" and found["ONE"]["2014"] == 6.0
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+@pytest.mark.parametrize("cluster", ["yarn", "local-cluster[2,1,1024]"])
+def test_scratch_needs_a_shared_folder_on_a_cluster(cluster):
     class Context:
-        master = "yarn"
+        master = cluster
         getCheckpointDir = staticmethod(lambda: None)
 
     class Session:

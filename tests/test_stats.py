@@ -118,13 +118,6 @@ def test_histogram_by_group_equals_one_per_group(spark):
         assert counts([r for r in found if r["g"] == g]) == counts(stats.histogram(part, ["v"], 5).collect())
 
 
-def test_grouped_bounds_join_by_shuffle_when_groups_are_many(spark, monkeypatch):
-    df = frame(spark, [float(i % 11) for i in range(300)]).withColumn("g", F.col("k") % 50)
-    wanted = sorted(stats.minmax_scale(df, ["v"], by=["g"]).collect())
-    monkeypatch.setattr(stats, "broadcast_within", lambda d: d)
-    assert sorted(stats.minmax_scale(df, ["v"], by=["g"]).collect()) == wanted
-
-
 def test_pair_bins_equal_numpy(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(500, 2))
@@ -170,12 +163,6 @@ def test_rank_over_many_partitions_with_a_hot_value_and_groups(spark):
         assert {r["k"]: r["position"] for r in placed if r["g"] == g} == {k: i for i, k in enumerate(order)}
 
 
-def test_positions_join_by_shuffle_when_blocks_are_many(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "broadcast_within", lambda d: d)
-    df = spark.range(1000).select((999 - F.col("id")).alias("k"))
-    assert sorted(ranking.ordinal_index(df, "k").collect()) == [(i, i) for i in range(1000)]
-
-
 def test_no_window_over_the_rows(spark):
     """Rows are numbered in their partitions; the window sees one row per block."""
     df = spark.range(0, 5000, 1, 6).select(F.col("id").alias("k"))
@@ -321,3 +308,10 @@ def test_operators_accept_an_empty_table(spark):
         assert charts.parallel_coords(df, "k", both, "x", by_rank).collect() == []
     assert {r["r"] for r in stats.correlation_matrix(df, both).collect()} == {None}
     assert metrics.regression_metrics(df, "x", "y").collect() == [(0, None, None)]
+
+
+def test_ranked_coordinates_take_their_range_from_the_stored_ranks(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 7 % 50).cast("double").alias("v"))
+    plan = charts.parallel_coords(df, "k", ["v"], "v", ranking=True)
+    assert "Range (" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["axis_max"] for r in plan.collect()} == {49}
