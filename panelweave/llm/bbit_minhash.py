@@ -207,14 +207,20 @@ def _stack(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _neighbours(apart: DataFrame, percent: int) -> DataFrame:
-    """``(node, component)``: components that a node outside the largest may belong to."""
+    """``(node, component)``: components that a node outside the largest may belong to.
+
+    Of two nodes outside the largest only the lower asks for the other's. A tile
+    returns one row per node with all it found, and a node's rows are merged before
+    they are taken apart, so that meeting in many buckets costs nothing further on.
+    """
     most = (1 - (percent / 100 - SLACK)) * (1 - 2.0**-BITS) * ROWS * BANDS
 
     def tile(members: pa.Table, outside: pa.Table) -> pa.Table:
-        found = {"node": [], "component": []}
+        nodes, found = [], []
         if members.num_rows and outside.num_rows:
             bits, n = _stack(members["bits"]), members["n"].to_numpy()
-            groups = members["component"].to_numpy()
+            groups, names = members["component"].to_numpy(), members["node"].to_numpy()
+            largest = groups == members["largest"].to_numpy()
             for node, own, size, mine in zip(
                 outside["node"].to_pylist(),
                 outside["component"].to_pylist(),
@@ -222,23 +228,24 @@ def _neighbours(apart: DataFrame, percent: int) -> DataFrame:
                 _stack(outside["bits"]),
             ):
                 near = (groups != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
-                near = np.flatnonzero(near)
+                near = np.flatnonzero(near & (largest | (names > node)))
                 apart_bits = bits[near] ^ mine
                 marked = apart_bits
                 for bit in range(1, BITS):
                     marked = marked | (apart_bits >> np.uint64(bit))
                 differing = np.bitwise_count(marked & _LANE_ONES).sum(1)
                 reached = np.unique(groups[near[differing <= most]])
-                found["node"].append(np.full(len(reached), node))
-                found["component"].append(reached)
+                if len(reached):
+                    nodes.append(node)
+                    found.append(reached.tolist())
         return pa.table(
             {
-                name: pa.array(np.concatenate(values) if values else [], pa.int64())
-                for name, values in found.items()
+                "node": pa.array(nodes, pa.int64()),
+                "components": pa.array(found, pa.list_(pa.int64())),
             }
         )
 
-    columns = ["bucket", "node", "component", "n", "bits"]
+    columns = ["bucket", "node", "component", "n", "bits", "largest"]
     left, right = _tiled(
         apart.select(*columns),
         apart.where("component <> largest").select(*columns),
@@ -246,7 +253,11 @@ def _neighbours(apart: DataFrame, percent: int) -> DataFrame:
         TILE_NODES,
         TILE_OUTSIDE,
     )
-    return left.cogroup(right).applyInArrow(tile, "node long, component long").distinct()
+    reached = left.cogroup(right).applyInArrow(tile, "node long, components array<bigint>")
+    merged = reached.groupBy("node").agg(
+        F.array_distinct(F.flatten(F.collect_list("components"))).alias("components")
+    )
+    return merged.select("node", F.explode("components").alias("component"))
 
 
 def _cross_links(
