@@ -26,8 +26,8 @@ from panelweave.llm.elias_fano import EliasFano
 from panelweave.llm.workers import bounded, ship, text_bytes
 
 BLOCK_TOKENS = 1 << 20
-# Chunks whose ids a task remembers; beyond that it starts anew.
-CACHED_CHUNKS = 400_000
+# Chunks whose ids a worker remembers, about 250 MB; beyond that it starts anew.
+CACHED_CHUNKS = 1_200_000
 BLOCKS = (
     "shard int, block int, n_docs long, n_tokens long, width int, ids binary, "
     "low_bits int, low binary, high binary, samples binary, doc_ids array<bigint>"
