@@ -151,6 +151,15 @@ def _rank(score: float, metric: str) -> float:
     return score if metric == "rmse" else -score
 
 
+def _check_metric(metric: str) -> None:
+    if metric not in ("rmse", "r2"):
+        raise ValueError("metric must be rmse or r2")
+
+
+def _inputs(plan: Pipeline) -> list[str]:
+    return [*plan.getStages()[0].getInputCols(), plan.getStages()[-1].getLabelCol()]
+
+
 def _scores(
     plan: Pipeline,
     train: DataFrame,
@@ -164,11 +173,9 @@ def _scores(
     Fits run side by side, each a distributed job; only the best model so far
     is kept.
     """
-    if metric not in ("rmse", "r2"):
-        raise ValueError("metric must be rmse or r2")
+    _check_metric(metric)
     scratch_dir(train.sparkSession)  # boosting cuts its lineage there
-    inputs = [*plan.getStages()[0].getInputCols(), plan.getStages()[-1].getLabelCol()]
-    train, test = only(train, inputs), only(test, inputs)
+    train, test = only(train, _inputs(plan)), only(test, _inputs(plan))
     index = {id(point): i for i, point in enumerate(points)}
     jobs = _jobs(plan, points)
     scores = [math.nan] * len(points)
@@ -271,17 +278,38 @@ def cross_validate(
 
     The table has the parameters, the score per fold and ``mean_<metric>``.
     """
+    _check_metric(metric)
+    scratch_dir(df.sparkSession)
     points = [dict(p) for p in points]
-    columns = {}
-    for f in range(folds):
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        columns[f"{metric}_fold{f}"], _, _ = _scores(plan, train, test, points, metric, parallelism)
-    means = [sum(scores) / folds for scores in zip(*columns.values())]
-    best = min(range(len(points)), key=lambda i: (_rank(means[i], metric), i))
-    if math.isnan(means[best]):
-        raise ValueError(f"{metric} is undefined at every grid point")
+    inputs = _inputs(plan)
+    rows = df.select(*dict.fromkeys([*inputs, fold]))
+    index = {id(point): i for i, point in enumerate(points)}
+    scores = [[math.nan] * len(points) for _ in range(folds)]
+    # Every fit reads the one stored table; folds and points share the pool.
+    with kept(rows):
+
+        def score(task: tuple[int, list[Point]]) -> tuple[int, list[Point], list[float]]:
+            f, job = task
+            train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+            found, _ = _score_job(plan, only(train, inputs), only(test, inputs), job, metric)
+            return f, job, found
+
+        tasks = [(f, job) for f in range(folds) for job in _jobs(plan, points)]
+        run = inheritable_thread_target(df.sparkSession)(score)
+        with ThreadPool(min(parallelism, len(tasks))) as pool:
+            for f, job, found in pool.imap_unordered(run, tasks):
+                for point, value in zip(job, found):
+                    scores[f][index[id(point)]] = value
+        if any(math.isinf(min(_rank(value, metric) for value in part)) for part in scores):
+            raise ValueError(f"{metric} is undefined at every grid point")
+        means = [sum(part) / folds for part in zip(*scores)]
+        best = min(range(len(points)), key=lambda i: (_rank(means[i], metric), i))
+        if math.isnan(means[best]):
+            raise ValueError(f"{metric} is undefined at every grid point")
+        model = _fit(plan, only(rows, inputs), points[best])
+    columns = {f"{metric}_fold{f}": part for f, part in enumerate(scores)}
     table = _result_table(df.sparkSession, points, {**columns, f"mean_{metric}": means}, best)
-    return Search(table, points[best], _fit(plan, df, points[best]))
+    return Search(table, points[best], model)
 
 
 def forest_search(

@@ -12,12 +12,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.storage import scratch_dir
-from panelweave.operators import metrics, models, search
+from panelweave.functions.storage import materialize, scratch_dir
+from panelweave.operators import metrics, models, panel, search
 from panelweave.plans import customers as c
 from panelweave.plans import study
-from panelweave.plans.check_sql import LEAVES, LINE, MODEL_ROWS, NET, TREE2, boosted_stumps
-from panelweave.plans.queries import REGRESSION, rounded
+from panelweave.plans.check_sql import LEAVES, LINE, MODEL_ROWS, NET, TREE2, boosted_stumps, stump_prediction
+from panelweave.plans.queries import REGRESSION, indicator_files, rounded, type_file
 from panelweave.plans.registry import query
 
 ONE = ("n_orders",)
@@ -272,6 +272,23 @@ def dtree_sweep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.table, 3, "rmse")
 
 
+@query(
+    "dtree_sweep_depths",
+    f"""WITH {TREE2},
+scores AS (
+  SELECT 1 AS depth, sqrt(avg(pow({stump_prediction('root')} - revenue, 2))) AS rmse FROM test, root
+  UNION ALL SELECT 2, sqrt(avg(pow(prediction - revenue, 2))) FROM tree_scored)
+SELECT CAST(depth AS BIGINT) AS "maxDepth", round(rmse, 3) AS rmse,
+  row_number() OVER (ORDER BY rmse, depth) = 1 AS best
+FROM scores""",
+)
+def dtree_sweep_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    plan = models.decision_tree(c.PREDICTORS, c.LABEL, maxBins=EXACT_BINS)
+    found = search.sweep(plan, train, test, search.grid_points({"maxDepth": [1, 2]}))
+    return rounded(found.table, 3, "rmse")
+
+
 @query("gbt_sweep")
 def gbt_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = c.model_rows(spark, sf_dir)
@@ -280,6 +297,29 @@ def gbt_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.sweep(plan, train, test, points).table
 
 
+def stump_scores(step: float) -> str:
+    """The error of one, two and three boosted stumps."""
+    rounds = " UNION ALL ".join(
+        f"SELECT {i} AS i, {step} AS step, sqrt(avg(pow(fitted - revenue, 2))) AS rmse FROM test{i}"
+        for i in (1, 2, 3)
+    )
+    return f"SELECT * FROM (WITH {boosted_stumps(3, step)} {rounds})"
+
+
+@query(
+    "gbt_sweep_stumps",
+    f"""WITH scores AS ({stump_scores(0.1)} UNION ALL {stump_scores(0.3)})
+SELECT CAST(i AS BIGINT) AS "maxIter", CAST(step AS DOUBLE) AS "stepSize", round(rmse, 3) AS rmse,
+  row_number() OVER (ORDER BY round(rmse, 6), i, step) = 1 AS best
+FROM scores""",
+)
+def gbt_sweep_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    plan = models.boosted_trees(c.PREDICTORS, c.LABEL, maxDepth=1, maxBins=EXACT_BINS)
+    points = search.grid_points({"maxIter": [1, 2, 3], "stepSize": [0.1, 0.3]})
+    return rounded(search.sweep(plan, train, test, points).table, 3, "rmse")
+
+
 @query(
     "param_report",
     f"""WITH {MODEL_ROWS}
@@ -314,9 +354,9 @@ def grid_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.forest_search(plan, train, "entity", FOREST_GRID, search="Grid").table
 
 
-@query(
-    "grid_search_leaves",
-    f"""WITH {MODEL_ROWS},
+# Three folds in key order, and R2 on each of a tree with a leaf per value of
+# ``n_orders`` and of a tree without a split, fitted on the other two.
+FOLD_LEAVES = f"""{MODEL_ROWS},
 placed AS (SELECT *, row_number() OVER (ORDER BY entity) - 1 AS p, count(*) OVER () AS n FROM train),
 folded AS (
   SELECT *, CASE WHEN p < (n % 3) * (n // 3 + 1) THEN p // (n // 3 + 1)
@@ -329,7 +369,12 @@ nearest AS (
   FROM (SELECT DISTINCT fold, n_orders AS x FROM folded) t JOIN leaves USING (fold) GROUP BY 1, 2),
 scores AS (
   SELECT fold, 1 - sum(pow(prediction - revenue, 2)) / (var_pop(revenue) * count(*)) AS r2
-  FROM folded JOIN nearest USING (fold) WHERE nearest.x = n_orders GROUP BY fold)
+  FROM folded JOIN nearest USING (fold) WHERE nearest.x = n_orders GROUP BY fold)"""
+
+
+@query(
+    "grid_search_leaves",
+    f"""WITH {FOLD_LEAVES}
 SELECT CAST(d AS BIGINT) AS "maxDepth", round(max(r2) FILTER (fold = 0), 6) AS r2_fold0,
   round(max(r2) FILTER (fold = 1), 6) AS r2_fold1, round(max(r2) FILTER (fold = 2), 6) AS r2_fold2,
   round(avg(r2), 6) AS mean_r2, d = 15 AS best
@@ -342,6 +387,39 @@ def grid_search_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.table, 6, "r2_fold0", "r2_fold1", "r2_fold2", "mean_r2")
 
 
+SEARCH_DEPTHS = f"""WITH {FOLD_LEAVES},
+flat AS (
+  SELECT f.fold, avg(t.revenue) AS mean
+  FROM (SELECT DISTINCT fold FROM folded) f JOIN folded t ON t.fold <> f.fold GROUP BY 1),
+points AS (
+  SELECT 30 AS d, fold, r2 FROM scores
+  UNION ALL
+  SELECT 0, fold, 1 - sum(pow(mean - revenue, 2)) / (var_pop(revenue) * count(*))
+  FROM folded JOIN flat USING (fold) GROUP BY fold)
+SELECT CAST(d AS BIGINT) AS "maxDepth", round(max(r2) FILTER (fold = 0), 6) AS r2_fold0,
+  round(max(r2) FILTER (fold = 1), 6) AS r2_fold1, round(max(r2) FILTER (fold = 2), 6) AS r2_fold2,
+  round(avg(r2), 6) AS mean_r2, row_number() OVER (ORDER BY avg(r2) DESC) = 1 AS best
+FROM points GROUP BY d"""
+
+
+def search_depths(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A search over a tree without a split and one with a leaf per value."""
+    train, _ = c.model_rows(spark, sf_dir)
+    plan = models.random_forest(ONE, c.LABEL, numTrees=1, bootstrap=False)
+    found = search.forest_search(plan, train, "entity", {"maxDepth": [0, 30]}, search=kind)
+    return rounded(found.table, 6, "r2_fold0", "r2_fold1", "r2_fold2", "mean_r2")
+
+
+@query("grid_search_depths", SEARCH_DEPTHS)
+def grid_search_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_depths(spark, sf_dir, "Grid")
+
+
+@query("random_search_depths", SEARCH_DEPTHS)
+def random_search_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_depths(spark, sf_dir, "Random")
+
+
 @query("random_search_cv")
 def random_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = c.model_rows(spark, sf_dir)
@@ -381,19 +459,17 @@ def three_models(train: DataFrame) -> dict[str, PipelineModel]:
     return {name: plan.fit(train) for name, plan in plans.items()}
 
 
-@query(
-    "model_residuals_leaves",
-    f"""WITH {ALL_LEAVES}
-SELECT entity, revenue, {", ".join(
+def residuals_sql(scores: str, entity: str = "entity") -> str:
+    """Residual and relative error of every model, one row per entity."""
+    errors = ", ".join(
         f"""round(max(prediction - revenue) FILTER (model = '{m}'), 2) AS "{m}_Res",
   round(max((prediction - revenue) / revenue) FILTER (model = '{m}'), 5) AS "{m}_MAPE\""""
         for m in ("LR", "DT", "GBT")
-    )}
-FROM scores GROUP BY entity, revenue""",
-)
-def model_residuals_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    fitted = three_models(train)
+    )
+    return f"WITH {scores} SELECT {entity} AS entity, revenue, {errors} FROM scores GROUP BY entity, revenue"
+
+
+def residual_rows(test: DataFrame, fitted: dict[str, PipelineModel]) -> DataFrame:
     rows = study.residual_table(test, fitted, c.LABEL)
     rows = rounded(rows, 2, *[f"{m}_Res" for m in fitted])
     rows = rounded(rows, 5, *[f"{m}_MAPE" for m in fitted])
@@ -401,18 +477,86 @@ def model_residuals_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entity", c.LABEL, *errors)
 
 
-@query(
-    "model_compare",
-    f"WITH {ALL_LEAVES} SELECT model, {REGRESSION.replace('4', '3')} FROM scores GROUP BY model",
-)
-def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    fitted = three_models(train)
+def compare_rows(test: DataFrame, fitted: dict[str, PipelineModel]) -> DataFrame:
     rows = models.predict(test, *fitted.values())
     scores = metrics.model_metrics(rows, c.LABEL, {n: f"{n}_prediction" for n in fitted})
     return rounded(rounded(scores, 3, "rmse"), 6, "r2")
 
 
+def compare_sql(scores: str) -> str:
+    return f"WITH {scores} SELECT model, {REGRESSION.replace('4', '3')} FROM scores GROUP BY model"
+
+
+@query("model_residuals_leaves", residuals_sql(ALL_LEAVES))
+def model_residuals_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    return residual_rows(test, three_models(train))
+
+
+@query("model_compare", compare_sql(ALL_LEAVES))
+def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    return compare_rows(test, three_models(train))
+
+
+# Three models that all differ: the line, a tree of depth two, three boosted stumps.
+UNLIKE = f"""scores AS (
+  SELECT 'LR' AS model, entity, revenue, prediction FROM (WITH {LINE} SELECT * FROM scored)
+  UNION ALL SELECT 'DT', entity, revenue, prediction FROM (WITH {TREE2} SELECT * FROM tree_scored)
+  UNION ALL SELECT 'GBT', entity, revenue, fitted
+  FROM (WITH {boosted_stumps(3)} SELECT entity, revenue, fitted FROM test3))
+"""
+
+
+def unlike_models(train: DataFrame) -> dict[str, PipelineModel]:
+    scratch_dir(train.sparkSession)
+    bins = {"maxBins": EXACT_BINS}
+    plans = {
+        "LR": models.linear_regression(ONE, c.LABEL, "LR_prediction", regParam=0.0),
+        "DT": models.decision_tree(c.PREDICTORS, c.LABEL, "DT_prediction", maxDepth=2, **bins),
+        "GBT": models.boosted_trees(
+            c.PREDICTORS, c.LABEL, "GBT_prediction", maxDepth=1, maxIter=3, **bins
+        ),
+    }
+    return {name: plan.fit(train) for name, plan in plans.items()}
+
+
+@query("model_residuals_unlike", residuals_sql(UNLIKE))
+def model_residuals_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    return residual_rows(test, unlike_models(train))
+
+
+@query("model_compare_unlike", compare_sql(UNLIKE))
+def model_compare_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = c.model_rows(spark, sf_dir)
+    return compare_rows(test, unlike_models(train))
+
+
+@query(
+    "study_from_files",
+    residuals_sql(UNLIKE, "CAST(entity AS VARCHAR)").replace(
+        "WHERE f.quantity IS NOT NULL",
+        "WHERE f.quantity IS NOT NULL AND e.entity_type = 'Country'",
+    ),
+)
+def study_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicator files to residuals: read, pivot, type filter, complete rows, fit, score."""
+    both = study.read_panels(
+        spark,
+        [indicator_files(spark, sf_dir, name, by_nation=True) for name in c.NUMBERS],
+        type_file(spark, sf_dir),
+        {name: name for name in c.NUMBERS},
+        c.TRAIN_YEAR,
+        c.TEST_YEAR,
+        c.order_years(spark, sf_dir),
+    )
+    both = panel.setup_panel(both, entity_type="Country", column="CountryType")
+    both = materialize(both, "study-panel", partition_by=("year",))
+    train, test = panel.holdout_split(both, c.TRAIN_YEAR, c.TEST_YEAR)
+    return residual_rows(test, unlike_models(train))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel -> features -> linear regression -> keyed residual table."""
     train, test = c.model_rows(spark, sf_dir)

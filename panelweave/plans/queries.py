@@ -36,19 +36,27 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans, sources, sinks ----------------------------------------------------
 
 
-def indicator_files(spark: SparkSession, sf_dir: str) -> str:
-    """The yearly revenues as indicator files: a preamble, a header, a column per year."""
+def indicator_files(
+    spark: SparkSession, sf_dir: str, indicator: str = "revenue", by_nation: bool = False
+) -> str:
+    """One yearly indicator as files: a preamble, a header, a column per year.
+
+    Entities are named after the customer, or after its nation.
+    """
     folder = scratch_path(spark, "indicator-files")
     years = c.order_years(spark, sf_dir)
-    revenue = panel.to_wide(c.long_form(spark, sf_dir, names=["revenue"]), "revenue", years)
-    names = c.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("entity"), F.col("c_name")
-    )
-    rows = names.join(revenue, "entity").select(
-        F.col("c_name").alias("Country Name"),
+    values = panel.to_wide(c.long_form(spark, sf_dir, names=[indicator]), indicator, years)
+    if by_nation:
+        names = c.entities(spark, sf_dir).select("entity", F.col("country").alias("name"))
+    else:
+        names = c.table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("entity"), F.col("c_name").alias("name")
+        )
+    rows = names.join(values, "entity").select(
+        F.col("name").alias("Country Name"),
         F.col("entity").cast("string").alias("Country Code"),
-        F.lit("Revenue, all orders").alias("Indicator Name"),
-        F.lit("revenue").alias("Indicator Code"),
+        F.lit(f"{indicator}, all orders").alias("Indicator Name"),
+        F.lit(indicator).alias("Indicator Code"),
         *[F.col(f"`{y}`") for y in years],
     )
     rows.write.option("header", True).csv(folder)
@@ -71,6 +79,15 @@ def scan_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.to_long(wide)
 
 
+def type_file(spark: SparkSession, sf_dir: str) -> str:
+    """The entity types as small files, a JSON object for each entity: one per nation."""
+    path = scratch_path(spark, "lookup")
+    types = c.entity_types(spark, sf_dir)
+    entry = F.to_json(F.create_map("entity", "entity_type"))
+    types.select(entry.alias("value"), "entity").write.partitionBy("entity").text(path)
+    return path
+
+
 @query(
     "lookup_load",
     """SELECT n_name AS entity,
@@ -78,11 +95,7 @@ def scan_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM nation WHERE n_nationkey NOT IN (23, 24)""",
 )
 def lookup_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "lookup")
-    types = c.entity_types(spark, sf_dir)  # one row per nation: a handful by definition
-    pairs = F.map_from_entries(F.collect_list(F.struct("entity", "entity_type")))
-    types.agg(F.to_json(pairs).alias("value")).write.text(path)
-    return lookups.read_entity_types(spark, path)
+    return lookups.read_entity_types(spark, type_file(spark, sf_dir))
 
 
 @query("multi_indicator_long", f"WITH {FACTS} SELECT entity, indicator, year, value FROM long")

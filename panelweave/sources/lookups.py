@@ -12,12 +12,12 @@ CATALOG_COLUMNS = ("INDICATOR_CODE", "INDICATOR_NAME", "SOURCE_NOTE", "SOURCE_OR
 
 
 def read_entity_types(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``{entity: type}`` as a table ``(entity, entity_type)``.
+    """A JSON object ``{entity: type}``, or one per file, as ``(entity, entity_type)``.
 
     The text is parsed as data, never evaluated; one that is not a JSON object
     fails the query.
     """
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).select("value")
     pairs = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     broken = F.raise_error(F.lit(f"{path} is not a JSON object")).cast("map<string,string>")
     return text.select(F.explode(F.coalesce(pairs, broken)).alias("entity", "entity_type"))
