@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelweave.functions.storage import materialize, scratch_dir
 from panelweave.operators import charts, metrics, models, panel, ranking, search
@@ -19,6 +20,9 @@ LABEL = "atmosphereCO2"
 PREDICTORS = ("landForest", "populationTotal", "GDP", "populationUrban")
 TRAIN_YEAR, TEST_YEAR = 2013, 2014
 
+# The names of the charts' series, by model.
+RESIDUE_SERIES, MAPE_SERIES = "{}_test_Residue", "{}_test_MAPE"
+
 
 @dataclass
 class Results:
@@ -102,6 +106,16 @@ def fit_models(
     return {"LR": linear, "DT": tree.model, "GBT": boosted.model}, tree.table, boosted.table
 
 
+def default_tree(
+    train: DataFrame, test: DataFrame, label: str, predictors: Sequence[str]
+) -> search.Search:
+    """A tree with Spark's default settings, as a sweep of that one point."""
+    plan = models.decision_tree(predictors, label, "DT_prediction")
+    tree = plan.getStages()[-1]
+    point = {name: tree.getOrDefault(name) for name in models.TREE_PARAMS}
+    return search.sweep(plan, train, test, [point])
+
+
 def residual_table(
     test: DataFrame, fitted: Mapping[str, PipelineModel], label: str
 ) -> DataFrame:
@@ -134,6 +148,7 @@ def run_study(
     fitted, tree_sweep, boosted_sweep = fit_models(
         train, test, label, predictors, tree_grid, boosted_grid
     )
+    usual = default_tree(train, test, label, predictors)
     scored = residual_table(test, fitted, label)
     columns = {name: f"{name}_prediction" for name in fitted}
     placed = ranking.ordinal_index(scored.drop(models.FEATURES), "entity")
@@ -141,15 +156,20 @@ def run_study(
         predictions=scored.select("entity", "Country", label, *columns.values()),
         residuals=scored.drop("CountryType", *columns.values()),
         linear_report=models.linear_report(spark, fitted["LR"]),
-        tree_sweep=tree_sweep,
+        tree_sweep=tree_sweep.withColumn("default", F.lit(False)).unionByName(
+            usual.table.withColumns({"best": F.lit(False), "default": F.lit(True)}),
+            allowMissingColumns=True,
+        ),
         boosted_sweep=boosted_sweep,
-        parameters=models.parameter_report(spark, {k: fitted[k] for k in ("DT", "GBT")}),
+        parameters=models.parameter_report(
+            spark, {"DT": fitted["DT"], "GBT": fitted["GBT"], "DT_default": usual.model}
+        ),
         scores=metrics.model_metrics(scored, label, columns),
         residual_chart=charts.chart_series(
-            placed, "position", {f"{n}_test_residue": f"{n}_Res" for n in fitted}
+            placed, "position", {RESIDUE_SERIES.format(n): f"{n}_Res" for n in fitted}
         ),
         relative_error_chart=charts.chart_series(
-            placed, "position", {f"{n}_test_MAPE": f"{n}_MAPE" for n in ("DT", "GBT")}
+            placed, "position", {MAPE_SERIES.format(n): f"{n}_MAPE" for n in ("DT", "GBT")}
         ),
         models=fitted,
     )

@@ -87,12 +87,19 @@ def test_scores_and_sweeps(results):
     assert results.boosted_sweep.collect()[0]["rmse"] == pytest.approx(scores["GBT"]["rmse"])
     params = {(r["model"], r["param"]): r["value"] for r in results.parameters.collect()}
     assert params["GBT", "maxIter"] == "3" and params["DT", "maxDepth"] == "3"
+    assert params["DT_default", "maxDepth"] == "5" and params["DT_default", "maxBins"] == "32"
+
+
+def test_default_tree_has_its_own_row(results):
+    rows = results.tree_sweep.collect()
+    assert [(r["maxDepth"], r["best"], r["default"]) for r in rows] == [(3, True, False), (5, False, True)]
+    assert rows[1]["rmse"] > 0
 
 
 def test_chart_tables(results):
     chart = results.residual_chart.collect()
     assert len(chart) == 29 * 3
-    assert {r["series"] for r in chart} == {"LR_test_residue", "DT_test_residue", "GBT_test_residue"}
+    assert {r["series"] for r in chart} == {"LR_test_Residue", "DT_test_Residue", "GBT_test_Residue"}
     assert {r["position"] for r in chart} == set(range(29))
     assert {r["series"] for r in results.relative_error_chart.collect()} == {"DT_test_MAPE", "GBT_test_MAPE"}
 
