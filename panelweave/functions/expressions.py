@@ -12,6 +12,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def reference(name: str) -> str:
+    """A column name as Spark ML's inputs take it: quoted only where it must be."""
+    return name if name.replace("_", "a").isalnum() else quoted(name)
+
+
+def exact_name(written: str) -> str:
+    """The column name behind :func:`reference`."""
+    return written[1:-1].replace("``", "`") if written.startswith("`") else written
+
+
 def named(name: str) -> Column:
     """A column by its exact name, which may hold dots (indicator codes do) or spaces."""
     return F.col(quoted(name))

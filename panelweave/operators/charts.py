@@ -20,12 +20,12 @@ def chart_series(df: DataFrame, x: str, series: Mapping[str, str]) -> DataFrame:
 
 def xy_pairs(df: DataFrame, x: str, y: str, *keep: str) -> DataFrame:
     """``(x, y)`` points, with any columns to keep."""
-    return df.select(*keep, named(x).alias("x"), named(y).alias("y"))
+    return df.select(*[named(c) for c in keep], named(x).alias("x"), named(y).alias("y"))
 
 
 def date_label(df: DataFrame, timestamp: str, name: str = "label", pattern: str = "yyyy-MM") -> DataFrame:
     """Add an axis label made from a timestamp, months by default."""
-    return df.withColumn(name, F.date_format(timestamp, pattern))
+    return df.withColumn(name, F.date_format(named(timestamp), pattern))
 
 
 def pair_bins(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:

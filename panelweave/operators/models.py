@@ -2,7 +2,8 @@
 
 Every fit is a pipeline of feature assembly and one estimator, so a fitted
 model takes a panel as it is. Prediction columns have distinct names, so several
-models score one table in a chain, without a join.
+models score one table in a chain, without a join. Column names are taken
+literally, so a panel pivoted by dotted indicator codes can be fitted.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from panelweave.functions.expressions import exact_name, named, reference
+
 FEATURES = "features"
 
 # Settings of the linear fit.
@@ -43,21 +46,52 @@ BOOSTED_PARAMS = ("minInstancesPerNode", "maxDepth", "maxBins", "maxIter", "step
 
 def feature_assembler(features: Sequence[str]) -> VectorAssembler:
     """Numeric columns -> one vector, in the given order; a missing value is an error."""
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error")
+    return VectorAssembler(
+        inputCols=[reference(f) for f in features], outputCol=FEATURES, handleInvalid="error"
+    )
 
 
 def feature_vector(df: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
     """The feature table: key columns, vector, label."""
-    return feature_assembler(features).transform(df).select(*keep, FEATURES, label)
+    return feature_assembler(features).transform(df).select(
+        *[named(c) for c in keep], FEATURES, named(label)
+    )
+
+
+def label_column(label: str) -> str:
+    """Where an estimator finds the label: Spark ML takes plain names only for it."""
+    if reference(label) == label:
+        return label
+    return "_label_" + "".join(c if c.isalnum() else "_" for c in label)
+
+
+class PanelPipeline(Pipeline):
+    """A pipeline that is fitted on a plainly named copy of a label with dots or spaces."""
+
+    label: str
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        """The table with the label where the estimator finds it."""
+        column = label_column(self.label)
+        return df if column in df.columns else df.withColumn(column, named(self.label))
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return super()._fit(self.labelled(dataset))
 
 
-def pipeline(estimator: Estimator, features: Sequence[str]) -> Pipeline:
+def pipeline(estimator: Estimator, features: Sequence[str], label: str) -> PanelPipeline:
     """Feature assembly and one estimator."""
-    return Pipeline(stages=[feature_assembler(features), estimator])
+    plan = PanelPipeline(stages=[feature_assembler(features), estimator])
+    plan.label = label
+    return plan
 
 
 def _columns(label: str, prediction: str) -> dict[str, str]:
-    return {"featuresCol": FEATURES, "labelCol": label, "predictionCol": prediction}
+    return {
+        "featuresCol": FEATURES,
+        "labelCol": label_column(label),
+        "predictionCol": prediction,
+    }
 
 
 def linear_regression(
@@ -69,21 +103,21 @@ def linear_regression(
     the cross-products, whatever ``maxIter`` is.
     """
     settings = {**LINEAR_SETTINGS, **settings}
-    return pipeline(LinearRegression(**_columns(label, prediction), **settings), features)
+    return pipeline(LinearRegression(**_columns(label, prediction), **settings), features, label)
 
 
 def decision_tree(
     features: Sequence[str], label: str, prediction: str = "prediction", **settings
 ) -> Pipeline:
     """One regression tree, Spark's defaults unless set."""
-    return pipeline(DecisionTreeRegressor(**_columns(label, prediction), **settings), features)
+    return pipeline(DecisionTreeRegressor(**_columns(label, prediction), **settings), features, label)
 
 
 def boosted_trees(
     features: Sequence[str], label: str, prediction: str = "prediction", **settings
 ) -> Pipeline:
     """Gradient-boosted trees, Spark's defaults unless set."""
-    return pipeline(GBTRegressor(**_columns(label, prediction), **settings), features)
+    return pipeline(GBTRegressor(**_columns(label, prediction), **settings), features, label)
 
 
 def random_forest(
@@ -91,7 +125,7 @@ def random_forest(
 ) -> Pipeline:
     """A random forest; every setting that matters is explicit, see FOREST_SETTINGS."""
     settings = {**FOREST_SETTINGS, **settings}
-    return pipeline(RandomForestRegressor(**_columns(label, prediction), **settings), features)
+    return pipeline(RandomForestRegressor(**_columns(label, prediction), **settings), features, label)
 
 
 def predict(df: DataFrame, *models: PipelineModel) -> DataFrame:
@@ -103,12 +137,12 @@ def predict(df: DataFrame, *models: PipelineModel) -> DataFrame:
 
 def repeatable(df: DataFrame, key: str, partitions: int) -> DataFrame:
     """The rows in a fixed layout, so that seeded row samples draw the same rows again."""
-    return df.repartition(partitions, key).sortWithinPartitions(key)
+    return df.repartition(partitions, named(key)).sortWithinPartitions(named(key))
 
 
 def linear_report(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """``(measure, name, value)``: coefficients, intercept, training fit, iterations."""
-    features = model.stages[0].getInputCols()
+    features = [exact_name(f) for f in model.stages[0].getInputCols()]
     linear = model.stages[-1]
     summary = linear.summary
     rows = [("coefficient", f, float(c)) for f, c in zip(features, linear.coefficients)]

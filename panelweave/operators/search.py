@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.functions.expressions import named, reference
 from panelweave.functions.storage import scratch_dir
+from panelweave.operators.models import PanelPipeline
 from panelweave.operators.ranking import ordinal_index
 
 # The grids of the sweeps, first the full ones, then those in use.
@@ -160,6 +162,12 @@ def _inputs(plan: Pipeline) -> list[str]:
     return [*plan.getStages()[0].getInputCols(), plan.getStages()[-1].getLabelCol()]
 
 
+def prepared(plan: Pipeline, df: DataFrame, *more: str) -> DataFrame:
+    """Just the columns that a fit reads, and any more by their exact names."""
+    df = plan.labelled(df) if isinstance(plan, PanelPipeline) else df
+    return only(df, list(dict.fromkeys([*_inputs(plan), *map(reference, more)])))
+
+
 def _scores(
     plan: Pipeline,
     train: DataFrame,
@@ -175,7 +183,7 @@ def _scores(
     """
     _check_metric(metric)
     scratch_dir(train.sparkSession)  # boosting cuts its lineage there
-    train, test = only(train, _inputs(plan)), only(test, _inputs(plan))
+    train, test = prepared(plan, train), prepared(plan, test)
     index = {id(point): i for i, point in enumerate(points)}
     jobs = _jobs(plan, points)
     scores = [math.nan] * len(points)
@@ -262,7 +270,7 @@ def kfold_blocks(df: DataFrame, key: str, folds: int = 3, name: str = "fold") ->
 
 def kfold_hash(df: DataFrame, key: str, folds: int = 3, name: str = "fold") -> DataFrame:
     """Assign rows to folds by a hash of their key: repeatable, and without a shuffle."""
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    return df.withColumn(name, F.pmod(F.xxhash64(named(key)), F.lit(folds)).cast("int"))
 
 
 def cross_validate(
@@ -282,7 +290,7 @@ def cross_validate(
     scratch_dir(df.sparkSession)
     points = [dict(p) for p in points]
     inputs = _inputs(plan)
-    rows = df.select(*dict.fromkeys([*inputs, fold]))
+    rows = prepared(plan, df, fold)
     index = {id(point): i for i, point in enumerate(points)}
     scores = [[math.nan] * len(points) for _ in range(folds)]
     # Every fit reads the one stored table; folds and points share the pool.
@@ -290,7 +298,7 @@ def cross_validate(
 
         def score(task: tuple[int, list[Point]]) -> tuple[int, list[Point], list[float]]:
             f, job = task
-            train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+            train, test = rows.where(named(fold) != f), rows.where(named(fold) == f)
             found, _ = _score_job(plan, only(train, inputs), only(test, inputs), job, metric)
             return f, job, found
 

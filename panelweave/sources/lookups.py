@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.functions.expressions import named
+
 # The columns of an indicator metadata file.
 CATALOG_COLUMNS = ("INDICATOR_CODE", "INDICATOR_NAME", "SOURCE_NOTE", "SOURCE_ORGANIZATION")
 
@@ -25,9 +27,9 @@ def read_entity_types(spark: SparkSession, path: str) -> DataFrame:
 
 def unique_lookup(lookup: DataFrame, key: str, value: str) -> DataFrame:
     """The lookup with one row per key; a repeated key fails the query that reads it."""
-    repeated = F.raise_error(F.concat(F.lit(f"duplicate {key} in lookup: "), F.col(key).cast("string")))
-    return lookup.groupBy(key).agg(
-        F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(value)).alias(value)
+    repeated = F.raise_error(F.concat(F.lit(f"duplicate {key} in lookup: "), named(key).cast("string")))
+    return lookup.groupBy(named(key)).agg(
+        F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(named(value))).alias(value)
     )
 
 

@@ -267,3 +267,58 @@ def test_sweep_leaves_a_persisted_input_persisted(rows):
     search.sweep(models.linear_regression(PREDICTORS, "y"), mine, test, [{"regParam": 0.0}])
     assert mine.storageLevel.useMemory
     mine.unpersist()
+
+
+def dotted(rows):
+    names = {"a": "AG.LND", "b": "SP POP", "c": "NY`GDP", "y": "EN.ATM", "k": "row.key"}
+    return rows.withColumnsRenamed(names)
+
+
+@pytest.mark.parametrize(
+    "make", [models.linear_regression, models.decision_tree, models.boosted_trees, models.random_forest]
+)
+def test_names_with_dots_fit_as_plain_ones_do(rows, make):
+    train, test = split(rows)
+    plain = make(PREDICTORS, "y").fit(train).transform(test)
+    model = make(["AG.LND", "SP POP", "NY`GDP"], "EN.ATM").fit(dotted(train))
+    scored = models.predict(dotted(test).drop("EN.ATM"), model)
+    expected = {r["k"]: r["prediction"] for r in plain.collect()}
+    assert {r["row.key"]: r["prediction"] for r in scored.collect()} == pytest.approx(expected)
+
+
+def test_names_with_dots_in_reports_and_feature_tables(spark, rows):
+    df = dotted(rows)
+    model = models.linear_regression(["AG.LND", "SP POP"], "EN.ATM").fit(df)
+    report = models.linear_report(spark, model).where("measure = 'coefficient'").collect()
+    assert [r["name"] for r in report] == ["AG.LND", "SP POP"]
+    table = models.feature_vector(df, ["NY`GDP"], "EN.ATM", "row.key")
+    assert table.columns == ["row.key", "features", "EN.ATM"]
+    assert models.repeatable(df, "row.key", 3).count() == 120
+
+
+def test_names_with_dots_in_searches(rows):
+    features, points = ["AG.LND", "SP POP", "NY`GDP"], search.grid_points({"maxDepth": [1, 3]})
+    train, test = split(rows)
+    plain = search.sweep(models.decision_tree(PREDICTORS, "y"), train, test, points)
+    plan = models.decision_tree(features, "EN.ATM")
+    found = search.sweep(plan, dotted(train), dotted(test), points)
+    assert found.table.collect() == plain.table.collect()
+    boosted = models.boosted_trees(features, "EN.ATM", maxDepth=2)
+    steps = search.grid_points({"maxIter": [1, 3]})
+    shared = search.sweep(boosted, dotted(train), dotted(test), steps).table.collect()
+    assert shared[1]["rmse"] < shared[0]["rmse"]
+    for assign in (search.kfold_blocks, search.kfold_hash):
+        grid = {"maxDepth": [1, 3], "numTrees": [1]}
+        plain = search.forest_search(
+            models.random_forest(PREDICTORS, "y", bootstrap=False), rows, "k", grid, assign=assign
+        )
+        found = search.forest_search(
+            models.random_forest(features, "EN.ATM", bootstrap=False),
+            dotted(rows),
+            "row.key",
+            grid,
+            assign=assign,
+        )
+        assert found.best == plain.best
+        for a, b in zip(found.table.collect(), plain.table.collect()):
+            assert list(a) == pytest.approx(list(b))

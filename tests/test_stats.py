@@ -204,6 +204,7 @@ def test_series_keep_missing_points(spark):
 def test_xy_and_month_labels(spark):
     df = spark.createDataFrame([("k", 1.0, 2.0)], "k string, a double, b double")
     assert charts.xy_pairs(df, "a", "b", "k").collect() == [("k", 1.0, 2.0)]
+    assert charts.xy_pairs(df.withColumnRenamed("k", "k.k"), "a", "b", "k.k").columns == ["k.k", "x", "y"]
     dated = spark.sql("select timestamp_ntz '1996-03-31 23:59:59' as t")
     assert charts.date_label(dated, "t").collect()[0]["label"] == "1996-03"
 
