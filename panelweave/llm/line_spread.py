@@ -1,7 +1,7 @@
 """Lines that spread over many sites, found with one HyperLogLog sketch per line hash.
 
-A line counts if it has at least ``min_words`` words. Its spread is the number of
-distinct sites it occurs on. Sketches of sites are merged by aggregation; lines
+Every line with a word counts (``min_words`` raises that floor); blank lines stay. Its
+spread is the number of distinct sites it occurs on. Sketches of sites are merged by aggregation; lines
 whose estimate is near the threshold get an exact distinct count, so the decision
 is exact. A line on ``min_sites`` sites or more is boilerplate: it is removed from
 every document but the one with the smallest id that has it, so no passage leaves
@@ -22,7 +22,7 @@ from panelweave.functions.storage import materialize
 from panelweave.llm.rule_cascade import words
 
 MIN_SITES = 10
-MIN_WORDS = 3
+MIN_WORDS = 1
 # log2 of the sketch's registers; the relative error is about 1.04 / sqrt(2**12).
 SKETCH_BITS = 12
 ERRORS = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)

@@ -94,6 +94,18 @@ def test_lines_near_and_far_from_the_threshold(spark):
     assert dropped.where("doc_id in (7, 8)").count() == 3
 
 
+def test_short_lines_count(spark):
+    rows = [(i, f"site{i}", f"Read more\nLes.\n\nown {i}\n \t") for i in range(12)]
+    rows += [(20 + i, f"site{i}", "Log in") for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r["doc_id"]: r for r in line_spread.remove_spread_lines(table).collect()}
+    assert found[0]["text"] == rows[0][2] and found[0]["n_removed"] == 0
+    for i in range(1, 12):
+        assert found[i]["text"] == f"\nown {i}\n \t"
+        assert found[i]["n_lines"] == 5 and found[i]["n_removed"] == 2
+    assert all(found[20 + i]["text"] == "Log in" for i in range(9))
+
+
 def test_awkward_lines_stay(spark):
     table = docs(spark)
     found = line_spread.remove_spread_lines(table)
