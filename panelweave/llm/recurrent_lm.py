@@ -8,9 +8,9 @@ class, whose members have the smoothed unigram probability
 
     P(word | past) = P(class | state) * P(word | class, state)
 
-sums to one. The recurrent weights learn by truncated backpropagation on a fixed
-share of the training rows, shard by shard, and are averaged between rounds; biases
-start at the corpus counts. Scoring carries the state across windows, so a text's
+sums to one. The recurrent weights learn by truncated backpropagation on all
+training rows, each in one round, shard by shard, and are averaged between rounds;
+biases start at the corpus counts. Scoring carries the state across windows, so a text's
 score is that of the whole text.
 
 Words are known by 64-bit keys (see ``wordkeys``). NULL and empty texts are their end
@@ -40,8 +40,8 @@ SMOOTH = 0.1
 CLASSES, MEMBERS, HIDDEN = 32, 32, 16
 # Words whose counts go to every worker; the counts of all others are joined.
 HEAD_WORDS = 1 << 17
-# Share of the training rows that the recurrent weights see in each round.
-TRAIN_SHARE, ROUNDS = 0.02, 2
+# Share of the training rows that the recurrent weights see, dealt over the rounds.
+TRAIN_SHARE, ROUNDS = 1.0, 2
 SHARD_ROWS = 2000
 WINDOW, LANES = 16, 64
 
@@ -313,17 +313,18 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 def train_model(docs: DataFrame, words: Vocabulary, id_col: str, text: str) -> Model:
     """Averaged weights of shards that learn side by side, ``ROUNDS`` times.
 
-    Each round takes another ``TRAIN_SHARE`` of the rows, chosen by a hash of the id
-    and the text, so what is learnt from grows with the corpus. A shard holds about
-    ``SHARD_ROWS`` rows; only averages, as many as there are weights, reach the driver.
+    A hash of the id and the text deals the rows over the rounds, so that each is
+    learnt from once. A shard holds about ``SHARD_ROWS`` rows; only averages, as many
+    as there are weights, reach the driver.
     """
     model = Model(words)
     if not words.members:
         return model
+    dealt = docs.withColumn("_dice", F.xxhash64(id_col, text)).where(
+        F.pmod("_dice", F.lit(10_000)) < int(TRAIN_SHARE * 10_000)
+    )
     for number in range(ROUNDS):
-        chosen = docs.withColumn("_dice", F.xxhash64(id_col, text, F.lit(number))).where(
-            F.pmod("_dice", F.lit(10_000)) < int(TRAIN_SHARE * 10_000)
-        )
+        chosen = dealt.where(F.pmod(F.shiftright("_dice", 40), F.lit(ROUNDS)) == number)
         shards = max(1, round(chosen.select("_dice").count() / SHARD_ROWS))
 
         def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +352,9 @@ def train_model(docs: DataFrame, words: Vocabulary, id_col: str, text: str) -> M
         learnt = (
             chosen.select("_dice", text)
             .mapInArrow(number_words, "_dice long, words binary")
-            .groupBy(F.pmod(F.shiftright("_dice", 20), F.lit(shards)).alias("shard"))
+            .withColumn("shard", F.pmod(F.shiftright("_dice", 20), F.lit(shards)))
+            .repartition(shards, "shard")
+            .groupBy("shard")
             .applyInPandas(learn, "place int, weight double")
             .groupBy("place")
             .agg(F.avg("weight").alias("weight"))

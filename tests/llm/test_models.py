@@ -151,6 +151,22 @@ def test_language_model(spark, monkeypatch):
     assert recurrent_lm.score_texts(none(spark)).count() == 0
 
 
+def test_every_training_row_is_learnt_from(spark):
+    recurrent_lm.ship(spark)
+    for number in range(3):
+        one = spark.createDataFrame([(number + 1, "a few words to learn from")], "id long, text string")
+        words = recurrent_lm.read_vocabulary(recurrent_lm.count_words(one, "text"))
+        learnt = recurrent_lm.train_model(one, words, "id", "text").weights
+        assert not np.array_equal(learnt, recurrent_lm.Model(words).weights)
+
+
+def test_production_share_beats_the_base(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = recurrent_lm.score_texts(table).where("held_out")
+    score, base = found.agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > 0.97 * base
+
+
 def test_gradients_and_normalisation():
     random = np.random.default_rng(5)
     counts = np.sort(random.integers(1, 500, 1500))[::-1].astype(np.int64)
