@@ -1,14 +1,18 @@
 """A gated recurrent language model with a class-factored output, in numpy.
 
 Tokens are words (runs of bytes other than space and 0x09-0x0D, A-Z folded), then one
-end per text. Every training token of the corpus is counted. The most frequent
-words are the members of ``CLASSES`` classes, by rank; all others form one tail
-class, whose members have the smoothed unigram probability
+end per text. Every training token of the corpus is counted. The ``CLASSES * MEMBERS`` most
+frequent words are the members of classes, by rank. One more class holds all others:
+the rest of the head, ``HEAD_WORDS`` in all, in about sqrt(V) blocks by rank, and a
+last block of the words beyond it, which have the smoothed unigram probability
 ``(c + 0.1) / (T + 0.1 * (V' + 1))`` within it, with one place for unknown words. So
 
     P(word | past) = P(class | state) * P(word | class, state)
+    P(word | last class, state) = P(block | state) * P(word | block, state)
 
-sums to one. The recurrent weights learn by truncated backpropagation on all
+sums to one. A block has its own output vector; the vectors of its places are one of
+``TABLES`` tables by a hash of the block, added to the log counts of its words. Words
+outside the classes have hashed input vectors, ``BUCKETS`` in all. The recurrent weights learn by truncated backpropagation on all
 training rows, each in one round, shard by shard, and are averaged between rounds;
 biases start at the corpus counts. Scoring carries the state across windows, so a text's
 score is that of the whole text.
@@ -32,18 +36,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.storage import materialize
-from panelweave.llm.wordkeys import word_keys
+from panelweave.llm.wordkeys import mix, word_keys
 from panelweave.llm.workers import bounded, ship
 
 END = np.uint64(0x5BD1E9955BD1E995)
 SMOOTH = 0.1
+_SALT = np.uint64(1 << 32)
 CLASSES, MEMBERS, HIDDEN = 32, 32, 16
+TABLES, BUCKETS = 16, 2048
+# Words outside the classes whose logits are held at once.
+REST_PART = 512
 # Words whose counts go to every worker; the counts of all others are joined.
 HEAD_WORDS = 1 << 17
 # Share of the training rows that the recurrent weights see, dealt over the rounds.
 TRAIN_SHARE, ROUNDS = 1.0, 2
 SHARD_ROWS = 2000
-WINDOW, LANES = 16, 64
+WINDOW, LANES = 16, 128
 
 
 def held_out(id_col: Column, parts: int = 10, part: int = 0) -> Column:
@@ -77,14 +85,13 @@ class Vocabulary:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
         """``keys`` and ``counts``: the head, by falling count."""
         self.total, self.distinct = total, distinct
-        members = min(len(keys), CLASSES * MEMBERS)
+        members = len(keys)
+        self.direct = min(members, CLASSES * MEMBERS)
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
-        rank = np.empty(len(keys), np.int64)
-        rank[:] = order
-        # Word numbers 0.. are members by rank; the next number is the tail class.
-        self.number = np.where(rank < members, rank, members).astype(np.int32)
-        self.member_counts = counts[:members]
+        # Word numbers 0.. are the head by rank; the next number is all words beyond it.
+        self.number = order.astype(np.int32)
+        self.member_counts = counts
         self.members = members
         self.tail_count = total - int(self.member_counts.sum())
         self.tail_log = math.log10(self.tail_count + SMOOTH * (distinct - members + 1))
@@ -121,17 +128,35 @@ class Model:
     """Gated recurrent unit; ``weights`` is one flat array of all parameters."""
 
     def __init__(self, words: Vocabulary, weights: np.ndarray | None = None) -> None:
-        n, h = words.members + 1, HIDDEN
+        direct, h = words.direct, HIDDEN
+        rest = words.members - direct
         self.words = words
-        self.classes = -(-words.members // MEMBERS)
+        self.classes = -(-direct // MEMBERS)
+        self.places = max(1, math.isqrt(max(rest - 1, 0)) + 1)
+        self.blocks = -(-rest // self.places)
+        # The row of "into" that a word feeds: its own, a hashed one, or that of all beyond.
+        buckets = min(BUCKETS, rest)
+        self.row = np.arange(words.members + 1)
+        self.row[direct:-1] = direct + mix(np.arange(rest, dtype=np.uint64)) % max(buckets, 1)
+        self.row[-1] = direct + buckets
+        self.table = (mix(np.arange(self.blocks, dtype=np.uint64) + _SALT) % TABLES).astype(np.int64)
+        self.table = np.append(self.table, TABLES)
+        counts = np.zeros(self.blocks * self.places)
+        counts[:rest] = words.member_counts[direct:] + SMOOTH
+        self.block_counts = counts.reshape(self.blocks, self.places)
+        with np.errstate(divide="ignore"):
+            self.place_bias = np.log(self.block_counts).astype(np.float32)
         self.shapes = {
-            "into": (n, 3 * h),
+            "into": (direct + buckets + 1, 3 * h),
             "again": (h, 3 * h),
             "bias": (3 * h,),
             "classes": (h, self.classes + 1),
             "class_bias": (self.classes + 1,),
-            "members": (words.members, h),
-            "member_bias": (words.members,),
+            "members": (direct, h),
+            "member_bias": (direct,),
+            "blocks": (h, self.blocks + 1),
+            "block_bias": (self.blocks + 1,),
+            "places": (TABLES, self.places, h),
         }
         size = sum(math.prod(shape) for shape in self.shapes.values())
         self.weights = np.zeros(size, np.float32) if weights is None else weights.astype(np.float32)
@@ -151,14 +176,16 @@ class Model:
         for name, scale in (("into", 0.1), ("again", 0.25), ("classes", 0.1), ("members", 0.1)):
             self.part[name][:] = random.normal(0, scale, self.shapes[name])
         self.part["bias"][:HIDDEN] = 1.0  # keep the state at first
-        counts = self.words.member_counts + SMOOTH
+        counts = self.words.member_counts[: self.words.direct] + SMOOTH
         self.part["member_bias"][:] = np.log(counts)
         sums = np.add.reduceat(counts, np.arange(0, len(counts), MEMBERS)) if len(counts) else []
-        self.part["class_bias"][:] = np.log(np.append(sums, self.words.tail_count + SMOOTH))
+        blocks = np.append(self.block_counts.sum(1), self.words.tail_count + SMOOTH)
+        self.part["block_bias"][:] = np.log(blocks)
+        self.part["class_bias"][:] = np.log(np.append(sums, blocks.sum()))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         h, p = HIDDEN, self.part
-        fed = p["into"][word] + p["bias"]
+        fed = p["into"][self.row[word]] + p["bias"]
         back = state @ p["again"]
         gates = sigmoid(fed[:, : 2 * h] + back[:, : 2 * h])
         keep, reset = gates[:, :h], gates[:, h:]
@@ -166,7 +193,7 @@ class Model:
         return fresh + keep * (state - fresh), keep, reset, fresh, back[:, 2 * h :]
 
     def log_probability(self, states: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural log of each word's probability; for the tail, that of its class."""
+        """Natural log of each word's probability; beyond the head, that of the block."""
         return self._output(states, word, None)[0]
 
     def _output(
@@ -174,14 +201,12 @@ class Model:
     ) -> tuple[np.ndarray, np.ndarray | None]:
         p = self.part
         group = word // MEMBERS
-        group[word == self.words.members] = self.classes
+        group[word >= self.words.direct] = self.classes
         rows = np.arange(len(word))
-        log = _log_softmax(states @ p["classes"] + p["class_bias"])
-        out = log[rows, group]
+        wrong = states @ p["classes"] + p["class_bias"]
+        out = _chosen(wrong, rows, group, grad is not None)
         into = None
         if grad is not None:
-            wrong = np.exp(log)
-            wrong[rows, group] -= 1.0
             grad["classes"] += states.T @ wrong
             grad["class_bias"] += wrong.sum(0)
             into = wrong @ p["classes"].T
@@ -191,19 +216,61 @@ class Model:
             own = order[bounds[one] : bounds[one + 1]]
             if not len(own):
                 continue
-            block = slice(one * MEMBERS, min((one + 1) * MEMBERS, self.words.members))
+            block = slice(one * MEMBERS, min((one + 1) * MEMBERS, self.words.direct))
             held = states[own]
-            log = _log_softmax(held @ p["members"][block].T + p["member_bias"][block])
+            wrong = held @ p["members"][block].T + p["member_bias"][block]
             place = word[own] - block.start
-            out[own] += log[np.arange(len(own)), place]
+            out[own] += _chosen(wrong, np.arange(len(own)), place, grad is not None)
             if grad is not None:
-                wrong = np.exp(log)
-                wrong[np.arange(len(own)), place] -= 1.0
                 grad["members"][block] += wrong.T @ held
                 grad["member_bias"][block] += wrong.sum(0)
                 into[own] += wrong @ p["members"][block]
+        # By table, in parts whose logits stay in the processor's cache.
+        rest = order[bounds[-1] :]
+        rest = rest[np.argsort(self._block(word[rest])[1], kind="stable")]
+        for at in range(0, len(rest), REST_PART):
+            self._rest(states, word, rest[at : at + REST_PART], out, into, grad)
         return out, into
 
+    def _block(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block = (word - self.words.direct) // self.places
+        block[word == self.words.members] = self.blocks
+        return block, self.table[block]
+
+    def _rest(
+        self,
+        states: np.ndarray,
+        word: np.ndarray,
+        rest: np.ndarray,
+        out: np.ndarray,
+        into: np.ndarray | None,
+        grad: dict[str, np.ndarray] | None,
+    ) -> None:
+        """Adds block and place of the words at ``rest``, all outside the classes."""
+        p = self.part
+        block, table = self._block(word[rest])
+        held = states[rest]
+        wrong = held @ p["blocks"]
+        wrong += p["block_bias"]
+        out[rest] += _chosen(wrong, np.arange(len(rest)), block, grad is not None)
+        if grad is not None:
+            grad["blocks"] += held.T @ wrong
+            grad["block_bias"] += wrong.sum(0)
+            into[rest] += wrong @ p["blocks"].T
+        place = (word[rest] - self.words.direct) % self.places
+        bounds = np.searchsorted(table, np.arange(TABLES + 1))
+        for one in range(TABLES):
+            own = slice(bounds[one], bounds[one + 1])
+            n = own.stop - own.start
+            if not n:
+                continue
+            wrong = held[own] @ p["places"][one].T
+            wrong += self.place_bias[block[own]]
+            out[rest[own]] += _chosen(wrong, np.arange(n), place[own], grad is not None)
+            if grad is not None:
+                grad["places"][one] += wrong.T @ held[own]
+                into[rest[own]] += wrong @ p["places"][one]
+
     def window(self, state: np.ndarray, words: np.ndarray, grad: dict[str, np.ndarray]) -> tuple:
         """One truncated window of ``(steps, lanes)`` words: adds to ``grad``, returns
         the state after it and the log probability of its words (-1 is no word)."""
@@ -237,7 +304,7 @@ class Model:
                 ),
                 1,
             )
-            np.add.at(grad["into"], word, d_gates)
+            np.add.at(grad["into"], self.row[word], d_gates)
             grad["bias"] += d_gates.sum(0)
             d_back = np.concatenate((d_gates[:, : 2 * h], d_fresh * reset), 1)
             grad["again"] += old.T @ d_back
@@ -253,19 +320,28 @@ class Model:
         lanes = lanes.reshape(LANES, length).T
         state = np.zeros((LANES, HIDDEN), np.float32)
         mean, square = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        spare = np.empty_like(self.weights)
         for number, at in enumerate(range(0, length, WINDOW), start=1):
             words = lanes[at : at + WINDOW]
             flat = np.zeros_like(self.weights)
             state, log = self.window(state, words, self.parts(flat))
-            flat /= max(len(log), 1)
-            flat *= min(1.0, 1.0 / (float(np.linalg.norm(flat)) + 1e-9))
-            mean += 0.1 * (flat - mean)
-            square += 0.01 * (flat**2 - square)
+            norm = float(np.linalg.norm(flat)) / max(len(log), 1)
+            flat *= min(1.0, 1.0 / (norm + 1e-9)) / max(len(log), 1)
+            # In place: mean += 0.1 * (flat - mean), square += 0.01 * (flat**2 - square).
+            mean *= 0.9
+            mean += np.multiply(flat, 0.1, out=spare)
+            square *= 0.99
+            flat *= flat
+            square += np.multiply(flat, 0.01, out=flat)
             step = rate * math.sqrt(1 - 0.99**number) / (1 - 0.9**number)
-            self.weights -= step * mean / (np.sqrt(square) + 1e-6)
+            np.sqrt(square, out=spare)
+            spare += 1e-6
+            np.divide(mean, spare, out=spare)
+            spare *= step
+            self.weights -= spare
 
     def score(self, words: np.ndarray, starts: np.ndarray, lanes: int = 512) -> np.ndarray:
-        """Natural log probability of each whole text, the tail by class only."""
+        """Natural log probability of each whole text, words beyond the head by block only."""
         n = len(starts) - 1
         sizes = np.diff(starts)
         total = np.zeros(n)
@@ -305,9 +381,16 @@ class Model:
         return total
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _chosen(x: np.ndarray, rows: np.ndarray, places: np.ndarray, slope: bool) -> np.ndarray:
+    """Log softmax of ``x`` at ``places``; with ``slope``, ``x`` becomes the loss's gradient."""
+    x -= x.max(1, keepdims=True)
+    out = x[rows, places]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    if slope:
+        x /= total[:, None]
+        x[rows, places] -= 1.0
+    return out - np.log(total)
 
 
 def train_model(docs: DataFrame, words: Vocabulary, id_col: str, text: str) -> Model:
@@ -404,11 +487,9 @@ def score_texts(
             doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
             logs = np.where(head, np.log10(np.maximum(found, 0) + SMOOTH), 0.0)
             n = batch.num_rows
-            in_tail = numbers == words.members
             model_log = own.score(numbers, starts) / math.log(10)
-            # Tail words of the head table: their count is here, others' is joined.
-            model_log += np.bincount(doc, np.where(in_tail, logs, 0.0), n)
-            model_log -= np.bincount(doc, in_tail, n) * words.tail_log
+            # Counts of words beyond the head are joined.
+            model_log -= np.bincount(doc, ~head, n) * words.tail_log
             tail = keys[~head].view(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.bincount(doc, ~head, n)))).astype(np.int32)
             sizes = np.diff(starts)

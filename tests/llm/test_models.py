@@ -200,6 +200,21 @@ def test_gradients_and_normalisation():
     assert np.exp(log).sum() == pytest.approx(1.0)
 
 
+def test_words_outside_the_classes_are_told_apart():
+    random = np.random.default_rng(7)
+    keys = np.append(recurrent_lm.END, random.integers(0, 2**63, 2999).astype(np.uint64))
+    vocabulary = recurrent_lm.Vocabulary(keys, np.full(3000, 7), 21_000, 3000)
+    assert vocabulary.members == 3000 > recurrent_lm.CLASSES * recurrent_lm.MEMBERS
+    model = recurrent_lm.Model(vocabulary)
+    a, b, c, d = 1500, 1700, 2100, 2500
+    texts = [np.array([*((a, b) if first else (c, d)), 0], np.int32) for first in random.integers(0, 2, 60_000)]
+    model.train(texts)
+    for one, follower, other in ((a, b, d), (c, d, b)):
+        state = model.step(np.zeros((1, recurrent_lm.HIDDEN), np.float32), np.array([one]))[0]
+        log = model.log_probability(np.repeat(state, 2, 0), np.array([follower, other], np.int32))
+        assert log[0] > log[1] + 1
+
+
 def test_state_runs_through_whole_texts():
     random = np.random.default_rng(6)
     keys = np.append(random.integers(0, 2**63, 199).astype(np.uint64), recurrent_lm.END)
