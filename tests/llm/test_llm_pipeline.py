@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from llm_fixtures import docs, none, words
-from test_minhash import shingle_set
+from test_llm_minhash import shingle_set
 
 SMALL = "/root/testdata/sf0.001"
 
