@@ -15,10 +15,12 @@ from panelweave.llm import (
     ftrl_quality,
     line_spread,
     piece_sampling,
+    pivot_clusters,
     recurrent_lm,
     rule_cascade,
     soft_mixing,
     token_store,
+    turn_repair,
     url_filter,
 )
 
@@ -199,3 +201,151 @@ def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return adaptive_scan.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
+# crc32 of the text that names a row, its faults, and the cheapest edits by dynamic programming.
+TURNS_CHECK = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([n::UBIGINT], range(8)::UBIGINT[]),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) AS r(n)
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), dice AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::UBIGINT],
+      list_transform(string_split(name, ''), lambda c: ord(c)::UBIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 20 AS dice
+  FROM named, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN dice = 4 THEN 'user' ELSE role END AS role,
+         CASE dice WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dice, range(CASE dice WHEN 3 THEN 2 ELSE 1 END) WHERE dice <> 0
+), ordered AS (
+  SELECT *, row_number() OVER w AS pos,
+         lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS step
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                 WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 't' ELSE '.' END AS fault
+  FROM ordered
+), sizes AS (
+  SELECT conv_id, count(*) AS n FROM faults GROUP BY conv_id
+), states(due, given, next) AS (
+  VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)
+), inserts(due, added, audit, lines, next) AS (
+  SELECT due, 0, '', []::VARCHAR[], due FROM states
+  UNION ALL SELECT due, 3, 'I', [given || ':'], next FROM states
+  UNION ALL SELECT a.due, 6, 'II', [a.given || ':', b.given || ':'], b.next FROM states a JOIN states b ON b.due = a.next
+), walk AS (
+  SELECT conv_id, 1 AS pos, 0 AS due, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM sizes
+  UNION ALL
+  SELECT conv_id, pos, due, best.cost, best.audit, best.lines FROM (
+    SELECT conv_id, pos + 1 AS pos, due, min({cost: cost, audit: audit, lines: lines}) AS best
+    FROM (
+      SELECT w.conv_id, w.pos, w.audit || i.audit || e.edit AS audit,
+             w.cost + i.added + CASE e.edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+               + CASE WHEN e.edit <> 'D' AND f.fault = 't' THEN 3 ELSE 0 END AS cost,
+             CASE e.edit WHEN 'D' THEN list_concat(w.lines, i.lines)
+                         WHEN 'K' THEN list_append(list_concat(w.lines, i.lines), f.role || ':' || f.text)
+                         ELSE list_append(list_concat(w.lines, i.lines), s.given || ':' || f.text) END AS lines,
+             CASE WHEN e.edit = 'D' THEN i.next WHEN e.edit = 'K' AND f.role[1] = 's' THEN 1 ELSE s.next END AS due
+      FROM walk w
+      JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos
+      JOIN inserts i ON i.due = w.due
+      JOIN states s ON s.due = i.next
+      JOIN (VALUES ('D'), ('K'), ('R')) AS e(edit) ON
+        CASE e.edit WHEN 'D' THEN true WHEN 'R' THEN f.fault NOT IN ('b', 'd')
+             ELSE f.fault NOT IN ('b', 'd') AND (f.role[1] = s.given[1] OR (i.next = 0 AND f.role[1] = 's')) END
+    ) GROUP BY conv_id, pos, due
+  )
+), ends AS (
+  SELECT conv_id, min({cost: w.cost + i.added, audit: w.audit || i.audit, lines: list_concat(w.lines, i.lines)}) AS best
+  FROM walk w JOIN sizes z USING (conv_id) JOIN inserts i ON i.due = w.due
+  WHERE w.pos = z.n + 1 AND i.next IN (0, 3) GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank,
+       coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated,
+       coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost,
+       coalesce(e.best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op12_turn_repair", TURNS_CHECK)
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = turn_repair.prepared(turns, "conv_id", "turn", "role", "text")
+    repaired = turn_repair.repair(turn_repair.damage(rows), every=rows)
+    return repaired.summaries()
+
+
+def _clusters_check() -> str:
+    """The rounds written out one after another."""
+    size, scale = pivot_clusters.COMPONENTS, pivot_clusters.SCALE
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY hash, x) - 1)::INTEGER AS cluster, x AS c
+  FROM (SELECT x, sha256('{pivot_clusters.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS hash FROM kept)
+  QUALIFY cluster < {pivot_clusters.CLUSTERS}
+)"""
+    ]
+    for number in range(pivot_clusters.ROUNDS + 1):
+        steps.append(
+            f"""a{number} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(x) AS x,
+         min({{distance: list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, cluster: cluster}}) AS best
+  FROM kept, c{number} GROUP BY row
+)"""
+        )
+        if number < pivot_clusters.ROUNDS:
+            steps.append(
+                f"""c{number + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.c, o.c) AS c FROM c{number} o LEFT JOIN (
+    SELECT cluster, list(floored ORDER BY place) AS c FROM (
+      SELECT cluster, place, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floored
+      FROM (SELECT best.cluster AS cluster, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM a{number})
+      GROUP BY cluster, place) GROUP BY cluster) m USING (cluster)
+)"""
+            )
+    last = pivot_clusters.ROUNDS
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f"""
+SELECT vec_id, best.cluster AS cluster, best.distance AS distance,
+       (sum(best.distance) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+       (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON c{last}.cluster = best.cluster
+"""
+    )
+
+
+@query("op13_pivot_clusters", _clusters_check())
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    members, centroids = pivot_clusters.cluster_vectors(vectors)
+    digests = centroids.select(
+        F.col("cluster").alias("of"),
+        "cluster_inertia",
+        "inertia",
+        pivot_clusters.centroid_digest(F.col("components")).alias("centroid_sha256"),
+    )
+    # One row per centroid, CLUSTERS at most.
+    return members.join(F.broadcast(digests), F.col("cluster") == F.col("of")).drop("of")
