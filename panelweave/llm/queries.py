@@ -13,6 +13,7 @@ from panelweave.llm import (
     adaptive_scan,
     bbit_minhash,
     ftrl_quality,
+    kneser_ney,
     line_spread,
     piece_sampling,
     pivot_clusters,
@@ -349,3 +350,12 @@ def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # One row per centroid, CLUSTERS at most.
     return members.join(F.broadcast(digests), F.col("cluster") == F.col("of")).drop("of")
+
+
+@query("op11_kneser_ney")
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = ftrl_quality.remainder(F.col("doc_id"), 5) == 0
+    judge = kneser_ney.fit_judge(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = kneser_ney.score_toxicity(docs, judge)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
