@@ -3,19 +3,22 @@
 Tokens are words (runs of bytes other than space and 0x09-0x0D, A-Z folded), then one
 end per text. Every training token of the corpus is counted. The ``CLASSES * MEMBERS`` most
 frequent words are the members of classes, by rank. One more class holds all others:
-the rest of the head, ``HEAD_WORDS`` in all, in about sqrt(V) blocks by rank, and a
-last block of the words beyond it, which have the smoothed unigram probability
-``(c + 0.1) / (T + 0.1 * (V' + 1))`` within it, with one place for unknown words. So
+the rest of the head, ``HEAD_WORDS`` in all, lies by rank in about R**(1/3) blocks of as
+many sections of as many places, and a last block has the words beyond it, with the
+smoothed unigram probability ``(c + 0.1) / (T + 0.1 * (V' + 1))`` within it and one place
+for unknown words. So
 
     P(word | past) = P(class | state) * P(word | class, state)
-    P(word | last class, state) = P(block | state) * P(word | block, state)
+    P(word | last class, state) =
+        P(block | state) * P(section | block, state) * P(word | section, state)
 
-sums to one. A block has its own output vector; the vectors of its places are one of
-``TABLES`` tables by a hash of the block, added to the log counts of its words. Words
-outside the classes have hashed input vectors, ``BUCKETS`` in all. The recurrent weights learn by truncated backpropagation on all
-training rows, each in one round, shard by shard, and are averaged between rounds;
-biases start at the corpus counts. Scoring carries the state across windows, so a text's
-score is that of the whole text.
+sums to one. A block has its own output vector; the vectors of its sections and places
+are those of one of ``TABLES`` tables by a hash of the block, added to the log counts of
+its words. Words outside the classes have hashed input vectors, ``BUCKETS`` in all. The
+recurrent weights learn by truncated backpropagation on all training rows, each in one
+round, shard by shard, and are averaged between rounds; biases start at the corpus
+counts. Scoring carries the state across windows, so a text's score is that of the whole
+text.
 
 Words are known by 64-bit keys (see ``wordkeys``). NULL and empty texts are their end
 token alone; a NULL id counts as the empty id when rows are held out; repeated ids
@@ -42,16 +45,17 @@ from panelweave.llm.workers import bounded, ship
 END = np.uint64(0x5BD1E9955BD1E995)
 SMOOTH = 0.1
 _SALT = np.uint64(1 << 32)
-CLASSES, MEMBERS, HIDDEN = 32, 32, 16
+CLASSES, MEMBERS, HIDDEN = 64, 64, 16
 TABLES, BUCKETS = 16, 2048
-# Words outside the classes whose logits are held at once.
-REST_PART = 512
 # Words whose counts go to every worker; the counts of all others are joined.
 HEAD_WORDS = 1 << 17
-# Share of the training rows that the recurrent weights see, dealt over the rounds.
-TRAIN_SHARE, ROUNDS = 1.0, 2
-SHARD_ROWS = 2000
-WINDOW, LANES = 16, 128
+ROUNDS, SHARD_ROWS = 2, 4000
+#: Weights in a row of a shard's result, and rows that are summed at once.
+SLICE, FAN_IN = 1 << 15, 256
+WINDOW, LANES = 16, 512
+#: Updates that a shard makes at least, with fewer lanes if need be; words scored together.
+LEAST_STEPS, SCORE_WINDOW = 100, 16384
+RATE = 0.01
 
 
 def held_out(id_col: Column, parts: int = 10, part: int = 0) -> Column:
@@ -125,38 +129,47 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Gated recurrent unit; ``weights`` is one flat array of all parameters."""
+    """Gated recurrent unit; ``weights`` is one flat array of all parameters.
+
+    States and logits lie feature by token. States have a last feature of one, so the
+    biases are the last rows of the weights.
+    """
 
     def __init__(self, words: Vocabulary, weights: np.ndarray | None = None) -> None:
         direct, h = words.direct, HIDDEN
         rest = words.members - direct
         self.words = words
         self.classes = -(-direct // MEMBERS)
-        self.places = max(1, math.isqrt(max(rest - 1, 0)) + 1)
-        self.blocks = -(-rest // self.places)
+        # Words outside the classes by rank: block, section of the block, place in the section.
+        self.side = max(1, math.ceil(round(max(rest, 1) ** (1 / 3), 9)))
+        self.blocks = -(-rest // self.side**2)
         # The row of "into" that a word feeds: its own, a hashed one, or that of all beyond.
         buckets = min(BUCKETS, rest)
-        self.row = np.arange(words.members + 1)
-        self.row[direct:-1] = direct + mix(np.arange(rest, dtype=np.uint64)) % max(buckets, 1)
-        self.row[-1] = direct + buckets
-        self.table = (mix(np.arange(self.blocks, dtype=np.uint64) + _SALT) % TABLES).astype(np.int64)
-        self.table = np.append(self.table, TABLES)
-        counts = np.zeros(self.blocks * self.places)
+        row = np.arange(words.members + 1)
+        row[direct:-1] = direct + mix(np.arange(rest, dtype=np.uint64)) % max(buckets, 1)
+        row[-1] = direct + buckets
+        self.row = row.astype(np.uint16)
+        self.table = (mix(np.arange(self.blocks, dtype=np.uint64) + _SALT) % TABLES).astype(np.uint8)
+        counts = np.zeros(self.blocks * self.side**2)
         counts[:rest] = words.member_counts[direct:] + SMOOTH
-        self.block_counts = counts.reshape(self.blocks, self.places)
+        counts = counts.reshape(self.blocks, self.side, self.side)
+        self.block_counts = counts.sum((1, 2))
         with np.errstate(divide="ignore"):
-            self.place_bias = np.log(self.block_counts).astype(np.float32)
+            sections, places = np.log(counts.sum(2)), np.log(counts)
+        # Largest logit 0 in every softmax of counts alone; nothing is -40.
+        sections -= sections.max(1, initial=-40.0, keepdims=True)
+        places -= places.max(2, initial=-40.0, keepdims=True)
+        self.section_bias = np.ascontiguousarray(np.maximum(sections, -40.0).T, np.float32)
+        places = np.maximum(places, -40.0).reshape(self.blocks * self.side, self.side)
+        self.place_bias = np.ascontiguousarray(places.T, np.float32)
         self.shapes = {
             "into": (direct + buckets + 1, 3 * h),
-            "again": (h, 3 * h),
-            "bias": (3 * h,),
-            "classes": (h, self.classes + 1),
-            "class_bias": (self.classes + 1,),
-            "members": (direct, h),
-            "member_bias": (direct,),
-            "blocks": (h, self.blocks + 1),
-            "block_bias": (self.blocks + 1,),
-            "places": (TABLES, self.places, h),
+            "again": (h + 1, 3 * h),
+            "classes": (h + 1, self.classes + 1),
+            "members": (self.classes * MEMBERS, h + 1),
+            "blocks": (h + 1, self.blocks + 1),
+            "sections": (TABLES, self.side, h + 1),
+            "places": (TABLES, self.side, h + 1),
         }
         size = sum(math.prod(shape) for shape in self.shapes.values())
         self.weights = np.zeros(size, np.float32) if weights is None else weights.astype(np.float32)
@@ -175,156 +188,171 @@ class Model:
         random = np.random.default_rng(11)
         for name, scale in (("into", 0.1), ("again", 0.25), ("classes", 0.1), ("members", 0.1)):
             self.part[name][:] = random.normal(0, scale, self.shapes[name])
-        self.part["bias"][:HIDDEN] = 1.0  # keep the state at first
-        counts = self.words.member_counts[: self.words.direct] + SMOOTH
-        self.part["member_bias"][:] = np.log(counts)
-        sums = np.add.reduceat(counts, np.arange(0, len(counts), MEMBERS)) if len(counts) else []
-        blocks = np.append(self.block_counts.sum(1), self.words.tail_count + SMOOTH)
-        self.part["block_bias"][:] = np.log(blocks)
-        self.part["class_bias"][:] = np.log(np.append(sums, blocks.sum()))
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        h, p = HIDDEN, self.part
-        fed = p["into"][self.row[word]] + p["bias"]
-        back = state @ p["again"]
-        gates = sigmoid(fed[:, : 2 * h] + back[:, : 2 * h])
-        keep, reset = gates[:, :h], gates[:, h:]
-        fresh = 2.0 * sigmoid(2.0 * (fed[:, 2 * h :] + reset * back[:, 2 * h :])) - 1.0
-        return fresh + keep * (state - fresh), keep, reset, fresh, back[:, 2 * h :]
+        self.part["again"][-1] = 0.0
+        self.part["again"][-1, :HIDDEN] = 1.0  # keep the state at first
+        counts = np.full(self.classes * MEMBERS, 1e-12)
+        counts[: self.words.direct] = self.words.member_counts[: self.words.direct] + SMOOTH
+        sums = counts.reshape(self.classes, MEMBERS).sum(1)
+        blocks = np.append(self.block_counts, self.words.tail_count + SMOOTH)
+        self.part["members"][:, -1] = np.maximum(np.log(counts / np.repeat(sums, MEMBERS)), -40.0)
+        self.part["blocks"][-1] = np.log(blocks / blocks.sum())
+        sums = np.append(sums, blocks.sum())
+        self.part["classes"][-1] = np.log(sums / sums.sum())
+
+    def _feed(self, word: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.part["into"][self.row[word]].T)
+
+    def _step(self, state: np.ndarray, fed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(state, gates, fresh, back)`` after one word; ``state`` without the last feature."""
+        h = HIDDEN
+        back = self.part["again"].T @ state
+        gates = sigmoid(fed[: 2 * h] + back[: 2 * h])
+        fresh = np.tanh(fed[2 * h :] + gates[h:] * back[2 * h :])
+        return fresh + gates[:h] * (state[:h] - fresh), gates, fresh, back[2 * h :]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """States, one a row, after one word each."""
+        return self._step(_with_one(state.T), self._feed(word))[0].T
 
     def log_probability(self, states: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability; beyond the head, that of the block."""
-        return self._output(states, word, None)[0]
+        return self._output(_with_one(states.T), word, None)[0]
 
     def _output(
         self, states: np.ndarray, word: np.ndarray, grad: dict[str, np.ndarray] | None
     ) -> tuple[np.ndarray, np.ndarray | None]:
-        p = self.part
-        group = word // MEMBERS
-        group[word >= self.words.direct] = self.classes
-        rows = np.arange(len(word))
-        wrong = states @ p["classes"] + p["class_bias"]
-        out = _chosen(wrong, rows, group, grad is not None)
-        into = None
-        if grad is not None:
-            grad["classes"] += states.T @ wrong
-            grad["class_bias"] += wrong.sum(0)
-            into = wrong @ p["classes"].T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for one in range(self.classes):
-            own = order[bounds[one] : bounds[one + 1]]
-            if not len(own):
-                continue
-            block = slice(one * MEMBERS, min((one + 1) * MEMBERS, self.words.direct))
-            held = states[own]
-            wrong = held @ p["members"][block].T + p["member_bias"][block]
-            place = word[own] - block.start
-            out[own] += _chosen(wrong, np.arange(len(own)), place, grad is not None)
-            if grad is not None:
-                grad["members"][block] += wrong.T @ held
-                grad["member_bias"][block] += wrong.sum(0)
-                into[own] += wrong @ p["members"][block]
-        # By table, in parts whose logits stay in the processor's cache.
-        rest = order[bounds[-1] :]
-        rest = rest[np.argsort(self._block(word[rest])[1], kind="stable")]
-        for at in range(0, len(rest), REST_PART):
-            self._rest(states, word, rest[at : at + REST_PART], out, into, grad)
-        return out, into
-
-    def _block(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        block = (word - self.words.direct) // self.places
+        """Log probabilities of words after states and, with ``grad``, the slopes by state.
+
+        Tokens are sorted once, by class and then by table, so that each softmax of all
+        tokens is one array and only the products go class by class.
+        """
+        p, n = self.part, len(word)
+        direct = self.words.direct
+        beyond = word >= direct
+        rank = np.where(beyond, word - direct, 0)
+        block = rank // self.side**2
         block[word == self.words.members] = self.blocks
-        return block, self.table[block]
-
-    def _rest(
-        self,
-        states: np.ndarray,
-        word: np.ndarray,
-        rest: np.ndarray,
-        out: np.ndarray,
-        into: np.ndarray | None,
-        grad: dict[str, np.ndarray] | None,
-    ) -> None:
-        """Adds block and place of the words at ``rest``, all outside the classes."""
-        p = self.part
-        block, table = self._block(word[rest])
-        held = states[rest]
-        wrong = held @ p["blocks"]
-        wrong += p["block_bias"]
-        out[rest] += _chosen(wrong, np.arange(len(rest)), block, grad is not None)
-        if grad is not None:
-            grad["blocks"] += held.T @ wrong
-            grad["block_bias"] += wrong.sum(0)
-            into[rest] += wrong @ p["blocks"].T
-        place = (word[rest] - self.words.direct) % self.places
-        bounds = np.searchsorted(table, np.arange(TABLES + 1))
-        for one in range(TABLES):
-            own = slice(bounds[one], bounds[one + 1])
-            n = own.stop - own.start
-            if not n:
-                continue
-            wrong = held[own] @ p["places"][one].T
-            wrong += self.place_bias[block[own]]
-            out[rest[own]] += _chosen(wrong, np.arange(n), place[own], grad is not None)
-            if grad is not None:
-                grad["places"][one] += wrong.T @ held[own]
-                into[rest[own]] += wrong @ p["places"][one]
+        key = (word // MEMBERS).astype(np.uint8)
+        known = np.append(self.table, TABLES) + np.uint8(self.classes)
+        key[beyond] = known[block[beyond]]
+        order = np.argsort(key, kind="stable")
+        held = np.take(states, order, axis=1)
+        bounds = np.searchsorted(key[order], np.arange(self.classes + TABLES + 1))
+        split, most = bounds[self.classes], bounds[-1]
+        word, rank, block = word[order], rank[order], block[order]
+        group = np.minimum(key[order], self.classes).astype(np.int64)
+        slope = grad is not None
+
+        wrong = p["classes"].T @ held
+        log = _chosen(wrong, group, slope)
+        if slope:
+            grad["classes"] += held @ wrong.T
+            into = p["classes"] @ wrong
+        if split:
+            of = [slice(at * MEMBERS, (at + 1) * MEMBERS) for at in range(self.classes)]
+            tables = [p["members"][one] for one in of]
+            spans = list(zip(bounds[: self.classes], bounds[1:]))
+            wrong = _products(tables, held, spans, 0, split)
+            log[:split] += _chosen(wrong, word[:split] % MEMBERS, slope)
+            if slope:
+                _slopes([grad["members"][one] for one in of], tables, held, into, wrong, spans, 0)
+        if split < n:
+            own = held[:, split:]
+            wrong = p["blocks"].T @ own
+            log[split:] += _chosen(wrong, block[split:], slope)
+            if slope:
+                grad["blocks"] += own @ wrong.T
+                into[:, split:] += p["blocks"] @ wrong
+        if split < most:
+            spans = list(zip(bounds[self.classes : -1], bounds[self.classes + 1 :]))
+            rank, block = rank[split:most], block[split:most]
+            section = rank // self.side
+            for name, bias, at, place in (
+                ("sections", self.section_bias, block, section % self.side),
+                ("places", self.place_bias, section, rank % self.side),
+            ):
+                wrong = _products(p[name], held, spans, split, most)
+                wrong += np.take(bias, at, axis=1)
+                log[split:most] += _chosen(wrong, place, slope)
+                if slope:
+                    _slopes(grad[name], p[name], held, into, wrong, spans, split)
+        out = np.empty(n, log.dtype)
+        out[order] = log
+        if not slope:
+            return out, None
+        back = np.empty_like(into)
+        back[:, order] = into
+        return out, back
 
     def window(self, state: np.ndarray, words: np.ndarray, grad: dict[str, np.ndarray]) -> tuple:
         """One truncated window of ``(steps, lanes)`` words: adds to ``grad``, returns
         the state after it and the log probability of its words (-1 is no word)."""
         h, p = HIDDEN, self.part
         steps, lanes = words.shape
-        kept, before = [], np.empty((steps, lanes, h), np.float32)
-        for t in range(steps):
-            before[t] = state
-            word = np.where(words[t] < 0, self.words.end, words[t])
-            state, *rest = self.step(state, word)
-            on = (words[t] >= 0) & (words[t] != self.words.end)
-            state = state * on[:, None]
-            kept.append((word, on, rest))
+        kind = state.dtype
         flat = words.ravel()
-        real = np.flatnonzero(flat >= 0)
-        log, into = self._output(before.reshape(-1, h)[real], flat[real], grad)
-        from_output = np.zeros((steps * lanes, h), np.float32)
-        from_output[real] = into
-        from_output = from_output.reshape(steps, lanes, h)
-        later = np.zeros((lanes, h), np.float32)
+        safe = np.where(flat < 0, self.words.end, flat)
+        goes_on = ((flat >= 0) & (flat != self.words.end)).reshape(steps, lanes).astype(kind)
+        fed = np.ascontiguousarray(p["into"][self.row[safe]].reshape(steps, lanes, -1).transpose(0, 2, 1))
+        before = np.ones((h + 1, steps, lanes), kind)
+        now = np.ones((h + 1, lanes), kind)
+        now[:h] = state
+        kept = []
+        for t in range(steps):
+            before[:h, t] = now[:h]
+            after, *rest = self._step(now, fed[t])
+            np.multiply(after, goes_on[t], out=now[:h])
+            kept.append(rest)
+        states = before.reshape(h + 1, -1)
+        if flat.min(initial=0) < 0:
+            real = np.flatnonzero(flat >= 0)
+            log, some = self._output(states[:, real], flat[real], grad)
+            from_output = np.zeros_like(states)
+            from_output[:, real] = some
+        else:
+            log, from_output = self._output(states, flat, grad)
+        from_output = from_output.reshape(h + 1, steps, lanes)
+        later = np.zeros((h, lanes), kind)
+        d_fed = np.empty((steps, 3 * h, lanes), kind)
+        d_back = np.empty((3 * h, steps, lanes), kind)
+        again = p["again"][:h]
         for t in reversed(range(steps)):
-            word, on, (keep, reset, fresh, back) = kept[t]
-            d = later * on[:, None]
-            old = before[t]
-            d_fresh = d * (1 - keep) * (1 - fresh**2)
-            d_gates = np.concatenate(
-                (
-                    d * (old - fresh) * keep * (1 - keep),
-                    d_fresh * back * reset * (1 - reset),
-                    d_fresh,
-                ),
-                1,
-            )
-            np.add.at(grad["into"], self.row[word], d_gates)
-            grad["bias"] += d_gates.sum(0)
-            d_back = np.concatenate((d_gates[:, : 2 * h], d_fresh * reset), 1)
-            grad["again"] += old.T @ d_back
-            later = d * keep + d_back @ p["again"].T + from_output[t]
-        return state, log
-
-    def train(self, texts: list[np.ndarray], rate: float = 0.02) -> None:
+            gates, fresh, back = kept[t]
+            keep, reset = gates[:h], gates[h:]
+            d = later * goes_on[t]
+            held_back = d * keep
+            d_fresh = (d - held_back) * (1 - fresh * fresh)
+            slope = gates * (1 - gates)
+            own = d_fed[t]
+            np.multiply(d * (before[:h, t] - fresh), slope[:h], out=own[:h])
+            np.multiply(d_fresh * back, slope[h:], out=own[h : 2 * h])
+            own[2 * h :] = d_fresh
+            d_back[: 2 * h, t] = own[: 2 * h]
+            np.multiply(d_fresh, reset, out=d_back[2 * h :, t])
+            later = held_back + again @ d_back[:, t] + from_output[:h, t]
+        grad["again"] += states @ d_back.reshape(3 * h, -1).T
+        rows = self.row[safe]
+        order = np.argsort(rows, kind="stable")
+        by_row = d_fed.transpose(0, 2, 1).reshape(-1, 3 * h)[order]
+        found, first = np.unique(rows[order], return_index=True)
+        grad["into"][found] += np.add.reduceat(by_row, first)
+        return now[:h].copy(), log
+
+    def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
         """One pass of Adam over texts laid end to end in lanes."""
         stream = np.concatenate(texts)
-        length = -(-len(stream) // LANES)
-        lanes = np.full(LANES * length, -1, np.int32)
-        lanes[: len(stream)] = stream
-        lanes = lanes.reshape(LANES, length).T
-        state = np.zeros((LANES, HIDDEN), np.float32)
+        # Short streams get fewer lanes, so that the weights still move often.
+        lanes = int(np.clip(len(stream) // (WINDOW * LEAST_STEPS), 8, LANES))
+        length = -(-len(stream) // lanes)
+        laid = np.full(lanes * length, -1, np.int32)
+        laid[: len(stream)] = stream
+        laid = laid.reshape(lanes, length).T
+        state = np.zeros((HIDDEN, lanes), np.float32)
         mean, square = np.zeros_like(self.weights), np.zeros_like(self.weights)
-        spare = np.empty_like(self.weights)
+        spare, flat = np.empty_like(self.weights), np.empty_like(self.weights)
         for number, at in enumerate(range(0, length, WINDOW), start=1):
-            words = lanes[at : at + WINDOW]
-            flat = np.zeros_like(self.weights)
-            state, log = self.window(state, words, self.parts(flat))
+            flat.fill(0.0)
+            state, log = self.window(state, laid[at : at + WINDOW], self.parts(flat))
             norm = float(np.linalg.norm(flat)) / max(len(log), 1)
             flat *= min(1.0, 1.0 / (norm + 1e-9)) / max(len(log), 1)
             # In place: mean += 0.1 * (flat - mean), square += 0.01 * (flat**2 - square).
@@ -332,7 +360,8 @@ class Model:
             mean += np.multiply(flat, 0.1, out=spare)
             square *= 0.99
             flat *= flat
-            square += np.multiply(flat, 0.01, out=flat)
+            flat *= 0.01
+            square += flat
             step = rate * math.sqrt(1 - 0.99**number) / (1 - 0.9**number)
             np.sqrt(square, out=spare)
             spare += 1e-6
@@ -363,99 +392,169 @@ class Model:
         grid = np.argsort(step * lanes + seat[lane_of[row]])
         busy = len(ends) - np.searchsorted(np.sort(ends), np.arange(int(ends.max(initial=0))), "right")
         bounds = np.concatenate(([0], np.cumsum(busy)))
-        state = np.zeros((lanes, HIDDEN), np.float32)
-        for low in range(0, len(busy), 64):
-            high = min(low + 64, len(busy))
+        h = HIDDEN
+        state = np.ones((h + 1, lanes), np.float32)
+        state[:h] = 0.0
+        low = 0
+        while low < len(busy):
+            # Steps of about SCORE_WINDOW words together.
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SCORE_WINDOW, "right")) - 1)
             own = grid[bounds[low] : bounds[high]]
             seen = words[own]
-            before = np.empty((len(own), HIDDEN), np.float32)
+            fed = self._feed(seen)
+            goes_on = (seen != self.words.end).astype(np.float32)
+            before = np.empty((h + 1, len(own)), np.float32)
             for t in range(low, high):
                 a, b = bounds[t] - bounds[low], bounds[t + 1] - bounds[low]
-                word = seen[a:b]
-                state = state[: b - a]
-                before[a:b] = state
-                state = self.step(state, word)[0]
-                state[word == self.words.end] = 0.0
-            log = self.log_probability(before, seen)
-            total += np.bincount(row[own], log, n)
+                state = state[:, : b - a]
+                before[:, a:b] = state
+                after = self._step(state, fed[:, a:b])[0]
+                np.multiply(after, goes_on[a:b], out=state[:h])
+            total += np.bincount(row[own], self._output(before, seen, None)[0], n)
+            low = high
         return total
 
 
-def _chosen(x: np.ndarray, rows: np.ndarray, places: np.ndarray, slope: bool) -> np.ndarray:
-    """Log softmax of ``x`` at ``places``; with ``slope``, ``x`` becomes the loss's gradient."""
-    x -= x.max(1, keepdims=True)
-    out = x[rows, places]
+def _with_one(states: np.ndarray) -> np.ndarray:
+    return np.concatenate((states, np.ones((1, states.shape[1]), states.dtype)))
+
+
+def _chosen(x: np.ndarray, place: np.ndarray, slope: bool) -> np.ndarray:
+    """Log softmax of each column of ``x`` at ``place``; with ``slope``, ``x`` becomes the
+    loss's gradient."""
+    x -= x.max(0)
+    at = place * x.shape[1] + np.arange(x.shape[1])
+    out = x.ravel().take(at)
     np.exp(x, out=x)
-    total = x.sum(1)
+    total = x.sum(0)
     if slope:
-        x /= total[:, None]
-        x[rows, places] -= 1.0
+        x /= total
+        x.ravel()[at] -= 1.0
     return out - np.log(total)
 
 
-def train_model(docs: DataFrame, words: Vocabulary, id_col: str, text: str) -> Model:
+def _products(tables, held: np.ndarray, spans: list, low: int, high: int) -> np.ndarray:
+    """Logits of the columns ``low:high``, each span by its own table."""
+    out = np.empty((tables[0].shape[0], high - low), held.dtype)
+    for table, (a, b) in zip(tables, spans):
+        if b > a:
+            np.matmul(table, held[:, a:b], out=out[:, a - low : b - low])
+    return out
+
+
+def _slopes(grads, tables, held: np.ndarray, into: np.ndarray, wrong: np.ndarray, spans: list, low: int) -> None:
+    for grad, table, (a, b) in zip(grads, tables, spans):
+        if b > a:
+            own = wrong[:, a - low : b - low]
+            grad += own @ held[:, a:b].T
+            into[:, a:b] += table.T @ own
+
+
+def number_texts(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """Every row's word numbers and all that follows from counts, written once.
+
+    Training and scoring read the numbers; keys of words beyond the head stay beside
+    them, to be joined with their counts.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in bounded(batches, "text"):
+            keys, starts = tokens(batch.column("text"))
+            numbers, found = words.look_up(keys)
+            n, sizes = batch.num_rows, np.diff(starts)
+            doc = np.repeat(np.arange(n), sizes)
+            head = found >= 0
+            logs = np.where(head, np.log10(np.maximum(found, 0) + SMOOTH), 0.0)
+            in_tail = np.bincount(doc, ~head, n).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(in_tail))).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "row": row + np.arange(n),
+                    "doc_id": batch.column("id"),
+                    "held_out": batch.column("held_out"),
+                    "dice": batch.column("dice"),
+                    "n_tokens": sizes,
+                    "n_tail": in_tail,
+                    "base_log": np.bincount(doc, logs, n) - sizes * words.base_log,
+                    "words": pa.array(
+                        [numbers[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()
+                    ),
+                    "tail": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[~head].view(np.int64))),
+                }
+            )
+            row += n
+
+    dice = F.xxhash64("id", "text").alias("dice")
+    return materialize(
+        rows.select("id", "held_out", dice, "text").mapInArrow(
+            number,
+            "row long, doc_id long, held_out boolean, dice long, n_tokens long, n_tail long, "
+            "base_log double, words binary, tail array<bigint>",
+        ),
+        "word-numbers",
+    )
+
+
+def _add_slices(rows: pa.Table) -> pa.Table:
+    total = np.zeros(len(rows["sums"][0].as_py()) // 8)
+    for one in rows["sums"]:
+        total += np.frombuffer(one.as_py(), np.float64)
+    n = sum(rows["n"].to_pylist())
+    return pa.table(
+        {"slice": rows["slice"][:1], "shard": rows["shard"][:1], "n": [n], "sums": [total.tobytes()]}
+    )
+
+
+def train_model(numbered: DataFrame, words: Vocabulary) -> Model:
     """Averaged weights of shards that learn side by side, ``ROUNDS`` times.
 
-    A hash of the id and the text deals the rows over the rounds, so that each is
-    learnt from once. A shard holds about ``SHARD_ROWS`` rows; only averages, as many
-    as there are weights, reach the driver.
+    ``numbered`` has the columns ``dice`` and ``words`` of :func:`number_texts`. The dice
+    deal the rows over the rounds, so that each is learnt from once. A shard holds about
+    ``SHARD_ROWS`` rows. Weights move as slices of packed numbers, which are summed
+    ``FAN_IN`` at a time until one row a slice is left for the driver.
     """
     model = Model(words)
     if not words.members:
         return model
-    dealt = docs.withColumn("_dice", F.xxhash64(id_col, text)).where(
-        F.pmod("_dice", F.lit(10_000)) < int(TRAIN_SHARE * 10_000)
-    )
     for number in range(ROUNDS):
-        chosen = dealt.where(F.pmod(F.shiftright("_dice", 40), F.lit(ROUNDS)) == number)
-        shards = max(1, round(chosen.select("_dice").count() / SHARD_ROWS))
-
-        def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in bounded(batches, text):
-                keys, starts = tokens(batch.column(text))
-                found = words.look_up(keys)[0]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "_dice": batch.column("_dice"),
-                        "words": pa.array(
-                            [found[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])],
-                            pa.binary(),
-                        ),
-                    }
-                )
-
+        chosen = numbered.where(F.pmod(F.shiftright("dice", 40), F.lit(ROUNDS)) == number)
+        shards = max(1, round(chosen.count() / SHARD_ROWS))
         weights = model.weights
 
         def learn(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["_dice", "words"])
+            rows = rows.sort_values(["dice", "words"])
             own = Model(words, weights)
             own.train([np.frombuffer(one, np.int32) for one in rows["words"]])
-            return pd.DataFrame({"place": np.arange(len(own.weights)), "weight": own.weights})
-
-        learnt = (
-            chosen.select("_dice", text)
-            .mapInArrow(number_words, "_dice long, words binary")
-            .withColumn("shard", F.pmod(F.shiftright("_dice", 20), F.lit(shards)))
-            .repartition(shards, "shard")
+            learnt = own.weights.astype(np.float64)
+            parts = [learnt[at : at + SLICE].tobytes() for at in range(0, len(learnt), SLICE)]
+            shard = int(rows["shard"].iloc[0])
+            return pd.DataFrame({"slice": range(len(parts)), "shard": shard, "n": 1, "sums": parts})
+
+        kind = "slice int, shard long, n long, sums binary"
+        sums = (
+            chosen.select("dice", "words")
+            .withColumn("shard", F.pmod(F.shiftright("dice", 20), F.lit(shards)))
+            .repartitionById(shards, F.col("shard").cast("int"))
             .groupBy("shard")
-            .applyInPandas(learn, "place int, weight double")
-            .groupBy("place")
-            .agg(F.avg("weight").alias("weight"))
-            .toArrow()
+            .applyInPandas(learn, kind)
         )
+        groups = shards
+        while groups > 1:
+            groups = -(-groups // FAN_IN)
+            sums = (
+                sums.withColumn("shard", F.floor(F.col("shard") / FAN_IN))
+                .groupBy("slice", "shard")
+                .applyInArrow(_add_slices, kind)
+            )
+        learnt = sums.orderBy("slice").toArrow()
         if learnt.num_rows:
-            averaged = np.zeros(len(weights), np.float32)
-            averaged[learnt["place"].to_numpy()] = learnt["weight"].to_numpy()
-            model = Model(words, averaged)
+            n = learnt["n"][0].as_py()
+            total = np.frombuffer(b"".join(learnt["sums"].to_pylist()), np.float64)
+            model = Model(words, (total / n).astype(np.float32))
     return model
 
 
-SCORED = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_head long, n_tail long, "
-    "base_log double, model_log double, tail array<bigint>"
-)
-
-
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -471,46 +570,32 @@ def score_texts(
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         held_out(F.col(f"`{id_col}`")).alias("held_out"),
     )
-    learnable = rows.where(~F.col("held_out"))
-    counts = materialize(count_words(learnable, "text"), "word-counts")
+    counts = materialize(count_words(rows.where(~F.col("held_out")), "text"), "word-counts")
     words = read_vocabulary(counts)
-    model = train_model(learnable, words, "id", "text")
-    weights = model.weights
+    numbered = number_texts(rows, words)
+    weights = train_model(numbered.where(~F.col("held_out")), words).weights
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_tail", "base_log"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(words, weights)
-        row = TaskContext.get().partitionId() << 40
-        for batch in bounded(batches, "text"):
-            keys, starts = tokens(batch.column("text"))
-            numbers, found = words.look_up(keys)
-            head = found >= 0
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            logs = np.where(head, np.log10(np.maximum(found, 0) + SMOOTH), 0.0)
-            n = batch.num_rows
+        for batch in bounded(batches, "words"):
+            numbers = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.int32)
+            starts = np.concatenate(([0], np.cumsum(batch.column("n_tokens").to_numpy())))
             model_log = own.score(numbers, starts) / math.log(10)
             # Counts of words beyond the head are joined.
-            model_log -= np.bincount(doc, ~head, n) * words.tail_log
-            tail = keys[~head].view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(doc, ~head, n)))).astype(np.int32)
-            sizes = np.diff(starts)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "row": row + np.arange(n),
-                    "doc_id": batch.column("id"),
-                    "held_out": batch.column("held_out"),
-                    "n_tokens": sizes,
-                    "n_head": np.bincount(doc, head, n).astype(np.int64),
-                    "n_tail": np.diff(ends).astype(np.int64),
-                    "base_log": np.bincount(doc, logs, n) - sizes * words.base_log,
-                    "model_log": model_log,
-                    "tail": pa.ListArray.from_arrays(pa.array(ends), pa.array(tail)),
-                }
+            model_log -= batch.column("n_tail").to_numpy() * words.tail_log
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(name) for name in kept], pa.array(model_log)], [*kept, "model_log"]
             )
-            row += n
 
-    scored = materialize(rows.mapInArrow(score, SCORED), "text-scores")
+    scored = numbered.select(*kept, "words").mapInArrow(
+        score,
+        "row long, doc_id long, held_out boolean, n_tokens long, n_tail long, base_log double, "
+        "model_log double",
+    )
     tails = (
-        scored.select("row", F.explode("tail").alias("key"))
+        numbered.select("row", F.explode("tail").alias("key"))
         .join(counts, "key", "left")
         .groupBy("row")
         .agg(
@@ -519,11 +604,11 @@ def score_texts(
         )
     )
     tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return scored.drop("tail").join(tails, "row", "left").select(
+    return scored.join(tails, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("n_tokens") - F.col("n_tail") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
         (F.col("base_log") + tail_log).alias("base_score"),
         (F.col("model_log") + tail_log).alias("score"),

@@ -130,7 +130,6 @@ def lm_by_hand(rows):
 
 
 def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(recurrent_lm, "TRAIN_SHARE", 0.9)
     monkeypatch.setattr(recurrent_lm, "HEAD_WORDS", 3000)
     table = docs(spark).select("doc_id", "text").union(
         spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id") + 100, "text")
@@ -156,7 +155,8 @@ def test_every_training_row_is_learnt_from(spark):
     for number in range(3):
         one = spark.createDataFrame([(number + 1, "a few words to learn from")], "id long, text string")
         words = recurrent_lm.read_vocabulary(recurrent_lm.count_words(one, "text"))
-        learnt = recurrent_lm.train_model(one, words, "id", "text").weights
+        rows = one.withColumn("held_out", F.lit(False))
+        learnt = recurrent_lm.train_model(recurrent_lm.number_texts(rows, words), words).weights
         assert not np.array_equal(learnt, recurrent_lm.Model(words).weights)
 
 
@@ -169,12 +169,13 @@ def test_production_share_beats_the_base(spark):
 
 def test_gradients_and_normalisation():
     random = np.random.default_rng(5)
-    counts = np.sort(random.integers(1, 500, 1500))[::-1].astype(np.int64)
+    distinct = recurrent_lm.CLASSES * recurrent_lm.MEMBERS + 500
+    counts = np.sort(random.integers(1, 500, distinct))[::-1].astype(np.int64)
     counts[3] += 10**4
-    keys = random.integers(0, 2**63, 1500).astype(np.uint64)
+    keys = random.integers(0, 2**63, distinct).astype(np.uint64)
     keys[3] = recurrent_lm.END
     order = np.argsort(-counts, kind="stable")
-    vocabulary = recurrent_lm.Vocabulary(keys[order], counts[order], int(counts.sum()), 1500)
+    vocabulary = recurrent_lm.Vocabulary(keys[order], counts[order], int(counts.sum()), distinct)
     model = recurrent_lm.Model(vocabulary)
     model.weights = model.weights.astype(np.float64)
     model.part = model.parts(model.weights)
@@ -183,10 +184,10 @@ def test_gradients_and_normalisation():
 
     def loss():
         flat = np.zeros_like(model.weights)
-        return model.window(np.zeros((4, recurrent_lm.HIDDEN)), numbers, model.parts(flat))[1].sum()
+        return model.window(np.zeros((recurrent_lm.HIDDEN, 4)), numbers, model.parts(flat))[1].sum()
 
     slope = np.zeros_like(model.weights)
-    model.window(np.zeros((4, recurrent_lm.HIDDEN)), numbers, model.parts(slope))
+    model.window(np.zeros((recurrent_lm.HIDDEN, 4)), numbers, model.parts(slope))
     for place in np.flatnonzero(np.abs(slope) > 1e-3)[::997]:
         held, step = model.weights[place], 1e-5
         model.weights[place] = held + step
@@ -202,15 +203,17 @@ def test_gradients_and_normalisation():
 
 def test_words_outside_the_classes_are_told_apart():
     random = np.random.default_rng(7)
-    keys = np.append(recurrent_lm.END, random.integers(0, 2**63, 2999).astype(np.uint64))
-    vocabulary = recurrent_lm.Vocabulary(keys, np.full(3000, 7), 21_000, 3000)
-    assert vocabulary.members == 3000 > recurrent_lm.CLASSES * recurrent_lm.MEMBERS
+    direct = recurrent_lm.CLASSES * recurrent_lm.MEMBERS
+    distinct = direct + 1976
+    keys = np.append(recurrent_lm.END, random.integers(0, 2**63, distinct - 1).astype(np.uint64))
+    vocabulary = recurrent_lm.Vocabulary(keys, np.full(distinct, 7), 7 * distinct, distinct)
+    assert vocabulary.members == distinct
     model = recurrent_lm.Model(vocabulary)
-    a, b, c, d = 1500, 1700, 2100, 2500
+    a, b, c, d = (direct + at for at in (476, 676, 1076, 1476))
     texts = [np.array([*((a, b) if first else (c, d)), 0], np.int32) for first in random.integers(0, 2, 60_000)]
     model.train(texts)
     for one, follower, other in ((a, b, d), (c, d, b)):
-        state = model.step(np.zeros((1, recurrent_lm.HIDDEN), np.float32), np.array([one]))[0]
+        state = model.step(np.zeros((1, recurrent_lm.HIDDEN), np.float32), np.array([one]))
         log = model.log_probability(np.repeat(state, 2, 0), np.array([follower, other], np.int32))
         assert log[0] > log[1] + 1
 
@@ -228,7 +231,7 @@ def test_state_runs_through_whole_texts():
         state, total = np.zeros((1, recurrent_lm.HIDDEN), np.float32), 0.0
         for word in text:
             total += model.log_probability(state, np.array([word]))[0]
-            state = model.step(state, np.array([word]))[0]
+            state = model.step(state, np.array([word]))
         assert score == pytest.approx(total, rel=1e-4)
 
 
