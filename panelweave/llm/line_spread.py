@@ -1,8 +1,8 @@
 """Lines that spread over many sites, found with one HyperLogLog sketch per line hash.
 
 Every line with a word counts (``min_words`` raises that floor); blank lines stay. Its
-spread is the number of distinct sites it occurs on. Sketches of sites are merged by aggregation; lines
-whose estimate is near the threshold get an exact distinct count, so the decision
+spread is the number of distinct sites it occurs on. Sketches of sites are merged by
+aggregation; lines whose estimate is near the threshold get an exact distinct count, so the decision
 is exact. A line on ``min_sites`` sites or more is boilerplate: it is removed from
 every document but the one with the smallest id that has it, so no passage leaves
 the corpus altogether.
@@ -33,18 +33,26 @@ def line_hash(line: Column) -> Column:
 
 
 def counted(line: Column, min_words: int) -> Column:
+    if min_words <= 1:
+        return line.rlike(r"[^ \t\n\x0B\f\r]")
     return F.size(words(line)) >= min_words
 
 
+def _row_without_id(id_col: str, text: str) -> Column:
+    """Tells rows without an id apart, NULL for all others."""
+    return F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text}`")))
+
+
 def _occurrences(docs: DataFrame, id_col: str, site: str, text: str, min_words: int) -> DataFrame:
-    """``(_line, _line_site, _line_id)`` of every line that counts."""
+    """``(_line, _line_site, _line_id, _line_row)`` of every line that counts."""
     exploded = docs.select(
         F.col(f"`{id_col}`").alias("_line_id"),
+        _row_without_id(id_col, text).alias("_line_row"),
         F.col(f"`{site}`").alias("_line_site"),
         F.explode(F.split(f"`{text}`", "\n")).alias("_line_text"),
     )
     return exploded.where(counted(F.col("_line_text"), min_words)).select(
-        line_hash(F.col("_line_text")).alias("_line"), "_line_site", "_line_id"
+        line_hash(F.col("_line_text")).alias("_line"), "_line_site", "_line_id", "_line_row"
     )
 
 
@@ -91,8 +99,8 @@ def remove_spread_lines(
 ) -> DataFrame:
     """All rows, boilerplate lines taken out of ``text``; adds ``n_lines`` and ``n_removed``.
 
-    The lines to remove are gathered by document id, at most the boilerplate lines
-    that occur under it, and joined back; texts move only if that side is too
+    The lines to remove are gathered by document id (rows without one by their text),
+    at most the boilerplate lines that occur under it, and joined back; texts move only if that side is too
     large to broadcast.
     """
     found = materialize(
@@ -102,39 +110,35 @@ def remove_spread_lines(
         _occurrences(docs, id_col, site, text, min_words)
         .join(found, "_line")
         .where(~F.col("_line_id").eqNullSafe(F.col("_line_keeper")))
-        .groupBy("_line_id")
+        .groupBy("_line_id", "_line_row")
         .agg(F.collect_set("_line").alias("_line_bad"))
     )
-    joined = docs.join(affected, F.col(f"`{id_col}`").eqNullSafe(F.col("_line_id")), "left")
-    parts = F.split(f"`{text}`", "\n")
-    kept = F.when(
-        F.col("_line_bad").isNull() | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")
-    ).otherwise(
-        F.array_join(
-            F.filter(
-                parts,
-                lambda line: ~(
-                    F.array_contains(F.col("_line_bad"), line_hash(line))
-                    & counted(line, min_words)
-                ),
-            ),
-            "\n",
-        )
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_line_id")) & _row_without_id(id_col, text).eqNullSafe(
+        F.col("_line_row")
     )
-    bad = F.coalesce(F.col("_line_bad"), F.array().cast("array<bigint>"))
-    removed = F.size(
+    joined = docs.join(affected, same, "left")
+    parts = F.split(f"`{text}`", "\n")
+    # Lines that stay, found once; NULL where nothing is to go.
+    staying = F.when(
+        F.col("_line_bad").isNotNull() & F.col(f"`{text}`").isNotNull(),
         F.filter(
             parts,
-            lambda line: F.array_contains(bad, line_hash(line)) & counted(line, min_words),
-        )
+            lambda line: ~(
+                F.array_contains(F.col("_line_bad"), line_hash(line)) & counted(line, min_words)
+            ),
+        ),
     )
+    joined = joined.withColumn("_line_staying", staying)
+    staying = F.col("_line_staying")
+    kept = F.coalesce(F.array_join(staying, "\n"), F.col(f"`{text}`"))
+    removed = F.size(parts) - F.size(staying)
     return joined.select(
         *[
             (kept if name == text else F.col(f"`{name}`")).alias(name)
             for name in docs.columns
         ],
         F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("_line_bad").isNull() | F.col(f"`{text}`").isNull(), 0)
+        F.when(staying.isNull(), 0)
         .otherwise(removed)
         .cast("long")
         .alias("n_removed"),

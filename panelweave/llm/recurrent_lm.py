@@ -163,7 +163,7 @@ class Model:
         places = np.maximum(places, -40.0).reshape(self.blocks * self.side, self.side)
         self.place_bias = np.ascontiguousarray(places.T, np.float32)
         self.shapes = {
-            "into": (direct + buckets + 1, 3 * h),
+            "into": (3 * h, direct + buckets + 1),
             "again": (h + 1, 3 * h),
             "classes": (h + 1, self.classes + 1),
             "members": (self.classes * MEMBERS, h + 1),
@@ -200,7 +200,7 @@ class Model:
         self.part["classes"][-1] = np.log(sums / sums.sum())
 
     def _feed(self, word: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(self.part["into"][self.row[word]].T)
+        return np.take(self.part["into"], self.row[word], axis=1)
 
     def _step(self, state: np.ndarray, fed: np.ndarray) -> tuple[np.ndarray, ...]:
         """``(state, gates, fresh, back)`` after one word; ``state`` without the last feature."""
@@ -293,14 +293,14 @@ class Model:
         flat = words.ravel()
         safe = np.where(flat < 0, self.words.end, flat)
         goes_on = ((flat >= 0) & (flat != self.words.end)).reshape(steps, lanes).astype(kind)
-        fed = np.ascontiguousarray(p["into"][self.row[safe]].reshape(steps, lanes, -1).transpose(0, 2, 1))
+        fed = self._feed(safe).reshape(3 * h, steps, lanes)
         before = np.ones((h + 1, steps, lanes), kind)
         now = np.ones((h + 1, lanes), kind)
         now[:h] = state
         kept = []
         for t in range(steps):
             before[:h, t] = now[:h]
-            after, *rest = self._step(now, fed[t])
+            after, *rest = self._step(now, fed[:, t])
             np.multiply(after, goes_on[t], out=now[:h])
             kept.append(rest)
         states = before.reshape(h + 1, -1)
@@ -313,7 +313,7 @@ class Model:
             log, from_output = self._output(states, flat, grad)
         from_output = from_output.reshape(h + 1, steps, lanes)
         later = np.zeros((h, lanes), kind)
-        d_fed = np.empty((steps, 3 * h, lanes), kind)
+        d_fed = np.empty((3 * h, steps, lanes), kind)
         d_back = np.empty((3 * h, steps, lanes), kind)
         again = p["again"][:h]
         for t in reversed(range(steps)):
@@ -323,7 +323,7 @@ class Model:
             held_back = d * keep
             d_fresh = (d - held_back) * (1 - fresh * fresh)
             slope = gates * (1 - gates)
-            own = d_fed[t]
+            own = d_fed[:, t]
             np.multiply(d * (before[:h, t] - fresh), slope[:h], out=own[:h])
             np.multiply(d_fresh * back, slope[h:], out=own[h : 2 * h])
             own[2 * h :] = d_fresh
@@ -331,11 +331,10 @@ class Model:
             np.multiply(d_fresh, reset, out=d_back[2 * h :, t])
             later = held_back + again @ d_back[:, t] + from_output[:h, t]
         grad["again"] += states @ d_back.reshape(3 * h, -1).T
-        rows = self.row[safe]
-        order = np.argsort(rows, kind="stable")
-        by_row = d_fed.transpose(0, 2, 1).reshape(-1, 3 * h)[order]
-        found, first = np.unique(rows[order], return_index=True)
-        grad["into"][found] += np.add.reduceat(by_row, first)
+        rows = self.row[safe].astype(np.int64)
+        for feature in range(3 * h):
+            own = d_fed[feature].ravel()
+            grad["into"][feature] += np.bincount(rows, own, grad["into"].shape[1])
         return now[:h].copy(), log
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
@@ -355,16 +354,15 @@ class Model:
             state, log = self.window(state, laid[at : at + WINDOW], self.parts(flat))
             norm = float(np.linalg.norm(flat)) / max(len(log), 1)
             flat *= min(1.0, 1.0 / (norm + 1e-9)) / max(len(log), 1)
-            # In place: mean += 0.1 * (flat - mean), square += 0.01 * (flat**2 - square).
+            # Sums that decay, 10 times the running mean and 100 times the running square.
             mean *= 0.9
-            mean += np.multiply(flat, 0.1, out=spare)
+            mean += flat
             square *= 0.99
             flat *= flat
-            flat *= 0.01
             square += flat
             step = rate * math.sqrt(1 - 0.99**number) / (1 - 0.9**number)
             np.sqrt(square, out=spare)
-            spare += 1e-6
+            spare += 1e-5
             np.divide(mean, spare, out=spare)
             spare *= step
             self.weights -= spare
@@ -421,8 +419,10 @@ def _with_one(states: np.ndarray) -> np.ndarray:
 
 def _chosen(x: np.ndarray, place: np.ndarray, slope: bool) -> np.ndarray:
     """Log softmax of each column of ``x`` at ``place``; with ``slope``, ``x`` becomes the
-    loss's gradient."""
-    x -= x.max(0)
+    loss's gradient. Where logits are moderate they need no shift."""
+    top = x.max(0)
+    if top.max(initial=0.0) > 60.0 or top.min(initial=0.0) < -60.0:
+        x -= top
     at = place * x.shape[1] + np.arange(x.shape[1])
     out = x.ravel().take(at)
     np.exp(x, out=x)

@@ -7,23 +7,26 @@ an earlier one), ``n_upper`` (A-Z), ``n_repeat_words`` (words inside 8-word wind
 that occur at least twice, the first one included).
 
 A rule rejects when its expression is true. The verdict is "no rule rejects" in
-any order; the order only decides which rules are evaluated. NULL and empty texts
-have no words and are rejected. Extra columns are kept; a column whose name starts
-with ``_rule`` is reserved. All of it is DataFrame expressions.
+any order; the order only decides which rules are evaluated. Each count, and each
+list of words or lines behind it, is computed once a row, when the first rule asks for
+it. NULL and empty texts have no words and are rejected. Extra columns are kept; a
+column whose name starts with ``_rule`` is reserved. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# The characters between words, and those counted as symbols.
-BETWEEN = " \t\n\x0b\x0c\r"
+from panelweave.functions.expressions import named
+
+# The characters counted as symbols, and the words of a window.
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 
 
@@ -32,47 +35,45 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def pieces(text: Column) -> Column:
+    """The text cut at every space and 0x09-0x0D: words, and empty pieces between."""
+    return F.split(text, r"[ \t\n\x0B\f\r]")
 
 
-def words(text: Column) -> Column:
-    spaced = F.translate(text, BETWEEN, " " * len(BETWEEN))
-    return F.filter(F.split(spaced, " "), lambda word: word != "")
+def filled(found: Column) -> Column:
+    return F.filter(found, lambda piece: piece != "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+def words(text: Column) -> Column:
+    return filled(pieces(text))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(without(text, BETWEEN)).cast("long")
+def word_chars(text: Column, found: Column) -> Column:
+    return (F.length(text) - (F.size(found) - 1)).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(without(text, SYMBOLS))).cast("long")
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long")
 
 
 def n_upper(text: Column) -> Column:
-    return (F.length(text) - F.length(without(text, UPPER))).cast("long")
+    return (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long")
 
 
 def lines(text: Column) -> Column:
     """Lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda line: without(line, BETWEEN) != "")
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
 
 
-def n_lines(text: Column) -> Column:
-    return F.size(lines(text)).cast("long")
+def count(found: Column) -> Column:
+    return F.size(found).cast("long")
 
 
-def n_dup_lines(text: Column) -> Column:
-    return let(lines(text), lambda found: F.size(found) - F.size(F.array_distinct(found))).cast(
-        "long"
-    )
+def n_dup_lines(found: Column) -> Column:
+    return (F.size(found) - F.size(F.array_distinct(found))).cast("long")
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(found: Column) -> Column:
     """Words covered by windows of eight words that occur twice or more in the text.
 
     Windows are compared by 64-bit keys. Texts without a repeated window, nearly
@@ -104,10 +105,10 @@ def n_repeat_words(text: Column) -> Column:
             lambda done: done["n"],
         )
 
-    def windows(found: Column) -> Column:
+    def windows(keys: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), F.size(found) - WINDOW + 1),
-            lambda at: F.xxhash64(F.slice(found, at, WINDOW)),
+            F.sequence(F.lit(1), F.size(keys) - WINDOW + 1),
+            lambda at: F.xxhash64(F.slice(keys, at, WINDOW)),
         )
 
     def counted(keys: Column) -> Column:
@@ -115,23 +116,44 @@ def n_repeat_words(text: Column) -> Column:
             covered(keys)
         )
 
-    return let(
-        words(text),
-        lambda found: F.when(F.size(found) < WINDOW, F.lit(0)).otherwise(
-            let(windows(found), counted)
-        ),
-    ).cast("long")
+    word_keys = F.transform(found, lambda word: F.xxhash64(word))
+    return (
+        F.when(F.size(found) < WINDOW, F.lit(0))
+        .otherwise(let(word_keys, lambda keys: let(windows(keys), counted)))
+        .cast("long")
+    )
 
 
-COUNTS: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_lines": n_lines,
-    "n_dup_lines": n_dup_lines,
-    "n_upper": n_upper,
-    "n_repeat_words": n_repeat_words,
+#: Every value that rules ask for, with the values it is made of; ``text`` is given.
+VALUES: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
+    "pieces": (("text",), pieces),
+    "words": (("pieces",), filled),
+    "lines": (("text",), lines),
+    "n_words": (("words",), count),
+    "word_chars": (("text", "pieces"), word_chars),
+    "n_symbols": (("text",), n_symbols),
+    "n_lines": (("lines",), count),
+    "n_dup_lines": (("lines",), n_dup_lines),
+    "n_upper": (("text",), n_upper),
+    "n_repeat_words": (("words",), n_repeat_words),
 }
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_repeat_words")
+
+
+def with_values(
+    names: tuple[str, ...], known: dict[str, Column], body: Callable[[dict[str, Column]], Column]
+) -> Column:
+    """``body`` of the known values and ``names``, each missing one computed once, here."""
+    for name in names:
+        if name in known:
+            continue
+        needs, make = VALUES[name]
+        if all(need in known for need in needs):
+            value = make(*[known[need] for need in needs])
+            return let(value, lambda found: with_values(names, known | {name: found}, body))
+        return with_values(needs, known, lambda more: with_values(names, more, body))
+    return body(known)
+
 
 Rule = tuple[tuple[str, ...], Callable[..., Column]]
 
@@ -155,71 +177,135 @@ def rejects(rule: Rule, counts: Callable[[str], Column]) -> Column:
     return test(*[counts(name) for name in names])
 
 
+def passes(order: list[str], rules: dict[str, Rule], known: dict[str, Column]) -> Column:
+    """True where no rule rejects; after the first that does, nothing more is computed."""
+    if not order:
+        return F.lit(True)
+    rule = rules[order[0]]
+    return with_values(
+        rule[0],
+        known,
+        lambda more: F.when(rejects(rule, more.get), F.lit(False)).otherwise(
+            passes(order[1:], rules, more)
+        ),
+    )
+
+
 def _text(text: str) -> Column:
-    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.coalesce(named(text), F.lit(""))
+
+
+def _sample(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    """The rows with the smallest hashes of all their columns, wherever they lie."""
+    hashed = [
+        named(field.name)
+        for field in docs.schema.fields
+        if isinstance(field.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType))
+    ]
+    picked = docs.select(_text(text).alias("text"), F.xxhash64(*hashed).alias("_rule_hash"))
+    return picked.orderBy("_rule_hash").limit(rows).select("text")
+
+
+def cascade_order(
+    rejected: list[tuple[bool, ...]], seconds: dict[str, float], rules: dict[str, Rule]
+) -> list[str]:
+    """Greedily, the rule that rejects most of the rows left per second it adds.
+
+    ``rejected`` has a row per sampled text and a flag per rule. A rule adds the time of
+    the values that no earlier rule has computed; times count by powers of two, so that
+    noise does not change the order. Ties keep the given order.
+    """
+
+    def behind(names: tuple[str, ...]) -> set[str]:
+        found = set(names) - {"text"}
+        for name in list(found):
+            found |= behind(VALUES[name][0])
+        return found
+
+    place = {name: at for at, name in enumerate(rules)}
+    left, order, computed, rows = list(rules), [], set(), rejected
+    while left:
+
+        def worth(name: str) -> float:
+            fresh = behind(rules[name][0]) - computed
+            price = max(sum(seconds[one] for one in fresh), 1e-4)
+            return sum(row[place[name]] for row in rows) / 2.0 ** round(math.log2(price))
+
+        best = max(left, key=worth)
+        rows = [row for row in rows if not row[place[best]]]
+        computed |= behind(rules[best][0])
+        order.append(best)
+        left.remove(best)
+    return order
 
 
 def rule_order(
-    docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = 500
+    docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = 1000
 ) -> list[str]:
-    """Rule names by rejections per second on at most ``sample_rows`` rows, best first.
+    """Rule names for :func:`keep_good`, from ``sample_rows`` rows at most.
 
-    The sample only orders the rules, it never decides a row. Ties keep the given
-    order, and so does an empty table.
+    The sample only orders the rules, it never decides a row. A value's time is the
+    least of three runs over the sample, less that of the values it is made of. An
+    empty table keeps the given order.
     """
-    sample = docs.select(_text(text).alias("text")).limit(sample_rows).persist()
+    sample = _sample(docs, text, sample_rows).persist()
     try:
-        rows = sample.count()
-        if not rows:
+        known = {"text": F.col("text")}
+        flags = [
+            with_values(rule[0], known, lambda more, rule=rule: rejects(rule, more.get)).alias(name)
+            for name, rule in rules.items()
+        ]
+        rejected = [tuple(row) for row in sample.select(*flags).collect()]
+        if not rejected:
             return list(rules)
 
-        def timed(rejected: Column) -> tuple[float, int]:
+        def timed(value: Column) -> float:
             start = time.perf_counter()
-            found = sample.agg(F.count_if(rejected)).first()[0]
-            return time.perf_counter() - start, found
-
-        idle = min(timed(F.length("text") < 0)[0] for _ in range(2))
-        worth = {}
-        for name, rule in rules.items():
-            seconds, found = timed(rejects(rule, lambda count: COUNTS[count](F.col("text"))))
-            worth[name] = found / max(seconds - idle, 1e-3)
+            sample.agg(F.max(F.xxhash64(value))).collect()
+            return time.perf_counter() - start
+
+        def least(value: Column) -> float:
+            return min(timed(value) for _ in range(3))
+
+        total = {"text": least(F.length("text"))}
+        seconds = {}
+        for name, (needs, _) in VALUES.items():
+            total[name] = least(with_values((name,), known, lambda more, name=name: more[name]))
+            seconds[name] = max(total[name] - max(total[need] for need in needs), 0.0)
     finally:
         sample.unpersist()
-    return sorted(rules, key=lambda name: -worth[name])
+    return cascade_order(rejected, seconds, rules)
 
 
 def keep_good(
-    docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = 500
+    docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = 1000
 ) -> DataFrame:
     """The rows that no rule rejects, columns as they are.
 
     Rules run in the order of :func:`rule_order`; one that rejects ends the row, so
     later counts are never taken for it.
     """
-    verdict = F.when(F.lit(False), F.lit(False))
-    for name in rule_order(docs, text, rules, sample_rows):
-        verdict = verdict.when(
-            rejects(rules[name], lambda count: COUNTS[count](_text(text))), F.lit(False)
-        )
-    return docs.where(verdict.otherwise(F.lit(True)))
+    order = rule_order(docs, text, rules, sample_rows)
+    return docs.where(let(_text(text), lambda given: passes(order, rules, {"text": given})))
 
 
 def judge(
-    docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = 500
+    docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = 1000
 ) -> DataFrame:
     """Every row with its counts, ``base_failed`` and ``kept``.
 
     ``kept`` takes the rules in the order of :func:`rule_order` over the counts.
     """
     order = rule_order(docs, text, rules, sample_rows)
-    counted = docs.withColumn("_rule_text", _text(text))
-    counted = counted.withColumns({name: make(F.col("_rule_text")) for name, make in COUNTS.items()})
-    verdict = F.when(F.lit(False), F.lit(False))
-    for name in order:
-        verdict = verdict.when(rejects(rules[name], F.col), F.lit(False))
+
+    def gather(more: dict[str, Column]) -> Column:
+        return F.struct(*[more[name].alias(name) for name in COUNTS])
+
+    counts = let(_text(text), lambda given: with_values(COUNTS, {"text": given}, gather))
+    counted = docs.withColumn("_rule_counts", counts)
+    counted = counted.withColumns({name: F.col("_rule_counts")[name] for name in COUNTS})
     base = F.lit(False)
     for rule in BASE_RULES.values():
         base = base | rejects(rule, F.col)
-    return counted.withColumns(
-        {"base_failed": base, "kept": ~base & verdict.otherwise(F.lit(True))}
-    ).drop("_rule_text")
+    kept = passes(order, rules, {name: F.col(name) for name in COUNTS})
+    return counted.withColumns({"base_failed": base, "kept": ~base & kept}).drop("_rule_counts")

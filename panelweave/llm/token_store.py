@@ -190,15 +190,43 @@ def _write_manifest(spark: SparkSession, path: str) -> None:
     starts.write.parquet(f"{path}/manifest")
 
 
+def _bounds(block: dict) -> EliasFano:
+    return EliasFano(
+        block["n_docs"], block["low_bits"], block["low"], block["high"], block["samples"]
+    )
+
+
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32[, ids])`` of every document, from the files.
 
     ``start`` counts the ids of all documents before it; the checksum is that of the
-    ids as little-endian unsigned 32-bit numbers.
+    ids as little-endian unsigned 32-bit numbers. Bounds come from select.
+    """
+    blocks = spark.read.parquet(f"{path}/blocks").drop("n_tokens").withColumn("wanted", F.lit(None).cast("array<int>"))
+    return _read(spark, path, blocks, with_ids)
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Columns of :func:`read_store`, ids included, of the documents that ``wanted`` names.
+
+    Ids find their block and place by a join; in each block with one, select gives the
+    bounds of those places alone. Ids of no document give nothing, repeated ones count
+    once, a NULL finds the documents without an id.
     """
+    blocks = spark.read.parquet(f"{path}/blocks").drop("n_tokens")
+    keys = wanted.select(F.col(f"`{id_col}`").cast("long").alias("key")).distinct()
+    found = (
+        blocks.select("shard", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+        .join(keys, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
+        .groupBy("shard", "block")
+        .agg(F.sort_array(F.collect_list("place")).alias("wanted"))
+    )
+    return _read(spark, path, blocks.join(found, ["shard", "block"]), True)
+
+
+def _read(spark: SparkSession, path: str, blocks: DataFrame, with_ids: bool) -> DataFrame:
+    """Rows of the documents at the places ``wanted`` of each block; of all where it is NULL."""
     ship(spark)
-    blocks = spark.read.parquet(f"{path}/blocks")
-    manifest = spark.read.parquet(f"{path}/manifest")
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long"
     columns += ", ids array<int>" if with_ids else ""
 
@@ -206,30 +234,28 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
         for batch in batches:
             for row in range(batch.num_rows):
                 block = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-                ends = EliasFano(
-                    block["n_docs"],
-                    block["low_bits"],
-                    block["low"],
-                    block["high"],
-                    block["samples"],
-                ).all()
-                starts = np.concatenate(([0], ends[:-1]))
+                bounds = _bounds(block)
                 ids = np.frombuffer(block["ids"], f"<u{block['width']}")
-                checks = [
-                    zlib.crc32(ids[start:end].astype("<u4").tobytes())
-                    for start, end in zip(starts.tolist(), ends.tolist())
-                ]
-                made = {
-                    "doc_id": pa.array(block["doc_ids"], pa.int64()),
-                    "start": pa.array(starts + block["block_start"], pa.int64()),
-                    "n_tokens": pa.array(ends - starts, pa.int64()),
-                    "ids_crc32": pa.array(checks, pa.int64()),
-                }
-                if with_ids:
-                    made["ids"] = pa.ListArray.from_arrays(
-                        pa.array(np.concatenate(([0], ends)), pa.int32()),
-                        pa.array(ids.astype(np.int32)),
-                    )
-                yield pa.RecordBatch.from_pydict(made)
+                places = block["wanted"]
+                every = places is None
+                made: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
+                end = 0
+                for place in range(block["n_docs"]) if every else places:
+                    # Reading on, a document starts where the one before it ended.
+                    start = end if every else bounds.select(place - 1) if place else 0
+                    end = bounds.select(place)
+                    own = ids[start:end]
+                    made["doc_id"].append(block["doc_ids"][place])
+                    made["start"].append(start + block["block_start"])
+                    made["n_tokens"].append(end - start)
+                    made["ids_crc32"].append(zlib.crc32(own.astype("<u4").tobytes()))
+                    if with_ids:
+                        made["ids"].append(own.astype(np.int32))
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+                names = list(made) if with_ids else list(made)[:4]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made[name], kind) for name, kind in zip(names, kinds)], names
+                )
 
+    manifest = spark.read.parquet(f"{path}/manifest")
     return blocks.join(manifest, ["shard", "block"]).mapInArrow(decode, columns)

@@ -14,13 +14,15 @@ DataFrame and Spark ML code.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.storage import materialize
-from panelweave.llm.rule_cascade import UPPER, let
+from panelweave.llm.rule_cascade import let
 
 ALLOW, BLOCK = "allow", "block"
 RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
@@ -33,7 +35,7 @@ def url_part(url: Column, group: int) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.translate(url_part(url, 1), UPPER, UPPER.lower())
+    return F.translate(url_part(url, 1), ascii_uppercase, ascii_lowercase)
 
 
 def path(url: Column) -> Column:

@@ -62,6 +62,11 @@ def test_token_store_gives_the_librarys_ids(spark):
         assert row["ids_crc32"] == zlib.crc32(np.array(row["ids"], "<u4").tobytes())
         start += row["n_tokens"]
     assert spark.read.parquet(f"{path}/blocks").count() >= 3
+    wanted = spark.createDataFrame([(2,), (2,), (7,), (8,), (12,), (99,), (None,)], "doc_id long")
+    looked_up = token_store.read_documents(spark, path, wanted).collect()
+    assert sorted(map(str, looked_up)) == sorted(
+        str(row) for row in found if row["doc_id"] in (2, 7, 8, 12, None)
+    )
 
 
 def test_token_store_of_nothing(spark):
