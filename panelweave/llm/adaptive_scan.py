@@ -10,8 +10,11 @@ distance exceeds the bound by more than chance allows. Survivors are scored exac
 in double precision on the original vectors.
 
 Equal vectors are one candidate; each stands for its ``k + 1`` smallest ids, more can
-never be asked for. Candidates and queries of a list are dealt in tiles of bounded
-size, whatever the list's size.
+never be asked for. Several lists make a tile of at most ``TILE_ROWS`` candidates, and
+a list beyond that is cut. A query goes to a tile once, with the distance of its last
+probed list: the tile finds the lists within it, and leaves out those whose radius
+shows that no member can be near enough. A candidate moves once per ``TILE_QUERIES``
+queries.
 
 Vectors that are NULL, zero, or hold a NULL or non-finite component take no part, nor
 do those of another length than the commonest (of equally common, the shortest).
@@ -40,7 +43,9 @@ BLOCK = 16
 # The test: a partial distance over d of D columns is given up beyond
 # bound * (1 + EPSILON / sqrt(d)) ** 2 after scaling by D / d.
 EPSILON = 2.1
-TILE_ROWS, TILE_QUERIES = 4096, 512
+TILE_ROWS, TILE_QUERIES = 1 << 17, 1 << 16
+# Tiles that the lists are dealt to at least, if there are as many, and pairs at hand.
+LEAST_TILES, PAIR_ROWS, PAIR_QUERIES = 64, 4096, 512
 
 
 def usable(vector: Column) -> Column:
@@ -96,6 +101,10 @@ class Lists:
     def nearest(self, points: np.ndarray, n: int) -> np.ndarray:
         return self._nearest(points, self.centers, n)
 
+    def far(self, points: np.ndarray, number: int) -> np.ndarray:
+        """Squared distances of the points to one center."""
+        return ((points - self.centers[number]) ** 2).sum(1)
+
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products of row pairs, added column by column in double precision."""
@@ -211,94 +220,123 @@ def nearest_neighbours(
         for batch in batches:
             points = lists.lift(_matrix(batch.column("vector").to_pandas()))
             near = lists.nearest(points, 1)[:, 0].astype(np.int32)
+            far = np.sqrt(((points - lists.centers[near]) ** 2).sum(1)).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(near)], [*batch.schema.names, "list"]
+                [*batch.columns, pa.array(near), pa.array(far)],
+                [*batch.schema.names, "list", "far"],
             )
 
     kind = candidates.schema["vector"].dataType.simpleString()
     listed = materialize(
-        candidates.mapInArrow(place, f"candidate long, vector {kind}, list int"), "lists"
+        candidates.mapInArrow(place, f"candidate long, vector {kind}, list int, far double"), "lists"
     )
-    # At most MOST_LISTS rows.
+    # At most MOST_LISTS numbers.
+    radius = {
+        row["list"]: row["radius"]
+        for row in listed.groupBy("list").agg(F.max("far").alias("radius")).collect()
+    }
+    groups = max(math.ceil(n / TILE_ROWS), min(len(lists.centers), LEAST_TILES))
+    listed = listed.withColumn("tile", F.col("list") % groups)
+    # At most as many rows as lists.
     sizes = F.broadcast(
-        listed.groupBy("list").agg(
+        listed.groupBy("tile").agg(
             F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("cuts")
         )
     )
-    listed = listed.join(sizes, "list").withColumn(
-        "cut", F.pmod(F.xxhash64("candidate"), F.col("cuts"))
+    listed = listed.join(sizes, "tile").withColumn(
+        "cut", F.pmod(F.xxhash64("candidate"), F.col("cuts").cast("long"))
     )
 
-    def probes(first: int, last: int) -> DataFrame:
-        """Queries with the lists from nearest number ``first`` up to ``last``."""
-
-        def choose(batches):
-            for batch in batches:
-                near = lists.nearest(lists.aim(_matrix(batch.column("vector").to_pandas())), last)
-                near = near[:, first:].astype(np.int32)
-                ends = np.arange(0, near.size + 1, max(near.shape[1], 1), dtype=np.int32)
-                if near.shape[1] == 0:
-                    ends = np.zeros(batch.num_rows + 1, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))],
-                    [*batch.schema.names, "lists"],
-                )
-
-        found = listed.join(asked, "candidate", "left_semi").select("candidate", "vector")
-        chosen = found.mapInArrow(choose, f"candidate long, vector {kind}, lists array<int>")
-        return chosen.select(
-            F.col("candidate").alias("query"), "vector", F.explode("lists").alias("list")
-        )
+    def aim(batches):
+        """Queries with their nearest list, the distance of the last probed, and their tiles."""
+        for batch in batches:
+            aimed = lists.aim(_matrix(batch.column("vector").to_pandas()))
+            near = lists.nearest(aimed, n_probed)
+            reach = ((aimed - lists.centers[near[:, -1]]) ** 2).sum(1).astype(np.float64)
+            tiles = [sorted(set((own[1:] % groups).tolist())) for own in near]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array(near[:, 0].astype(np.int32)),
+                    pa.array(reach * (1 + 1e-6)),
+                    pa.array(tiles, pa.list_(pa.int32())),
+                ],
+                [*batch.schema.names, "home", "reach", "tiles"],
+            )
 
-    def scanned(asking_lists: DataFrame, bounds: DataFrame | None) -> DataFrame:
-        """Scan the tiles of (list, candidate cut, query cut)."""
+    aimed = materialize(
+        candidates.join(asked, "candidate", "left_semi").mapInArrow(
+            aim, f"candidate long, vector {kind}, home int, reach double, tiles array<int>"
+        ),
+        "aimed",
+    ).withColumnRenamed("candidate", "query")
+
+    def scanned(asking: DataFrame, at_home: bool) -> DataFrame:
+        """Scan tiles for rows of (query, vector, home, reach, bound, tile)."""
         counts = F.broadcast(
-            asking_lists.groupBy("list").agg(
+            asking.groupBy("tile").agg(
                 F.ceil(F.count(F.lit(1)) / TILE_QUERIES).cast("int").alias("parts")
             )
         )
-        with_bound = (
-            asking_lists.withColumn("bound", F.lit(float("inf")))
-            if bounds is None
-            else asking_lists.join(bounds, "query")
-        )
         left = (
-            listed.join(counts, "list")
+            listed.join(counts, "tile")
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("list", "cut", F.col("part").cast("long").alias("part"), "candidate", "vector")
+            .select("tile", "cut", F.col("part").cast("long").alias("part"), "candidate", "vector", "list")
         )
         right = (
-            with_bound.join(counts, "list")
-            .join(sizes, "list")
+            asking.join(counts, "tile")
+            .join(sizes, "tile")
             .withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts").cast("long")))
             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-            .select("list", F.col("cut").cast("long").alias("cut"), "part", "query", "vector", "bound")
+            .select(
+                "tile", F.col("cut").cast("long").alias("cut"), "part", "query", "vector", "home", "reach", "bound"
+            )
         )
 
         def tile(own: pd.DataFrame, asked_rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(own) or not len(asked_rows):
-                return pd.DataFrame({"query": [], "candidate": [], "score": [], "far": []})
-            theirs, mine = _matrix(asked_rows["vector"]), _matrix(own["vector"])
-            bound = asked_rows["bound"].to_numpy(np.float64)
-            query, candidate, far = scan(lists.aim(theirs), lists.lift(mine), bound)
-            score = products(theirs[query], mine[candidate])
-            ids = own["candidate"].to_numpy()
-            kept = _best(query, score, ids[candidate], k + 1)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+            if len(own) and len(asked_rows):
+                theirs, mine = _matrix(asked_rows["vector"]), _matrix(own["vector"])
+                points, lifted = lists.aim(theirs), lists.lift(mine)
+                bound = asked_rows["bound"].to_numpy(np.float64)
+                home, reach = asked_rows["home"].to_numpy(), asked_rows["reach"].to_numpy()
+                ids, member = own["candidate"].to_numpy(), own["list"].to_numpy()
+                for number in np.unique(member):
+                    rows = np.flatnonzero(member == number)
+                    if at_home:
+                        asking_now = np.flatnonzero(home == number)
+                    else:
+                        far = lists.far(points, number)
+                        least = np.maximum(np.sqrt(far) - radius[number], 0.0) ** 2
+                        asking_now = np.flatnonzero(
+                            (home != number) & (far <= reach) & (least <= bound * (1 + 1e-4))
+                        )
+                    for a in range(0, len(asking_now), PAIR_QUERIES):
+                        chosen = asking_now[a : a + PAIR_QUERIES]
+                        for b in range(0, len(rows), PAIR_ROWS):
+                            some = rows[b : b + PAIR_ROWS]
+                            query, candidate, apart = scan(points[chosen], lifted[some], bound[chosen])
+                            query, candidate = chosen[query], some[candidate]
+                            score = products(theirs[query], mine[candidate])
+                            kept = _best(query, score, ids[candidate], k + 1)
+                            found.append((query[kept], ids[candidate[kept]], score[kept], apart[kept]))
+            query, candidate, score, far = (np.concatenate(part) for part in zip(*found))
+            kept = _best(query, score, candidate, k + 1)
             return pd.DataFrame(
                 {
-                    "query": asked_rows["query"].to_numpy()[query[kept]],
-                    "candidate": ids[candidate[kept]],
+                    "query": asked_rows["query"].to_numpy()[query[kept]] if len(kept) else query,
+                    "candidate": candidate[kept],
                     "score": score[kept],
                     "far": far[kept].astype(np.float64),
                 }
             )
 
-        keys = ["list", "cut", "part"]
-        left = left.withColumn("cut", F.col("cut").cast("long"))
+        keys = ["tile", "cut", "part"]
         return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(tile, FOUND)
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    near = materialize(scanned(probes(0, 1), None), "nearest-list")
+    first = aimed.withColumns({"bound": F.lit(float("inf")), "tile": F.col("home") % groups})
+    near = materialize(scanned(first.drop("tiles"), True), "nearest-list")
     # The bound is the distance of the (k + 1)-th found so far, none if there are fewer.
     bounds = (
         near.withColumn("_rank", F.row_number().over(by_score))
@@ -310,7 +348,12 @@ def nearest_neighbours(
             .alias("bound")
         )
     )
-    everything = near.unionByName(scanned(probes(1, n_probed), bounds))
+    # A query whose nearest list has no member has no bound yet.
+    bounded = aimed.join(bounds, "query", "left").withColumn(
+        "bound", F.coalesce("bound", F.lit(float("inf")))
+    )
+    others = bounded.withColumn("tile", F.explode("tiles")).drop("tiles")
+    everything = near.unionByName(scanned(others, False))
     classes = (
         everything.withColumn("_rank", F.row_number().over(by_score))
         .where(F.col("_rank") <= k + 1)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.expressions import named
 from panelweave.llm.wordkeys import mix, pair, word_keys
 from panelweave.llm.workers import bounded, ship
 
@@ -98,16 +99,16 @@ def sample_labels(labels: DataFrame, key: str, names: list[str], most: int) -> D
 
     Keys whose rows disagree, and rows with a NULL, are left out.
     """
-    agreed = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_label_key")).agg(
-        *[F.min(name).alias(name) for name in names],
-        *[(F.min(name) == F.max(name)).alias(f"_agreed_{name}") for name in names],
+    agreed = labels.where(named(key).isNotNull()).groupBy(named(key).alias("_label_key")).agg(
+        *[F.min(named(name)).alias(name) for name in names],
+        *[(F.min(named(name)) == F.max(named(name))).alias(f"_agreed_{name}") for name in names],
     )
     for name in names:
-        agreed = agreed.where(f"`_agreed_{name}`")
+        agreed = agreed.where(named(f"_agreed_{name}"))
     return (
         agreed.orderBy(F.xxhash64("_label_key"), "_label_key")
         .limit(most)
-        .select("_label_key", *names)
+        .select("_label_key", *[named(name) for name in names])
     )
 
 
@@ -124,12 +125,15 @@ def fit_leaders(
     """Weights per 0/1 label column, the mean of shards that learn side by side.
 
     ``labels`` comes from :func:`sample_labels`, so its size is bounded and it is
-    broadcast; only the texts it names are turned into features. Without examples
-    all weights are 0.
+    broadcast; only the texts it names are turned into features, one a key (the least)
+    where a key has several. Without examples all weights are 0.
     """
     ship(docs.sparkSession)
-    chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
-        F.broadcast(labels), F.col("_key") == F.col("_label_key")
+    texts = docs.select(named(key).alias("_key"), named(text).alias("_text"))
+    chosen = (
+        texts.join(F.broadcast(labels), F.col("_key") == F.col("_label_key"))
+        .groupBy("_key")
+        .agg(F.min("_text").alias("_text"), *[F.first(named(name)).alias(name) for name in names])
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +171,11 @@ def fit_leaders(
             F.pmod(F.shiftright(dice, 20), F.lit(shards)).cast("int").alias("shard"),
             dice.alias("dice"),
             "_text",
-            *[F.col(name).cast("int").alias(name) for name in names],
+            *[named(name).cast("int").alias(name) for name in names],
         )
         .mapInArrow(extract, f"shard int, dice long, places binary, {wanted}")
+        # Each shard has a task of its own; hashed shard numbers could meet.
+        .repartitionById(shards, "shard")
         .groupBy("shard")
         .applyInPandas(learn, "name int, place int, weight double")
         .groupBy("name", "place")

@@ -22,6 +22,7 @@ start with ``_mix`` are reserved.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.expressions import named
 from panelweave.functions.storage import materialize
 from panelweave.llm.hashed_features import dot, features, fit_leaders, logistic, sample_labels
 from panelweave.llm.wordkeys import word_keys
@@ -43,6 +45,8 @@ DOMAINS = {
 }
 WEIGHTS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 STEPS, TOLERANCE = 40, 1e-9
+# Part of all words by which a domain may miss its target before a warning says so.
+MOST_MISSED = 0.001
 # Sharper than the quality fit: rates need posteriors that tell the domains apart.
 FIT = {"alpha": 0.3, "l1": 1.0, "epochs": 5}
 
@@ -57,7 +61,7 @@ def fit_domains(
 ) -> np.ndarray:
     """One row of weights per domain, one domain against the rest."""
     marked = labels.select(
-        F.col(id_col), *[F.expr(test).cast("int").alias(name) for name, test in domains.items()]
+        named(id_col), *[F.expr(test).cast("int").alias(name) for name, test in domains.items()]
     )
     chosen = sample_labels(marked, id_col, list(domains), max_rows)
     fitted = fit_leaders(docs, chosen, id_col, text, list(domains), **FIT)
@@ -96,11 +100,12 @@ def anchored_targets(
 ) -> np.ndarray:
     """Words per domain at the target weights, with ``anchor`` kept as it is.
 
-    A domain that is scarcer than its weight asks for is not repeated to fill it.
+    A domain scarcer than its weight gets rates above 1: its documents are repeated. One
+    without any words cannot be filled and has no target.
     """
     names = list(weights)
     scale = totals[names.index(anchor)] / weights[anchor]
-    return np.minimum(totals, scale * np.array([weights[name] for name in names]))
+    return np.where(totals > 0, scale * np.array([weights[name] for name in names]), 0.0)
 
 
 def rate_expression(posterior: Column, steps: list[np.ndarray]) -> Column:
@@ -152,6 +157,20 @@ def fit_rates(judged: DataFrame, targets_of) -> tuple[list[np.ndarray], np.ndarr
     return steps, reached, targets
 
 
+def check_reached(
+    reached: dict[str, float], targets: dict[str, float], most: float = MOST_MISSED
+) -> None:
+    """Warns where the steps left a domain further from its target than ``most`` of all words.
+
+    Documents may not be able to reach a target: where all of them are half one domain
+    and half another, no rates bring the two to different totals.
+    """
+    allowed = most * max(sum(targets.values()), 1.0)
+    missed = {name: (reached[name], goal) for name, goal in targets.items() if abs(reached[name] - goal) > allowed}
+    if missed:
+        warnings.warn(f"domains miss their target words (reached, target): {missed}", stacklevel=3)
+
+
 def mix_rates(
     docs: DataFrame,
     labels: DataFrame,
@@ -170,8 +189,11 @@ def mix_rates(
     if np.abs(classifier).sum() == 0:
         steps: list[np.ndarray] = []
     else:
-        steps, _, _ = fit_rates(judged, lambda totals: anchored_targets(totals, weights, anchor))
-    dice = F.pmod(F.xxhash64(id_col, text, F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+        steps, reached, targets = fit_rates(
+            judged, lambda totals: anchored_targets(totals, weights, anchor)
+        )
+        check_reached(dict(zip(weights, reached)), dict(zip(weights, targets)))
+    dice = F.pmod(F.xxhash64(named(id_col), named(text), F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     return judged.withColumn(
         "_mix_rate", rate_expression(F.col("_mix_posterior"), steps).cast("double")
     ).withColumn("_mix_copies", F.floor(F.col("_mix_rate") + dice).cast("int"))

@@ -126,8 +126,8 @@ def _featured(urls: DataFrame, url: str, statistics: DataFrame | None) -> DataFr
     ).withColumn("_url_suffix", suffix(F.col("_url_host")))
     if statistics is None:
         return parts
-    known = F.broadcast(statistics)
-    return parts.join(known, "_url_suffix", "left").withColumns(
+    # No hint: a table of any size, broadcast while it is small, else shuffled.
+    return parts.join(statistics, "_url_suffix", "left").withColumns(
         {
             "_url_suffix_blocked": F.coalesce("_url_suffix_blocked", F.lit(0.5)),
             "_url_suffix_rows": F.coalesce("_url_suffix_rows", F.lit(0.0)),
@@ -135,19 +135,11 @@ def _featured(urls: DataFrame, url: str, statistics: DataFrame | None) -> DataFr
     )
 
 
-def suffix_statistics(labelled: DataFrame, most: int = 1000) -> DataFrame:
-    """Blocked share (add-one smoothed) and log count of labelled URLs by suffix.
-
-    At most ``most`` suffixes, the commonest, so that the table may be broadcast.
-    """
-    return (
-        labelled.groupBy(suffix(host(F.col("_url"))).alias("_url_suffix"))
-        .agg(
-            ((F.sum("_url_label") + 1) / (F.count(F.lit(1)) + 2)).alias("_url_suffix_blocked"),
-            F.log1p(F.count(F.lit(1))).alias("_url_suffix_rows"),
-        )
-        .orderBy(F.desc("_url_suffix_rows"), "_url_suffix")
-        .limit(most)
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """Blocked share (add-one smoothed) and log count of labelled URLs, for every suffix."""
+    return labelled.groupBy(suffix(host(F.col("_url"))).alias("_url_suffix")).agg(
+        ((F.sum("_url_label") + 1) / (F.count(F.lit(1)) + 2)).alias("_url_suffix_blocked"),
+        F.log1p(F.count(F.lit(1))).alias("_url_suffix_rows"),
     )
 
 

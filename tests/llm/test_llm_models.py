@@ -276,6 +276,79 @@ def test_score_is_the_sparse_dot_product():
     assert scores[1] == scores[2] and scores[0] == scores[4]
 
 
+def test_leader_learns_as_by_hand():
+    """Follow-the-regularised-leader updates, a coordinate at a time in plain Python."""
+    random = np.random.default_rng(9)
+    settings = {"alpha": 0.2, "beta": 0.7, "l1": 0.3, "l2": 1.5}
+    leader = hashed_features.Leader(**settings)
+    bias = 1 << hashed_features.BITS
+    z, n = {}, {}
+
+    def weight(i):
+        shrink = 0.0 if i == bias else settings["l1"]
+        held = z.get(i, 0.0)
+        if abs(held) <= shrink:
+            return 0.0
+        rate = (settings["beta"] + math.sqrt(n.get(i, 0.0))) / settings["alpha"] + settings["l2"]
+        return -(held - math.copysign(shrink, held)) / rate
+
+    for _ in range(300):
+        label = int(random.integers(0, 2))
+        places = np.unique(random.integers(0, 40, 6) + 40 * label * int(random.integers(0, 2)))
+        leader.learn(places.astype(np.int32), label)
+        own = [*places.tolist(), bias]
+        weights = {i: weight(i) for i in own}
+        slope = 1 / (1 + math.exp(-sum(weights.values()))) - label
+        for i in own:
+            grown = n.get(i, 0.0) + slope**2
+            pull = (math.sqrt(grown) - math.sqrt(n.get(i, 0.0))) / settings["alpha"]
+            z[i] = z.get(i, 0.0) + slope - pull * weights[i]
+            n[i] = grown
+    found = leader.weights()
+    for i in [*range(80), bias]:
+        assert found[i] == pytest.approx(weight(i), abs=1e-12)
+    assert not found[80:bias].any() and 0 < np.count_nonzero(found[:80]) < 80
+
+
+def test_repeated_ids_do_not_widen_the_fit(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    rows = [(i, f"{'good' if i % 2 else 'bad'} words {i}") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows * 50, "doc_id long, text string")
+    assert np.array_equal(
+        ftrl_quality.fit_quality(table, labels), ftrl_quality.fit_quality(often, labels)
+    )
+    dotted = table.toDF("doc.id", "the.text")
+    other = ftrl_quality.fit_quality(
+        dotted, labels.toDF("doc.id", "the.label"), label="the.label", id_col="doc.id", text="the.text"
+    )
+    assert np.array_equal(other, ftrl_quality.fit_quality(table, labels))
+
+
+def test_scarce_domains_are_filled(spark):
+    """A domain below its weight is repeated until its words reach the target."""
+    random = np.random.default_rng(4)
+    main = random.uniform(0.9, 1.0, 1000)
+    posterior = np.stack((main, 1 - main), 1)
+    posterior[:10] = posterior[:10, ::-1]
+    table = spark.createDataFrame(
+        [(100, p.tolist()) for p in posterior], "_mix_words long, _mix_posterior array<double>"
+    )
+    weights = {"main": 0.8, "scarce": 0.2}
+    steps, reached, targets = soft_mixing.fit_rates(
+        table, lambda totals: soft_mixing.anchored_targets(totals, weights, "main")
+    )
+    totals = (100 * posterior).sum(0)
+    assert targets[0] == pytest.approx(totals[0]) and targets[1] == pytest.approx(totals[0] / 4)
+    assert targets[1] > 2 * totals[1]
+    assert reached == pytest.approx(targets, rel=1e-6)
+
+
+def test_missed_targets_are_told():
+    with pytest.warns(UserWarning, match="scarce"):
+        soft_mixing.check_reached({"main": 100.0, "scarce": 3.0}, {"main": 100.0, "scarce": 9.0})
+
+
 def test_rates_match_targets(spark):
     random = np.random.default_rng(8)
     posterior = random.dirichlet((4, 1, 0.5), 400)
@@ -314,6 +387,33 @@ def test_mixing_awkward_rows(spark):
     assert soft_mixing.mix(none(spark), labels).count() == 0
 
 
+def test_recall_on_ten_thousand_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    found = {}
+    for r in adaptive_scan.nearest_neighbours(rows, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    table = rows.toArrow()
+    ids = table["vec_id"].to_numpy()
+    matrix = np.stack(table["embedding"].to_pylist()).astype(np.float64)
+    asked = np.flatnonzero(ids % 20 == 0)
+    scores = matrix[asked] @ matrix.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    hits = 0
+    for row, one in zip(scores, ids[asked]):
+        best = ids[np.lexsort((ids, -row))[:20]]
+        hits += len(found[one] & set(best.tolist()))
+    assert len(found) == len(asked) and hits >= 0.9 * 20 * len(asked)
+
+
+def test_small_tiles_find_the_same(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    whole = adaptive_scan.nearest_neighbours(rows, F.col("vec_id") % 7 == 0, k=5).collect()
+    for name, size in (("TILE_ROWS", 40), ("TILE_QUERIES", 9), ("PAIR_ROWS", 7), ("PAIR_QUERIES", 4), ("LEAST_TILES", 3)):
+        monkeypatch.setattr(adaptive_scan, name, size)
+    cut = adaptive_scan.nearest_neighbours(rows, F.col("vec_id") % 7 == 0, k=5).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut))
+
+
 def neighbours_by_hand(rows, is_query, k):
     matrix = {}
     for vec_id, vector in rows:

@@ -37,6 +37,50 @@ def test_cascade_is_the_verdict_in_any_order(spark):
     assert rule_cascade.keep_good(table, rules=few).count() == kept.count()
 
 
+def test_order_is_greedy_by_rejections_per_added_time():
+    rules = {name: rule_cascade.RULES[name] for name in ("too_short", "repeats", "symbols", "shouting")}
+    seconds = dict.fromkeys(rule_cascade.VALUES, 0.001)
+    seconds |= {"pieces": 0.064, "n_repeat_words": 0.512, "n_upper": 0.004}
+    #            short  repeats symbols shouting
+    rejected = [(True, True, False, False)] * 8 + [(False, True, False, True)] * 2 + [(False, False, True, False)]
+    # Shouting: 2 / 0.068; short: 8 / 0.064; then repeats has 2 left but is dear, symbols come cheap.
+    order = rule_cascade.cascade_order(rejected, seconds, rules)
+    assert order == ["too_short", "symbols", "shouting", "repeats"]
+    assert rule_cascade.cascade_order([], seconds, rules) == list(rules)
+
+
+def test_order_does_not_hang_on_file_order(spark):
+    rows = [(i, "*** " * 30 if i % 2 else "plain words of no fault at all " * 8) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    picked = rule_cascade._sample(table, "text", 400)
+    again = rule_cascade._sample(table.repartition(7), "text", 400)
+    assert sorted(picked.collect()) == sorted(again.collect())
+    assert 100 < picked.where("text like '***%'").count() < 300
+
+
+def test_short_circuit_saves_work(spark):
+    """Rejected rows never pay for the counts of later rules."""
+    import time
+
+    table = spark.createDataFrame(
+        [(i, f"SHOUT{i} WORDS " * 200) for i in range(400)], "doc_id long, text string"
+    ).persist()
+    table.count()
+
+    def least(make):
+        runs = []
+        for _ in range(3):
+            frame = make()
+            start = time.perf_counter()
+            frame.agg(F.count("*")).collect()
+            runs.append(time.perf_counter() - start)
+        return min(runs)
+
+    judged = least(lambda: rule_cascade.judge(table).where("kept and n_repeat_words >= 0 and n_dup_lines >= 0"))
+    assert least(lambda: rule_cascade.keep_good(table)) < 0.5 * judged
+    table.unpersist()
+
+
 def test_order_prefers_rejections_per_cost(spark):
     table = spark.createDataFrame([(i, "*** " * 30) for i in range(20)], "doc_id long, text string")
     order = rule_cascade.rule_order(table)
@@ -106,6 +150,15 @@ def test_short_lines_count(spark):
     assert all(found[20 + i]["text"] == "Log in" for i in range(9))
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    rows = [(None, f"site{i}", f"own {i}\nshared by all") for i in range(12)] + [(7, "site1", "shared by all\nseven")]
+    rows += [(None, "site3", "own 3\nshared by all")]
+    found = line_spread.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    texts = sorted(r["text"] for r in found.collect() if r["doc_id"] is None)
+    assert texts == sorted([f"own {i}" for i in range(12)] + ["own 3"])
+    assert found.where("doc_id = 7").first()["text"] == "shared by all\nseven"
+
+
 def test_awkward_lines_stay(spark):
     table = docs(spark)
     found = line_spread.remove_spread_lines(table)
@@ -151,6 +204,19 @@ def test_trees_learn_from_labelled_urls(spark):
     assert judged.where("verdict = wanted").count() >= 76
 
 
+def test_every_labelled_suffix_counts(spark):
+    """More suffixes than any bound that a table of them once had, each with its own verdict."""
+    rows = [(f"http://h{i}.s{s}/p", "block" if s % 2 else "allow") for s in range(1500) for i in range(3)]
+    labels = spark.createDataFrame(rows, "url string, verdict string")
+    labelled = labels.select(F.col("url").alias("_url"), (F.col("verdict") == "block").cast("double").alias("_url_label"))
+    assert url_filter.suffix_statistics(labelled).count() == 1500
+    held = spark.createDataFrame(
+        [(f"http://new.s{s}/q", "block" if s % 2 else "allow") for s in range(1500)], "url string, wanted string"
+    )
+    judged = url_filter.judge_urls(held, labels=labels, rules=())
+    assert judged.where("verdict = wanted").count() > 1400
+
+
 def test_one_kind_of_label(spark):
     table = spark.createDataFrame([(1, "http://a.net/"), (2, "http://a.com/")], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.judge_urls(table).collect()} == {"block"}

@@ -207,10 +207,12 @@ def test_a_conversation_over_many_parts(spark):
     rows += [(i, 0, "user", "x.") for i in range(2, 30)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     prepared = turn_repair.prepared(table.repartition(6), "conv_id", "turn", "role", "text")
-    at = turn_repair.placed(turn_repair.damage(prepared))
-    assert at.where("conv = 1").select("part").distinct().count() > 1
-    found = {
-        r["conv_id"]: tuple(r)
-        for r in turn_repair.repair(turn_repair.damage(prepared), every=prepared).summaries().collect()
-    }
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        at = turn_repair.placed(turn_repair.damage(prepared))
+        assert at.where("conv = 1").select("part").distinct().count() > 1
+        repaired = turn_repair.repair(turn_repair.damage(prepared), every=prepared)
+        found = {r["conv_id"]: tuple(r) for r in repaired.summaries().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found[1] == summary(1, [r for r in damaged(rows) if r[0] == 1])[0]
