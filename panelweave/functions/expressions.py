@@ -55,12 +55,17 @@ def relative_error(prediction: Column, actual: Column) -> Column:
 def correlation(a: Column, b: Column) -> Column:
     """Pearson r over the rows where both are present; NULL if either is constant.
 
-    ``corr`` raises on a constant column in ANSI mode, hence the spelled-out form.
+    ``corr`` raises on a constant column in ANSI mode, hence the spelled-out form. Sums
+    over several tasks leave a constant column a spread of some last digits of its mean,
+    which is none.
     """
-    a_paired = F.when(b.isNotNull(), a)
-    b_paired = F.when(a.isNotNull(), b)
+
+    def spread(paired: Column) -> Column:
+        found = F.stddev_pop(paired)
+        return F.when(found > 1e-12 * F.abs(F.avg(paired)), found)
+
     return F.try_divide(
-        F.covar_pop(a, b), F.stddev_pop(a_paired) * F.stddev_pop(b_paired)
+        F.covar_pop(a, b), spread(F.when(b.isNotNull(), a)) * spread(F.when(a.isNotNull(), b))
     )
 
 

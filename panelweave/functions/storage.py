@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelweave.functions.expressions import named
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; all executors must see it.
@@ -46,6 +48,24 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(
+    df: DataFrame, label: str, key: str, buckets: int = 0, partition_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """As :func:`materialize`, in ``buckets`` buckets of ``key``, as many as shuffles have by default.
+
+    Tables stored with the same key and number join, and group, by that key without an
+    exchange, however often they are read. Each task writes one bucket, so there is one
+    file a bucket (and folder of ``partition_by``).
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = "panelweave_" + re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    writer = df.repartition(buckets, named(key)).write.bucketBy(buckets, key).sortBy(key)
+    writer.partitionBy(*partition_by).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove everything this application has stored in the scratch folder.
 

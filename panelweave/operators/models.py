@@ -9,6 +9,7 @@ literally, so a panel pivoted by dotted indicator codes can be fitted.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -140,6 +141,60 @@ def repeatable(df: DataFrame, key: str, partitions: int) -> DataFrame:
     return df.repartition(partitions, named(key)).sortWithinPartitions(named(key))
 
 
+@dataclass
+class Fitted:
+    """A fitted pipeline and what it reads and writes, as it is stored."""
+
+    model: PipelineModel
+    label: str
+    prediction: str
+
+    @property
+    def features(self) -> list[str]:
+        return [exact_name(f) for f in self.model.stages[0].getInputCols()]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with the prediction; the label need not be there."""
+        missing = [name for name in self.features if name not in df.columns]
+        if missing:
+            raise ValueError(f"no such columns: {missing}")
+        return predict(df, self.model)
+
+
+def _write_about(spark: SparkSession, path: str, label: str, prediction: str) -> None:
+    about = spark.createDataFrame([(label, prediction)], "label string, prediction string")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def save_model(model: PipelineModel, path: str, label: str) -> None:
+    """Store a fitted pipeline below ``path`` for other applications, in place of one there.
+
+    The label's exact name is stored beside it, since Spark ML knows its plain copy only.
+    """
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    _write_about(spark, path, label, model.stages[-1].getPredictionCol())
+
+
+def load_model(spark: SparkSession, path: str) -> Fitted:
+    about = spark.read.schema("label string, prediction string").json(f"{path}/about").head()
+    return Fitted(PipelineModel.load(f"{path}/model"), about["label"], about["prediction"])
+
+
+def save_plan(plan: PanelPipeline, path: str) -> None:
+    """Store a pipeline that is yet to be fitted, label included."""
+    Pipeline(stages=plan.getStages()).write().overwrite().save(f"{path}/plan")
+    spark = SparkSession.getActiveSession()
+    _write_about(spark, path, plan.label, plan.getStages()[-1].getPredictionCol())
+
+
+def load_plan(spark: SparkSession, path: str) -> PanelPipeline:
+    about = spark.read.schema("label string, prediction string").json(f"{path}/about").head()
+    plan = PanelPipeline(stages=Pipeline.load(f"{path}/plan").getStages())
+    plan.label = about["label"]
+    return plan
+
+
 def linear_report(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """``(measure, name, value)``: coefficients, intercept, training fit, iterations."""
     features = [exact_name(f) for f in model.stages[0].getInputCols()]

@@ -111,6 +111,24 @@ def align(left: DataFrame, *others: DataFrame, on: str | Sequence[str] = "entity
     return left
 
 
+def align_years(
+    base: DataFrame, facts: DataFrame, years: Iterable[int], columns: Sequence[str], entity: str = "entity"
+) -> DataFrame:
+    """``base`` with each year's columns of a table keyed by (entity, year), as ``<column>_<year>``.
+
+    Tables stored by ``materialize_bucketed`` join without an exchange. A second row of
+    a year and entity fails the query.
+    """
+    for year in years:
+        rows = facts.where(F.col("year") == year).groupBy(named(entity)).agg(
+            *[F.max(named(c)).alias(f"_{c}") for c in columns], F.count(F.lit(1)).alias("_n")
+        )
+        what = named(entity).cast("string")
+        cells = [_single(named(f"_{c}"), F.col("_n"), what, f"{c}_{year}") for c in columns]
+        base = base.join(rows.select(named(entity), *cells), entity, "left")
+    return base
+
+
 def to_wide(
     long: DataFrame, indicator: object, years: Iterable[int], entity: str = "entity"
 ) -> DataFrame:

@@ -6,11 +6,10 @@ import itertools
 import math
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 
 from panelweave.functions.expressions import named, reference
 from panelweave.functions.storage import scratch_dir
+from panelweave.operators.fit_pool import FitPool
 from panelweave.operators.models import PanelPipeline
 from panelweave.operators.ranking import ordinal_index
 
@@ -147,9 +147,14 @@ def _score_job(
 
 
 def _rank(score: float, metric: str) -> float:
-    """Smaller is better; an undefined score is worst."""
+    """Smaller is better; an undefined score is worst.
+
+    Nine digits count: sums over tasks differ in the last ones from run to run, and
+    points that are equal but for those are ties, which go to the earlier point.
+    """
     if math.isnan(score):
         return math.inf
+    score = float(f"{score:.9g}")
     return score if metric == "rmse" else -score
 
 
@@ -175,11 +180,12 @@ def _scores(
     points: Sequence[Point],
     metric: str,
     parallelism: int,
+    pool: FitPool | None,
 ) -> tuple[list[float], int, PipelineModel | None]:
     """One score per point, the best point's index, and its model if a fit ended there.
 
     Fits run side by side, each a distributed job; only the best model so far
-    is kept.
+    is kept. One that fails stops the others.
     """
     _check_metric(metric)
     scratch_dir(train.sparkSession)  # boosting cuts its lineage there
@@ -189,11 +195,12 @@ def _scores(
     scores = [math.nan] * len(points)
     best, best_model = (math.inf, len(points)), None
     with kept(train, test):
-        run = inheritable_thread_target(train.sparkSession)(
-            lambda job: (job, *_score_job(plan, train, test, job, metric))
-        )
-        with ThreadPool(min(parallelism, len(jobs))) as pool:
-            for job, found, model in pool.imap_unordered(run, jobs):
+
+        def score(job: list[Point]) -> tuple[list[Point], list[float], PipelineModel]:
+            return job, *_score_job(plan, train, test, job, metric)
+
+        with nullcontext(pool) if pool else FitPool(train.sparkSession, parallelism) as fits:
+            for job, found, model in fits.run(score, jobs):
                 longest = max(_iterations(plan, p) for p in job) if len(job) > 1 else None
                 for point, score in zip(job, found):
                     at = index[id(point)]
@@ -238,14 +245,18 @@ def sweep(
     points: Sequence[Point],
     metric: str = "rmse",
     parallelism: int = 4,
+    pool: FitPool | None = None,
 ) -> Search:
     """Fit each point on ``train``, score it on ``test``; keep the best one for use.
 
+    Fits take turns in ``pool``, which several sweeps may share, or in one of
+    ``parallelism`` threads.
+
     Pass a validation slice as ``test`` to keep the final holdout out of the
     choice. The table has the parameters, the metric and ``best``, one row per point.
     """
     points = [dict(p) for p in points]
-    scores, best, model = _scores(plan, train, test, points, metric, parallelism)
+    scores, best, model = _scores(plan, train, test, points, metric, parallelism, pool)
     table = _result_table(train.sparkSession, points, {metric: scores}, best)
     return Search(table, points[best], model or _fit(plan, train, points[best]))
 
@@ -303,9 +314,8 @@ def cross_validate(
             return f, job, found
 
         tasks = [(f, job) for f in range(folds) for job in _jobs(plan, points)]
-        run = inheritable_thread_target(df.sparkSession)(score)
-        with ThreadPool(min(parallelism, len(tasks))) as pool:
-            for f, job, found in pool.imap_unordered(run, tasks):
+        with FitPool(df.sparkSession, parallelism) as fits:
+            for f, job, found in fits.run(score, tasks):
                 for point, value in zip(job, found):
                     scores[f][index[id(point)]] = value
         if any(math.isinf(min(_rank(value, metric) for value in part)) for part in scores):

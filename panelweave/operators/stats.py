@@ -6,8 +6,11 @@ holds most of the rows is reduced before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,19 +90,120 @@ def describe_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     )
 
 
+# Columns beyond which an expression per pair is too large a plan.
+WIDE = 40
+# Partial sums that one task adds up at a time.
+FAN_IN = 512
+
+
+def _moment_rows(columns: int, means: Sequence[float]) -> Callable:
+    """Per task: for each column i, the sums over j that its correlations need."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, columns, columns))
+        seen = False
+        for batch in batches:
+            cells = np.stack(
+                [one.cast(pa.float64()).to_numpy(zero_copy_only=False) for one in batch.columns], axis=1
+            )
+            there = ~np.isnan(cells)
+            x = np.where(there, cells - means, 0.0)
+            there = there.astype(float)
+            # Over rows that have both: n, sum of x_i, sum of x_i squared, sum of x_i x_j.
+            for held, part in zip(sums, (there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x)):
+                held += part
+            seen = seen or batch.num_rows > 0
+        if seen:
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "i": pa.array(range(columns), pa.int32()),
+                    "part": pa.array([TaskContext.get().partitionId()] * columns, pa.int32()),
+                    "sums": pa.array([sums[:, i].tobytes() for i in range(columns)], pa.binary()),
+                }
+            )
+
+    return add
+
+
+def wide_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(a, b, r)`` of any number of columns from blocks of moment sums.
+
+    Each task multiplies its rows' matrices, so the plan does not grow with the pairs.
+    A column's sums with all others are one row; they are added up by column,
+    ``FAN_IN`` tasks at a time, then r is an expression over a row per pair. Values
+    are taken from the column's mean, found in a pass before.
+    """
+    names = list(columns)
+    numbers = df.select(*[named(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    means = numbers.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in numbers.columns]).first()
+    center = np.array([m or 0.0 for m in means])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(one, np.float64) for one in rows["sums"].to_pylist())
+        return pa.table({"i": rows["i"][:1], "part": rows["part"][:1], "sums": [total.tobytes()]})
+
+    kind = "i int, part int, sums binary"
+    sums = numbers.mapInArrow(_moment_rows(len(names), center), kind)
+    for part in (F.floor(F.col("part") / FAN_IN).cast("int"), F.lit(0)):
+        sums = sums.withColumn("part", part).groupBy("i", "part").applyInArrow(add, kind)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, held in zip(batch.column("i").to_pylist(), batch.column("sums").to_pylist()):
+                n, own, squares, products = np.frombuffer(held, np.float64).reshape(4, -1)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "i": pa.array([i] * len(n), pa.int32()),
+                        "j": pa.array(range(len(n)), pa.int32()),
+                        "n": n,
+                        "own": own,
+                        "squares": squares,
+                        "products": products,
+                    }
+                )
+
+    numbers = "n double, own double, squares double, products double"
+    cells = materialize(sums.mapInArrow(spread, f"i int, j int, {numbers}"), "moments")
+    other = cells.select(
+        F.col("i").alias("_j"), F.col("j").alias("_i"), F.col("own").alias("_own"), F.col("squares").alias("_squares")
+    )
+    pairs = cells.join(other, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")))
+
+    def spread_of(total: str, squares: str) -> Column:
+        """n times the sum of squares from the mean; what rounding leaves of none is none."""
+        found = F.col("n") * F.col(squares) - F.col(total) * F.col(total)
+        return F.when(found > 1e-12 * F.col("n") * F.col(squares), found)
+
+    r = (F.col("n") * F.col("products") - F.col("own") * F.col("_own")) / F.sqrt(
+        spread_of("own", "squares") * spread_of("_own", "_squares")
+    )
+    itself = F.when(spread_of("own", "squares").isNotNull(), 1.0)
+    name = F.array(*[F.lit(n) for n in names])
+    return pairs.select(
+        F.get(name, F.col("i")).alias("a"),
+        F.get(name, F.col("j")).alias("b"),
+        F.when(F.col("i") == F.col("j"), itself).otherwise(r).alias("r"),
+    )
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pearson r for every ordered pair, ``(a, b, r)``, over rows where both are present.
 
-    Each unordered pair is computed once; a constant column gives NULL.
+    Each unordered pair is computed once; a constant column gives NULL. Beyond
+    ``WIDE`` columns the sums behind all pairs are matrix products, see
+    :func:`wide_correlation`.
     """
     names = list(columns)
+    if len(names) > WIDE and not by:
+        return wide_correlation(df, names)
     aggregates = [
         correlation(named(names[i]), named(names[j])).alias(f"_r_{i}_{j}")
         for i in range(len(names))
         for j in range(i + 1, len(names))
     ]
     aggregates += [
-        F.when(F.stddev_pop(named(c)) > 0, F.lit(1.0)).alias(f"_r_{i}_{i}") for i, c in enumerate(names)
+        F.when(correlation(named(c), named(c)).isNotNull(), F.lit(1.0)).alias(f"_r_{i}_{i}")
+        for i, c in enumerate(names)
     ]
     rows = [
         F.struct(

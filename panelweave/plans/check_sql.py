@@ -39,7 +39,10 @@ panel AS (
 # Complete numeric rows of the train and test year.
 MODEL_ROWS = f"""{FACTS},
 model_rows AS (
-  SELECT f.entity, f.year, f.revenue, f.n_orders, f.quantity, e.acctbal
+  SELECT f.entity, f.year, f.revenue, f.n_orders, f.quantity, e.acctbal,
+         least(f.n_orders, 3.0::DOUBLE) AS orders_band,
+         CAST(least(floor(f.quantity / 50), 5) AS DOUBLE) AS quantity_band,
+         CAST(floor(e.acctbal / 1000) AS DOUBLE) AS balance_band
   FROM facts f JOIN entities e ON e.entity = f.entity
   WHERE f.quantity IS NOT NULL),
 train AS (SELECT * FROM model_rows WHERE year = 1996),
@@ -77,7 +80,7 @@ def unpivot_columns(table: str, columns: tuple[str, ...], keep: str = "entity")
     )
 
 
-PREDICTORS = ("n_orders", "quantity", "acctbal")
+PREDICTORS = ("orders_band", "quantity_band", "balance_band")
 
 # Midpoints between neighbouring values of each predictor: where a tree may split.
 MIDPOINTS = f"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panelweave.functions.storage import materialize
+from panelweave.functions.storage import materialize, materialize_bucketed
 from panelweave.operators import panel
 from panelweave.sources import indicators, lookups
 
@@ -22,6 +22,8 @@ LABEL = "revenue"
 PREDICTORS = ("n_orders", "quantity", "acctbal")
 NUMBERS = (LABEL, *PREDICTORS)
 YEARLY = ("revenue", "n_orders", "quantity")
+# The predictors in a few bands each, all common, however many customers there are.
+BANDS = ("orders_band", "quantity_band", "balance_band")
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -172,6 +174,27 @@ def model_rows(
     return complete([train_year]).drop("year"), complete([test_year]).drop("year")
 
 
+def banded(rows: DataFrame) -> DataFrame:
+    """Add :data:`BANDS`: up to three orders, fifty units, a thousand of balance apart."""
+    return rows.withColumns(
+        {
+            "orders_band": F.least("n_orders", F.lit(3.0)),
+            "quantity_band": F.least(F.floor(F.col("quantity") / 50), F.lit(5)).cast("double"),
+            "balance_band": F.floor(F.col("acctbal") / 1000).cast("double"),
+        }
+    )
+
+
+def facts_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`yearly_facts` of all years, stored once: a folder a year, bucketed by entity.
+
+    Year slices of it read their folders alone and join each other by entity without
+    an exchange.
+    """
+    facts = yearly_facts(spark, sf_dir).where("year IS NOT NULL")
+    return materialize_bucketed(facts, "facts", "entity", partition_by=("year",))
+
+
 def line_predictions(
     train: DataFrame, rows: DataFrame, x: str = "n_orders", keep: Sequence[str] = ("entity", LABEL)
 ) -> DataFrame:

@@ -8,11 +8,13 @@ the others fit the full set of predictors.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.storage import materialize, scratch_dir
+from panelweave.functions.storage import materialize, scratch_dir, scratch_path
 from panelweave.operators import metrics, models, panel, search
 from panelweave.plans import customers as c
 from panelweave.plans import study
@@ -159,8 +161,10 @@ def dtree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(test, models.decision_tree(c.PREDICTORS, c.LABEL).fit(train))
 
 
-# Enough bins for every value of a small table to be a split candidate.
-EXACT_BINS = 4096
+def banded_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with banded predictors: every value is a split candidate at any size."""
+    train, test = c.model_rows(spark, sf_dir)
+    return c.banded(train), c.banded(test)
 
 
 @query(
@@ -168,8 +172,8 @@ EXACT_BINS = 4096
     f"WITH {TREE2} SELECT entity, revenue, round(prediction, 3) AS prediction FROM tree_scored",
 )
 def dtree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    plan = models.decision_tree(c.PREDICTORS, c.LABEL, maxDepth=2, maxBins=EXACT_BINS)
+    train, test = banded_rows(spark, sf_dir)
+    plan = models.decision_tree(c.BANDS, c.LABEL, maxDepth=2)
     return rounded(scored(test, plan.fit(train)), 3, "prediction")
 
 
@@ -178,10 +182,8 @@ def dtree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {boosted_stumps(3)} SELECT entity, revenue, round(fitted, 3) AS prediction FROM test3",
 )
 def gbt_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    plan = models.boosted_trees(
-        c.PREDICTORS, c.LABEL, maxDepth=1, maxIter=3, stepSize=0.1, maxBins=EXACT_BINS
-    )
+    train, test = banded_rows(spark, sf_dir)
+    plan = models.boosted_trees(c.BANDS, c.LABEL, maxDepth=1, maxIter=3, stepSize=0.1)
     return rounded(scored(test, plan.fit(train)), 3, "prediction")
 
 
@@ -235,19 +237,26 @@ BOOSTED_BEST = {
 }
 
 
+# A leaf per band of ``n_orders``: every tree that is deep enough is this one.
+BAND_LEAVES = f"""{MODEL_ROWS},
+leaves AS (SELECT orders_band, avg(revenue) AS mean FROM train GROUP BY 1),
+fit AS (SELECT sqrt(avg(pow(mean - revenue, 2))) AS rmse FROM test JOIN leaves USING (orders_band))"""
+
+
 @query(
     "param_grid",
-    f"""WITH {MODEL_ROWS}
-SELECT d AS "maxDepth", b AS "maxBins", i AS "minInstancesPerNode",
-  (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM test) AS n_test
+    f"""WITH {BAND_LEAVES}
+SELECT CAST(d AS BIGINT) AS "maxDepth", CAST(b AS BIGINT) AS "maxBins", CAST(i AS BIGINT) AS "minInstancesPerNode",
+  (SELECT round(rmse, 3) FROM fit) AS rmse, d = 10 AND b = 32 AND i = 1 AS best
 FROM (VALUES (10), (20), (30)) t1(d), (VALUES (32), (34), (36)) t2(b), (VALUES (1), (2), (3)) t3(i)""",
 )
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir, stored=False)
-    size = F.count(F.lit(1))
-    return search.grid_table(spark, search.TREE_GRID_FULL).withColumns(
-        {"n_train": train.agg(size).scalar(), "n_test": test.agg(size).scalar()}
-    )
+    """The product of the published lists, each point fitted and scored."""
+    train, test = banded_rows(spark, sf_dir)
+    grid = search.grid_table(spark, search.TREE_GRID_FULL).collect()
+    plan = models.decision_tree(["orders_band"], c.LABEL)
+    found = search.sweep(plan, train, test, [point.asDict() for point in grid])
+    return rounded(found.table, 3, "rmse")
 
 
 @query("dtree_sweep")
@@ -283,8 +292,8 @@ SELECT CAST(depth AS BIGINT) AS "maxDepth", round(rmse, 3) AS rmse,
 FROM scores""",
 )
 def dtree_sweep_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    plan = models.decision_tree(c.PREDICTORS, c.LABEL, maxBins=EXACT_BINS)
+    train, test = banded_rows(spark, sf_dir)
+    plan = models.decision_tree(c.BANDS, c.LABEL)
     found = search.sweep(plan, train, test, search.grid_points({"maxDepth": [1, 2]}))
     return rounded(found.table, 3, "rmse")
 
@@ -314,37 +323,30 @@ SELECT CAST(i AS BIGINT) AS "maxIter", CAST(step AS DOUBLE) AS "stepSize", round
 FROM scores""",
 )
 def gbt_sweep_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
-    plan = models.boosted_trees(c.PREDICTORS, c.LABEL, maxDepth=1, maxBins=EXACT_BINS)
+    train, test = banded_rows(spark, sf_dir)
+    plan = models.boosted_trees(c.BANDS, c.LABEL, maxDepth=1)
     points = search.grid_points({"maxIter": [1, 2, 3], "stepSize": [0.1, 0.3]})
     return rounded(search.sweep(plan, train, test, points).table, 3, "rmse")
 
 
 @query(
     "param_report",
-    f"""WITH {MODEL_ROWS}
-SELECT model, param, value, true AS documented, (SELECT count(*) FROM train) AS n_train FROM (VALUES
-  ('DT', 'maxDepth', '20'), ('DT', 'maxBins', '36'), ('DT', 'minInstancesPerNode', '1'),
-  ('GBT', 'maxDepth', '5'), ('GBT', 'maxBins', '32'), ('GBT', 'minInstancesPerNode', '1'),
-  ('GBT', 'maxIter', '2'), ('GBT', 'stepSize', '0.1'), ('GBT', 'subsamplingRate', '1.0')
-) t(model, param, value)""",
+    """SELECT * FROM (VALUES
+  ('DT', 'maxDepth', '20', true), ('DT', 'maxBins', '36', true), ('DT', 'minInstancesPerNode', '1', true),
+  ('GBT', 'maxDepth', '5', true), ('GBT', 'maxBins', '32', true), ('GBT', 'minInstancesPerNode', '1', true),
+  ('GBT', 'maxIter', '20', true), ('GBT', 'stepSize', '0.1', true), ('GBT', 'subsamplingRate', '1.0', true)
+) t(model, param, value, documented)""",
 )
 def param_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = c.model_rows(spark, sf_dir)
-    fitted = {
-        "DT": models.decision_tree(c.PREDICTORS, c.LABEL, **DEEP).fit(train),
-        "GBT": models.boosted_trees(c.PREDICTORS, c.LABEL, maxIter=2).fit(train),
-    }
-    return models.parameter_report(spark, fitted).select(
-        "model",
-        "param",
-        "value",
-        (F.length("doc") > 0).alias("documented"),
-        train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
+    train, test = c.model_rows(spark, sf_dir)
+    fitted, _, _ = study.fit_models(train, test, c.LABEL, c.PREDICTORS)
+    return models.parameter_report(spark, {name: fitted[name] for name in ("DT", "GBT")}).select(
+        "model", "param", "value", (F.length("doc") > 0).alias("documented")
     )
 
 
-FOREST_GRID = {"maxDepth": [2, 5], "numTrees": [5]}
+# Around the forest's default settings.
+FOREST_GRID = {"maxDepth": [10, 30], "numTrees": [5, 10]}
 
 
 @query("grid_search_cv")
@@ -402,30 +404,47 @@ SELECT CAST(d AS BIGINT) AS "maxDepth", round(max(r2) FILTER (fold = 0), 6) AS r
 FROM points GROUP BY d"""
 
 
-def search_depths(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+@query("grid_search_depths", SEARCH_DEPTHS)
+def grid_search_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search over a tree without a split and one with a leaf per value."""
     train, _ = c.model_rows(spark, sf_dir)
     plan = models.random_forest(ONE, c.LABEL, numTrees=1, bootstrap=False)
-    found = search.forest_search(plan, train, "entity", {"maxDepth": [0, 30]}, search=kind)
+    found = search.forest_search(plan, train, "entity", {"maxDepth": [0, 30]}, search="Grid")
     return rounded(found.table, 6, "r2_fold0", "r2_fold1", "r2_fold2", "mean_r2")
 
 
-@query("grid_search_depths", SEARCH_DEPTHS)
-def grid_search_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_depths(spark, sf_dir, "Grid")
+# Twenty points, of which a search with ``n_iter`` 6 draws this many, by number.
+DRAWN_GRID = {"maxDepth": [0, 15, 20, 25, 30], "maxBins": [32, 36, 40, 64]}
+DRAWN = sorted(random.Random(42).sample(range(20), 6))
 
 
-@query("random_search_depths", SEARCH_DEPTHS)
+@query(
+    "random_search_depths",
+    SEARCH_DEPTHS.rsplit("SELECT CAST", 1)[0]
+    + f""",
+drawn AS (
+  SELECT i, [0, 15, 20, 25, 30][i // 4 + 1] AS depth, [32, 36, 40, 64][i % 4 + 1] AS bins
+  FROM (SELECT unnest({DRAWN}) AS i))
+SELECT CAST(depth AS BIGINT) AS "maxDepth", CAST(bins AS BIGINT) AS "maxBins",
+  round(max(r2) FILTER (fold = 0), 6) AS r2_fold0, round(max(r2) FILTER (fold = 1), 6) AS r2_fold1,
+  round(max(r2) FILTER (fold = 2), 6) AS r2_fold2, round(avg(r2), 6) AS mean_r2,
+  row_number() OVER (ORDER BY round(avg(r2), 9) DESC, i) = 1 AS best
+FROM drawn JOIN points ON d = CASE depth WHEN 0 THEN 0 ELSE 30 END GROUP BY i, depth, bins""",
+)
 def random_search_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_depths(spark, sf_dir, "Random")
+    train, _ = c.model_rows(spark, sf_dir)
+    plan = models.random_forest(ONE, c.LABEL, numTrees=1, bootstrap=False)
+    found = search.forest_search(plan, train, "entity", DRAWN_GRID, search="Random", n_iter=6)
+    return rounded(found.table, 6, "r2_fold0", "r2_fold1", "r2_fold2", "mean_r2")
 
 
 @query("random_search_cv")
 def random_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten points drawn from 125."""
     train, _ = c.model_rows(spark, sf_dir)
     plan = models.random_forest(c.PREDICTORS, c.LABEL)
-    grid = {"maxDepth": [2, 3, 4], "numTrees": [2, 4], "minInstancesPerNode": [1, 2]}
-    return search.forest_search(plan, train, "entity", grid, seed=7).table
+    grid = {"maxDepth": [2, 3, 4, 6, 8], "numTrees": [2, 4, 6, 8, 10], "minInstancesPerNode": [1, 2, 4, 8, 16]}
+    return search.forest_search(plan, train, "entity", grid, n_iter=10, seed=7).table
 
 
 # --- comparison ---------------------------------------------------------------
@@ -510,29 +529,38 @@ UNLIKE = f"""scores AS (
 
 def unlike_models(train: DataFrame) -> dict[str, PipelineModel]:
     scratch_dir(train.sparkSession)
-    bins = {"maxBins": EXACT_BINS}
     plans = {
         "LR": models.linear_regression(ONE, c.LABEL, "LR_prediction", regParam=0.0),
-        "DT": models.decision_tree(c.PREDICTORS, c.LABEL, "DT_prediction", maxDepth=2, **bins),
-        "GBT": models.boosted_trees(
-            c.PREDICTORS, c.LABEL, "GBT_prediction", maxDepth=1, maxIter=3, **bins
-        ),
+        "DT": models.decision_tree(c.BANDS, c.LABEL, "DT_prediction", maxDepth=2),
+        "GBT": models.boosted_trees(c.BANDS, c.LABEL, "GBT_prediction", maxDepth=1, maxIter=3),
     }
     return {name: plan.fit(train) for name, plan in plans.items()}
 
 
 @query("model_residuals_unlike", residuals_sql(UNLIKE))
 def model_residuals_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
+    train, test = banded_rows(spark, sf_dir)
     return residual_rows(test, unlike_models(train))
 
 
 @query("model_compare_unlike", compare_sql(UNLIKE))
 def model_compare_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = c.model_rows(spark, sf_dir)
+    train, test = banded_rows(spark, sf_dir)
     return compare_rows(test, unlike_models(train))
 
 
+@query("saved_models", residuals_sql(UNLIKE))
+def saved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that were stored, read back and then scored."""
+    train, test = banded_rows(spark, sf_dir)
+    loaded = {}
+    for name, model in unlike_models(train).items():
+        path = scratch_path(spark, "model")
+        models.save_model(model, path, c.LABEL)
+        loaded[name] = models.load_model(spark, path).model
+    return residual_rows(test, loaded)
+
+
 @query(
     "study_from_files",
     residuals_sql(UNLIKE, "CAST(entity AS VARCHAR)").replace(
@@ -552,7 +580,7 @@ def study_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.order_years(spark, sf_dir),
     )
     both = panel.setup_panel(both, entity_type="Country", column="CountryType")
-    both = materialize(both, "study-panel", partition_by=("year",))
+    both = materialize(c.banded(both), "study-panel", partition_by=("year",))
     train, test = panel.holdout_split(both, c.TRAIN_YEAR, c.TEST_YEAR)
     return residual_rows(test, unlike_models(train))
 

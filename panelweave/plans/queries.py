@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.storage import materialize, scratch_path
+from panelweave.functions.storage import materialize, materialize_bucketed, scratch_path
 from panelweave.operators import charts, metrics, models, panel, ranking, stats
 from panelweave.plans import customers as c
 from panelweave.plans.check_sql import FACTS, LINE, MODEL_ROWS, PANEL, unpivot_columns
@@ -79,6 +79,124 @@ def scan_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.to_long(wide)
 
 
+NAMED_LONG = f"""WITH {FACTS}
+SELECT CAST(entity AS VARCHAR) AS entity, c_name AS entity_name, indicator, year, value
+FROM long JOIN customer ON c_custkey = entity WHERE year IS NOT NULL"""
+
+
+def whole_files(spark: SparkSession, sf_dir: str, cells: Column | None = None) -> str:
+    """All indicators as whole files, several each: four preamble lines, a header, rows.
+
+    ``cells`` may rewrite the values, as text, from ``entity``, ``year`` and ``value``.
+    """
+    folder = scratch_path(spark, "whole-files")
+    years = c.order_years(spark, sf_dir)
+    names = c.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("entity"), F.col("c_name").alias("name")
+    )
+    long = c.long_form(spark, sf_dir).where("year IS NOT NULL").withColumn("file", F.col("entity") % 3)
+    shown = F.col("value").cast("string") if cells is None else cells
+    wide = (
+        long.groupBy("indicator", "file", "entity")
+        .agg(*[F.max(F.when(F.col("year") == y, shown)).alias(str(y)) for y in years])
+        .join(names, "entity")
+    )
+    row = F.concat_ws(
+        ",",
+        F.to_csv(
+            F.struct("name", F.col("entity").cast("string"), F.col("indicator"), F.col("indicator").alias("code"))
+        ),
+        *[F.coalesce(F.col(f"`{y}`"), F.lit("")) for y in years],
+    )
+    body = wide.select("indicator", "file", F.lit(5).alias("place"), row.alias("value"))
+    header = ",".join(f'"{name}"' for name in [*indicators.DESCRIPTORS, *map(str, years)])
+    head = ['"Data Source","Order tables",', "", '"Last Updated Date","2018-08-28",', "", header]
+    top = F.posexplode(F.array(*[F.lit(line) for line in head])).alias("place", "value")
+    lines = body.select("indicator", "file").distinct().select("indicator", "file", top).unionByName(body)
+    (
+        lines.repartition("indicator", "file")
+        .sortWithinPartitions("indicator", "file", "place", "value")
+        .select("indicator", "file", "value")
+        .write.partitionBy("indicator", "file")
+        .text(folder)
+    )
+    return f"{folder}/*/*/*.txt"
+
+
+@query("skip_lines", NAMED_LONG)
+def skip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = indicators.read_csv_skipping(spark, whole_files(spark, sf_dir), 4)
+    return indicators.to_long(wide)
+
+
+#: Every seventh entity's cells of even years cannot be read; whole balances and a text column.
+SPOILT = "CASE WHEN entity % 7 = 0 AND year % 2 = 0 THEN '~' || CAST(year AS VARCHAR) || '?' END"
+
+
+def spoilt_files(spark: SparkSession, sf_dir: str) -> str:
+    spoilt = F.when(
+        (F.col("entity") % 7 == 0) & (F.col("year") % 2 == 0),
+        F.concat(F.lit("~"), F.col("year").cast("string"), F.lit("?")),
+    )
+    whole = F.when(F.col("indicator") == "n_orders", F.col("value").cast("long").cast("string"))
+    return whole_files(spark, sf_dir, F.coalesce(spoilt, whole, F.col("value").cast("string")))
+
+
+@query(
+    "rejected_cells",
+    f"""WITH {FACTS}
+SELECT CAST(entity AS VARCHAR) AS entity, indicator, year, {SPOILT} AS raw
+FROM long WHERE year IS NOT NULL AND {SPOILT} IS NOT NULL""",
+)
+def rejected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = c.order_years(spark, sf_dir)
+    cells = indicators.raw_cells(spark, spoilt_files(spark, sf_dir), years)
+    return indicators.rejected_cells(cells).drop("file")
+
+
+@query(
+    "read_with_rejects",
+    f"""WITH {FACTS}
+SELECT CAST(entity AS VARCHAR) AS entity, c_name AS entity_name, indicator, year, value
+FROM long JOIN customer ON c_custkey = entity WHERE year IS NOT NULL AND {SPOILT} IS NULL""",
+)
+def read_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = c.order_years(spark, sf_dir)
+    return indicators.to_long(indicators.read_indicators(spark, spoilt_files(spark, sf_dir), years))
+
+
+@query(
+    "column_types",
+    f"""WITH {FACTS},
+shown AS (
+  SELECT indicator, entity, year, CASE WHEN {SPOILT} IS NOT NULL THEN 'text'
+    WHEN indicator = 'n_orders' THEN 'integer' ELSE 'number' END AS kind
+  FROM long WHERE year IS NOT NULL),
+grid AS (
+  SELECT * FROM (SELECT DISTINCT indicator, entity FROM shown), (SELECT DISTINCT year FROM shown)),
+counted AS (
+  SELECT g.indicator, CAST(g.year AS VARCHAR) AS "column", count(*) AS n,
+    count(*) FILTER (kind IS NULL) AS n_missing, CAST(0 AS BIGINT) AS n_boolean,
+    count(*) FILTER (kind = 'integer') AS n_integer, count(*) FILTER (kind = 'number') AS n_number,
+    count(*) FILTER (kind = 'text') AS n_text
+  FROM grid g LEFT JOIN shown s ON s.indicator = g.indicator AND s.entity = g.entity AND s.year = g.year
+  GROUP BY 1, 2
+  UNION ALL
+  SELECT g.indicator, d, count(*), 0, 0, count(*) FILTER (d = 'Country Code'), 0,
+    count(*) FILTER (d <> 'Country Code')
+  FROM (SELECT DISTINCT indicator, entity FROM shown) g,
+    (VALUES ('Country Name'), ('Country Code'), ('Indicator Name'), ('Indicator Code')) t(d)
+  GROUP BY 1, 2)
+SELECT *, CASE WHEN n_boolean = n THEN 'boolean' WHEN n_integer = n THEN 'bigint'
+  WHEN n_integer + n_number + n_missing = n THEN 'double' ELSE 'string' END AS type
+FROM counted""",
+)
+def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = c.order_years(spark, sf_dir)
+    cells = indicators.raw_cells(spark, spoilt_files(spark, sf_dir), years)
+    return indicators.column_types(cells, by=["indicator"])
+
+
 def type_file(spark: SparkSession, sf_dir: str) -> str:
     """The entity types as small files, a JSON object for each entity: one per nation."""
     path = scratch_path(spark, "lookup")
@@ -114,6 +232,22 @@ def long_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.year_slice(indicators.read_long(spark, path), 1996)
 
 
+@query(
+    "replace_years",
+    f"""WITH {FACTS}
+SELECT entity, indicator, year, CASE WHEN year = 1997 THEN 2 * value ELSE value END AS value
+FROM long WHERE year BETWEEN 1995 AND 1998""",
+)
+def replace_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads: the second brings 1998 and corrects 1997."""
+    path = scratch_path(spark, "yearly-store")
+    indicators.write_long(c.long_form(spark, sf_dir, [1995, 1996, 1997]), path)
+    later = c.long_form(spark, sf_dir, [1997, 1998])
+    doubled = F.when(F.col("year") == 1997, 2 * F.col("value")).otherwise(F.col("value"))
+    indicators.replace_years(later.withColumn("value", doubled), path)
+    return indicators.read_long(spark, path).select("entity", "indicator", "year", "value")
+
+
 @query(
     "panel_base",
     f"WITH {FACTS} SELECT country AS \"Country\", entity_type AS \"CountryType\", entity FROM entities",
@@ -348,6 +482,41 @@ def panel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.join_panel(base, wide, 1997)
 
 
+@query(
+    "panel_bucketed",
+    f"""WITH {FACTS}
+SELECT e.entity, e.country, e.acctbal, a.revenue AS revenue_1996, a.n_orders AS n_orders_1996,
+  b.revenue AS revenue_1997, b.n_orders AS n_orders_1997
+FROM entities e LEFT JOIN facts a ON a.entity = e.entity AND a.year = 1996
+LEFT JOIN facts b ON b.entity = e.entity AND b.year = 1997""",
+)
+def panel_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years beside each other from one store; only the write shuffles."""
+    facts = c.facts_store(spark, sf_dir)
+    people = materialize_bucketed(c.entities(spark, sf_dir), "people", "entity")
+    return panel.align_years(people, facts, [1996, 1997], ["revenue", "n_orders"])
+
+
+@query(
+    "align_predictions",
+    f"""WITH {MODEL_ROWS},
+lines AS (
+  SELECT regr_slope(revenue, n_orders) AS s1, regr_intercept(revenue, n_orders) AS i1,
+    regr_slope(revenue, quantity) AS s2, regr_intercept(revenue, quantity) AS i2 FROM train)
+SELECT entity, revenue, round(i1 + s1 * n_orders, 4) AS by_orders, round(i2 + s2 * quantity, 4) AS by_quantity
+FROM test, lines""",
+)
+def align_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of two models, stored apart and joined by entity without an exchange."""
+    train, test = c.model_rows(spark, sf_dir)
+    parts = []
+    for x, name in (("n_orders", "by_orders"), ("quantity", "by_quantity")):
+        keep = ("entity", c.LABEL) if not parts else ("entity",)
+        found = c.line_predictions(train, test, x, keep).withColumnRenamed("prediction", name)
+        parts.append(materialize_bucketed(found, "predictions", "entity"))
+    return rounded(panel.align(*parts), 4, "by_orders", "by_quantity")
+
+
 @query(
     "key_align",
     f"""WITH {FACTS}
@@ -474,6 +643,31 @@ def correlation_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.correlation_matrix(rows, c.NUMBERS, by=["entity_type"]), 6, "r")
 
 
+MONTHS = [f"m{i}" for i in range(84)]
+
+
+@query(
+    "correlation_wide",
+    """WITH monthly AS (
+  SELECT o_custkey AS entity, 12 * (year(o_orderdate) - 1995) + month(o_orderdate) - 1 AS m,
+    round(sum(o_totalprice), 2) AS v
+  FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1, 2),
+pairs AS (
+  SELECT a.m AS i, b.m AS j,
+    CASE WHEN var_pop(a.v) > 1e-6 AND var_pop(b.v) > 1e-6 THEN corr(a.v, b.v) END AS r
+  FROM monthly a JOIN monthly b USING (entity) GROUP BY 1, 2)
+SELECT 'm' || x.i AS a, 'm' || y.i AS b, round(CASE WHEN x.i = y.i AND r IS NOT NULL THEN 1 ELSE r END, 5) AS r
+FROM range(84) x(i), range(84) y(i) LEFT JOIN pairs ON pairs.i = x.i AND pairs.j = y.i""",
+)
+def correlation_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column per month: too many pairs for an expression each."""
+    month = 12 * (F.year("o_orderdate") - 1995) + F.month("o_orderdate") - 1
+    orders = c.table(spark, sf_dir, "orders").withColumn("month", month)
+    cells = [F.round(F.sum(F.when(F.col("month") == i, F.col("o_totalprice"))), 2).alias(m) for i, m in enumerate(MONTHS)]
+    wide = orders.where("month BETWEEN 0 AND 83").groupBy("o_custkey").agg(*cells)
+    return rounded(stats.correlation_matrix(wide, MONTHS), 5, "r")
+
+
 def binned(by: str = "") -> str:
     """Values with the bin whose edges hold them, per column and group."""
     key = f"{by}, " if by else ""
@@ -659,6 +853,53 @@ def xy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.xy_pairs(c.customer_panel(spark, sf_dir), "n_orders", "revenue", "entity")
 
 
+def x_buckets(points: str, n: int) -> str:
+    """Points ``(x, y)`` with the bucket whose edges hold their x."""
+    return f"""
+points AS ({points}),
+span AS (
+  SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+         CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM points),
+edges AS (
+  SELECT CAST(i AS INTEGER) AS bucket, lo + i * ((hi - lo) / {n}) AS low FROM span, range({n}) t(i)),
+placed AS (
+  SELECT x, y, (SELECT max(bucket) FROM edges WHERE low <= x) AS bucket FROM points)"""
+
+
+@query(
+    "xy_buckets",
+    f"""WITH {PANEL}, {x_buckets('SELECT revenue AS x, acctbal AS y FROM panel', 50)}
+SELECT bucket, count(y) AS n, count(*) - count(y) AS n_missing, min(x) AS x_low, max(x) AS x_high,
+  round(avg(y), 6) AS y_mean, CASE WHEN bucket IS NOT NULL THEN arg_min(y, {{x: x, y: y}}) END AS y_first,
+  CASE WHEN bucket IS NOT NULL THEN arg_max(y, {{x: x, y: y}}) END AS y_last,
+  min(y) AS y_low, max(y) AS y_high
+FROM placed GROUP BY bucket""",
+)
+def xy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = c.customer_panel(spark, sf_dir)
+    return rounded(charts.xy_buckets(rows, "revenue", "acctbal", 50), 6, "y_mean")
+
+
+ORDER_POINTS = """SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x,
+  o_totalprice AS y FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL"""
+
+
+@query(
+    "xy_outline",
+    f"""WITH {x_buckets(ORDER_POINTS, 200)},
+chosen AS (
+  SELECT bucket, min({{x: x, y: y}}) AS a, max({{x: x, y: y}}) AS b,
+    arg_min({{x: x, y: y}}, {{y: y, x: x}}) AS c, arg_max({{x: x, y: y}}, {{y: y, x: -x}}) AS d
+  FROM placed GROUP BY bucket)
+SELECT DISTINCT bucket, p.x AS x, p.y AS y FROM (SELECT bucket, unnest([a, b, c, d]) AS p FROM chosen)""",
+)
+def xy_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = c.table(spark, sf_dir, "orders").withColumn(
+        "day", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double")
+    )
+    return charts.xy_outline(orders, "day", "o_totalprice", 200)
+
+
 @query(
     "month_label",
     """SELECT strftime(o_orderdate, '%Y-%m') AS label, o_totalprice AS y, o_orderkey FROM orders""",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.storage import materialize, scratch_dir
 from panelweave.operators import charts, metrics, models, panel, ranking, search
+from panelweave.operators.fit_pool import FitPool
 from panelweave.sources import indicators, lookups, tables
 
 # Label, predictors in order, and the years to train and test on.
@@ -82,27 +83,30 @@ def fit_models(
     """Linear regression, swept tree and swept boosted trees, with the sweep tables.
 
     Grid points are scored on ``test`` unless a separate ``validation`` slice is
-    given. The tables are read many times: pass stored ones, not long plans. The
-    three fits run side by side.
+    given. The tables are read many times: pass stored ones, not long plans. All
+    fits share ``parallelism`` threads, and one that fails stops the others.
     """
     scratch_dir(train.sparkSession)
     inputs = [*predictors, label]
     train = search.only(train, inputs)
     held_out = search.only(test if validation is None else validation, inputs)
 
-    def sweep(plan: Pipeline, grid: Mapping[str, Sequence]) -> search.Search:
-        return search.sweep(
-            plan, train, held_out, search.grid_points(grid), parallelism=parallelism
-        )
-
-    fits = [
-        lambda: models.linear_regression(predictors, label, "LR_prediction").fit(train),
-        lambda: sweep(models.decision_tree(predictors, label, "DT_prediction"), tree_grid),
-        lambda: sweep(models.boosted_trees(predictors, label, "GBT_prediction"), boosted_grid),
-    ]
-    run = inheritable_thread_target(train.sparkSession)(lambda fit: fit())
-    with search.kept(train, held_out), ThreadPool(len(fits)) as pool:
-        linear, tree, boosted = pool.map(run, fits, chunksize=1)
+    spark = train.sparkSession
+    with search.kept(train, held_out), FitPool(spark, parallelism) as pool:
+
+        def sweep(plan: Pipeline, grid: Mapping[str, Sequence]) -> search.Search:
+            return search.sweep(plan, train, held_out, search.grid_points(grid), pool=pool)
+
+        line = models.linear_regression(predictors, label, "LR_prediction")
+        fits = [
+            lambda: list(pool.run(line.fit, [train]))[0],
+            lambda: sweep(models.decision_tree(predictors, label, "DT_prediction"), tree_grid),
+            lambda: sweep(models.boosted_trees(predictors, label, "GBT_prediction"), boosted_grid),
+        ]
+        run = inheritable_thread_target(spark)(lambda fit: fit())
+        # These threads wait; all fits of the three take turns in the one pool.
+        with ThreadPool(len(fits)) as waiting:
+            linear, tree, boosted = waiting.map(run, fits, chunksize=1)
     return {"LR": linear, "DT": tree.model, "GBT": boosted.model}, tree.table, boosted.table
 
 

@@ -119,3 +119,80 @@ def test_panel_join_reads_one_year_once(spark):
         queries.materialize = keep
     plan = executed(stored[0])
     assert plan.count("PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1997-01-01") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_of_a_year_filter_line_items_before_their_shuffle(spark):
+    """With the settings in the README, lineitem rows of other years stop at the scan."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100MB",
+    }
+    before = c.yearly_facts(spark, SF, [1996]).collect()
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        facts = c.yearly_facts(spark, SF, [1996])
+        plan = facts._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("l_orderkey") :]
+        assert "might_contain" in below
+        assert sorted(facts.collect()) == sorted(before)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_bucketed_years_and_predictions_join_without_an_exchange(spark, no_broadcast):
+    from panelweave.functions.storage import materialize_bucketed
+    from panelweave.operators import panel
+
+    facts = c.facts_store(spark, SF)
+    people = materialize_bucketed(c.entities(spark, SF), "people", "entity")
+    joined = panel.align_years(people, facts, [1996, 1997], ["revenue"])
+    predicted = materialize_bucketed(facts.where("year = 1997").select("entity", F.col("revenue").alias("p")), "p", "entity")
+    joined = panel.align(joined, predicted)
+    plan = plan_of(joined)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # Each year reads its own folder.
+    assert plan.count("PartitionFilters: [isnotnull(year") == 2
+    shuffled = panel.align_years(
+        c.entities(spark, SF), c.yearly_facts(spark, SF), [1996, 1997], ["revenue"]
+    )
+    assert "Exchange hashpartitioning" in plan_of(shuffled)
+    assert sorted(map(str, joined.drop("p").collect())) == sorted(map(str, shuffled.collect()))
+
+
+def test_a_repeated_row_of_a_year_fails(spark):
+    from panelweave.operators import panel
+
+    facts = spark.createDataFrame([(1, 1996, 2.0), (1, 1996, 3.0)], "entity long, year int, revenue double")
+    base = spark.createDataFrame([(1,), (2,)], "entity long")
+    with pytest.raises(Exception, match="duplicate row for 1"):
+        panel.align_years(base, facts, [1996], ["revenue"]).collect()
+    assert sorted(map(tuple, panel.align_years(base, facts, [1997], ["revenue"]).collect())) == [(1, None), (2, None)]
+
+
+def test_buckets_are_one_file_each(spark):
+    from panelweave.functions.storage import materialize_bucketed
+
+    stored = materialize_bucketed(spark.range(1000).withColumnRenamed("id", "a.b"), "ids", "a.b", buckets=4)
+    assert stored.count() == 1000 and len(stored.inputFiles()) == 4
+
+
+def test_bands_are_few(spark):
+    rows = c.banded(c.model_rows(spark, SF, stored=False)[0])
+    for name in c.BANDS:
+        assert rows.select(name).distinct().count() <= 11

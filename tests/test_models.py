@@ -322,3 +322,26 @@ def test_names_with_dots_in_searches(rows):
         assert found.best == plain.best
         for a, b in zip(found.table.collect(), plain.table.collect()):
             assert list(a) == pytest.approx(list(b))
+
+
+def test_a_stored_model_scores_alike(spark, rows, tmp_path):
+    dotted = rows.withColumnRenamed("y", "the.label")
+    for make in (models.linear_regression, models.decision_tree, models.boosted_trees):
+        plan = make(PREDICTORS, "the.label", "guess")
+        model = plan.fit(dotted)
+        models.save_model(model, str(tmp_path / "m"), "the.label")
+        loaded = models.load_model(spark, str(tmp_path / "m"))
+        assert (loaded.label, loaded.prediction, loaded.features) == ("the.label", "guess", PREDICTORS)
+        unlabelled = dotted.drop("the.label")
+        assert loaded.score(unlabelled).select("k", "guess").collect() == model.transform(unlabelled).select("k", "guess").collect()
+        with pytest.raises(ValueError, match="no such columns"):
+            loaded.score(dotted.drop("b"))
+
+
+def test_a_stored_plan_fits_alike(spark, rows, tmp_path):
+    dotted = rows.withColumnRenamed("y", "the.label")
+    plan = models.decision_tree(PREDICTORS, "the.label", maxDepth=3)
+    models.save_plan(plan, str(tmp_path / "p"))
+    loaded = models.load_plan(spark, str(tmp_path / "p"))
+    assert loaded.label == "the.label"
+    assert loaded.fit(dotted).transform(dotted).select("prediction").collect() == plan.fit(dotted).transform(dotted).select("prediction").collect()

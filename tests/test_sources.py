@@ -198,13 +198,120 @@ def test_misread_files_fail(spark, tmp_path, text, problem):
         indicators.read_indicators(spark, path, range(2012, 2015)).collect()
 
 
-def test_exact_skipping_takes_one_file(spark, tmp_path):
-    for name in ("a.csv", "b.csv"):
-        write(tmp_path / name, PREAMBLE + HEADER)
-    with pytest.raises(ValueError, match="not one file"):
+@pytest.fixture
+def small_splits(spark):
+    """Files of a few kilobytes are read in many splits."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_exact_skipping_of_many_files(spark, tmp_path, small_splits):
+    sizes = {"a": 0, "b": 1, "c": 900, "d": 2500, "e": 3}
+    for name, n in sizes.items():
+        body = "".join(f'"N{i}","{name}{i}","I","X","{i}","","{i}",\n' for i in range(n))
+        write(tmp_path / f"{name}.csv", PREAMBLE + HEADER + body, "utf-8-sig" if name == "c" else "utf-8")
+    rows = indicators.read_csv_skipping(spark, str(tmp_path), 4, keep_file=True)
+    assert rows.rdd.getNumPartitions() > 20
+    found = {r[0]: r[1:] for r in rows.groupBy(F.substring("Country Code", 1, 1)).agg(
+        F.count("*"), F.sum("2012"), F.count_distinct("file")).collect()}
+    assert found == {n: (k, sum(range(k)), 1) for n, k in sizes.items() if k}
+    again = indicators.read_indicators(spark, str(tmp_path), range(2012, 2015))
+    assert again.count() == sum(sizes.values())
+
+
+def test_lines_are_numbered_by_file(spark, tmp_path, small_splits):
+    texts = {"a.txt": "\n\n", "b.txt": "x", "c.txt": "".join(f"line {i} {'y' * (i % 90)}\n" for i in range(700))}
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    found = {}
+    for row in indicators.placed_lines(spark, str(tmp_path)).collect():
+        found.setdefault(row["file"].rsplit("/", 1)[1], {})[row["line"]] = row["value"]
+    assert found == {name: dict(enumerate(text.splitlines())) for name, text in texts.items()}
+
+
+def test_other_and_missing_headers_among_many_files(spark, tmp_path):
+    write(tmp_path / "a.csv", PREAMBLE + HEADER + "".join(ROWS))
+    write(tmp_path / "b.csv", PREAMBLE + HEADER.replace("2013", "2031") + "".join(ROWS))
+    with pytest.raises(Exception, match="expected columns"):
+        indicators.read_csv_skipping(spark, str(tmp_path), 4).collect()
+    write(tmp_path / "b.csv", PREAMBLE)
+    with pytest.raises(ValueError, match="b.csv has no header"):
         indicators.read_csv_skipping(spark, str(tmp_path), 4)
 
 
+def raw_file(tmp_path):
+    rows = [
+        '"A","AAA","I","X","1","..","TRUE",',
+        '"B","BBB","I","X","2"," 1e3 ","false",',
+        '"C, D","CCC","I","X","3","","True",',
+        '"D","DDD","I","X","-4","NaN","FALSE",',
+    ]
+    return write(tmp_path / "raw.csv", PREAMBLE + HEADER + "\n".join(rows) + "\n")
+
+
+def test_rejected_cells_are_those_the_typed_scan_lost(spark, tmp_path):
+    path = raw_file(tmp_path)
+    cells = indicators.raw_cells(spark, path, range(2012, 2015))
+    rejected = {(r["entity"], r["year"]): r["raw"] for r in indicators.rejected_cells(cells).collect()}
+    assert rejected == {
+        ("AAA", 2013): "..", ("AAA", 2014): "TRUE", ("BBB", 2014): "false", ("CCC", 2014): "True", ("DDD", 2014): "FALSE"
+    }
+    typed = {r["Country Code"]: r for r in indicators.read_indicators(spark, path, range(2012, 2015)).collect()}
+    for row in cells.where("column in ('2012', '2013', '2014')").collect():
+        value, key = typed[row["entity"]][row["column"]], (row["entity"], int(row["column"]))
+        lost = value is None and row["raw"] not in (None, "", "NaN")
+        assert lost == (key in rejected)
+
+
+def test_types_are_the_narrowest_that_hold_a_column(spark, tmp_path):
+    path = raw_file(tmp_path)
+    types = indicators.column_types(indicators.raw_cells(spark, path, range(2012, 2015)))
+    found = {r["column"]: r for r in types.collect()}
+    assert {name: r["type"] for name, r in found.items()} == {
+        **dict.fromkeys(indicators.DESCRIPTORS, "string"), "2012": "bigint", "2013": "string", "2014": "boolean"
+    }
+    assert found["2013"]["n_missing"] == 2 and found["2013"]["n_number"] == 1 and found["2013"]["n_text"] == 1
+    schema = indicators.inferred_schema(types, [*indicators.DESCRIPTORS, "2012", "2013", "2014"])
+    rows = {r["Country Code"]: r for r in indicators.read_csv_skipping(spark, path, 4, schema).collect()}
+    assert [rows[k]["2012"] for k in sorted(rows)] == [1, 2, 3, -4]
+    assert [rows[k]["2014"] for k in sorted(rows)] == [True, False, True, False]
+
+
+def test_header_check_reads_only_the_start_of_a_file(spark, tmp_path):
+    import gzip
+
+    body = "".join(f'"N","C{i}","I","X","1","2","3",\n' for i in range(20_000))
+    path = str(tmp_path / "a.csv.gz")
+    with gzip.open(path, "wt") as out:
+        out.write(PREAMBLE + HEADER + body)
+    assert len(indicators._head(spark, "file:" + path)) < 4000
+    assert indicators.read_indicators(spark, path, range(2012, 2015)).count() == 20_000
+    late = write(tmp_path / "late.csv", PREAMBLE + body[:3000] + HEADER)
+    with pytest.raises(ValueError, match="no header row"):
+        indicators.read_indicators(spark, late, range(2012, 2015))
+
+
+def test_replacing_years_can_run_again(spark, tmp_path):
+    path = str(tmp_path / "store")
+    kind = "entity string, indicator string, year int, value double"
+    first = [("a", "i", 1, 1.0), ("b", "i", 1, 2.0), ("a", "i", 2, 3.0)]
+    indicators.write_long(spark.createDataFrame(first, kind), path)
+    second = spark.createDataFrame([("a", "i", 2, 30.0), ("c", "i", 3, 40.0)], kind)
+    for _ in range(2):
+        indicators.replace_years(second, path)
+        found = indicators.read_long(spark, path).select("entity", "indicator", "year", "value").collect()
+        assert sorted(map(tuple, found)) == [("a", "i", 1, 1.0), ("a", "i", 2, 30.0), ("b", "i", 1, 2.0), ("c", "i", 3, 40.0)]
+    failing = second.withColumn("value", F.when(F.col("year") == 3, F.raise_error(F.lit("lost"))).otherwise(-1.0).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        indicators.replace_years(failing, path)
+    assert indicators.read_long(spark, path).agg(F.sum("value")).first()[0] == 73.0
+    indicators.replace_years(second.where("false"), path)
+    assert indicators.read_long(spark, path).count() == 4
+
+
 @pytest.mark.parametrize("text", ['{"A": "Country", "B": "Gro', "", "[1]"])
 def test_damaged_lookup_fails(spark, tmp_path, text):
     path = write(tmp_path / "types.txt", text)

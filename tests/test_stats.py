@@ -316,3 +316,100 @@ def test_ranked_coordinates_take_their_range_from_the_stored_ranks(spark):
     plan = charts.parallel_coords(df, "k", ["v"], "v", ranking=True)
     assert "Range (" not in plan._jdf.queryExecution().optimizedPlan().toString()
     assert {r["axis_max"] for r in plan.collect()} == {49}
+
+
+def bucket_points(spark):
+    rows = [(float(i % 100), float((i * 37) % 101)) for i in range(4000)]
+    rows += [(50.25, float(i)) for i in range(3000)] + [(50.3, -500.0), (50.4, 9000.0)]
+    rows += [(None, 5.0), (None, None), (7.5, None), (100.0, 1.0), (float("nan"), 3.0)]
+    return spark.createDataFrame(rows, "x double, y double").withColumn("x", F.when(~F.isnan("x"), F.col("x"))), rows
+
+
+def test_buckets_of_points_by_hand(spark):
+    table, rows = bucket_points(spark)
+    found = {r["bucket"]: r for r in charts.xy_buckets(table.repartition(5), "x", "y", 10).collect()}
+    assert len(found) == 11
+    groups = {}
+    for x, y in rows:
+        missing = x is None or x != x
+        groups.setdefault(None if missing else min(int(x // 10), 9), []).append((None if missing else x, y))
+    for bucket, points in groups.items():
+        row, there = found[bucket], [(x, y) for x, y in points if y is not None]
+        assert row["n"] == len(there) and row["n_missing"] == len(points) - len(there)
+        ys = [y for _, y in there]
+        assert (row["y_low"], row["y_high"]) == (min(ys), max(ys))
+        assert row["y_mean"] == pytest.approx(sum(ys) / len(ys))
+        if bucket is not None:
+            assert row["y_first"] == min(there)[1] and row["y_last"] == max(there)[1]
+            assert (row["x_low"], row["x_high"]) == (min(x for x, _ in points), max(x for x, _ in points))
+    # The hot bucket is one row, its extremes kept.
+    assert found[5]["n"] > 3000 and found[5]["y_low"] == -500 and found[5]["y_high"] == 9000
+
+
+def test_outline_keeps_ends_and_extremes(spark):
+    table, rows = bucket_points(spark)
+    found = charts.xy_outline(table.repartition(3), "x", "y", 10).collect()
+    points = {}
+    for r in found:
+        points.setdefault(r["bucket"], set()).add((r["x"], r["y"]))
+    assert len(found) <= 40
+    groups = {}
+    for x, y in rows:
+        if x is not None and x == x and y is not None:
+            groups.setdefault(min(int(x // 10), 9), []).append((x, y))
+    for bucket, own in groups.items():
+        low = min(own, key=lambda p: (p[1], p[0]))
+        high = max(own, key=lambda p: (p[1], -p[0]))
+        assert points[bucket] == {min(own), max(own), low, high}
+
+
+def test_buckets_by_group_and_of_nothing(spark):
+    table, _ = bucket_points(spark)
+    both = table.withColumn("g", F.lit("a")).unionByName(table.withColumn("g", F.lit(None)))
+    assert charts.xy_buckets(both, "x", "y", 10, by=["g"]).count() == 22
+    assert charts.xy_buckets(table.where("false"), "x", "y").count() == 0
+    assert charts.xy_outline(table.where("x IS NULL"), "x", "y").count() == 0
+    constant = charts.xy_buckets(table.select(F.lit(3.0).alias("x"), "y"), "x", "y", 10)
+    assert constant.count() == 1
+
+
+def test_bounded_points_leave_tasks_as_buckets(spark):
+    """Rows are combined before the one shuffle."""
+    table, _ = bucket_points(spark)
+    plan = charts.xy_buckets(table, "x", "y", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "Window" not in plan
+
+
+def wide_table(spark, columns, rows=300):
+    random = np.random.default_rng(columns)
+    cells = random.normal(1e6, 3.0, (rows, columns))
+    cells[:, 1] = cells[:, 0] * 2 + random.normal(0, 1, rows)
+    cells[:, 2] = 7.25
+    cells[random.random(cells.shape) < 0.2] = np.nan
+    cells[:, 3] = np.nan
+    cells[2:, 4] = np.nan
+    names = [f"c.{i}" for i in range(columns)]
+    frame = pd.DataFrame(cells, columns=names)
+    return spark.createDataFrame(frame).repartition(5), frame, names
+
+
+def test_wide_correlation_matches_the_small_form(spark):
+    table, _, names = wide_table(spark, 12)
+    table = table.select(*[F.nanvl(F.col(f"`{n}`"), F.lit(None)).alias(n) for n in names])
+    small = {(r["a"], r["b"]): r["r"] for r in stats.correlation_matrix(table, names).collect()}
+    wide = {(r["a"], r["b"]): r["r"] for r in stats.wide_correlation(table, names).collect()}
+    assert set(small) == set(wide)
+    for pair, r in small.items():
+        assert wide[pair] == (None if r is None else pytest.approx(r, abs=1e-9)), pair
+
+
+def test_five_hundred_columns(spark):
+    table, frame, names = wide_table(spark, 500)
+    found = stats.correlation_matrix(table, names).toPandas()
+    assert len(found) == 500 * 500
+    matrix = found.pivot(index="a", columns="b", values="r").loc[names, names].to_numpy(float)
+    wanted = frame.corr().to_numpy()
+    few = frame.notna().astype(int).T @ frame.notna().astype(int)
+    sure = (few.to_numpy() > 10) & ~np.isnan(wanted)
+    assert np.abs(matrix - wanted)[sure].max() < 1e-7
+    assert np.isnan(matrix[2]).all() and np.isnan(matrix[3]).all()
