@@ -55,8 +55,11 @@ class FitPool:
 
     def run(self, work: Callable, tasks: Iterable) -> Iterator:
         """``work`` of each task, as they end. The first error stops the whole pool."""
-        run = inheritable_thread_target(self.spark)(self._one)
-        futures = [self._threads.submit(run, work, task) for task in tasks]
+        # A wrapper for each task: threads of one wrapper share their properties, tags among them.
+        futures = [
+            self._threads.submit(inheritable_thread_target(self.spark)(self._one), work, task)
+            for task in tasks
+        ]
         self._tasks += futures
         try:
             for future in as_completed(futures):
