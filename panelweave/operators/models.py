@@ -40,6 +40,12 @@ FOREST_SETTINGS = {
     "seed": 42,
 }
 
+# How trees that may be deep are grown; none of it changes a tree. Rows remember the
+# node they are in, so the tree grown so far does not go to every task at each level
+# (that memory is cut off by checkpoints), and a pass over the rows splits as many
+# nodes as half a gigabyte of statistics allows.
+DEEP_TREES = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 512}
+
 # Parameters that the reports list.
 TREE_PARAMS = ("minInstancesPerNode", "maxDepth", "maxBins")
 BOOSTED_PARAMS = ("minInstancesPerNode", "maxDepth", "maxBins", "maxIter", "stepSize", "subsamplingRate")
@@ -110,7 +116,8 @@ def linear_regression(
 def decision_tree(
     features: Sequence[str], label: str, prediction: str = "prediction", **settings
 ) -> Pipeline:
-    """One regression tree, Spark's defaults unless set."""
+    """One regression tree, Spark's defaults unless set, grown by DEEP_TREES."""
+    settings = {**DEEP_TREES, **settings}
     return pipeline(DecisionTreeRegressor(**_columns(label, prediction), **settings), features, label)
 
 
@@ -125,7 +132,7 @@ def random_forest(
     features: Sequence[str], label: str, prediction: str = "prediction", **settings
 ) -> Pipeline:
     """A random forest; every setting that matters is explicit, see FOREST_SETTINGS."""
-    settings = {**FOREST_SETTINGS, **settings}
+    settings = {**DEEP_TREES, **FOREST_SETTINGS, **settings}
     return pipeline(RandomForestRegressor(**_columns(label, prediction), **settings), features, label)
 
 

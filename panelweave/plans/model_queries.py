@@ -93,6 +93,19 @@ def linreg_ols_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored(test, model), 2, "prediction")
 
 
+# The solver run to its end, so that five digits can be compared.
+TIGHT = {"tol": 1e-12, "maxIter": 1000}
+
+
+def five_digits(value: str) -> str:
+    """The first five digits of a number, and its power of ten."""
+    power = f"floor(log10(abs({value})))"
+    return f"round({value} * power(10, 4 - {power}), 0) AS digits, CAST({power} AS INTEGER) AS exponent"
+
+
+FIVE_DIGITS = ["round(value * power(10, 4 - floor(log10(abs(value)))), 0) AS digits", "CAST(floor(log10(abs(value))) AS INT) AS exponent"]
+
+
 @query(
     "linreg_report",
     f"""WITH {NET},
@@ -100,22 +113,32 @@ fit AS (
   SELECT sqrt(avg(pow(prediction - revenue, 2))) AS rmse,
          1 - sum(pow(prediction - revenue, 2)) / (var_pop(revenue) * count(*)) AS r2
   FROM net_scored WHERE year = 1996)
-SELECT 'coefficient' AS measure, 'n_orders' AS name, round(b1, -1) AS value FROM net_line
-UNION ALL SELECT 'coefficient', 'quantity', round(b2, 1) FROM net_line
-UNION ALL SELECT 'coefficient', 'acctbal', round(b3, 3) FROM net_line
-UNION ALL SELECT 'intercept', NULL, round(b0, -1) FROM net_line
-UNION ALL SELECT 'train_rmse', NULL, round(rmse, 2) FROM fit
-UNION ALL SELECT 'train_r2', NULL, round(r2, 6) FROM fit""",
+SELECT 'coefficient' AS measure, 'n_orders' AS name, {five_digits('b1')} FROM net_line
+UNION ALL SELECT 'coefficient', 'quantity', {five_digits('b2')} FROM net_line
+UNION ALL SELECT 'coefficient', 'acctbal', {five_digits('b3')} FROM net_line
+UNION ALL SELECT 'intercept', NULL, {five_digits('b0')} FROM net_line
+UNION ALL SELECT 'train_rmse', NULL, {five_digits('rmse')} FROM fit
+UNION ALL SELECT 'train_r2', NULL, {five_digits('r2')} FROM fit""",
 )
 def linreg_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = c.model_rows(spark, sf_dir)
-    model = models.linear_regression(c.PREDICTORS, c.LABEL).fit(train)
+    model = models.linear_regression(c.PREDICTORS, c.LABEL, **TIGHT).fit(train)
     report = models.linear_report(spark, model)
-    # The solver stops a little short of the optimum; digits beyond it are dropped.
-    digits = {"n_orders": -1, "quantity": 1, "acctbal": 3, "intercept": -1, "train_rmse": 2, "train_r2": 6}
-    what = F.coalesce("name", "measure")
-    value = F.coalesce(*[F.when(what == n, F.round("value", d)) for n, d in digits.items()])
-    return report.where(what.isin(list(digits))).select("measure", "name", value.alias("value"))
+    wanted = F.col("measure").isin("coefficient", "intercept", "train_rmse", "train_r2")
+    return report.where(wanted).selectExpr("measure", "name", *FIVE_DIGITS)
+
+
+@query(
+    "linreg_predict_net",
+    f"""WITH {NET}
+SELECT entity, revenue, round(prediction / 1000, 0) AS thousands FROM net_scored WHERE year = 1997""",
+)
+def linreg_predict_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published settings on all predictors."""
+    train, test = c.model_rows(spark, sf_dir)
+    model = models.linear_regression(c.PREDICTORS, c.LABEL, **TIGHT).fit(train)
+    thousands = F.round(F.col("prediction") / 1000, 0).alias("thousands")
+    return scored(test, model).select("entity", c.LABEL, thousands)
 
 
 @query("linreg_history")

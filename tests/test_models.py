@@ -345,3 +345,11 @@ def test_a_stored_plan_fits_alike(spark, rows, tmp_path):
     loaded = models.load_plan(spark, str(tmp_path / "p"))
     assert loaded.label == "the.label"
     assert loaded.fit(dotted).transform(dotted).select("prediction").collect() == plan.fit(dotted).transform(dotted).select("prediction").collect()
+
+
+@pytest.mark.parametrize("make", [models.decision_tree, models.random_forest])
+def test_how_deep_trees_are_grown_changes_no_tree(rows, make):
+    plain = {"cacheNodeIds": False, "maxMemoryInMB": 256}
+    ours = make(PREDICTORS, "y", maxDepth=12).fit(rows)
+    spark_s = make(PREDICTORS, "y", maxDepth=12, **plain).fit(rows)
+    assert ours.stages[-1].toDebugString.split("\n")[1:] == spark_s.stages[-1].toDebugString.split("\n")[1:]
