@@ -368,7 +368,16 @@ def near_duplicates(
     )
     labels = materialize(labels, "first-components")
     # Buckets of up to three nodes are settled: their pairs all hold the lowest or highest.
-    placed = crowded.where("size > 3").select("bucket", "node").join(labels, "node")
+    # What a node brings is joined once a node; its buckets, at most BANDS, go along as a list.
+    listed = materialize(
+        crowded.where("size > 3")
+        .groupBy("node")
+        .agg(F.collect_list("bucket").alias("buckets"))
+        .join(labels, "node")
+        .join(nodes.select("node", "n", "bits"), "node"),
+        "crowded-nodes",
+    )
+    placed = listed.select("node", "component", "n", "bits", F.explode("buckets").alias("bucket"))
     split = (
         placed.groupBy("bucket", "component")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -380,10 +389,7 @@ def near_duplicates(
         .where("parts > 1")
         .drop("parts")
     )
-    apart = materialize(
-        placed.join(split, "bucket").join(nodes.select("node", "n", "bits"), "node"),
-        "split-buckets",
-    )
+    apart = materialize(placed.join(split, "bucket"), "split-buckets")
     near = materialize(_neighbours(apart, percent), "near-components")
     more = _cross_links(near, labels, rows, nodes, size, percent)
     joined = components(materialize(linked.unionByName(more), "all-links"))
