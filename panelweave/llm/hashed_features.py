@@ -129,11 +129,13 @@ def fit_leaders(
     where a key has several. Without examples all weights are 0.
     """
     ship(docs.sparkSession)
+    # Label columns go by plain names inside, whatever they are called.
+    marks = [f"label_{number}" for number in range(len(names))]
     texts = docs.select(named(key).alias("_key"), named(text).alias("_text"))
     chosen = (
         texts.join(F.broadcast(labels), F.col("_key") == F.col("_label_key"))
         .groupBy("_key")
-        .agg(F.min("_text").alias("_text"), *[F.first(named(name)).alias(name) for name in names])
+        .agg(F.min("_text").alias("_text"), *[F.first(named(name)).alias(inner) for name, inner in zip(names, marks)])
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def fit_leaders(
                     "places": pa.array(
                         [places[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()
                     ),
-                    **{name: batch.column(name) for name in names},
+                    **{name: batch.column(name) for name in marks},
                 }
             )
 
@@ -154,7 +156,7 @@ def fit_leaders(
         rows = rows.sort_values(["dice", "places"])
         examples = [np.frombuffer(one, np.int32) for one in rows["places"]]
         out = []
-        for number, name in enumerate(names):
+        for number, name in enumerate(marks):
             leader = Leader(**settings)
             for _ in range(epochs):
                 for places, label in zip(examples, rows[name]):
@@ -165,13 +167,13 @@ def fit_leaders(
         return pd.concat(out)
 
     dice = F.xxhash64("_key", F.lit(5))
-    wanted = ", ".join(f"`{name}` int" for name in names)
+    wanted = ", ".join(f"{name} int" for name in marks)
     learnt = (
         chosen.select(
             F.pmod(F.shiftright(dice, 20), F.lit(shards)).cast("int").alias("shard"),
             dice.alias("dice"),
             "_text",
-            *[named(name).cast("int").alias(name) for name in names],
+            *[F.col(name).cast("int").alias(name) for name in marks],
         )
         .mapInArrow(extract, f"shard int, dice long, places binary, {wanted}")
         # Each shard has a task of its own; hashed shard numbers could meet.

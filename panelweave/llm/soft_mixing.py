@@ -45,7 +45,7 @@ DOMAINS = {
 }
 WEIGHTS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 STEPS, TOLERANCE = 40, 1e-9
-# Part of all words by which a domain may miss its target before a warning says so.
+# Part of all words by which a domain may miss its weight before a warning says so.
 MOST_MISSED = 0.001
 # Sharper than the quality fit: rates need posteriors that tell the domains apart.
 FIT = {"alpha": 0.3, "l1": 1.0, "epochs": 5}
@@ -95,17 +95,11 @@ def add_posteriors(docs: DataFrame, weights: np.ndarray, text: str = "text") ->
     return extended(docs, judge, text, "_mix_words long, _mix_posterior array<double>")
 
 
-def anchored_targets(
-    totals: np.ndarray, weights: dict[str, float], anchor: str
-) -> np.ndarray:
-    """Words per domain at the target weights, with ``anchor`` kept as it is.
-
-    A domain scarcer than its weight gets rates above 1: its documents are repeated. One
-    without any words cannot be filled and has no target.
-    """
+def anchored_targets(totals: np.ndarray, weights: dict[str, float], anchor: str) -> np.ndarray:
+    """Words per domain at the target weights, with ``anchor`` kept as it is."""
     names = list(weights)
     scale = totals[names.index(anchor)] / weights[anchor]
-    return np.where(totals > 0, scale * np.array([weights[name] for name in names]), 0.0)
+    return scale * np.array([weights[name] for name in names])
 
 
 def rate_expression(posterior: Column, steps: list[np.ndarray]) -> Column:
@@ -158,17 +152,22 @@ def fit_rates(judged: DataFrame, targets_of) -> tuple[list[np.ndarray], np.ndarr
 
 
 def check_reached(
-    reached: dict[str, float], targets: dict[str, float], most: float = MOST_MISSED
+    reached: dict[str, float], wanted: dict[str, float], most: float = MOST_MISSED
 ) -> None:
-    """Warns where the steps left a domain further from its target than ``most`` of all words.
+    """Warns of every domain further from the words it should have than ``most`` of all words.
 
-    Documents may not be able to reach a target: where all of them are half one domain
-    and half another, no rates bring the two to different totals.
+    Such a domain is scarcer than its weight and is not repeated, or no rates reach its
+    target: where all documents are half one domain and half another, none bring the
+    two to different totals.
     """
-    allowed = most * max(sum(targets.values()), 1.0)
-    missed = {name: (reached[name], goal) for name, goal in targets.items() if abs(reached[name] - goal) > allowed}
+    allowed = most * max(sum(wanted.values()), 1.0)
+    missed = {
+        name: f"{reached[name]:.0f} words, not {goal:.0f}"
+        for name, goal in wanted.items()
+        if abs(reached[name] - goal) > allowed
+    }
     if missed:
-        warnings.warn(f"domains miss their target words (reached, target): {missed}", stacklevel=3)
+        warnings.warn(f"domains miss their weights: {missed}", stacklevel=3)
 
 
 def mix_rates(
@@ -179,20 +178,29 @@ def mix_rates(
     domains: dict[str, str] = DOMAINS,
     weights: dict[str, float] = WEIGHTS,
     anchor: str = "clean",
+    repeat_scarce: bool = False,
 ) -> DataFrame:
     """Every row with ``_mix_words``, ``_mix_posterior``, ``_mix_rate``, ``_mix_copies``.
 
-    Rows are judged once and written; the steps read only words and posteriors.
+    Rows are judged once and written; the steps read only words and posteriors. A domain
+    scarcer than its weight keeps all its words and is named in a warning; with
+    ``repeat_scarce`` its documents are repeated to fill the weight, and with them what
+    they hold of other domains.
     """
     classifier = fit_domains(docs, labels, domains, id_col, text)
     judged = materialize(add_posteriors(docs, classifier, text), "domain-posteriors")
     if np.abs(classifier).sum() == 0:
         steps: list[np.ndarray] = []
     else:
-        steps, reached, targets = fit_rates(
-            judged, lambda totals: anchored_targets(totals, weights, anchor)
-        )
-        check_reached(dict(zip(weights, reached)), dict(zip(weights, targets)))
+        wanted: list[np.ndarray] = []
+
+        def targets_of(totals: np.ndarray) -> np.ndarray:
+            wanted.append(anchored_targets(totals, weights, anchor))
+            return wanted[0] if repeat_scarce else np.minimum(totals, wanted[0])
+
+        steps, reached, _ = fit_rates(judged, targets_of)
+        if wanted:
+            check_reached(dict(zip(weights, reached)), dict(zip(weights, wanted[0])))
     dice = F.pmod(F.xxhash64(named(id_col), named(text), F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     return judged.withColumn(
         "_mix_rate", rate_expression(F.col("_mix_posterior"), steps).cast("double")

@@ -344,6 +344,22 @@ def test_scarce_domains_are_filled(spark):
     assert reached == pytest.approx(targets, rel=1e-6)
 
 
+def test_scarce_domains_are_named_or_repeated(spark):
+    rows = [(i, f"plain words of an ordinary text {i} and more of them") for i in range(60)]
+    rows += [(100 + i, f"zzz qqq zzz {i}") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(3)], "doc_id long, quality int, toxic int"
+    )
+    half = {"clean": 0.5, "low": 0.5, "toxic": 0.0}
+    with pytest.warns(UserWarning, match="low.*words, not"):
+        kept = soft_mixing.mix_rates(table, labels, weights=half).collect()
+    filled = soft_mixing.mix_rates(table, labels, weights=half, repeat_scarce=True)
+    total = lambda d: F.sum(F.col("_mix_rate") * F.col("_mix_words") * F.col("_mix_posterior")[d])
+    low, more = (rows.agg(total(1)).first()[0] for rows in (spark.createDataFrame(kept), filled))
+    assert more > 2 * low
+
+
 def test_missed_targets_are_told():
     with pytest.warns(UserWarning, match="scarce"):
         soft_mixing.check_reached({"main": 100.0, "scarce": 3.0}, {"main": 100.0, "scarce": 9.0})
