@@ -165,6 +165,30 @@ def test_every_training_row_is_learnt_from(spark):
         assert not np.array_equal(learnt, recurrent_lm.Model(words).weights)
 
 
+def test_weights_are_averaged_in_any_number_of_levels(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select(
+        F.col("doc_id").alias("id"), "text", F.lit(False).alias("held_out")
+    )
+    recurrent_lm.ship(spark)
+    words = recurrent_lm.read_vocabulary(recurrent_lm.count_words(rows, "text"))
+    numbered = recurrent_lm.number_texts(rows, words)
+    monkeypatch.setattr(recurrent_lm, "SHARD_ROWS", 15)
+    monkeypatch.setattr(recurrent_lm, "ROUNDS", 1)
+    together = recurrent_lm.train_model(numbered, words).weights
+    monkeypatch.setattr(recurrent_lm, "FAN_IN", 2)
+    monkeypatch.setattr(recurrent_lm, "SLICE", 1000)
+    assert np.allclose(recurrent_lm.train_model(numbered, words).weights, together, atol=1e-6)
+    # By hand: the same shards one after another.
+    total = np.zeros(len(together))
+    dealt = numbered.withColumn("shard", F.pmod(F.shiftright("dice", 20), F.lit(13))).toPandas()
+    for _, own in dealt.groupby("shard"):
+        model = recurrent_lm.Model(words, recurrent_lm.Model(words).weights)
+        own = own.sort_values(["dice", "words"])
+        model.train([np.frombuffer(one, np.int32) for one in own["words"]])
+        total += model.weights
+    assert np.allclose(total / dealt["shard"].nunique(), together, atol=1e-5)
+
+
 def test_production_share_beats_the_base(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     found = recurrent_lm.score_texts(table).where("held_out")
