@@ -32,8 +32,13 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.expressions import named
 from panelweave.functions.storage import materialize
-from panelweave.llm.hashed_features import dot, features, fit_leaders, logistic, sample_labels
-from panelweave.llm.wordkeys import word_keys
+from panelweave.llm.hashed_features import (
+    dot,
+    features_and_sizes,
+    fit_leaders,
+    logistic,
+    sample_labels,
+)
 from panelweave.llm.workers import bounded, extended, ship
 
 MAX_TRAIN_ROWS = 20_000
@@ -76,7 +81,7 @@ def add_posteriors(docs: DataFrame, weights: np.ndarray, text: str = "text") ->
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 2 << 20):
             column = batch.column("text")
-            places, ends = features(column)
+            places, ends, sizes = features_and_sizes(column)
             odds = np.stack([logistic(dot(one, places, ends)) for one in weights], 1) * known
             total = odds.sum(1, keepdims=True)
             posterior = np.divide(
@@ -86,7 +91,7 @@ def add_posteriors(docs: DataFrame, weights: np.ndarray, text: str = "text") ->
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
-                    pa.array(np.diff(word_keys(column)[1]).astype(np.int64)),
+                    pa.array(sizes.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(starts), pa.array(posterior.ravel())),
                 ],
                 [*batch.schema.names, "_mix_words", "_mix_posterior"],
