@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from panelweave.functions.expressions import named, reference
 from panelweave.functions.storage import scratch_dir
+from panelweave.operators.exact_trees import ExactBoosting
 from panelweave.operators.fit_pool import FitPool
 from panelweave.operators.models import PanelPipeline
 from panelweave.operators.ranking import ordinal_index
@@ -110,7 +111,7 @@ def _jobs(plan: Pipeline, points: Sequence[Point]) -> list[list[Point]]:
     Boosting adds trees one by one, so a model with more iterations contains
     those with fewer: points that differ in ``maxIter`` alone share a fit.
     """
-    if not isinstance(plan.getStages()[-1], GBTRegressor):
+    if not isinstance(plan.getStages()[-1], (GBTRegressor, ExactBoosting)):
         return [[point] for point in points]
     shared: dict[tuple, list[Point]] = {}
     for point in points:
