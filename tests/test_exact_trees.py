@@ -98,7 +98,12 @@ def test_awkward_rows(spark):
         models.decision_tree(FEATURES, "y", exact=True, maxDepth=11).fit(same)
 
 
-WHOLE = ["dtree_splits", "dtree_sweep_depths", "gbt_sweep_stumps"]
+WHOLE = [
+    "dtree_splits",
+    "dtree_sweep_depths",
+    "gbt_sweep_stumps",
+    "model_residuals_unlike",
+]
 
 
 @pytest.mark.parametrize("name", WHOLE)
