@@ -103,6 +103,7 @@ WHOLE = [
     "dtree_sweep_depths",
     "gbt_sweep_stumps",
     "model_residuals_unlike",
+    "model_compare_unlike",
 ]
 
 
