@@ -104,6 +104,7 @@ WHOLE = [
     "gbt_sweep_stumps",
     "model_residuals_unlike",
     "model_compare_unlike",
+    "study_from_files",
 ]
 
 
