@@ -9,16 +9,21 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
+    DecisionTreeRegressor,
+    GBTRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.expressions import named, reference
-from panelweave.functions.storage import scratch_dir
+from panelweave.functions.storage import scratch_dir, scratch_path
 from panelweave.operators.exact_trees import ExactBoosting
 from panelweave.operators.fit_pool import FitPool
 from panelweave.operators.models import PanelPipeline
@@ -105,23 +110,79 @@ def _fit(plan: Pipeline, train: DataFrame, point: Point) -> PipelineModel:
     return plan.fit(train, {estimator.getParam(name): value for name, value in point.items()})
 
 
-def _jobs(plan: Pipeline, points: Sequence[Point]) -> list[list[Point]]:
-    """Points that one fit can score together.
+def _grown_by(plan: Pipeline) -> str | None:
+    """The parameter with which a model grows: a larger value's model contains the smaller one's.
 
-    Boosting adds trees one by one, so a model with more iterations contains
-    those with fewer: points that differ in ``maxIter`` alone share a fit.
+    Boosting adds trees one by one, and a tree is split level by level.
     """
-    if not isinstance(plan.getStages()[-1], (GBTRegressor, ExactBoosting)):
+    estimator = plan.getStages()[-1]
+    if isinstance(estimator, (GBTRegressor, ExactBoosting)):
+        return "maxIter"
+    return "maxDepth" if isinstance(estimator, DecisionTreeRegressor) else None
+
+
+def _jobs(plan: Pipeline, points: Sequence[Point]) -> list[list[Point]]:
+    """Points that one fit can score together: those that differ in how far the model grows alone."""
+    grown = _grown_by(plan)
+    if grown is None:
         return [[point] for point in points]
     shared: dict[tuple, list[Point]] = {}
     for point in points:
-        rest = tuple((name, value) for name, value in point.items() if name != "maxIter")
+        rest = tuple((name, value) for name, value in point.items() if name != grown)
         shared.setdefault(rest, []).append(point)
     return list(shared.values())
 
 
-def _iterations(plan: Pipeline, point: Point) -> int:
-    return point.get("maxIter", plan.getStages()[-1].getOrDefault("maxIter"))
+def _reach(plan: Pipeline, point: Point) -> int:
+    """How far the point's model grows."""
+    grown = _grown_by(plan)
+    return point.get(grown, plan.getStages()[-1].getOrDefault(grown))
+
+
+def _cut_predictions(
+    spark: SparkSession, tree: DecisionTreeRegressionModel, depths: Sequence[int]
+) -> DataFrame:
+    """``(leaf, at0, at1, ...)``: what the tree, cut off at each depth, predicts where a leaf is.
+
+    That is the prediction of the leaf's forebear at that depth, read from the stored
+    tree. The driver holds the tree's nodes, as it does when it grows them.
+    """
+    path = scratch_path(spark, "tree")
+    tree.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    nodes = nodes.select("id", "prediction", "leftChild", "rightChild").toPandas().sort_values("id")
+    low, high = nodes["leftChild"].to_numpy(), nodes["rightChild"].to_numpy()
+    shown = [nodes["prediction"].to_numpy(copy=True) for _ in depths]
+    level, parents = 0, np.flatnonzero(low[:1] >= 0)
+    while len(parents):
+        for depth, values in zip(depths, shown):
+            if level >= depth:
+                values[low[parents]] = values[high[parents]] = values[parents]
+        children = np.concatenate([low[parents], high[parents]])
+        level, parents = level + 1, children[low[children] >= 0]
+    # Nodes are numbered with the left branch before the right one, and so are leaves.
+    leaves = np.flatnonzero(low < 0)
+    rows = zip(range(len(leaves)), *(values[leaves].tolist() for values in shown))
+    fields = ", ".join(f"at{i} double" for i in range(len(depths)))
+    return spark.createDataFrame([(float(leaf), *row) for leaf, *row in rows], f"leaf double, {fields}")
+
+
+def _errors_by_depth(
+    plan: Pipeline, model: PipelineModel, test: DataFrame, depths: Sequence[int]
+) -> list[float]:
+    """The mean squared error of the tree as it is, for the largest depth, and cut off at the others."""
+    estimator, tree = plan.getStages()[-1], model.stages[-1]
+    label, prediction = F.col(estimator.getLabelCol()), F.col(estimator.getPredictionCol())
+    cuts = sorted(set(depths) - {max(depths)})
+    features = PipelineModel(model.stages[:-1]).transform(test)
+    scored = tree.transform(features, {tree.leafCol: "leaf"}).select(
+        "leaf", label.alias("y"), prediction.alias("whole")
+    )
+    if cuts:
+        scored = scored.join(_cut_predictions(test.sparkSession, tree, cuts), "leaf")
+    column = {depth: f"at{i}" for i, depth in enumerate(cuts)} | {max(depths): "whole"}
+    squares = [F.avg(F.pow(F.col(column[d]) - F.col("y"), F.lit(2.0))).alias(f"e{i}") for i, d in enumerate(depths)]
+    return [math.nan if e is None else e for e in scored.agg(*squares).head()]
 
 
 def _score_job(
@@ -136,11 +197,14 @@ def _score_job(
             labelCol=label, predictionCol=estimator.getPredictionCol(), metricName=metric
         )
         return [evaluator.evaluate(model.transform(test))], model
-    longest = max(job, key=lambda point: _iterations(plan, point))
-    model = _fit(plan, train, longest)
-    features = PipelineModel(model.stages[:-1]).transform(test)
-    squared = model.stages[-1].evaluateEachIteration(features, "squared")
-    errors = [squared[_iterations(plan, point) - 1] for point in job]
+    reach = [_reach(plan, point) for point in job]
+    model = _fit(plan, train, job[reach.index(max(reach))])
+    if _grown_by(plan) == "maxDepth":
+        errors = _errors_by_depth(plan, model, test, reach)
+    else:
+        features = PipelineModel(model.stages[:-1]).transform(test)
+        squared = model.stages[-1].evaluateEachIteration(features, "squared")
+        errors = [squared[n - 1] for n in reach]
     if metric == "rmse":
         return [math.sqrt(e) for e in errors], model
     spread = test.agg(F.var_pop(label)).head()[0]
@@ -202,13 +266,13 @@ def _scores(
 
         with nullcontext(pool) if pool else FitPool(train.sparkSession, parallelism) as fits:
             for job, found, model in fits.run(score, jobs):
-                longest = max(_iterations(plan, p) for p in job) if len(job) > 1 else None
+                longest = max(_reach(plan, p) for p in job) if len(job) > 1 else None
                 for point, score in zip(job, found):
                     at = index[id(point)]
                     scores[at] = score
                     if (_rank(score, metric), at) < best:
                         best = (_rank(score, metric), at)
-                        whole = longest is None or _iterations(plan, point) == longest
+                        whole = longest is None or _reach(plan, point) == longest
                         best_model = model if whole else None
     if math.isinf(best[0]):
         raise ValueError(f"{metric} is undefined at every grid point")

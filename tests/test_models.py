@@ -353,3 +353,21 @@ def test_how_deep_trees_are_grown_changes_no_tree(rows, make):
     ours = make(PREDICTORS, "y", maxDepth=12).fit(rows)
     spark_s = make(PREDICTORS, "y", maxDepth=12, **plain).fit(rows)
     assert ours.stages[-1].toDebugString.split("\n")[1:] == spark_s.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_depths_of_a_sweep_share_a_fit(rows, monkeypatch):
+    train, test = split(rows)
+    plan = models.decision_tree(PREDICTORS, "y")
+    points = search.grid_points({"maxDepth": [0, 1, 3, 4, 9, 30], "minInstancesPerNode": [1, 4]})
+    fit, fitted = search._fit, []
+
+    def counted(plan, train, point):
+        fitted.append(point)
+        return fit(plan, train, point)
+
+    monkeypatch.setattr(search, "_fit", counted)
+    found = search.sweep(plan, train, test, points)
+    assert len([p for p in fitted if p != found.best]) <= 2 and len(fitted) <= 3
+    each = [rmse(fit(plan, train, point).transform(test)) for point in points]
+    assert [r["rmse"] for r in found.table.collect()] == pytest.approx(each, rel=1e-12)
+    assert rmse(found.model.transform(test)) == pytest.approx(min(each))
