@@ -38,7 +38,7 @@ from panelweave.llm.workers import bounded, extended, ship, text_bytes
 MAX_ROWS = 4000
 PASSAGE = 8
 #: Of the words' continuation counts and of the bigrams' counts: pairs to choose from.
-DISCOUNTS = tuple((words, bigrams) for words in (0.75, 3.0, 12.0) for bigrams in (3.0, 12.0, 48.0))
+DISCOUNTS = tuple((words, bigrams) for words in (0.75, 3.0, 12.0) for bigrams in (3.0, 12.0, 48.0, 192.0))
 TOXIC = 0.5
 #: The word before the first.
 OPENING = np.uint64(0x5851F42D4C957F2D)
@@ -181,15 +181,45 @@ def chosen_labels(labels: DataFrame, key: str, label: str, most: int) -> DataFra
     return parts[0].unionByName(parts[1])
 
 
+def _runs(words: np.ndarray, before: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(the second word before each, keys of the runs of three words that end at each)``."""
+    third = np.empty_like(before)
+    third[1:] = before[:-1]
+    third[ends[:-1][np.diff(ends) > 0]] = OPENING
+    return third, pair(third, pair(before, words))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a key that copies of a text share, near ones too: the least of its runs' keys.
+
+    Two texts have the same with the share of their runs that they have in common.
+    """
+    for batch in bounded(batches, "text", 4 << 20):
+        words, before, ends = tokens(batch.column("text"))
+        keys = np.zeros(batch.num_rows, np.uint64)
+        full = np.flatnonzero(np.diff(ends))
+        if len(full):
+            keys[full] = np.minimum.reduceat(_runs(words, before, ends)[1], ends[:-1][full])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("label"), batch.column("text"), pa.array(keys.view(np.int64))],
+            ["label", "text", "alike"],
+        )
+
+
 def _texts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
-    """``(label, tuning, text)`` of the chosen labels, one text a key, written once."""
+    """``(label, tuning, text)`` of the chosen labels, one text a key, written once.
+
+    Copies are tuning texts together or not at all: one whose copy was counted would tell
+    how well the counts know it, not how they judge new texts.
+    """
     # At most 2 * MAX_ROWS labels.
     joined = docs.select(named(key).alias("key"), named(text).alias("text")).join(
         F.broadcast(chosen), F.col("key") == F.col("label_key")
     )
     one = joined.groupBy("key").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    tuning = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(5)) == 0
-    return materialize(one.select("label", tuning.alias("tuning"), "text"), "labelled")
+    told = one.select("label", "text").mapInArrow(_alike, "label int, text string, alike long")
+    tuning = F.pmod(F.xxhash64("alike", F.lit(11)), F.lit(5)) == 0
+    return materialize(told.select("label", tuning.alias("tuning"), "text"), "labelled")
 
 
 def _count(texts: DataFrame) -> Counts:
@@ -201,11 +231,9 @@ def _count(texts: DataFrame) -> Counts:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 4 << 20):
             words, before, ends = tokens(batch.column("text"))
-            third = np.empty_like(before)
-            third[1:] = before[:-1]
-            third[ends[:-1][np.diff(ends) > 0]] = OPENING
+            third, run = _runs(words, before, ends)
             label = np.repeat(batch.column("label").to_numpy(), np.diff(ends))
-            run = pair(third, pair(before, words)) ^ (label.astype(np.uint64) << np.uint64(63))
+            run ^= label.astype(np.uint64) << np.uint64(63)
             first = np.sort(np.unique(run, return_index=True)[1])
             yield pa.RecordBatch.from_pydict(
                 {
@@ -250,13 +278,13 @@ def _count(texts: DataFrame) -> Counts:
     )
 
 
-def _regression(found: np.ndarray, label: np.ndarray, weight: np.ndarray, l2: float = 1e-3):
+def _regression(found: np.ndarray, label: np.ndarray, weight: np.ndarray, l2: float = 1e-6):
     """``(center, scale, weights, loss)`` of a logistic regression by Newton steps."""
     center, scale = found.mean(axis=0), found.std(axis=0) + 1e-9
     x = np.append((found - center) / scale, np.ones((len(found), 1)), axis=1)
     weight, weights = weight / weight.sum(), np.zeros(4)
     ridge = np.diag([l2, l2, l2, 1e-9])
-    for _ in range(50):
+    for _ in range(200):
         p = logistic(x @ weights)
         slope = x.T @ (weight * (p - label)) + ridge @ weights
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge

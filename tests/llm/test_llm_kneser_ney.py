@@ -9,6 +9,7 @@ import pytest
 from llm_fixtures import ODD, docs, none
 from pyspark.sql import functions as F
 
+from panelweave.llm.hashed_features import logistic
 from panelweave.llm import kneser_ney, queries
 from panelweave.llm.wordkeys import word_keys
 
@@ -177,3 +178,32 @@ def test_one_class_or_none(spark):
     for chosen, score in ((labels, 1.0), (labels.withColumn("toxic", F.lit(0)), 0.0), (labels.where("false"), 0.0)):
         judge = kneser_ney.fit_judge(docs(spark), chosen)
         assert {r["score"] for r in kneser_ney.score_toxicity(docs(spark), judge).collect()} == {score}
+
+
+def test_a_narrow_gap_between_the_classes_is_used():
+    rng = np.random.default_rng(4)
+    found = np.column_stack([rng.normal(size=1000), rng.normal(size=1000), rng.uniform(0, 0.97, size=1000)])
+    label = np.repeat([0, 1], [900, 100])
+    found[label == 1, 2] = 1.0
+    center, scale, weights, _ = kneser_ney._regression(found, label, np.ones(1000))
+    p = logistic((found - center) / scale @ weights[:-1] + weights[-1])
+    assert ((p >= 0.5) == (label == 1)).all()
+
+
+def test_copies_are_tuning_texts_together(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for doc in range(40):
+        words = [f"w{n}" for n in rng.integers(0, 1000, size=300)]
+        for copy in range(4):
+            rows.append((4 * doc + copy, " ".join([*words, *["end"] * copy])))
+    docs = spark.createDataFrame([*rows, (160, None), (161, "")], "doc_id long, text string")
+    chosen = docs.selectExpr("doc_id label_key", "cast(doc_id % 2 as int) label")
+    texts = kneser_ney._texts(docs, chosen, "doc_id", "text").collect()
+    assert len(texts) == 162
+    sides = {}
+    for row in texts:
+        if row["text"]:
+            sides.setdefault(row["text"].split(" end")[0], []).append(row["tuning"])
+    together = sum(len(set(found)) == 1 for found in sides.values())
+    assert together >= 38 and {t for found in sides.values() for t in found} == {True, False}
