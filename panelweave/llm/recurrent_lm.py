@@ -55,6 +55,10 @@ SLICE, FAN_IN = 1 << 15, 256
 WINDOW, LANES = 16, 512
 #: Updates that a shard makes at least, with fewer lanes if need be; words scored together.
 LEAST_STEPS, SCORE_WINDOW = 100, 16384
+#: Columns of a softmax at once, so that its arrays stay in a processor's cache.
+COLUMNS = 4000
+#: Bits of a key that the search for its word starts from.
+LEADING = 18
 RATE = 0.01
 
 
@@ -100,18 +104,29 @@ class Vocabulary:
         self.tail_count = total - int(self.member_counts.sum())
         self.tail_log = math.log10(self.tail_count + SMOOTH * (distinct - members + 1))
         self.base_log = math.log10(total + SMOOTH * (distinct + 1))
-        self.end = int(self.look_up(np.array([END]))[0][0]) if len(keys) else members
+        self.end = int(self.look_up(np.array([END]))[0])
 
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word number and count of each key; the count is -1 outside the head."""
+    def starts(self) -> np.ndarray:
+        """For each value of a key's first ``LEADING`` bits, where its keys start."""
+        edges = np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)
+        return np.searchsorted(self.keys, edges)
+
+    def look_up(self, keys: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """Word number of each key; ``starts`` saves most of the search for many keys."""
         if not len(self.keys):
-            return np.full(len(keys), self.members, np.int32), np.full(len(keys), -1, np.int64)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[place] == keys
-        return (
-            np.where(hit, self.number[place], self.members).astype(np.int32),
-            np.where(hit, self.counts[place], -1),
-        )
+            return np.full(len(keys), self.members, np.int32)
+        last = len(self.keys) - 1
+        if starts is None:
+            place = np.minimum(np.searchsorted(self.keys, keys), last)
+        else:
+            # Keys are hashes, so few share their leading bits.
+            place = np.minimum(starts[keys >> np.uint64(64 - LEADING)], last)
+            behind = np.flatnonzero(self.keys[place] < keys)
+            while len(behind):
+                behind = behind[place[behind] < last]
+                place[behind] += 1
+                behind = behind[self.keys[place[behind]] < keys[behind]]
+        return np.where(self.keys[place] == keys, self.number[place], np.int32(self.members))
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -125,7 +140,11 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
 
 
 class Model:
@@ -174,6 +193,7 @@ class Model:
         size = sum(math.prod(shape) for shape in self.shapes.values())
         self.weights = np.zeros(size, np.float32) if weights is None else weights.astype(np.float32)
         self.part = self.parts(self.weights)
+        self.rooms: dict[tuple, np.ndarray] = {}
         if weights is None:
             self._start()
 
@@ -199,16 +219,33 @@ class Model:
         sums = np.append(sums, blocks.sum())
         self.part["classes"][-1] = np.log(sums / sums.sum())
 
+    def _room(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        """An array whose memory every window uses again: mapping fresh pages for the arrays
+        of each window cost a fifth of the time. Its last contents are lost."""
+        size = math.prod(shape)
+        held = self.rooms.get((name, kind))
+        if held is None or len(held) < size:
+            held = self.rooms[name, kind] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
     def _feed(self, word: np.ndarray) -> np.ndarray:
-        return np.take(self.part["into"], self.row[word], axis=1)
+        table = self.part["into"]
+        fed = self._room("fed", table.dtype, len(table), len(word))
+        # "clip" is for speed: "raise" fills a copy first.
+        return np.take(table, self.row[word], axis=1, out=fed, mode="clip")
 
     def _step(self, state: np.ndarray, fed: np.ndarray) -> tuple[np.ndarray, ...]:
         """``(state, gates, fresh, back)`` after one word; ``state`` without the last feature."""
         h = HIDDEN
         back = self.part["again"].T @ state
         gates = sigmoid(fed[: 2 * h] + back[: 2 * h])
-        fresh = np.tanh(fed[2 * h :] + gates[h:] * back[2 * h :])
-        return fresh + gates[:h] * (state[:h] - fresh), gates, fresh, back[2 * h :]
+        fresh = gates[h:] * back[2 * h :]
+        fresh += fed[2 * h :]
+        np.tanh(fresh, out=fresh)
+        after = state[:h] - fresh
+        after *= gates[:h]
+        after += fresh
+        return after, gates, fresh, back[2 * h :]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """States, one a row, after one word each."""
@@ -223,11 +260,11 @@ class Model:
     ) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of words after states and, with ``grad``, the slopes by state.
 
-        Tokens are sorted once, by class and then by table, so that each softmax of all
-        tokens is one array and only the products go class by class.
+        Tokens are sorted once, by class and then by table, and taken ``COLUMNS`` at a time;
+        each softmax of those is one array and only the products go class by class.
         """
-        p, n = self.part, len(word)
-        direct = self.words.direct
+        p, n, h = self.part, len(word), HIDDEN
+        direct, kind = self.words.direct, states.dtype
         beyond = word >= direct
         rank = np.where(beyond, word - direct, 0)
         block = rank // self.side**2
@@ -236,53 +273,71 @@ class Model:
         known = np.append(self.table, TABLES) + np.uint8(self.classes)
         key[beyond] = known[block[beyond]]
         order = np.argsort(key, kind="stable")
-        held = np.take(states, order, axis=1)
         bounds = np.searchsorted(key[order], np.arange(self.classes + TABLES + 1))
-        split, most = bounds[self.classes], bounds[-1]
         word, rank, block = word[order], rank[order], block[order]
         group = np.minimum(key[order], self.classes).astype(np.int64)
+        of = [slice(at * MEMBERS, (at + 1) * MEMBERS) for at in range(self.classes)]
+        members = [p["members"][one] for one in of]
         slope = grad is not None
-
-        wrong = p["classes"].T @ held
-        log = _chosen(wrong, group, slope)
+        logs = np.empty(n, kind)
         if slope:
-            grad["classes"] += held @ wrong.T
-            into = p["classes"] @ wrong
-        if split:
-            of = [slice(at * MEMBERS, (at + 1) * MEMBERS) for at in range(self.classes)]
-            tables = [p["members"][one] for one in of]
-            spans = list(zip(bounds[: self.classes], bounds[1:]))
-            wrong = _products(tables, held, spans, 0, split)
-            log[:split] += _chosen(wrong, word[:split] % MEMBERS, slope)
+            grads = [grad["members"][one] for one in of]
+            slopes = self._room("slopes", kind, h, n)
+
+        def room(name: str, rows: int, columns: int) -> np.ndarray:
+            return self._room(name, kind, rows, columns)
+
+        for low in range(0, n, COLUMNS):
+            high = min(low + COLUMNS, n)
+            own = room("own", h + 1, high - low)
+            np.take(states, order[low:high], axis=1, out=own, mode="clip")
+            # Columns of the words in classes come first, those beyond the head last.
+            here = np.clip(bounds, low, high) - low
+            split, most = int(here[self.classes]), int(here[-1])
+            log = logs[low:high]
+
+            x = np.matmul(p["classes"].T, own, out=room("logits", self.classes + 1, high - low))
+            log[:], wrong = _chosen(x, group[low:high], slope, room("wrong", *x.shape))
             if slope:
-                _slopes([grad["members"][one] for one in of], tables, held, into, wrong, spans, 0)
-        if split < n:
-            own = held[:, split:]
-            wrong = p["blocks"].T @ own
-            log[split:] += _chosen(wrong, block[split:], slope)
-            if slope:
-                grad["blocks"] += own @ wrong.T
-                into[:, split:] += p["blocks"] @ wrong
-        if split < most:
-            spans = list(zip(bounds[self.classes : -1], bounds[self.classes + 1 :]))
-            rank, block = rank[split:most], block[split:most]
-            section = rank // self.side
-            for name, bias, at, place in (
-                ("sections", self.section_bias, block, section % self.side),
-                ("places", self.place_bias, section, rank % self.side),
-            ):
-                wrong = _products(p[name], held, spans, split, most)
-                wrong += np.take(bias, at, axis=1)
-                log[split:most] += _chosen(wrong, place, slope)
+                grad["classes"] += (wrong @ own.T).T
+                into = np.matmul(p["classes"][:h], wrong, out=slopes[:, low:high])
+            if split:
+                spans = list(zip(here[: self.classes].tolist(), here[1:].tolist()))
+                x = _products(members, own, spans, room("logits", MEMBERS, split))
+                found, wrong = _chosen(x, word[low : low + split] % MEMBERS, slope, room("wrong", *x.shape))
+                log[:split] += found
+                if slope:
+                    _slopes(grads, members, own, into, wrong, spans)
+            if split < high - low:
+                far = own[:, split:]
+                x = np.matmul(p["blocks"].T, far, out=room("logits", self.blocks + 1, far.shape[1]))
+                found, wrong = _chosen(x, block[low + split : high], slope, room("wrong", *x.shape))
+                log[split:] += found
                 if slope:
-                    _slopes(grad[name], p[name], held, into, wrong, spans, split)
-        out = np.empty(n, log.dtype)
-        out[order] = log
+                    grad["blocks"] += (wrong @ far.T).T
+                    into[:, split:] += p["blocks"][:h] @ wrong
+            if split < most:
+                far = own[:, split:most]
+                spans = here[self.classes :] - split
+                spans = list(zip(spans[:-1].tolist(), spans[1:].tolist()))
+                ranks, blocks = rank[low + split : low + most], block[low + split : low + most]
+                section = ranks // self.side
+                for name, bias, at, place in (
+                    ("sections", self.section_bias, blocks, section % self.side),
+                    ("places", self.place_bias, section, ranks % self.side),
+                ):
+                    x = _products(p[name], far, spans, room("logits", self.side, most - split))
+                    x += np.take(bias, at, axis=1)
+                    found, wrong = _chosen(x, place, slope, room("wrong", *x.shape))
+                    log[split:most] += found
+                    if slope:
+                        _slopes(grad[name], p[name], far, into[:, split:most], wrong, spans)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
         if not slope:
-            return out, None
-        back = np.empty_like(into)
-        back[:, order] = into
-        return out, back
+            return logs[back], None
+        out = self._room("back", kind, h, n)
+        return logs[back], np.take(slopes, back, axis=1, out=out, mode="clip")
 
     def window(self, state: np.ndarray, words: np.ndarray, grad: dict[str, np.ndarray]) -> tuple:
         """One truncated window of ``(steps, lanes)`` words: adds to ``grad``, returns
@@ -293,49 +348,57 @@ class Model:
         flat = words.ravel()
         safe = np.where(flat < 0, self.words.end, flat)
         goes_on = ((flat >= 0) & (flat != self.words.end)).reshape(steps, lanes).astype(kind)
+        # Each step's arrays lie together, so that they stay in a processor's cache.
+        before = self._room("before", kind, steps + 1, h + 1, lanes)
+        before[:, h] = 1.0
+        before[0, :h] = state
         fed = self._feed(safe).reshape(3 * h, steps, lanes)
-        before = np.ones((h + 1, steps, lanes), kind)
-        now = np.ones((h + 1, lanes), kind)
-        now[:h] = state
         kept = []
         for t in range(steps):
-            before[:h, t] = now[:h]
-            after, *rest = self._step(now, fed[:, t])
-            np.multiply(after, goes_on[t], out=now[:h])
+            after, *rest = self._step(before[t], fed[:, t])
+            np.multiply(after, goes_on[t], out=before[t + 1, :h])
             kept.append(rest)
-        states = before.reshape(h + 1, -1)
+        states = self._room("states", kind, h + 1, steps, lanes)
+        states[:] = before[:-1].transpose(1, 0, 2)
+        states = states.reshape(h + 1, -1)
         if flat.min(initial=0) < 0:
             real = np.flatnonzero(flat >= 0)
             log, some = self._output(states[:, real], flat[real], grad)
-            from_output = np.zeros_like(states)
+            from_output = np.zeros((h, len(flat)), kind)
             from_output[:, real] = some
         else:
             log, from_output = self._output(states, flat, grad)
-        from_output = from_output.reshape(h + 1, steps, lanes)
+        from_output = from_output.reshape(h, steps, lanes)
         later = np.zeros((h, lanes), kind)
-        d_fed = np.empty((3 * h, steps, lanes), kind)
-        d_back = np.empty((3 * h, steps, lanes), kind)
+        d_fed = self._room("d_fed", kind, steps, 3 * h, lanes)
         again = p["again"][:h]
         for t in reversed(range(steps)):
             gates, fresh, back = kept[t]
             keep, reset = gates[:h], gates[h:]
             d = later * goes_on[t]
             held_back = d * keep
-            d_fresh = (d - held_back) * (1 - fresh * fresh)
-            slope = gates * (1 - gates)
-            own = d_fed[:, t]
-            np.multiply(d * (before[:h, t] - fresh), slope[:h], out=own[:h])
-            np.multiply(d_fresh * back, slope[h:], out=own[h : 2 * h])
-            own[2 * h :] = d_fresh
-            d_back[: 2 * h, t] = own[: 2 * h]
-            np.multiply(d_fresh, reset, out=d_back[2 * h :, t])
-            later = held_back + again @ d_back[:, t] + from_output[:h, t]
-        grad["again"] += states @ d_back.reshape(3 * h, -1).T
+            own = d_fed[t]
+            slope = 1 - gates
+            slope *= gates
+            d_keep = before[t, :h] - fresh
+            d_keep *= d
+            np.multiply(d_keep, slope[:h], out=own[:h])
+            d -= held_back
+            fresh *= fresh
+            np.subtract(1, fresh, out=fresh)
+            d_fresh = np.multiply(d, fresh, out=own[2 * h :])
+            back *= d_fresh
+            np.multiply(back, slope[h:], out=own[h : 2 * h])
+            d_back = own.copy()
+            d_back[2 * h :] *= reset
+            grad["again"] += before[t] @ d_back.T
+            later = again @ d_back
+            later += held_back
+            later += from_output[:, t]
         rows = self.row[safe].astype(np.int64)
         for feature in range(3 * h):
-            own = d_fed[feature].ravel()
-            grad["into"][feature] += np.bincount(rows, own, grad["into"].shape[1])
-        return now[:h].copy(), log
+            np.add.at(grad["into"][feature], rows, d_fed[:, feature].ravel())
+        return before[steps, :h].copy(), log
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
         """One pass of Adam over texts laid end to end in lanes."""
@@ -387,9 +450,11 @@ class Model:
         seat[ranked] = np.arange(lanes)
         row = np.repeat(np.arange(n), sizes)
         step = np.arange(len(words)) - np.repeat(starts[:-1] - begin, sizes)
-        grid = np.argsort(step * lanes + seat[lane_of[row]])
         busy = len(ends) - np.searchsorted(np.sort(ends), np.arange(int(ends.max(initial=0))), "right")
         bounds = np.concatenate(([0], np.cumsum(busy)))
+        # Lanes are seated by falling end, so each step's words fill its first seats.
+        grid = np.empty(len(words), np.int64)
+        grid[bounds[step] + seat[lane_of][row]] = np.arange(len(words))
         h = HIDDEN
         state = np.ones((h + 1, lanes), np.float32)
         state[:h] = 0.0
@@ -401,7 +466,7 @@ class Model:
             seen = words[own]
             fed = self._feed(seen)
             goes_on = (seen != self.words.end).astype(np.float32)
-            before = np.empty((h + 1, len(own)), np.float32)
+            before = self._room("before", state.dtype, h + 1, len(own))
             for t in range(low, high):
                 a, b = bounds[t] - bounds[low], bounds[t + 1] - bounds[low]
                 state = state[:, : b - a]
@@ -417,37 +482,41 @@ def _with_one(states: np.ndarray) -> np.ndarray:
     return np.concatenate((states, np.ones((1, states.shape[1]), states.dtype)))
 
 
-def _chosen(x: np.ndarray, place: np.ndarray, slope: bool) -> np.ndarray:
-    """Log softmax of each column of ``x`` at ``place``; with ``slope``, ``x`` becomes the
-    loss's gradient. Where logits are moderate they need no shift."""
-    top = x.max(0)
-    if top.max(initial=0.0) > 60.0 or top.min(initial=0.0) < -60.0:
-        x -= top
+def _chosen(
+    x: np.ndarray, place: np.ndarray, slope: bool, room: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax of each column of ``x`` at ``place`` and, with ``slope``, the loss's
+    gradient, which lies in ``room``. Logits are shifted only if their exponentials sum to
+    too much or too little."""
     at = place * x.shape[1] + np.arange(x.shape[1])
     out = x.ravel().take(at)
-    np.exp(x, out=x)
-    total = x.sum(0)
+    with np.errstate(over="ignore"):
+        total = np.exp(x, out=room).sum(0)
+    if not (total.min(initial=1.0) > 1e-26 and total.max(initial=1.0) < 1e26):
+        top = x.max(0)
+        x -= top
+        out -= top
+        total = np.exp(x, out=room).sum(0)
     if slope:
-        x /= total
-        x.ravel()[at] -= 1.0
-    return out - np.log(total)
+        room *= 1.0 / total
+        room.ravel()[at] -= 1.0
+    return out - np.log(total), room
 
 
-def _products(tables, held: np.ndarray, spans: list, low: int, high: int) -> np.ndarray:
-    """Logits of the columns ``low:high``, each span by its own table."""
-    out = np.empty((tables[0].shape[0], high - low), held.dtype)
+def _products(tables, held: np.ndarray, spans: list, out: np.ndarray) -> np.ndarray:
+    """Logits of the first columns, each span by its own table."""
     for table, (a, b) in zip(tables, spans):
         if b > a:
-            np.matmul(table, held[:, a:b], out=out[:, a - low : b - low])
+            np.matmul(table, held[:, a:b], out=out[:, a:b])
     return out
 
 
-def _slopes(grads, tables, held: np.ndarray, into: np.ndarray, wrong: np.ndarray, spans: list, low: int) -> None:
+def _slopes(grads, tables, held: np.ndarray, into: np.ndarray, wrong: np.ndarray, spans: list) -> None:
     for grad, table, (a, b) in zip(grads, tables, spans):
         if b > a:
-            own = wrong[:, a - low : b - low]
+            own = wrong[:, a:b]
             grad += own @ held[:, a:b].T
-            into[:, a:b] += table.T @ own
+            into[:, a:b] += table[:, :-1].T @ own
 
 
 def number_texts(rows: DataFrame, words: Vocabulary) -> DataFrame:
@@ -459,14 +528,16 @@ def number_texts(rows: DataFrame, words: Vocabulary) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        places = words.starts()
+        # By word number; words beyond the head come last.
+        logs = np.append(np.log10(words.member_counts + SMOOTH), 0.0)
         for batch in bounded(batches, "text"):
             keys, starts = tokens(batch.column("text"))
-            numbers, found = words.look_up(keys)
+            numbers = words.look_up(keys, places)
             n, sizes = batch.num_rows, np.diff(starts)
-            doc = np.repeat(np.arange(n), sizes)
-            head = found >= 0
-            logs = np.where(head, np.log10(np.maximum(found, 0) + SMOOTH), 0.0)
-            in_tail = np.bincount(doc, ~head, n).astype(np.int64)
+            tail = numbers == words.members
+            # Every text has its end, so none is empty.
+            in_tail = np.add.reduceat(tail, starts[:-1], dtype=np.int64)
             ends = np.concatenate(([0], np.cumsum(in_tail))).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -476,11 +547,13 @@ def number_texts(rows: DataFrame, words: Vocabulary) -> DataFrame:
                     "dice": batch.column("dice"),
                     "n_tokens": sizes,
                     "n_tail": in_tail,
-                    "base_log": np.bincount(doc, logs, n) - sizes * words.base_log,
-                    "words": pa.array(
-                        [numbers[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()
+                    "base_log": np.add.reduceat(logs[numbers], starts[:-1]) - sizes * words.base_log,
+                    "words": pa.Array.from_buffers(
+                        pa.binary(),
+                        n,
+                        [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(numbers)],
                     ),
-                    "tail": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[~head].view(np.int64))),
+                    "tail": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[tail].view(np.int64))),
                 }
             )
             row += n

@@ -264,6 +264,56 @@ def test_state_runs_through_whole_texts():
         assert score == pytest.approx(total, rel=1e-4)
 
 
+def test_windows_use_their_memory_again():
+    import tracemalloc
+
+    random = np.random.default_rng(8)
+    keys = np.append(random.integers(0, 2**63, 5999).astype(np.uint64), recurrent_lm.END)
+    vocabulary = recurrent_lm.Vocabulary(keys, np.full(6000, 7), 42000, 6000)
+    model = recurrent_lm.Model(vocabulary)
+    numbers = random.integers(0, 6000, (16, 512)).astype(np.int32)
+    state = np.zeros((recurrent_lm.HIDDEN, 512), np.float32)
+    slope = model.parts(np.zeros_like(model.weights))
+    first = model.window(state, numbers, slope)
+    tracemalloc.start()
+    again = model.window(state, numbers, slope)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Softmaxes of 8,192 words take 2 MB each, the slopes of their inputs 1.5 MB.
+    assert most < 6 << 20
+    assert np.array_equal(first[0], again[0]) and np.array_equal(first[1], again[1])
+
+
+def test_words_are_found_from_their_leading_bits():
+    random = np.random.default_rng(9)
+    keys = random.integers(0, 2**64, 3000, dtype=np.uint64)
+    # Many keys that share their leading bits, the first and the last key there can be.
+    keys[:40] = (keys[0] >> np.uint64(20) << np.uint64(20)) + np.arange(40, dtype=np.uint64)
+    keys[40:43] = recurrent_lm.END, 0, 2**64 - 1
+    asked = np.concatenate((keys, keys + np.uint64(1), random.integers(0, 2**64, 3000, dtype=np.uint64)))
+    for n in (3000, 43, 1, 0):
+        vocabulary = recurrent_lm.Vocabulary(keys[:n], np.full(n, 7), 7 * n, n)
+        found = vocabulary.look_up(asked, vocabulary.starts())
+        place = {key: number for number, key in enumerate(keys[:n].tolist())}
+        assert found.tolist() == [place.get(key, n) for key in asked.tolist()]
+        assert np.array_equal(found, vocabulary.look_up(asked))
+
+
+def test_extreme_logits():
+    random = np.random.default_rng(10)
+    for scale in (1.0, 50.0, 500.0):
+        x = (scale * random.normal(size=(7, 30))).astype(np.float32)
+        x[:, 0], x[:, 1] = -400.0, 400.0
+        place = random.integers(0, 7, 30)
+        exact = x.astype(np.float64) - x.max(0)
+        share = np.exp(exact) / np.exp(exact).sum(0)
+        log = exact[place, range(30)] - np.log(np.exp(exact).sum(0))
+        found, slope = recurrent_lm._chosen(x, place, True, np.empty_like(x))
+        share[place, range(30)] -= 1
+        assert np.allclose(found, log, rtol=1e-4, atol=1e-4)
+        assert np.allclose(slope, share, atol=1e-5)
+
+
 def test_quality_on_held_out_labels(spark):
     found = queries.QUERIES["op6_ftrl_quality"](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
