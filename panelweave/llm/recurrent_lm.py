@@ -168,7 +168,12 @@ class Model:
         row[direct:-1] = direct + mix(np.arange(rest, dtype=np.uint64)) % max(buckets, 1)
         row[-1] = direct + buckets
         self.row = row.astype(np.uint16)
-        self.table = (mix(np.arange(self.blocks, dtype=np.uint64) + _SALT) % TABLES).astype(np.uint8)
+        table = (mix(np.arange(self.blocks, dtype=np.uint64) + _SALT) % TABLES).astype(np.uint8)
+        # Of each word: its block, and its class or, behind all classes, its block's table.
+        self.block = np.zeros(words.members + 1, np.int32)
+        self.block[direct:] = np.append(np.arange(rest) // self.side**2, self.blocks)
+        self.key = (np.arange(words.members + 1) // MEMBERS).astype(np.uint8)
+        self.key[direct:] = np.append(table, TABLES)[self.block[direct:]] + np.uint8(self.classes)
         counts = np.zeros(self.blocks * self.side**2)
         counts[:rest] = words.member_counts[direct:] + SMOOTH
         counts = counts.reshape(self.blocks, self.side, self.side)
@@ -265,17 +270,12 @@ class Model:
         """
         p, n, h = self.part, len(word), HIDDEN
         direct, kind = self.words.direct, states.dtype
-        beyond = word >= direct
-        rank = np.where(beyond, word - direct, 0)
-        block = rank // self.side**2
-        block[word == self.words.members] = self.blocks
-        key = (word // MEMBERS).astype(np.uint8)
-        known = np.append(self.table, TABLES) + np.uint8(self.classes)
-        key[beyond] = known[block[beyond]]
+        key = self.key.take(word)
         order = np.argsort(key, kind="stable")
-        bounds = np.searchsorted(key[order], np.arange(self.classes + TABLES + 1))
-        word, rank, block = word[order], rank[order], block[order]
-        group = np.minimum(key[order], self.classes).astype(np.int64)
+        key, word = key[order], word[order]
+        bounds = np.searchsorted(key, np.arange(self.classes + TABLES + 1))
+        rank, block = word - direct, self.block.take(word)
+        group = np.minimum(key, self.classes).astype(np.int64)
         of = [slice(at * MEMBERS, (at + 1) * MEMBERS) for at in range(self.classes)]
         members = [p["members"][one] for one in of]
         slope = grad is not None
@@ -292,7 +292,7 @@ class Model:
             own = room("own", h + 1, high - low)
             np.take(states, order[low:high], axis=1, out=own, mode="clip")
             # Columns of the words in classes come first, those beyond the head last.
-            here = np.clip(bounds, low, high) - low
+            here = np.minimum(np.maximum(bounds, low), high) - low
             split, most = int(here[self.classes]), int(here[-1])
             log = logs[low:high]
 
@@ -411,24 +411,29 @@ class Model:
         laid = laid.reshape(lanes, length).T
         state = np.zeros((HIDDEN, lanes), np.float32)
         mean, square = np.zeros_like(self.weights), np.zeros_like(self.weights)
-        spare, flat = np.empty_like(self.weights), np.empty_like(self.weights)
+        spare, flat = np.empty(SLICE, self.weights.dtype), np.empty_like(self.weights)
         for number, at in enumerate(range(0, length, WINDOW), start=1):
             flat.fill(0.0)
             state, log = self.window(state, laid[at : at + WINDOW], self.parts(flat))
             norm = float(np.linalg.norm(flat)) / max(len(log), 1)
-            flat *= min(1.0, 1.0 / (norm + 1e-9)) / max(len(log), 1)
-            # Sums that decay, 10 times the running mean and 100 times the running square.
-            mean *= 0.9
-            mean += flat
-            square *= 0.99
-            flat *= flat
-            square += flat
+            scale = min(1.0, 1.0 / (norm + 1e-9)) / max(len(log), 1)
             step = rate * math.sqrt(1 - 0.99**number) / (1 - 0.9**number)
-            np.sqrt(square, out=spare)
-            spare += 1e-5
-            np.divide(mean, spare, out=spare)
-            spare *= step
-            self.weights -= spare
+            # Piece by piece, so that each stays in a processor's cache.
+            for low in range(0, len(flat), SLICE):
+                own = slice(low, low + SLICE)
+                slope, first, second, move = flat[own], mean[own], square[own], spare[: len(flat[own])]
+                slope *= scale
+                # Sums that decay, 10 times the running mean and 100 times the running square.
+                first *= 0.9
+                first += slope
+                second *= 0.99
+                slope *= slope
+                second += slope
+                np.sqrt(second, out=move)
+                move += 1e-5
+                np.divide(first, move, out=move)
+                move *= step
+                self.weights[own] -= move
 
     def score(self, words: np.ndarray, starts: np.ndarray, lanes: int = 512) -> np.ndarray:
         """Natural log probability of each whole text, words beyond the head by block only."""
