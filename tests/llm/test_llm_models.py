@@ -90,6 +90,21 @@ def test_pieces_come_back_and_repeat(spark):
     assert piece_sampling.encode_sampled(none(spark), model).count() == 0
 
 
+def test_query_gives_the_sampled_pieces(spark):
+    """Every document's ids are in the result, and the library reads its text from them."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = {r["doc_id"]: r for r in queries.op5_piece_sampling(spark, SMALL).collect()}
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    for doc_id, text in texts:
+        row = rows[doc_id]
+        assert library.decode(row["ids"]) == (text or "") and row["round_trip"]
+        assert row["n_pieces"] == len(row["ids"])
+        assert row["ids_crc32"] == zlib.crc32(np.array(row["ids"], "<u4").tobytes())
+
+
 def test_segmentations_follow_their_weights():
     """Frequencies of all ways to cut a word against their exact probabilities."""
     table = piece_sampling.pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.0002)
