@@ -1,6 +1,7 @@
 """Token store, sampled pieces, language model, classifiers, mixing and neighbours."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -105,6 +106,36 @@ def test_query_gives_the_sampled_pieces(spark):
         assert row["ids_crc32"] == zlib.crc32(np.array(row["ids"], "<u4").tobytes())
 
 
+def test_chunks_are_runs_of_spaces_and_what_follows():
+    texts = [text or "" for text in ODD] + [" ", "   ", "a ", " a  b   ", "", "\u2003a \n b", "é 漢 é"]
+    numbers, chunks, counts = piece_sampling.cut(texts)
+    wanted = [re.findall(" *[^ ]*", " " + text)[:-1] if text else [] for text in texts]
+    assert counts.tolist() == [len(found) for found in wanted]
+    assert [chunks[i] for i in numbers] == [one for found in wanted for one in found]
+    assert len(set(chunks)) == len(chunks)
+    numbers, chunks, counts = piece_sampling.cut(["", ""])
+    assert len(numbers) == 0 and chunks == [] and counts.tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("top", [1, 2**16, 2**16 + 1, 2**40])
+def test_sorting_order_is_stable(top):
+    values = np.random.default_rng(top).integers(0, top, 5000)
+    values[::3] = values[0]
+    assert piece_sampling.ordered(values).tolist() == np.argsort(values, kind="stable").tolist()
+    assert len(piece_sampling.ordered(values[:0])) == 0
+
+
+def test_a_text_has_the_same_pieces_alone_and_in_any_batch():
+    table = piece_sampling.pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.0005)
+    texts = [text or "" for text in ODD]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    ids, ends = piece_sampling.sample(table, texts, keys, 3)
+    for row, text in enumerate(texts):
+        alone, _ = piece_sampling.sample(table, [text], keys[row : row + 1], 3)
+        assert alone.tolist() == ids[ends[row] : ends[row + 1]].tolist()
+        assert piece_sampling.decode(table, alone.tolist()).decode() == text
+
+
 def test_segmentations_follow_their_weights():
     """Frequencies of all ways to cut a word against their exact probabilities."""
     table = piece_sampling.pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.0002)
